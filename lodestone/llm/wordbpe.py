@@ -1,4 +1,4 @@
-"""Batch encoding for the word-level BPE vocabulary (lower case, word ends marked).
+"""Batch encoding for BPE vocabularies: one of lower-case words, one of bytes.
 
 The vocabulary's own library encodes every distinct pre-token once; texts are cut into pre-tokens with
 array operations, and repeats are looked up.  The result equals the library's, id by id.
@@ -56,29 +56,46 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class Encoder:
-    """Encodes lists of texts; one for each worker and vocabulary."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class WordStore:
+    """Words met so far and their ids, found by 64-bit hashes of code points: arrays, not objects, so that
+    a million words take tens of megabytes."""
 
-        self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = _byte_letters()
-        self.forget()
+    def __init__(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
+        self.forget()
 
     def forget(self) -> None:
         self.size = 0
         self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)  # open addressing; 0 is an empty place
         self.slots = np.zeros(1 << _TABLE_BITS, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.pool = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _find(self, key: np.ndarray) -> np.ndarray:
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            self.up, self.down = np.full(size, _R, np.uint64), np.full(size, _RI, np.uint64)
+            self.up[0] = self.down[0] = 1
+            np.multiply.accumulate(self.up, out=self.up)
+            np.multiply.accumulate(self.down, out=self.down)
+        return self.up[:n], self.down[:n]
+
+    def hashes(self, code: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Keys of the ``chosen`` of the words that begin at ``bounds`` and fill the text."""
+        power, inverse = self._powers(len(code))
+        value = code.astype(np.uint64)
+        value += np.uint64(1)
+        value *= power
+        key = np.add.reduceat(value, bounds)[chosen] * inverse[bounds[chosen]]
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        key |= np.uint64(1)
+        return key
+
+    def find(self, key: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where unknown."""
         at = (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
         there = self.keys[at]
@@ -92,17 +109,7 @@ class Encoder:
             open_ = open_[~hit & (there != 0)]
         return slot
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            self.up, self.down = np.full(size, _R, np.uint64), np.full(size, _RI, np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up[:n], self.down[:n]
-
-    def _add(self, key: int, word: str) -> None:
-        ids = [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode("utf-8", "replace")]))]
+    def add(self, key: int, ids: list[int]) -> None:
         at = self.size
         if at == len(self.begin):
             self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
@@ -117,6 +124,38 @@ class Encoder:
             place = (place + 1) & ((1 << _TABLE_BITS) - 1)
         self.keys[place], self.slots[place] = key, at
 
+    def unknown(self, code: np.ndarray, key: np.ndarray, slot: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
+        """(key, word) of the distinct words without a slot."""
+        new = np.nonzero(slot < 0)[0]
+        if not len(new):
+            return []
+        fresh, first = np.unique(key[new], return_index=True)
+        return [(k, code[begins[j] : ends[j]].tobytes().decode("utf-32-le", "surrogatepass")) for k, j in zip(fresh.tolist(), new[first].tolist(), strict=True)]
+
+    def texts(self, begins: np.ndarray, slot: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text; texts begin at ``edges``, which has one end more."""
+        if not len(begins):
+            return [np.zeros(0, np.uint32) for _ in edges[1:]]
+        n, source = self.count[slot], self.begin[slot]
+        after = np.cumsum(n)
+        flat = np.arange(int(after[-1]))
+        flat += np.repeat(source - (after - n), n)
+        ids = self.pool[flat]
+        cuts = np.concatenate(([0], after))[np.searchsorted(begins, edges)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class Encoder(WordStore):
+    """Encodes lists of texts; one for each worker and vocabulary."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.letters = _byte_letters()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens, as unsigned 32-bit arrays."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -134,57 +173,52 @@ class Encoder:
                 out[i] = ids
         return out
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        if self.size > _MOST_KNOWN:
-            self.forget()
+    def _codes(self, texts: list[str]) -> np.ndarray:
+        """Code points of the texts in lower case, a newline before, between and after them."""
         text = "\n" + "\n".join(texts) + "\n"
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if code.max() < ord(_PLAIN):
-            code = _lower()[code]
-        else:  # no final sigma in the vocabulary's lower case
-            texts = [t.replace("\u03a3", "\u03c3").lower() for t in texts]
-            text = "\n" + "\n".join(texts) + "\n"
-            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = _kinds()[code]
+            return _lower()[code]
+        low = [t.replace("\u03a3", "\u03c3").lower() for t in texts]  # no final sigma in the vocabulary's lower case
+        text = "\n" + "\n".join(low) + "\n"
+        texts[:] = low
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def _cut(self, code: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where runs begin, numbers of those runs that are pre-tokens)."""
         starts = np.empty(len(code), bool)
         starts[0] = True
         np.not_equal(kind[1:], kind[:-1], out=starts[1:])
         starts |= kind == _NUMBER
         self._contractions(code, kind, starts)
         bounds = np.nonzero(starts)[0]
-        solid = np.nonzero(kind[bounds] != _SPACE)[0]
-        begins = bounds[solid]
+        return bounds, np.nonzero(kind[bounds] != _SPACE)[0]
+
+    def lookup(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first code point, slot) of every pre-token, where each text begins, and run ends."""
+        if self.size > _MOST_KNOWN:
+            self.forget()
+        texts = list(texts)
+        code = self._codes(texts)
+        kind = _kinds()[code]
         edges = np.cumsum([1] + [len(x) + 1 for x in texts])
+        bounds, solid = self._cut(code, kind, edges)
+        begins = bounds[solid]
         if not len(begins):
-            return [np.zeros(0, np.uint32) for _ in texts]
-        power, inverse = self._powers(len(code))
-        value = code.astype(np.uint64)
-        value += np.uint64(1)
-        value *= power
-        key = np.add.reduceat(value, bounds)[solid] * inverse[begins]
-        key ^= key >> np.uint64(29)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
-        key |= np.uint64(1)
-        slot = self._find(key)
-        new = np.nonzero(slot < 0)[0]
-        if len(new):
-            ends = np.append(bounds, len(code))[solid + 1]
-            fresh, first = np.unique(key[new], return_index=True)
-            for k, j in zip(fresh.tolist(), new[first].tolist(), strict=True):
-                self._add(k, code[begins[j] : ends[j]].tobytes().decode("utf-32-le", "surrogatepass"))
-            slot[new] = self._find(key[new])
-        n, source = self.count[slot], self.begin[slot]
-        after = np.cumsum(n)
-        flat = np.arange(int(after[-1]))
-        flat += np.repeat(source - (after - n), n)
-        ids = self.pool[flat].astype(np.uint32)
-        cuts = np.concatenate(([0], after))[np.searchsorted(begins, edges)]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            return begins, begins, edges, begins
+        ends = np.append(bounds, len(code))[solid + 1]
+        key = self.hashes(code, bounds, solid)
+        slot = self.find(key)
+        fresh = self.unknown(code, key, slot, begins, ends)
+        for k, word in fresh:
+            self.add(k, [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode("utf-8", "replace")]))])
+        return begins, self.find(key) if fresh else slot, edges, ends
 
-    @staticmethod
-    def _contractions(code: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> None:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        begins, slot, edges, _ = self.lookup(texts)
+        return self.texts(begins, slot, edges)
+
+    def _contractions(self, code: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> None:
         """An apostrophe that stands alone takes s, t, re, ve, m, ll or d after it into its token."""
         mark = np.nonzero(code[:-1] == 39)[0]
         mark = mark[starts[mark] & (kind[mark + 1] == _LETTER)]
@@ -197,6 +231,52 @@ class Encoder:
                     starts[p + 1 + n] = True
 
 
+class ByteEncoder(Encoder):
+    """For the byte-level vocabulary: nothing is folded or dropped, and a blank belongs to the word after
+    it.  Strings of special tokens are ordinary text.  White space is cut as the vocabulary's pattern
+    has it: a run gives its last character up to what follows, which a blank joins and others don't.
+    """
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for k, j in slices([len(x) for x in texts], SLICE_CHARS):
+            out += self._encode(texts[k:j])
+        return out
+
+    def _codes(self, texts: list[str]) -> np.ndarray:
+        text = "\n" + "\n".join(texts) + "\n"
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def _cut(self, code: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wall = edges - 1  # the newlines between texts, which no run may cross
+        starts = np.empty(len(code), bool)
+        starts[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+        starts[wall] = True
+        starts[wall[:-1] + 1] = True
+        joins = np.nonzero(starts[1:] & (kind[:-1] == _SPACE) & (kind[1:] != _SPACE))[0]  # last of a run of white space
+        joins = joins[~np.isin(joins, wall)]
+        blank = joins[code[joins] == 32]
+        self._contractions(code, kind, starts, np.setdiff1d(joins, blank), blank)
+        starts[joins] = True
+        starts[blank + 1] = False
+        bounds = np.nonzero(starts)[0]
+        return bounds, np.nonzero(~np.isin(bounds, wall))[0]
+
+    def _contractions(self, code: np.ndarray, kind: np.ndarray, starts: np.ndarray, joins: np.ndarray = None, blank: np.ndarray = None) -> None:
+        """As above, but an apostrophe that a blank belongs to takes nothing."""
+        held = starts[blank + 1].copy()
+        mine = code[blank + 1] == 39
+        starts[blank[mine] + 1] = False
+        super()._contractions(code, kind, starts)
+        starts[blank + 1] = held
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str = "word_bpe_49k.json") -> Encoder:
     return Encoder(tokenizer_path(name))
+
+
+@lru_cache(maxsize=2)
+def byte_encoder(name: str = "byte_bpe_50k.json") -> ByteEncoder:
+    return ByteEncoder(tokenizer_path(name))
