@@ -1,0 +1,692 @@
+"""The registered queries: operators over the star-schema graph, each with the SQL that must agree."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.text import bigram_similarity_column, fuzzy_score_column
+from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure
+from .plans.graph import Graph, trails
+from .plans.star import WITH_SQL, stored_star_graph
+from .streaming import feeds
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _on_graph(name: str, sql: str | None):
+    """Register a function of the graph; its SQL goes after the graph's two table expressions."""
+
+    def add(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+        _QUERIES[name] = lambda spark, sf_dir: f(stored_star_graph(spark, sf_dir))
+        if sql:
+            _SQL[name] = f"{WITH_SQL}{sql}"
+        return f
+
+    return add
+
+
+def _on_tables(name: str, sql: str | None):
+    """Register a function of a reader of tables."""
+
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _in(types) -> str:
+    return ", ".join(f"'{t}'" for t in types)
+
+
+def _reach_sql(where: str, types, depth: int, direction: str = "out", prefix: str = "") -> str:
+    """Table expressions up to {prefix}rc(id, level), by unrolled rounds."""
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    p = prefix
+    parts = [f"{p}st AS (SELECT DISTINCT {a} AS a, {b} AS b FROM edges WHERE type IN ({_in(types)}))", f"{p}l0 AS (SELECT id FROM nodes WHERE {where})"]
+    parts += [f"{p}l{k} AS (SELECT DISTINCT b AS id FROM {p}st JOIN {p}l{k - 1} ON a = id)" for k in range(1, depth + 1)]
+    rows = " UNION ALL ".join(f"SELECT id, {k} AS level FROM {p}l{k}" for k in range(1, depth + 1))
+    parts.append(f"{p}rc AS (SELECT id, min(level) AS level FROM ({rows}) u GROUP BY id)")
+    return ", " + ", ".join(parts) + " "
+
+
+def _file(g: Graph, path: str) -> DataFrame:
+    return g.nodes.where(F.col("file_path") == path).select("id")
+
+
+_ORDER = "label = 'Method' AND name = 'order_7'"
+_PART = "file_path = 'part/3'"
+_CLASS = "name = 'Customer#000000100'"
+
+
+def _order(g: Graph) -> DataFrame:
+    return g.root("order_7")
+
+
+# -- traversal and context
+
+_PLACES = "SELECT DISTINCT label AS type, name, file_path, line_start AS line FROM rc JOIN nodes USING (id)"
+
+
+@_on_graph("callers", _reach_sql(_PART, ["CALLS"], 2, "in") + _PLACES)
+def _callers(g):
+    return context.call_neighbours(g, _file(g, "part/3"), 2, "in")
+
+
+@_on_graph("callees", _reach_sql("label = 'Method' AND file_path = 'orders/1-URGENT'", ["CALLS"], 2) + _PLACES)
+def _callees(g):
+    return context.call_neighbours(g, g.of("Method").where("file_path = 'orders/1-URGENT'").select("id"), 2, "out")
+
+
+@_on_graph("function_context", _reach_sql(_PART, ["CALLS"], 2, "in", "i").rstrip() + _reach_sql(_PART, ["CALLS"], 2, "out", "o") + "SELECT DISTINCT label AS type, name, file_path, line_start AS line, 'callee' AS role FROM orc JOIN nodes USING (id) UNION ALL SELECT DISTINCT label AS type, name, file_path, line_start AS line, 'caller' AS role FROM irc JOIN nodes USING (id)")
+def _function_context(g):
+    return context.function_context(g, _file(g, "part/3"), 2)
+
+
+@_on_graph("blast_radius", _reach_sql("label = 'Method' AND file_path = 'orders/2-HIGH'", impact.BLAST, 3) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL")
+def _blast(g):
+    return impact.blast_radius(g, g.of("Method").where("file_path = 'orders/2-HIGH'").select("id"), 3)
+
+
+@_on_graph("blast_summary", _reach_sql(_PART, impact.BLAST, 3) + ", rows_ AS (SELECT label, name, file_path, line_start, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL) SELECT count(*) AS affected, array_to_string(list_sort(list(DISTINCT file_path) FILTER (file_path <> '')), ',') AS affected_files, CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS depth_reached, max(level) AS max_level FROM rows_")
+def _blast_summary(g):
+    return impact.blast_summary(g, _file(g, "part/3"), 3).withColumn("affected_files", F.array_join("affected_files", ","))
+
+
+@_on_graph("affected_knowledge", _reach_sql("label = 'Function' AND line_start < 10", impact.KNOWLEDGE_LINKS, 2) + f"SELECT DISTINCT label AS type, name FROM rc JOIN nodes USING (id) WHERE label IN ({_in(impact.KNOWLEDGE)})")
+def _affected_knowledge(g):
+    return impact.affected_knowledge(g, g.of("Function").where("line_start < 10").select("id"))
+
+
+@_on_graph("cross_repo_blast", _reach_sql("label = 'Method' AND id % 40 = 0", impact.BLAST, 2) + ", up AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CONTAINS'), u1 AS (SELECT rc.id, up.src AS rid FROM rc JOIN up ON up.dst = rc.id), u2 AS (SELECT u1.id, up.src AS rid FROM u1 JOIN up ON up.dst = rid), u3 AS (SELECT u2.id, up.src AS rid FROM u2 JOIN up ON up.dst = rid), rp AS (SELECT DISTINCT u.id, n.name AS repo_name FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3) u JOIN nodes n ON n.id = u.rid WHERE n.label = 'Repository') SELECT DISTINCT label AS type, name, file_path, repo_name FROM rc JOIN nodes USING (id) LEFT JOIN rp ON rp.id = rc.id")
+def _cross_repo(g):
+    return impact.cross_repo_blast(g, g.of("Method").where("id % 40 = 0").select("id"), 2)
+
+
+@_on_graph("federated_blast", _reach_sql("label = 'Function' AND name = 'small ring'", impact.BLAST, 2) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level, g.graph FROM rc JOIN nodes USING (id) CROSS JOIN (SELECT 'a' AS graph UNION ALL SELECT 'b') g GROUP BY ALL")
+def _federated(g):
+    return impact.federated_blast({"a": g, "b": g}, "small ring", depth=2)
+
+
+@_on_graph("class_ancestors", f", up(id, level) AS (SELECT e.dst, 1 FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'INHERITS' AND n.{_CLASS} UNION ALL SELECT e.dst, level + 1 FROM up JOIN edges e ON e.src = up.id WHERE e.type = 'INHERITS') SELECT name, file_path, level FROM up JOIN nodes USING (id)")
+def _ancestors(g):
+    return context.ancestors(g, g.root("Customer#000000100"), 24)
+
+
+@_on_graph("subclasses", ", up(id, level) AS (SELECT e.src, 1 FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'INHERITS' AND n.name = 'Customer#000000003' UNION ALL SELECT e.src, level + 1 FROM up JOIN edges e ON e.dst = up.id WHERE e.type = 'INHERITS') SELECT name, file_path, level FROM up JOIN nodes USING (id) WHERE label = 'Class'")
+def _subclasses(g):
+    return context.subclasses(g, g.root("Customer#000000003"), 24)
+
+
+@_on_graph("hierarchy_paths", f", up(id, length) AS (SELECT e.dst, 1 FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'INHERITS' AND n.{_CLASS} UNION ALL SELECT e.dst, length + 1 FROM up JOIN edges e ON e.src = up.id WHERE e.type = 'INHERITS') SELECT name, length FROM up JOIN nodes USING (id)")
+def _paths(g):
+    return g.attach(trails(g, g.root("Customer#000000100"), ["INHERITS"]).select("id", "length"), "name").select("name", "length")
+
+
+_BOTH = ", bo AS (SELECT src AS a, dst AS b, src, dst, type FROM edges UNION ALL SELECT dst, src, src, dst, type FROM edges WHERE src <> dst)"
+
+
+@_on_graph("neighbours_1", _BOTH + ", rt AS (SELECT id, label, name FROM nodes WHERE label = 'Function' AND id % 50 = 0) SELECT DISTINCT rt.label AS root_type, rt.name AS root_name, n.label AS neighbor_type, n.name AS neighbor_name, n.file_path AS neighbor_file_path FROM rt LEFT JOIN bo ON bo.a = rt.id LEFT JOIN nodes n ON n.id = bo.b")
+def _neighbours1(g):
+    return context.neighbours(g, g.of("Function").where("id % 50 = 0").select("id"), 1)
+
+
+@_on_graph("neighbours_2", _BOTH + ", rt AS (SELECT id, label, name FROM nodes WHERE file_path = 'part/4'), p AS (SELECT rt.id AS root, x.b AS id FROM rt JOIN bo x ON x.a = rt.id UNION SELECT rt.id, y.b FROM rt JOIN bo x ON x.a = rt.id JOIN bo y ON y.a = x.b AND NOT (x.src = y.src AND x.dst = y.dst AND x.type = y.type)) SELECT DISTINCT rt.label AS root_type, rt.name AS root_name, n.label AS neighbor_type, n.name AS neighbor_name, n.file_path AS neighbor_file_path FROM rt LEFT JOIN p ON p.root = rt.id LEFT JOIN nodes n ON n.id = p.id")
+def _neighbours2(g):
+    return context.neighbours(g, _file(g, "part/4"), 2)
+
+
+@_on_graph("explain", ", rt AS (SELECT id FROM nodes WHERE label = 'Function' AND line_start = 9) SELECT 'out' AS direction, e.type AS rel, n.label AS type, n.name, n.file_path FROM edges e JOIN rt ON rt.id = e.src JOIN nodes n ON n.id = e.dst UNION ALL SELECT 'in', e.type, n.label, n.name, n.file_path FROM edges e JOIN rt ON rt.id = e.dst JOIN nodes n ON n.id = e.src")
+def _explain(g):
+    return context.explain(g, g.of("Function").where("line_start = 9").select("id"))
+
+
+@_on_graph("file_contents", " SELECT DISTINCT n.label AS type, n.name, n.line_start AS line, n.docstring, n.signature FROM edges e JOIN nodes f ON f.id = e.src JOIN nodes n ON n.id = e.dst WHERE f.label = 'File' AND f.name = 'NATION_7' AND e.type = 'CONTAINS'")
+def _file_contents(g):
+    path = g.of("File").where("name = 'NATION_7'").select("path").first()[0]
+    return context.file_contents(g, path)
+
+
+@_on_graph("direct_imports", " SELECT n.label AS type, n.name, n.file_path FROM edges e JOIN nodes f ON f.id = e.src JOIN nodes n ON n.id = e.dst WHERE f.name = 'NATION_4' AND e.type = 'IMPORTS'")
+def _direct_imports(g):
+    return context.direct_imports(g, "NATION_4", "")
+
+
+@_on_graph("references_to", " SELECT DISTINCT n.label AS type, n.name, n.file_path, n.line_start AS line FROM edges e JOIN nodes t ON t.id = e.dst JOIN nodes n ON n.id = e.src WHERE e.type = 'REFERENCES' AND t.label = 'Class' AND t.id % 20 = 3")
+def _references(g):
+    return context.references_to(g, g.of("Class").where("id % 20 = 3").select("id"))
+
+
+@_on_graph("symbol_search", " SELECT label AS type, name, file_path, line_start AS line, docstring FROM nodes WHERE label IN ('Function', 'Class', 'Method') AND name LIKE '%ring%' ORDER BY name, file_path, id LIMIT 20")
+def _symbol_search(g):
+    return context.symbol_search(g, "ring")
+
+
+@_on_graph("symbol_search_repo", " SELECT label AS type, name, file_path, line_start AS line, docstring FROM nodes WHERE label IN ('Function', 'Class', 'Method') AND repo = 'ASIA' AND name LIKE '%00%' ORDER BY name, file_path, id LIMIT 20")
+def _symbol_search_repo(g):
+    return context.symbol_search(g, "00", repo="ASIA")
+
+
+@_on_graph("docstring_search", " SELECT label AS type, name, file_path, line_start AS line, docstring FROM nodes WHERE label IN ('Function', 'Class', 'Method') AND lower(docstring) LIKE '%promo%' ORDER BY name, file_path, id LIMIT 25")
+def _docstring_search(g):
+    return context.docstring_search(g, "PROMO", 25)
+
+
+_ANY = "coalesce(lower({c}) LIKE '%{q}%', FALSE)"
+
+
+@_on_graph("knowledge_search", " SELECT label AS type, name, description, domain, status FROM nodes WHERE label IN ('Concept', 'Rule', 'Decision', 'WikiPage', 'Document') AND (" + " OR ".join(_ANY.format(c=c, q="nation_1") for c in ("name", "description", "content")) + ") ORDER BY label, name, id LIMIT 20")
+def _knowledge_search(g):
+    return context.knowledge_search(g, "Nation_1")
+
+
+@_on_graph("global_search", " SELECT label AS type, name, coalesce(file_path, path, '') AS file_path, coalesce(docstring, description, content, '') AS summary, line_start FROM nodes WHERE label IN ('Function', 'Class', 'Method', 'Concept', 'Rule', 'Decision', 'WikiPage', 'Document') AND (" + " OR ".join(_ANY.format(c=c, q="large") for c in ("name", "docstring", "description", "content")) + ") ORDER BY label, name, id LIMIT 30")
+def _global_search(g):
+    return context.global_search(g, "Large", 30)
+
+
+@_on_graph("domain_contents", " SELECT n.label AS type, n.name, n.file_path, coalesce(n.docstring, n.description) AS summary FROM edges e JOIN nodes d ON d.id = e.dst JOIN nodes n ON n.id = e.src WHERE e.type = 'BELONGS_TO' AND d.label = 'Domain' AND d.name = 'Brand#7'")
+def _domain_contents(g):
+    return context.domain_contents(g, "Brand#7")
+
+
+def _side_sql(kind: str, label: str | None, way: str, alias: str, key: str) -> str:
+    steps = {"out": "SELECT src AS a, dst AS b FROM edges WHERE type = '{k}'", "in": "SELECT dst AS a, src AS b FROM edges WHERE type = '{k}'"}
+    q = " UNION ALL ".join(steps[w].format(k=kind) for w in (("out", "in") if way == "both" else (way,)))
+    return f"coalesce((SELECT array_to_string(list_sort(list(DISTINCT n.name)), ',') FROM ({q}) s JOIN nodes n ON n.id = s.b WHERE s.a = {key}{f" AND n.label = '{label}'" if label else ''}), '') AS {alias}"
+
+
+@_on_graph("concept_context", f" SELECT c.name, c.description, c.status, c.domain, {_side_sql('RELATED_TO', 'Concept', 'both', 'related', 'c.id')}, {_side_sql('GOVERNS', 'Rule', 'in', 'rules', 'c.id')}, {_side_sql('DOCUMENTS', 'WikiPage', 'in', 'wiki', 'c.id')}, {_side_sql('IMPLEMENTS', None, 'in', 'implementations', 'c.id')}, {_side_sql('BELONGS_TO', 'Domain', 'out', 'domains', 'c.id')} FROM nodes c WHERE c.label = 'Concept' AND c.name = 'ECONOMY'")
+def _concept(g):
+    out = context.concept_context(g, "ECONOMY")
+    return out.select(*[F.array_join(c, ",").alias(c) if k.startswith("array") else F.col(c) for c, k in out.dtypes])
+
+
+@_on_graph("decision_context", f" SELECT c.name, c.description, c.rationale, c.status, c.date, {_side_sql('DOCUMENTS', None, 'out', 'documents', 'c.id')}, {_side_sql('DECIDED_BY', 'Person', 'out', 'decided_by', 'c.id')}, {_side_sql('BELONGS_TO', 'Domain', 'out', 'domains', 'c.id')} FROM nodes c WHERE c.label = 'Decision' AND c.name = 'decision_NATION_3'")
+def _decision(g):
+    out = context.decision_context(g, "decision_NATION_3")
+    return out.select(*[F.array_join(c, ",").alias(c) if k.startswith("array") else F.col(c) for c, k in out.dtypes])
+
+
+@_on_graph("owners", " SELECT n.label AS node_type, n.name AS node, p.name AS owner, p.email, p.role, p.team FROM edges e JOIN nodes n ON n.id = e.src JOIN nodes p ON p.id = e.dst WHERE e.type = 'ASSIGNED_TO' AND p.label = 'Person' AND n.name = 'large ring'")
+def _owners(g):
+    return context.owners(g, g.root("large ring"))
+
+
+@_on_graph("memory_list", " SELECT memory_type, name, label AS type, repo, description FROM nodes WHERE memory_type IS NOT NULL AND repo = 'EUROPE' ORDER BY memory_type, name, id LIMIT 50")
+def _memory_list(g):
+    return context.memory_list(g, repo="EUROPE")
+
+
+@_on_graph("memory_get", " SELECT memory_type, name, label AS type, repo, rationale, FALSE AS ambiguous FROM nodes WHERE memory_type IS NOT NULL AND name = 'rule_10'")
+def _memory_get(g):
+    return context.memory_get(g, "rule_10")
+
+
+@_on_graph("memory_for_file", " SELECT DISTINCT m.memory_type, m.name, m.label AS type, m.rationale, s.name AS target FROM edges c JOIN nodes f ON f.id = c.src JOIN nodes s ON s.id = c.dst JOIN edges k ON k.dst = s.id JOIN nodes m ON m.id = k.src WHERE c.type = 'CONTAINS' AND f.label = 'File' AND f.path LIKE '%NATION_1' AND k.type IN ('GOVERNS', 'ANNOTATES', 'DOCUMENTS') AND m.memory_type IS NOT NULL")
+def _memory_for_file(g):
+    path = g.of("File").where("name = 'NATION_1'").select("path").first()[0]
+    return context.memory_for_file(g, path)
+
+
+@_on_graph("type_counts", " SELECT 'node' AS what, label AS kind, count(*) AS n FROM nodes GROUP BY label UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")
+def _type_counts(g):
+    return context.type_counts(g)
+
+
+@_on_graph("repo_counts", " SELECT 'node' AS what, count(*) AS n FROM nodes WHERE repo = 'ASIA' UNION ALL SELECT 'edge', count(*) FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.repo = 'ASIA' AND b.repo = 'ASIA'")
+def _repo_counts(g):
+    return context.repo_counts(g, "ASIA")
+
+
+@_on_graph("list_repos", " SELECT name, path FROM nodes WHERE label = 'Repository'")
+def _list_repos(g):
+    return context.list_repos(g)
+
+
+@_on_graph("cross_repo_search", " SELECT label, name, min(coalesce(repo, '')) AS repo FROM nodes WHERE lower(name) LIKE '%bolt%' GROUP BY label, name ORDER BY label, name, repo LIMIT 20")
+def _cross_repo_search(g):
+    return context.cross_repo_search(g, "BOLT")
+
+
+# -- structure
+
+_ONLY_ORDERS = " e.type = 'CALLS' AND e.src // 1000000000000 = 4"
+
+
+@_on_graph("dead_functions", f" SELECT label AS type, name, file_path, line_start AS line FROM nodes n WHERE label = 'Function' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND{_ONLY_ORDERS})")
+def _dead_functions(g):
+    from_orders = g.links("CALLS").where("src div 1000000000000 = 4")
+    return structure.unreferenced(g, ("Function",), (), from_orders)
+
+
+@_on_graph("dead_code", " SELECT label AS type, name, coalesce(file_path, path) AS file_path, line_start AS line FROM nodes n WHERE label IN ('Function', 'Method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type IN ('CALLS', 'REFERENCES'))")
+def _dead_code(g):
+    return structure.dead_functions(g)
+
+
+@_on_graph("dead_classes", " SELECT label AS type, name, coalesce(file_path, path) AS file_path, line_start AS line FROM nodes n WHERE label = 'Class' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type IN ('REFERENCES', 'INHERITS', 'IMPLEMENTS', 'CALLS'))")
+def _dead_classes(g):
+    return structure.dead_classes(g)
+
+
+@_on_graph("orphan_files", " SELECT label AS type, name, coalesce(file_path, path) AS file_path, line_start AS line FROM nodes n WHERE label = 'File' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.type = 'IMPORTS')")
+def _orphans(g):
+    return structure.orphan_files(g)
+
+
+_PP = ", pp AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE type = 'CALLS' AND src // 1000000000000 = 5 AND src <> dst)"
+
+
+@_on_graph("cycles_2", _PP + " SELECT x.a AS n1, x.b AS n2 FROM pp x JOIN pp y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b")
+def _cycles2(g):
+    return structure.short_cycles(g.links("CALLS").where("src div 1000000000000 = 5").selectExpr("src AS a", "dst AS b"), 2)
+
+
+@_on_graph("cycles_3", _PP + " SELECT x.a AS n1, x.b AS n2, y.b AS n3 FROM pp x JOIN pp y ON x.b = y.a JOIN pp z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b")
+def _cycles3(g):
+    return structure.short_cycles(g.links("CALLS").where("src div 1000000000000 = 5").selectExpr("src AS a", "dst AS b"), 3)
+
+
+@_on_graph("import_cycles", None)
+def _import_cycles(g):
+    return structure.import_cycles(g).withColumn("cycle", F.array_join("cycle", ">"))
+
+
+_STEPS = "SELECT DISTINCT event_type AS caller, nxt AS callee FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) t WHERE nxt IS NOT NULL"
+
+
+@_on_tables("trace", f"WITH c AS ({_STEPS}), o1 AS (SELECT callee AS a1 FROM c WHERE caller = 'signup'), o2 AS (SELECT a1, callee AS a2 FROM o1 JOIN c ON c.caller = a1 WHERE a1 <> 'signup'), o3 AS (SELECT a1, a2, callee AS a3 FROM o2 JOIN c ON c.caller = a2 WHERE a2 NOT IN ('signup', a1)) SELECT 'signup>' || a1 AS chain, 1 AS length FROM o1 WHERE a1 = 'signup' OR a1 NOT IN (SELECT caller FROM c) UNION ALL SELECT 'signup>' || a1 || '>' || a2, 2 FROM o2 WHERE a2 IN ('signup', a1) OR a2 NOT IN (SELECT caller FROM c) UNION ALL SELECT 'signup>' || a1 || '>' || a2 || '>' || a3, 3 FROM o3")
+def _trace(t):
+    from pyspark.sql import Window
+
+    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    steps = t("events").select(F.col("event_type").alias("caller"), nxt.alias("callee"), F.lit("").alias("file_path")).where("callee IS NOT NULL")
+    out = structure.trace_pairs(steps, "signup", max_depth=3)
+    return out.select(F.concat_ws(">", F.element_at("chain", 1)["caller"], F.transform("chain", lambda s: s["callee"])).alias("chain"), "length")
+
+
+@_on_tables("test_map", "WITH tests AS (SELECT DISTINCT 'test_' || replace(p_name, ' ', '_') || '_works' AS test_name, 'tests/' || p_brand AS test_file FROM part WHERE p_partkey % 3 = 0), prod AS (SELECT DISTINCT 'Function' AS type, replace(p_name, ' ', '_') AS name, p_type AS file_path FROM part WHERE p_size < 4 UNION SELECT DISTINCT 'Class', split_part(p_name, ' ', 1), 'all' FROM part WHERE p_size < 2), tr AS (SELECT test_name, test_file, k, array_to_string(string_split(test_name[6:], '_')[1:k], '_') AS name FROM tests, range(1, 4) r(k)), h AS (SELECT tr.*, prod.type, prod.file_path, row_number() OVER (PARTITION BY test_name, test_file ORDER BY k DESC, name, file_path, type) AS rn FROM tr JOIN prod USING (name)) SELECT t.test_name, t.test_file, h.type AS prod_type, h.name AS prod_name, h.file_path AS prod_file, CASE WHEN h.name IS NOT NULL THEN 'heuristic' END AS source FROM tests t LEFT JOIN (SELECT * FROM h WHERE rn = 1) h USING (test_name, test_file)")
+def _test_map(t):
+    p, snake = t("part"), F.regexp_replace("p_name", " ", "_")
+    tests = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("test_"), snake, F.lit("_works")).alias("name"), F.concat(F.lit("tests/"), "p_brand").alias("file_path"))
+    functions = p.where("p_size < 4").select(F.lit("Function").alias("type"), snake.alias("name"), F.col("p_type").alias("file_path"))
+    classes = p.where("p_size < 2").select(F.lit("Class").alias("type"), F.element_at(F.split("p_name", " "), 1).alias("name"), F.lit("all").alias("file_path"))
+    return structure.map_tests(tests, functions.unionByName(classes))
+
+
+# -- drift
+
+_MEMBER = ", mem AS (SELECT DISTINCT n.id, n.label, n.name, n.file_path, d.name AS dn FROM edges e JOIN nodes d ON d.id = e.dst AND d.label = 'Domain' JOIN nodes n ON n.id = e.src WHERE e.type = 'BELONGS_TO')"
+_NODE = "name AS offending_node, coalesce(file_path, '') AS offending_file"
+
+
+@_on_graph("drift_undocumented", _MEMBER + f" SELECT 'UNDOCUMENTED_DOMAIN_SYMBOL' AS \"check\", 'warning' AS severity, 'Symbol in domain ''' || dn || ''' has no linked docs or rules' AS message, {_NODE}, dn AS knowledge_node, 'Domain' AS knowledge_type FROM mem WHERE label IN ('Function', 'Class', 'Method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = mem.id AND e.type IN ('DOCUMENTS', 'ANNOTATES', 'GOVERNS')) ORDER BY dn, name, id LIMIT 50")
+def _undocumented(g):
+    return drift.undocumented(g)
+
+
+@_on_graph("drift_missing_owners", _MEMBER + ", ask AS (SELECT name AS rule, domain AS dn FROM nodes WHERE label = 'Rule' AND memory_type = 'feedback' AND (lower(name) LIKE '%owner%' OR lower(rationale) LIKE '%owner%') AND domain <> '' ORDER BY name, id LIMIT 20), r AS (SELECT mem.*, rule, row_number() OVER (PARTITION BY rule, dn ORDER BY name, id) AS rn FROM mem JOIN ask USING (dn) WHERE label IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.id = e.dst AND p.label = 'Person' WHERE e.src = mem.id AND e.type = 'ASSIGNED_TO'))" + f" SELECT 'MISSING_OWNER' AS \"check\", 'warning' AS severity, 'Symbol in domain ''' || dn || ''' has no owner' AS message, {_NODE}, rule AS knowledge_node, 'Rule' AS knowledge_type FROM r WHERE rn <= 20")
+def _missing_owners(g):
+    return drift.missing_owners(g)
+
+
+def _rules(g: Graph, text: str) -> DataFrame:
+    rule = g.spark.createDataFrame([("the rule", "warning", "Rule", text)], "rule string, severity string, knowledge_type string, j string")
+    return rule.select("rule", "severity", "knowledge_type", F.from_json("j", drift.CONSTRAINT).alias("c"))
+
+
+@_on_graph("drift_forbidden", _MEMBER + ", r AS (SELECT a.name, a.file_path, b.name AS tn, row_number() OVER (ORDER BY a.name, b.name, a.id, b.id) AS rn FROM (SELECT DISTINCT src, dst FROM edges WHERE type IN ('CALLS', 'IMPORTS', 'INHERITS')) e JOIN mem a ON a.id = e.src AND a.dn = 'Brand#3' JOIN mem b ON b.id = e.dst AND b.dn = 'Brand#12')" + f" SELECT 'FORBIDDEN_DEP' AS \"check\", 'warning' AS severity, '''' || name || ''' in domain ''Brand#3'' depends on ''' || tn || ''' in domain ''Brand#12''' AS message, {_NODE}, 'the rule' AS knowledge_node, 'Rule' AS knowledge_type FROM r WHERE rn <= 20")
+def _forbidden(g):
+    return drift.forbidden_dependencies(g, _rules(g, '{"type":"FORBIDDEN_DEP","from":"Brand#3","to":"Brand#12"}'))
+
+
+@_on_graph("drift_layers", ", ly AS (SELECT unnest(['Class', 'Method', 'Domain', 'Function']) AS l, unnest([0, 1, 2, 3]) AS i), r AS (SELECT a.name, a.file_path, b.name AS tn, x.l AS la, y.l AS lb, x.i AS ia, y.i AS ib, row_number() OVER (ORDER BY a.name, b.name, a.id, b.id) AS rn FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst JOIN ly x ON x.l = a.label JOIN ly y ON y.l = b.label WHERE e.type = 'CALLS' AND x.i <> y.i AND x.i + 1 <> y.i)" + f" SELECT 'REQUIRED_LAYER' AS \"check\", 'warning' AS severity, '''' || name || ''' (' || la || ') calls ''' || tn || ''' (' || lb || '): ' || CASE WHEN ib < ia THEN 'backward' ELSE 'skips layers' END || ' in layer order Class -> Method -> Domain -> Function' AS message, {_NODE}, 'the rule' AS knowledge_node, 'Rule' AS knowledge_type FROM r WHERE rn <= 30")
+def _layers(g):
+    return drift.layer_breaches(g, _rules(g, '{"type":"REQUIRED_LAYER","order":["Class","Method","Domain","Function"]}'))
+
+
+@_on_graph("drift_max_calls", ", cn AS (SELECT src AS id, count(*) AS cnt FROM edges WHERE type = 'CALLS' GROUP BY src), r AS (SELECT n.name, n.file_path, cnt, row_number() OVER (ORDER BY cnt DESC, name, id) AS rn FROM cn JOIN nodes n USING (id) WHERE n.label = 'Method' AND cnt > 1)" + f" SELECT 'MAX_OUTGOING_CALLS' AS \"check\", 'warning' AS severity, '''' || name || ''' has ' || cnt || ' outgoing calls (max 1)' AS message, {_NODE}, 'the rule' AS knowledge_node, 'Rule' AS knowledge_type FROM r WHERE rn <= 20")
+def _max_calls(g):
+    return drift.call_excess(g, _rules(g, '{"type":"MAX_OUTGOING_CALLS","label":"Method","max":1}'))
+
+
+@_on_graph("drift_summary", None)
+def _drift_summary(g):
+    return drift.summary(drift.check(g))
+
+
+# -- changes
+
+_RANGES = "SELECT 'part/' || (o_orderkey % 100) AS f, o_orderkey % 40 AS first, o_orderkey % 40 + 3 AS last FROM orders WHERE o_orderkey % 50 = 0"
+_CHANGED = f", rg AS ({_RANGES}), ch AS (SELECT name, file_path, min(struct_pack(a := line_start, b := label, c := line_end)) AS m FROM nodes s WHERE label IN ('Function', 'Class', 'Method') AND line_start IS NOT NULL AND EXISTS (SELECT 1 FROM rg WHERE f = s.file_path AND first <= CASE WHEN line_end > 0 THEN line_end ELSE line_start END AND last >= line_start) GROUP BY name, file_path)"
+
+
+def _ranges(g: Graph) -> DataFrame:
+    o = g.of("Method").where("(id % 1000000000000) % 50 = 0").select((F.col("id") % 1000000000000).alias("k"))
+    return o.select(F.concat(F.lit("part/"), (F.col("k") % 100).cast("string")).alias("file_path"), (F.col("k") % 40).alias("first"), (F.col("k") % 40 + 3).alias("last"))
+
+
+@_on_graph("changed_symbols", _CHANGED + " SELECT name, file_path, m.b AS label, m.a AS line_start, m.c AS line_end FROM ch")
+def _changed_symbols(g):
+    return review.changed_symbols(g.of("Function", "Class", "Method").select("name", "file_path", "label", "line_start", "line_end"), _ranges(g))
+
+
+@_on_graph("diff_knowledge", _CHANGED + ", ci AS (SELECT DISTINCT n.id FROM nodes n JOIN ch USING (name, file_path)), k AS (SELECT e.dst AS id FROM edges e JOIN ci ON ci.id = e.src WHERE e.type IN ('ANNOTATES', 'IMPLEMENTS') UNION SELECT e.src FROM edges e JOIN ci ON ci.id = e.dst WHERE e.type IN ('GOVERNS', 'ANNOTATES')) SELECT m.a AS type, name, m.b AS description FROM (SELECT name, min(struct_pack(a := label, b := description)) AS m FROM k JOIN nodes USING (id) GROUP BY name) t")
+def _diff_knowledge(g):
+    return review.affected_knowledge(g, _changed_symbols(g))
+
+
+@_on_graph("diff_report", _CHANGED + f", ci AS (SELECT DISTINCT n.id, n.name, n.file_path FROM nodes n JOIN ch USING (name, file_path) WHERE n.label IN ('Function', 'Class', 'Method')), st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE type IN ({_in(impact.BLAST)})), b1 AS (SELECT DISTINCT ci.id AS root, b AS id FROM ci JOIN st ON a = ci.id), b2 AS (SELECT DISTINCT root, b AS id FROM b1 JOIN st ON a = b1.id), bl AS (SELECT root, count(*) AS n FROM (SELECT * FROM b1 UNION SELECT * FROM b2) u GROUP BY root) SELECT ch.name, ch.file_path, m.b AS label, m.a AS line_start, 'changed' AS status, CAST(coalesce((SELECT sum(n) FROM bl JOIN ci ON ci.id = root WHERE ci.name = ch.name AND ci.file_path = ch.file_path), 0) AS BIGINT) AS blast FROM ch")
+def _diff_report(g):
+    return review.diff_report(g, _ranges(g))
+
+
+@_on_graph("review", None)
+def _review(g):
+    return review.review(g, _changed_symbols(g).select("name", "file_path"), g.of("File").where("id % 2 = 0").select("path"))
+
+
+@_on_graph("release_check", None)
+def _release(g):
+    return review.release_check(g, _changed_symbols(g).select("name", "file_path"))
+
+
+_SHOW = "n.label AS type, n.name, coalesce(n.file_path, '') AS file_path"
+
+
+@_on_graph("task_pack", _reach_sql(_PART, ["CALLS"], 2, "in", "i").rstrip() + _reach_sql(_PART, ["CALLS"], 2, "out", "o") + f", kn AS (SELECT e.src AS id FROM edges e JOIN nodes r ON r.id = e.dst WHERE r.{_PART} AND e.type IN ('GOVERNS', 'ANNOTATES', 'DOCUMENTS') UNION SELECT e.dst FROM edges e JOIN nodes r ON r.id = e.src WHERE r.{_PART} AND e.type IN ('IMPLEMENTS', 'ANNOTATES')) SELECT 'target' AS section, {_SHOW} FROM nodes n WHERE {_PART} UNION SELECT 'callers', {_SHOW} FROM irc JOIN nodes n USING (id) UNION SELECT 'callees', {_SHOW} FROM orc JOIN nodes n USING (id) UNION SELECT * FROM (SELECT DISTINCT 'knowledge' AS section, {_SHOW} FROM kn JOIN nodes n USING (id) ORDER BY 2, 3, 4 LIMIT 20) UNION SELECT * FROM (SELECT DISTINCT 'owners' AS section, {_SHOW} FROM edges e JOIN nodes r ON r.id = e.src JOIN nodes n ON n.id = e.dst WHERE r.{_PART} AND e.type = 'ASSIGNED_TO' ORDER BY 3 LIMIT 10)")
+def _task_pack(g):
+    return review.task_pack(g, _file(g, "part/3"))
+
+
+@_on_graph("rename_preview", " SELECT (SELECT count(*) FROM nodes WHERE name = 'red widget') AS nodes, (SELECT array_to_string(list_sort(list(DISTINCT file_path)), ',') FROM nodes WHERE name = 'red widget') AS files, (SELECT count(*) FROM (SELECT src AS a FROM edges UNION ALL SELECT dst FROM edges WHERE src <> dst) b JOIN nodes n ON n.id = b.a WHERE n.name = 'red widget') AS edges")
+def _rename(g):
+    return review.rename_preview(g, "red widget").withColumn("files", F.array_join("files", ","))
+
+
+# -- lenses
+
+_PAIR_SQL = "a.label AS a_type, a.name AS a_name, coalesce(a.file_path, a.path, '') AS a_file, b.label AS b_type, b.name AS b_name, coalesce(b.file_path, b.path, '') AS b_file"
+_PAIR_ORDER = "ORDER BY a_type, a_name, a_file, b_type, b_name, b_file LIMIT"
+
+
+@_on_graph("lens_ownership", f" SELECT DISTINCT {_PAIR_SQL} FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'ASSIGNED_TO' {_PAIR_ORDER} 200")
+def _lens_ownership(g):
+    return lenses.apply(g, "ownership_map")
+
+
+@_on_graph("lens_boundaries", f" SELECT DISTINCT {_PAIR_SQL} FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst JOIN edges x ON x.src = a.id AND x.type = 'BELONGS_TO' JOIN edges y ON y.src = b.id AND y.type = 'BELONGS_TO' WHERE e.type = 'CALLS' AND x.dst <> y.dst {_PAIR_ORDER} 100")
+def _lens_boundaries(g):
+    return lenses.apply(g, "domain_boundaries")
+
+
+@_on_graph("lens_layers", f" SELECT DISTINCT {_PAIR_SQL} FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type IN ('IMPORTS', 'DEPENDS_ON') {_PAIR_ORDER} 200")
+def _lens_layers(g):
+    return lenses.apply(g, "dependency_layers")
+
+
+@_on_graph("lens_components", f" SELECT DISTINCT coalesce(semantic_type, label) AS type, name, coalesce(file_path, path, '') AS file FROM nodes WHERE regexp_matches(coalesce(semantic_type, label), '({'|'.join(lenses.COMPONENT_SUFFIXES)})$') ORDER BY 1, 2, 3 LIMIT 200")
+def _lens_components(g):
+    return lenses.apply(g, "framework_components", use_semantic_type=True)
+
+
+@_on_graph("lens_requests", None)
+def _lens_requests(g):
+    marked = Graph(g.nodes.withColumn("semantic_type", F.when((F.col("label") == "Method") & (F.col("id") % 25 == 0), F.lit("Controller")).otherwise(F.col("semantic_type"))), g.edges)
+    return lenses.apply(marked, "request_path", use_semantic_type=True)
+
+
+# -- history
+
+_MONTHS = "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS ref, strftime(o_orderdate, '%Y-%m') AS committed_at, 'c' || (o_custkey % 300) AS name, o_orderpriority AS file_path FROM orders"
+
+
+def _members(t) -> DataFrame:
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    return t("orders").select(month.alias("ref"), month.alias("committed_at"), F.lit("Function").alias("label"), F.concat(F.lit("c"), (F.col("o_custkey") % 300).cast("string")).alias("name"), F.col("o_orderpriority").alias("file_path")).distinct()
+
+
+@_on_tables("snapshots", f"SELECT ref, committed_at, count(*) AS symbol_count FROM ({_MONTHS}) m GROUP BY ALL")
+def _snapshots(t):
+    return history.list_snapshots(_members(t))
+
+
+@_on_tables("symbol_history", f"WITH m AS ({_MONTHS}), r AS (SELECT name, ref, committed_at, min(file_path) AS file_path FROM m GROUP BY ALL), s AS (SELECT *, row_number() OVER w AS rn, lag(file_path) OVER w AS prev FROM r WINDOW w AS (PARTITION BY name ORDER BY committed_at, ref)), z AS (SELECT name, max(ref) AS last_seen, max_by(file_path, ref) AS file_path FROM r GROUP BY name), n AS (SELECT max(ref) AS newest FROM m) SELECT name, ref, committed_at, file_path, CASE WHEN rn = 1 THEN 'first_seen' WHEN prev <> file_path THEN 'moved' ELSE 'seen' END AS event FROM s UNION ALL SELECT name, newest, newest, file_path, 'removed' FROM z, n WHERE last_seen <> newest")
+def _symbol_history(t):
+    return history.symbol_history(_members(t))
+
+
+@_on_tables("snapshot_diff", f"WITH m AS ({_MONTHS}), b AS (SELECT DISTINCT name, file_path FROM m WHERE ref = (SELECT min(ref) FROM m)), h AS (SELECT DISTINCT name, file_path FROM m WHERE ref = (SELECT max(ref) FROM m)) SELECT 'added' AS status, name, file_path, NULL AS old_file FROM h WHERE (name, file_path) NOT IN (SELECT name, file_path FROM b) UNION ALL SELECT 'removed', name, file_path, NULL FROM b WHERE (name, file_path) NOT IN (SELECT name, file_path FROM h) UNION ALL SELECT 'moved', name, hf, bf FROM (SELECT name, max(file_path) AS hf FROM h GROUP BY name) x JOIN (SELECT name, max(file_path) AS bf FROM b GROUP BY name) y USING (name) WHERE hf <> bf")
+def _snapshot_diff(t):
+    m = _members(t)
+    low, high = m.agg(F.min("ref"), F.max("ref")).first()
+    return history.diff_snapshots(m, low, high)
+
+
+@_on_tables("lineage", None)
+def _lineage(t):
+    m = _members(t)
+    first = m.agg(F.min("ref")).first()[0]
+    return history.lineage(m, m.where(F.col("ref") == first).select("name", "file_path"))
+
+
+@_on_tables("file_diff", "WITH o AS (SELECT 'Function' AS label, p_name AS name, p_size AS line_start, p_partkey % 30 AS e FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT 'Function' AS label, p_name AS name, p_size AS line_start, p_partkey % 25 AS e FROM part WHERE p_partkey % 3 <> 1), x AS (SELECT label, name, line_start, max(e) AS e FROM o GROUP BY ALL), y AS (SELECT label, name, line_start, max(e) AS e FROM n GROUP BY ALL) SELECT coalesce(x.label, y.label) AS label, coalesce(x.name, y.name) AS name, coalesce(x.line_start, y.line_start) AS line_start, CASE WHEN x.name IS NULL THEN 'added' WHEN y.name IS NULL THEN 'removed' WHEN x.e = y.e THEN 'unchanged' ELSE 'modified' END AS status FROM x FULL JOIN y ON x.name = y.name AND x.line_start = y.line_start")
+def _file_diff(t):
+    def side(keep: int, k: int) -> DataFrame:
+        rows = t("part").where(f"p_partkey % 3 <> {keep}").select(F.lit("Function").alias("label"), F.col("p_name").alias("name"), F.col("p_size").alias("line_start"), (F.col("p_partkey") % k).alias("line_end"))
+        return rows.groupBy("label", "name", "line_start").agg(F.max("line_end").alias("line_end"))
+
+    return history.diff_file(side(0, 30), side(1, 25))
+
+
+_COMMITS = "SELECT l_orderkey AS c, l_partkey AS f FROM lineitem"
+
+
+def _commits(t) -> DataFrame:
+    return t("lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
+
+
+@_on_tables("file_churn", "SELECT l_partkey AS file, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS lines_changed FROM lineitem GROUP BY l_partkey")
+def _churn(t):
+    stat = t("lineitem").select(F.col("l_partkey").alias("file"), F.col("l_quantity").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    return history.file_churn(_commits(t), stat)
+
+
+@_on_tables("coupling", f"WITH c AS (SELECT DISTINCT c, f FROM ({_COMMITS}) x), n AS (SELECT f, count(*) AS n FROM c GROUP BY f), p AS (SELECT a.f AS file_a, b.f AS file_b, count(*) AS co_changes FROM c a JOIN c b ON a.c = b.c AND a.f < b.f GROUP BY ALL) SELECT file_a, file_b, co_changes, round(co_changes / greatest(x.n, y.n), 4) AS confidence FROM p JOIN n x ON x.f = file_a JOIN n y ON y.f = file_b WHERE co_changes >= 3 AND co_changes / greatest(x.n, y.n) >= 0.05")
+def _coupling(t):
+    return history.coupling_pairs(_commits(t), 3, 0.05)
+
+
+# -- federation
+
+@_on_tables("super_graph", "WITH s AS (SELECT 'Function' AS label, p_name AS name, 'src/' || p_brand AS fp, p_type AS repo FROM part UNION ALL SELECT 'Concept', p_brand, NULL, p_type FROM part UNION ALL SELECT 'Module', p_brand, NULL, p_type FROM part) SELECT label, CASE WHEN label = 'Module' THEN repo || ':' || name ELSE name END AS name, CASE WHEN label = 'Concept' THEN NULL ELSE repo || '/' || fp END AS file_path, array_to_string(list_sort(list(DISTINCT repo)), ',') AS repos, count(*) AS n FROM s GROUP BY 1, 2, 3")
+def _super_graph(t):
+    p = t("part")
+    none = F.lit(None).cast("string")
+    rows = p.select(F.lit("Function").alias("label"), F.col("p_name").alias("name"), none.alias("path"), F.concat(F.lit("src/"), "p_brand").alias("file_path"), F.col("p_type").alias("repo"))
+    for label in ("Concept", "Module"):
+        rows = rows.unionByName(p.select(F.lit(label).alias("label"), F.col("p_brand").alias("name"), none.alias("path"), none.alias("file_path"), F.col("p_type").alias("repo")))
+    return federation.aggregate_nodes(rows).select("label", "name", "file_path", F.array_join("repos", ",").alias("repos"), "n")
+
+
+@_on_graph("partition_files", " SELECT file_path, CAST(floor((row_number() OVER (ORDER BY file_path) - 1) / ceil((SELECT count(DISTINCT file_path) FROM nodes WHERE file_path <> '') / 7.0)) AS INT) AS part FROM (SELECT DISTINCT file_path FROM nodes WHERE file_path <> '') f")
+def _partition(g):
+    return federation.partition_files(g, 7)
+
+
+# -- intelligence
+
+@_on_tables("semantic_topk", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 10")
+def _topk(t):
+    e = t("embeddings")
+    return intelligence.top_k(e, e.where("vec_id = 0").select("embedding"), 10, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@_on_tables("semantic_links", "WITH d AS (SELECT vec_id AS doc, embedding AS dv FROM embeddings WHERE label < 5 ORDER BY vec_id LIMIT 100), c AS (SELECT vec_id AS code, embedding AS cv FROM embeddings WHERE label >= 5 ORDER BY vec_id LIMIT 200) SELECT doc, code, round(list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])), 6) AS score FROM d, c WHERE list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])) >= 0.3")
+def _semantic_links(t):
+    e = t("embeddings").withColumnRenamed("vec_id", "id")
+    return intelligence.semantic_links(e.where("label < 5"), e.where("label >= 5"), 0.3).withColumn("score", F.round("score", 6))
+
+
+_UND = "SELECT src AS a, dst AS b FROM edges WHERE type = 'INHERITS' UNION ALL SELECT dst, src FROM edges WHERE type = 'INHERITS'"
+
+
+def _vote(before: str, after: str) -> str:
+    return f"{after} AS (SELECT id, community FROM (SELECT id, community, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, community) AS rn FROM (SELECT u.a AS id, l.community FROM un u JOIN {before} l ON l.id = u.b UNION ALL SELECT id, community FROM {before}) v GROUP BY id, community) t WHERE rn = 1)"
+
+
+@_on_graph("label_propagation", f", un AS ({_UND}), c0 AS (SELECT id, id AS community FROM nodes WHERE label = 'Class'), {_vote('c0', 'c1')}, {_vote('c1', 'c2')} SELECT id, community FROM c2")
+def _labels(g):
+    return intelligence.propagate_labels(g.of("Class").select("id"), g.links("INHERITS"), 2)
+
+
+@_on_graph("community_stats", f", un AS ({_UND}), c0 AS (SELECT id, id AS community FROM nodes WHERE label = 'Class'), {_vote('c0', 'c1')}, {_vote('c1', 'c2')}, sz AS (SELECT community, count(*) AS size FROM c2 GROUP BY 1 HAVING count(*) >= 2), ins AS (SELECT x.community, count(*) AS m FROM edges e JOIN c2 x ON x.id = e.src JOIN c2 y ON y.id = e.dst WHERE e.type = 'INHERITS' AND x.community = y.community GROUP BY 1) SELECT community, size, round(coalesce(m, 0) / (size * (size - 1) / 2), 4) AS density FROM sz LEFT JOIN ins USING (community)")
+def _community_stats(g):
+    return intelligence.community_stats(_labels(g), g.links("INHERITS"))
+
+
+@_on_tables("doc_terms", r"SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_filter(list_transform(list_concat(list_concat(regexp_extract_all(text, '\*\*([^*\n]+)\*\*', 1), regexp_extract_all(text, '__([^_\n]+)__', 1)), list_concat(regexp_extract_all(text, '`([^`\n]+)`', 1), [regexp_replace(split_part(text, chr(10), 1), '^[#\s]+', '')])), lambda x: trim(x)), lambda x: x <> ''))) AS term FROM documents) t")
+def _doc_terms(t):
+    return t("documents").select("doc_id", F.explode(intelligence.document_terms(F.col("text"))).alias("term"))
+
+
+_BG = "list_distinct(list_transform(range(1, length({x})), lambda i: substr(lower({x}), i, 2)))"
+
+
+@_on_tables("bigram_similarity", f"WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x) SELECT a, b, round(CASE WHEN lower(a) = lower(b) THEN 1.0 ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END, 6) AS score FROM p")
+def _bigrams(t):
+    n = t("part").select(F.col("p_name").alias("x")).distinct()
+    pairs = n.select(F.col("x").alias("a"), F.lit(1).alias("k")).join(n.select(F.col("x").alias("b"), F.lit(1).alias("k")), "k").where("a < b")
+    return pairs.select("a", "b", F.round(bigram_similarity_column(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+_FUZZY = f"CASE WHEN lower(a) = lower(b) THEN 1.0 WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END"
+
+
+@_on_tables("link_suggestions", f"WITH d AS (SELECT DISTINCT p_brand AS source, split_part(p_name, ' ', 1) || ' ' || lower(p_type) AS a FROM part), c AS (SELECT DISTINCT p_name AS b FROM part), s AS (SELECT source, b AS target, CASE WHEN lower(a) = lower(b) THEN 0.95 ELSE round({_FUZZY} * 0.8, 3) END AS confidence, CASE WHEN lower(a) = lower(b) THEN 'exact' ELSE 'fuzzy' END AS strategy, {_FUZZY} AS f FROM d, c), r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, strategy) AS rn FROM s WHERE f >= 0.55 AND confidence >= 0.5) SELECT source, target, confidence, strategy FROM r WHERE rn = 1")
+def _links(t):
+    p = t("part")
+    docs = p.select(F.col("p_brand").alias("name"), F.concat_ws(" ", F.element_at(F.split("p_name", " "), 1), F.lower("p_type")).alias("term"))
+    return intelligence.suggest_links(docs, p.select(F.col("p_name").alias("name")))
+
+
+@_on_tables("token_links", "WITH k AS (SELECT DISTINCT lower(p_type) || ' ' || p_brand AS source FROM part), c AS (SELECT DISTINCT p_type || '_' || p_name AS target FROM part) SELECT DISTINCT source, target FROM (SELECT source, unnest(list_distinct(string_split_regex(lower(source), '[\\s_\\-]+'))) AS t FROM k) k2 JOIN c ON contains(lower(target), t) WHERE length(t) >= 4")
+def _token_links(t):
+    p = t("part")
+    return intelligence.token_links(p.select(F.concat_ws(" ", F.lower("p_type"), "p_brand").alias("name")).distinct(), p.select(F.concat_ws("_", "p_type", "p_name").alias("name")))
+
+
+@_on_graph("decision_timeline", " SELECT date, name, status, domain FROM nodes WHERE label = 'Decision'")
+def _timeline(g):
+    return intelligence.decision_timeline(g)
+
+
+@_on_graph("module_docs", " SELECT file_path, count(*) AS n_symbols, string_agg('- ' || lower(label) || ' ' || name || CASE WHEN substr(split_part(coalesce(docstring, ''), chr(10), 1), 1, 80) <> '' THEN ': ' || substr(split_part(coalesce(docstring, ''), chr(10), 1), 1, 80) ELSE '' END, chr(10) ORDER BY coalesce(line_start, 0), name, id) AS lines FROM nodes WHERE label IN ('Function', 'Class', 'Method') AND file_path LIKE '%part/1%' GROUP BY file_path ORDER BY file_path LIMIT 50")
+def _module_docs(g):
+    return intelligence.module_docs(g, "part/1")
+
+
+# -- secrets, storage, enrichment
+
+_SECRET = r"(?i)\btoken\b\s*=\s*[''\x22][A-Za-z0-9_\-]{16,}[''\x22]"
+
+
+@_on_tables("secret_scan", f"SELECT doc_id, 'token' AS pattern, CAST(len(regexp_extract_all(text, '{_SECRET}')) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{_SECRET}')")
+def _secrets(t):
+    return security.scan(t("documents"))
+
+
+@_on_tables("redaction", f"SELECT doc_id, md5(regexp_replace(text, '{_SECRET}', '[REDACTED]', 'g')) AS digest FROM documents")
+def _redaction(t):
+    return security.redact(t("documents")).select("doc_id", F.md5("text").alias("digest"))
+
+
+@_on_graph("interchange_ids", " SELECT id, CASE WHEN n = 0 THEN base ELSE base || '#' || n END AS kg_id FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM (SELECT id, concat_ws(':', label, coalesce(path, file_path, ''), coalesce(name, '')) AS base FROM nodes WHERE label <> 'Document') b) t")
+def _interchange(g):
+    return store.interchange_ids(g.nodes.where("label <> 'Document'"))
+
+
+@_on_tables("upsert_nodes", "WITH r AS (SELECT p_name AS name, 'src/' || p_brand AS file_path, p_partkey AS s, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS docstring, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS line_start FROM part) SELECT name, file_path, max_by(docstring, CASE WHEN docstring IS NOT NULL THEN s END) AS docstring, max_by(line_start, CASE WHEN line_start IS NOT NULL THEN s END) AS line_start FROM r GROUP BY name, file_path")
+def _upsert(t):
+    rows = t("part").select(F.lit("Function").alias("label"), F.col("p_name").alias("name"), F.concat(F.lit("src/"), "p_brand").alias("file_path"), F.when(F.expr("p_partkey % 4 <> 0"), F.col("p_type")).alias("docstring"), F.when(F.expr("p_partkey % 3 <> 0"), F.col("p_size")).alias("line_start"), F.col("p_partkey").alias("seq"))
+    return store.upsert_nodes(store.conform(rows.limit(0), store.NODE_COLUMNS), rows).select("name", "file_path", "docstring", "line_start")
+
+
+@_on_graph("resolved_edges", " SELECT a.id AS src, b.id AS dst, 'TESTS' AS type FROM nodes a JOIN nodes b ON b.label = 'Function' AND b.name = 'small ring' WHERE a.label = 'Domain' AND a.name = 'Brand#9'")
+def _resolved(g):
+    wanted = g.spark.createDataFrame([("Domain", "Brand#9", "", "TESTS", "Function", "small ring", "")], "from_label string, from_name string, from_file string, type string, to_label string, to_name string, to_file string")
+    return store.resolve_edges(g.nodes, wanted)[0]
+
+
+@_on_graph("delete_file", ", gone AS (SELECT e.dst AS id FROM edges e JOIN nodes f ON f.id = e.src WHERE e.type = 'CONTAINS' AND f.label = 'File' AND f.name = 'NATION_2') SELECT 'nodes' AS what, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'edges', count(*) FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)")
+def _delete(g):
+    path = g.of("File").where("name = 'NATION_2'").select("path").first()[0]
+    return store.counts(store.delete_file(g, path))
+
+
+@_on_graph("guarded_sql", " SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def _guarded(g):
+    return security.guarded_sql(g, "SELECT label, count(*) AS n FROM nodes GROUP BY label")
+
+
+@_on_graph("enrichment", " SELECT CASE WHEN suffix(name, '7') AND label IN ('Function', 'Method', 'Class') THEN 'Seven' WHEN label IN ('Function', 'Method', 'Class') AND prefix(name, 'Customer#00000001') THEN 'Hook' ELSE semantic_type END AS semantic_type, count(*) AS n FROM nodes GROUP BY 1")
+def _enrich(g):
+    enrichment.FRAMEWORKS["example"] = (("example",), (("prefix", "Customer#00000001", "Hook"), ("suffix", "7", "Seven")))
+    return enrichment.promote(g, ["example"]).nodes.groupBy("semantic_type").agg(F.count("*").alias("n"))
+
+
+# -- feeds
+
+@_on_tables("task_status", "SELECT user_id AS id, max(struct_pack(a := ts, b := event_type)).b AS status, max(ts) AS updated_at FROM events GROUP BY user_id")
+def _task_status(t):
+    return feeds.latest_status(t("events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at")))
+
+
+@_on_tables("unacknowledged", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations WHERE NOT (turn = 0 AND conv_id % 2 = 0)) t WHERE rn <= 25")
+def _unacked(t):
+    c = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("to_agent"), "conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("timestamp"))
+    acks = c.where("turn = 0 AND conv_id % 2 = 0").select("id", F.col("to_agent").alias("agent"))
+    return feeds.unacknowledged(c, acks, limit=25).select("conv_id", "turn", F.col("to_agent").alias("role"))
+
+
+@_on_tables("heartbeats", "SELECT user_id AS agent, max(ts) AS last_seen, max(ts) > TIMESTAMP '2024-01-28 00:00:00' - INTERVAL 86400 SECONDS AS is_alive FROM events GROUP BY user_id")
+def _beats(t):
+    return feeds.alive(t("events").select(F.col("user_id").alias("agent"), "ts"), "2024-01-28 00:00:00", 86400)
+
+
+_SIDES = "a AS (SELECT p_partkey AS page, p_brand AS ha FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS page, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_brand END AS hb FROM part WHERE p_partkey % 7 <> 0), c AS (SELECT p_partkey AS page, CASE WHEN p_partkey % 4 = 0 THEN 'old' ELSE p_brand END AS ca, CASE WHEN p_partkey % 6 = 0 THEN 'old' ELSE p_brand END AS cb FROM part WHERE p_partkey % 2 = 0)"
+
+
+@_on_tables("sync_plan", f"WITH {_SIDES}, j AS (SELECT coalesce(a.page, b.page, c.page) AS page, ha, hb, ca, cb FROM a FULL JOIN b ON a.page = b.page FULL JOIN c ON coalesce(a.page, b.page) = c.page) SELECT page, CASE WHEN ha IS NULL AND hb IS NULL THEN 'gone' WHEN ha IS NOT DISTINCT FROM hb THEN 'in_sync' WHEN ca IS NULL AND cb IS NULL THEN CASE WHEN hb IS NULL THEN 'a_to_b' WHEN ha IS NULL THEN 'b_to_a' ELSE 'first_sync_conflict' END WHEN ha IS DISTINCT FROM ca AND hb IS DISTINCT FROM cb THEN 'conflict' WHEN ha IS DISTINCT FROM ca THEN 'a_to_b' WHEN hb IS DISTINCT FROM cb THEN 'b_to_a' ELSE 'in_sync' END AS action FROM j")
+def _sync(t):
+    p, page, brand = t("part"), F.col("p_partkey").alias("page"), F.col("p_brand")
+    a = p.where("p_partkey % 5 <> 0").select(page, brand.alias("hash"))
+    b = p.where("p_partkey % 7 <> 0").select(page, F.when(F.expr("p_partkey % 3 = 0"), F.col("p_type")).otherwise(brand).alias("hash"))
+    c = p.where("p_partkey % 2 = 0").select(page, F.when(F.expr("p_partkey % 4 = 0"), F.lit("old")).otherwise(brand).alias("a_hash"), F.when(F.expr("p_partkey % 6 = 0"), F.lit("old")).otherwise(brand).alias("b_hash"))
+    return feeds.sync_plan(a, b, c)
+
+
+@_on_tables("windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def _windows(t):
+    return feeds.windowed_counts(t("events"))
+
+
+@_on_tables("sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k")
+def _sessions(t):
+    return feeds.sessions(t("events"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
