@@ -182,7 +182,7 @@ def map_tests(tests: DataFrame, production: DataFrame, calls: DataFrame | None =
 def test_map(g: Graph) -> DataFrame:
     symbols = g.of("Function", "Method", "Class").select("id", F.col("label").alias("type"), "name", "file_path")
     tests = symbols.where(F.col("name").startswith("test_") & F.col("type").isin("Function", "Method"))
-    calls = g.links("CALLS").join(tests.select(F.col("id").alias("src"), F.col("name").alias("test_name"), F.col("file_path").alias("test_file")), "src")
+    calls = g.links("CALLS").select("src", "dst").join(tests.select(F.col("id").alias("src"), F.col("name").alias("test_name"), F.col("file_path").alias("test_file")), "src")
     calls = calls.join(symbols.withColumnRenamed("id", "dst"), "dst").select("test_name", "test_file", "type", "name", "file_path")
     return map_tests(tests, symbols.where(~F.col("name").startswith("test_")), calls)
 
