@@ -42,6 +42,7 @@ LABELLED = (
     '<body><div class="cookie consent notice banner popup modal alert">We use cookies</div><div class="newsletter subscribe signup promo sponsor sponsored advertisement advertising">Join</div>{{<main class="body"><section class="article"><h1>Main words</h1><p>Words, words and again words fill this.</p><table><tr><td>cell</td><td>cell</td></tr></table><h3>Part</h3><p>Words at the end of it all.</p></section></main>}}<div class="sidebar menu"><ul><li><a>More</a></li></ul></div><div class="pagination pager toolbar login search"><form><input><button>Go</button></form></div><footer><p>Legal words</p></footer></body>',
     '<body><nav><a>One</a><a>Two</a></nav>{{<h1>Bare page</h1><p>Its words stand in the body.</p><div><p>And in a box of their own.</p></div><pre>some code</pre><dl><dt>term</dt><dd>meaning of it</dd></dl>}}<aside><p>Did you know</p></aside><div class="comments"><p>Nice</p></div><div class="sponsor ad"><a>Deal</a></div><div class="footer copyright disclaimer">Terms</div></body>',
     '<body><header><p>Daily paper</p></header><form class="search form"><input></form><div class="ads adsense adbox banner">Sale</div>{{<div class="story"><p>He said that words were enough.</p><p>They were not, as <i>this</i> shows.</p></div>}}<section class="comments"><h2>Reader comments</h2><article class="comment"><p>First</p></article></section><section class="related recommended"><h3>Read next</h3><a>Other</a></section><footer class="site-footer">2020</footer></body>',
+    '<body><div class="topnav navmenu submenu dropdown toc skip"><a>Menu</a></div><div class="adslot advertising promotion sponsored gdpr cookies notification">Offer</div>{{<div class="entry post article content"><div class="body text main story"><p>These are the words that readers came for.</p><p>There are more of them here.</p></div></div>}}<ol class="commentlist replies discussion comments"><li>Well said</li></ol><div class="sharing share follow social trending popular recommended related rail"><a>Next</a></div><div class="searchform search signup login newsletter subscribe"><input></div><div class="copyright legal footer disclaimer">Rights</div></body>',
 )
 
 
@@ -78,7 +79,7 @@ def weights() -> tuple[dict[str, float], dict[str, float], float]:
 
 
 #: Below this sum of log odds, an element is surroundings.  Names common to both sides weigh little.
-_SURROUNDINGS = -0.9
+_SURROUNDINGS = -0.6
 #: Score of entering surroundings.
 _DETOUR = -2.0
 
