@@ -199,7 +199,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, kind)], ["id", "mark", "cuts"])
 
-    wanted = cut.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
+    wanted = materialize(cut.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "length")).alias("cuts")), "cuts")  # a table of known size
     text = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("m"), F.col(text_col).alias("text"))
     again = text.join(wanted, F.col("d").eqNullSafe(F.col("id")) & (F.col("m") == F.col("mark"))).select("id", "mark", "text", "cuts")
     again = again.mapInArrow(run, "id long, mark long, cuts array<struct<start long, length long, crc long>>")
