@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     groups = materialize(simhash_dedup(docs).select("doc_id", "component_id"), "groups")
     extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(extra.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # ids grow with the input: never broadcast
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
