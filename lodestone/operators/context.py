@@ -112,6 +112,14 @@ def explain(g: Graph, roots: DataFrame) -> DataFrame:
     return g.attach(out.unionByName(back), "label", "name", "file_path").select("direction", "rel", F.col("label").alias("type"), "name", "file_path")
 
 
+def node_detail(g: Graph, node: int, each: int = 100) -> DataFrame:
+    """Up to ``each`` neighbours out of and into one node, each (name, file, relation) once."""
+    one = g.nodes.where(F.col("id") == node).select("id")
+    rows = explain(g, one).select("direction", "rel", "type", "name", "file_path").distinct()
+    parts = [top(rows.where(F.col("direction") == d), each, "rel", "name", "file_path", "type") for d in ("out", "in")]
+    return parts[0].unionByName(parts[1])
+
+
 def _scoped(df: DataFrame, repo: str) -> DataFrame:
     return df.where(F.col("repo") == repo) if repo else df
 

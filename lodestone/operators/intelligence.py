@@ -221,6 +221,24 @@ def token_links(knowledge: DataFrame, code: DataFrame, pattern: str = r"[\s_\-]+
     return tokens.join(grams, "t").select("source", "target").distinct()
 
 
+def wiki_links(terms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page, term, id): for each term of a page the node of least id whose name equals it, case ignored."""
+    t = terms.select("page", "term", F.lower("term").alias("k")).distinct()
+    n = nodes.where(F.col("name").isNotNull()).groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"))
+    return t.join(n, "k").select("page", "term", "id")
+
+
+def name_communities(members: DataFrame, provider: Provider, most: int = 20) -> DataFrame:
+    """(community, title) by a provider, from the first ``most`` member names of each community."""
+    first = ranked(members.select("community", "name"), ["community"], most, "name").groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+
+    @F.pandas_udf("string")
+    def title(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: provider.complete(f"Name this group of symbols in a few words:\n{x}"))
+
+    return first.select("community", title("names").alias("title"))
+
+
 def decision_timeline(g: Graph, dated_first: bool = False) -> DataFrame:
     rows = g.of("Decision").select("date", "name", "status", "domain")
     order = [F.when(F.coalesce("date", F.lit("")) == "", 1).otherwise(0)] if dated_first else []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import bigram_similarity_column, fuzzy_score_column
 from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure
+from .plans import cypher
 from .plans.graph import Graph, trails
 from .plans.star import WITH_SQL, stored_star_graph
 from .streaming import feeds
@@ -684,6 +685,111 @@ def _sessions(t):
     return feeds.sessions(t("events"))
 
 
+# -- the rest of storage, feeds and text
+
+@_on_graph("node_counts", " SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges")
+def _counts(g):
+    return store.counts(g)
+
+
+@_on_graph("page", " SELECT id, name FROM nodes WHERE label = 'Class' ORDER BY id LIMIT 50 OFFSET 100")
+def _page(g):
+    return store.page(g.of("Class").select("id", "name"), ["id"], 2, 50)
+
+
+@_on_tables("unchanged_files", "SELECT 'd/' || doc_id AS path, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+def _unchanged(t):
+    d = t("documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), "doc_id")
+    stored = d.where("doc_id % 3 = 0").select("path", F.when(F.expr("doc_id % 2 = 0"), F.lit("old")).otherwise(F.sha2("content", 256)).alias("content_hash"))
+    return store.unchanged(d.drop("doc_id"), stored).select("path", "content_hash")
+
+
+@_on_graph("node_detail", " SELECT DISTINCT 'in' AS direction, e.type AS rel, n.label AS type, n.name, n.file_path FROM edges e JOIN nodes n ON n.id = e.src WHERE e.dst = 5000000000003 UNION SELECT DISTINCT 'out', e.type, n.label, n.name, n.file_path FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = 5000000000003")
+def _node_detail(g):
+    return context.node_detail(g, 5_000_000_000_003)
+
+
+def _as(g: Graph, label: dict[str, str], kind: dict[str, str]) -> Graph:
+    """The graph with some labels and edge types under other names."""
+    nodes, edges = g.nodes, g.edges
+    for a, b in label.items():
+        nodes = nodes.withColumn("label", F.when(F.col("label") == a, F.lit(b)).otherwise(F.col("label")))
+    for a, b in kind.items():
+        edges = edges.withColumn("type", F.when(F.col("type") == a, F.lit(b)).otherwise(F.col("type")))
+    return Graph(nodes, edges)
+
+
+@_on_graph("decorated_by", " SELECT n.label AS type, n.name, n.file_path, n.line_start AS line FROM edges e JOIN nodes d ON d.id = e.src JOIN nodes n ON n.id = e.dst WHERE e.type = 'GOVERNS' AND d.name = 'rule_21'")
+def _decorated(g):
+    return context.decorated_by(_as(g, {"Rule": "Decorator"}, {"GOVERNS": "DECORATES"}), "rule_21")
+
+
+@_on_graph("decorators_for", " SELECT 'Decorator' AS type, d.name, d.file_path, d.line_start AS line FROM edges e JOIN nodes d ON d.id = e.src JOIN nodes n ON n.id = e.dst WHERE e.type = 'GOVERNS' AND n.label = 'Function' AND n.line_start = 21")
+def _decorators(g):
+    h = _as(g, {"Rule": "Decorator"}, {"GOVERNS": "DECORATES"})
+    return context.decorators_for(h, h.of("Function").where("line_start = 21").select("id"))
+
+
+@_on_graph("repo_dependencies", " SELECT DISTINCT a.name AS repo, b.name AS depends_on FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.type = 'IMPORTS'")
+def _repo_deps(g):
+    return impact.repo_dependencies(_as(g, {"File": "Repository"}, {"IMPORTS": "DEPENDS_ON"}))
+
+
+@_on_graph("drift_stale_memory", " SELECT 'STALE_MEMORY_REF' AS \"check\", 'warning' AS severity, 'Memory node governs a symbol that no longer exists' AS message, '' AS offending_node, coalesce(n.file_path, '') AS offending_file, k.name AS knowledge_node, k.memory_type AS knowledge_type FROM edges e JOIN nodes k ON k.id = e.src JOIN nodes n ON n.id = e.dst WHERE e.type IN ('GOVERNS', 'ANNOTATES') AND k.memory_type IS NOT NULL AND n.label = 'Function' AND n.id % 2 = 0")
+def _stale(g):
+    gone = F.when((F.col("label") == "Function") & (F.col("id") % 2 == 0), F.lit(None)).otherwise(F.col("name"))
+    return drift.stale_memory(Graph(g.nodes.withColumn("name", gone), g.edges))
+
+
+@_on_graph("clear_references", " SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges e WHERE NOT (e.type = 'DOCUMENTS' AND EXISTS (SELECT 1 FROM nodes n WHERE n.id = e.src AND n.name = 'doc_3'))")
+def _clear_refs(g):
+    h = _as(g, {}, {"DOCUMENTS": "REFERENCES"})
+    path = g.of("Document").where("name = 'doc_3'").select("path").first()[0]
+    return store.counts(store.clear_document_references(h, path))
+
+
+@_on_graph("apply_rename", " SELECT CASE WHEN name = 'red widget' THEN 'scarlet widget' ELSE name END AS name, count(*) AS n FROM nodes WHERE label = 'Function' GROUP BY 1")
+def _apply_rename(g):
+    return review.apply_rename(g, "red widget", "scarlet widget").of("Function").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_on_tables("wiki_links", "SELECT DISTINCT p_brand AS page, upper(p_name) AS term, m.id FROM part JOIN (SELECT lower(p_name) AS k, min(p_partkey) AS id FROM part WHERE p_size < 20 GROUP BY 1) m ON m.k = lower(p_name)")
+def _wiki(t):
+    p = t("part")
+    return intelligence.wiki_links(p.select(F.col("p_brand").alias("page"), F.upper("p_name").alias("term")), p.where("p_size < 20").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@_on_tables("symbols_at", f"SELECT 'Function' AS label, name, file_path FROM ({_MONTHS}) m WHERE ref = '1996-03'")
+def _symbols_at(t):
+    return history.symbols_at(_members(t), "1996-03")
+
+
+@_on_tables("status_counts", "SELECT status, count(*) AS n FROM (SELECT user_id, max(struct_pack(a := ts, b := event_type)).b AS status FROM events GROUP BY user_id) s GROUP BY status")
+def _status_counts(t):
+    return feeds.status_counts(t("events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at")))
+
+
+@_on_tables("sliding_windows", "SELECT w AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR]) AS w FROM events) e GROUP BY 1, 2")
+def _sliding(t):
+    return feeds.windowed_counts(t("events"), "2 hours", "1 hour")
+
+
+@_on_tables("broadcast_messages", "SELECT c.conv_id, c.turn, a.role AS to_agent FROM conversations c JOIN (SELECT DISTINCT role FROM conversations) a ON a.role <> c.role")
+def _broadcast(t):
+    c = t("conversations").select("conv_id", "turn", F.col("role").alias("from_agent"))
+    return feeds.broadcast_messages(c, c.select(F.col("from_agent").alias("agent"))).select("conv_id", "turn", "to_agent")
+
+
+@_on_graph("cypher", " SELECT DISTINCT a.name AS a, d.name AS domain FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst JOIN edges f ON f.src = b.id JOIN nodes d ON d.id = f.dst WHERE e.type = 'CALLS' AND f.type = 'BELONGS_TO' AND a.label = 'Method' AND d.name IN ('Brand#2', 'Brand#3') AND prefix(a.file_path, 'orders/1')")
+def _cypher(g):
+    return cypher.run(g, "MATCH (a:Method)-[:CALLS]->(b)-[:BELONGS_TO]->(d:Domain) WHERE d.name IN ['Brand#2', 'Brand#3'] AND a.file_path STARTS WITH 'orders/1' RETURN DISTINCT a.name AS a, d.name AS domain")
+
+
+@_on_graph("scoped_paths", " SELECT id, CASE WHEN path = '' OR path IS NULL OR prefix(path, repo || '/') THEN path ELSE repo || '/' || path END AS scoped FROM nodes WHERE label IN ('Repository', 'File')")
+def _scoped_paths(g):
+    return g.of("Repository", "File").select("id", federation.scoped_path(F.col("path"), F.col("repo")).alias("scoped"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
