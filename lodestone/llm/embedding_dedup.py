@@ -21,7 +21,7 @@ MISS = 1e-4
 BUCKET = 24
 #: Bits of the sketch that candidates are screened by before their cosine is worked out, and the share
 #: of pairs of exactly the least cosine that the screen may lose.
-SKETCH_BITS, SCREEN_MISS = 128, 1e-7
+SKETCH_BITS, SCREEN_MISS = 256, 1e-7
 
 
 def shape(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -48,7 +48,7 @@ def planes(dim: int, number: int) -> np.ndarray:
 
 
 def _hashes(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket number in each table, and the sketch as two 64-bit words, of each row."""
+    """Bucket number in each table, and the sketch as 64-bit words, of each row."""
     above = x @ planes(x.shape[1], SKETCH_BITS + bits * tables) > 0
     sketch = np.packbits(above[:, :SKETCH_BITS], axis=1, bitorder="little").view(np.int64)
     weights = 1 << np.arange(bits, dtype=np.int64)
@@ -70,6 +70,7 @@ def near_pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -
     for distinct candidates only.
     """
     bits, tables = shape(classes.count(), cosine, miss)
+    words = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +85,12 @@ def near_pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -
                     bucket, sketch = _hashes(flat[start[some][:, None] + np.arange(dim)], bits, tables)
                     key = (np.int64(dim) << np.int64(50)) + (np.arange(tables, dtype=np.int64)[None, :] << np.int64(bits)) + bucket
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * tables), pa.array(key.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), keys], ["rep", "s0", "s1", "keys"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(sketch[:, k].copy()) for k in range(len(words))), keys], ["rep", *words, "keys"])
 
-    hashed = classes.select("rep", "v").mapInArrow(run, "rep long, s0 long, s1 long, keys array<long>")
-    index = hashed.select("rep", "s0", "s1", F.explode("keys").alias("key"))
-    near = f"l.key = r.key AND l.rep < r.rep AND bit_count(l.s0 ^ r.s0) + bit_count(l.s1 ^ r.s1) <= {screen(cosine)}"
+    hashed = classes.select("rep", "v").mapInArrow(run, f"rep long, {', '.join(f'{w} long' for w in words)}, keys array<long>")
+    index = hashed.select("rep", *words, F.explode("keys").alias("key"))
+    apart = " + ".join(f"bit_count(l.{w} ^ r.{w})" for w in words)
+    near = f"l.key = r.key AND l.rep < r.rep AND {apart} <= {screen(cosine)}"
     pairs = index.alias("l").join(index.alias("r"), F.expr(near)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
