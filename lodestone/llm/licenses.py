@@ -97,7 +97,8 @@ GAP = 4
 
 _WORD = re.compile(r"[a-z0-9]+")
 _END = re.compile(r"(?<=[.!?;:])\s+|\n[ \t]*\n\s*")
-_HINT = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|free software|public domain|rights reserved|spdx|obtain a copy|anyone is free|names of its", re.I)
+_HINT = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|spdx|obtain[^a-z0-9]+a[^a-z0-9]+copy|anyone[^a-z0-9]+is[^a-z0-9]+free|names[^a-z0-9]+of[^a-z0-9]+its", re.I)
+_MARK = re.compile(r"(?:\d+|[a-z]) ")
 
 
 def normalise(sentence: str) -> str:
@@ -105,59 +106,91 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
+def _parts(text: str) -> Iterator[tuple[int, int, str | None]]:
+    """(begin, end, join) of every part.  ``join`` stands for the stop between a part and the next one in
+    a wording that runs over both: nothing for ';' and ':', ' .' for others, None where none may."""
+    at = 0
+    for m in _END.finditer(text):
+        yield at, m.start(), None if m[0].count("\n") > 1 else "" if text[m.start() - 1] in ";:" else " ."
+        at = m.end()
+    yield at, len(text), None
+
+
 @lru_cache(maxsize=1)
 def _known() -> tuple[dict[str, str], int]:
-    table = {normalise(s): k for k, all_ in SENTENCES.items() for s in all_}
+    """Identifiers by wording, as one part and as cut into parts."""
+    table = {}
+    for k, all_ in SENTENCES.items():
+        for s in all_:
+            table[normalise(s)] = k
+            table[" ".join(normalise(s[at:end]) + (join or "") for at, end, join in _parts(s))] = k
     return table, max(map(len, table))
 
 
 def identify_sentences(text: str) -> list[tuple[int, int, str]]:
     """(sentence number, first code point, identifier) of every known sentence, in text order.
 
-    Sentences end at a stop with white space after it or at an empty line.  A sentence that runs over
-    several lines is looked up whole; failing that, each of its lines by itself, so notices that
-    follow an unfinished line are found too.  List marks before a sentence are passed over.
+    Parts end at a stop with white space after it or at an empty line.  A known sentence is a run of whole
+    lines of a part, or of several parts where its wording has stops inside; the longest run counts, and as
+    one sentence.  So notices that follow an unfinished line are found too.  List marks before a sentence
+    are passed over.
     """
     known, longest = _known()
-    found, at, number = [], 0, 0
-    ends = [(m.start(), m.end()) for m in _END.finditer(text)] + [(len(text), len(text))]
-    for end, after in ends:
-        part = text[at:end]
-        if _HINT.search(part):
-            name = known.get(_bare(part)) if len(part) <= 4 * longest else None
-            if name:
-                found.append((number, at + len(part) - len(part.lstrip()), name))
-            else:
-                found += [(number, at + i, k) for i, k in _lines(part, known, longest)]
-        number += 1
-        at = after
+    parts = list(_parts(text))
+    cut: dict[int, list[tuple[int, str]]] = {}
+
+    def lines(p: int) -> list[tuple[int, str]]:
+        if p not in cut:
+            cut[p] = _lines(text[parts[p][0] : parts[p][1]], parts[p][0])
+        return cut[p]
+
+    def run(p: int, i: int) -> tuple[int, int, str] | None:
+        """(part, line, identifier) where the longest known run from a line ends."""
+        mark = _MARK.match(lines(p)[0][1] + " ") if i == 0 else None
+        most = longest + (mark.end() if mark else 0)
+        words, hit, q, j = "", None, p, i
+        while True:
+            for n, (_, line) in enumerate(lines(q)[j:], j):
+                words = f"{words} {line}".strip()
+                if len(words) > most:
+                    return hit
+                name = known.get(words)
+                if not name and mark and n == len(lines(q)) - 1:
+                    name = known.get(words[mark.end() :])
+                if name:
+                    hit = (q, n, name)
+            join = parts[q][2]
+            if join is None:
+                return hit
+            words, q, j = words + join, q + 1, 0
+            if len(words) > most:
+                return hit
+
+    found, p, i, joined = [], 0, 0, 0
+    while p < len(parts):
+        if (i == 0 and not _HINT.search(text, *parts[p][:2])) or i >= len(lines(p)):
+            p, i = p + 1, 0
+            continue
+        hit = run(p, i)
+        if hit:
+            found.append((p - joined, lines(p)[i][0], hit[2]))
+            joined += hit[0] - p
+            p, i = hit[:2]
+        i += 1
     return found
 
 
-def _bare(part: str) -> str:
-    words = normalise(part)
-    return words.split(" ", 1)[-1] if re.match(r"(?:\d+|[a-z]) ", words) and words not in _known()[0] else words
-
-
-def _lines(part: str, known: dict[str, str], longest: int) -> Iterator[tuple[int, str]]:
-    """Known sentences among runs of whole lines of one unbroken stretch, the longest run first."""
-    lines, at = [], 0
+def _lines(part: str, at: int) -> list[tuple[int, str]]:
+    """(first code point, words) of the lines of a part that have words; lines without go to the next."""
+    out, first = [], None
     for line in part.split("\n"):
-        lines.append((at, normalise(line)))
+        words = normalise(line)
+        first = at if first is None else first
+        if words:
+            out.append((first if out else first + len(part) - len(part.lstrip()), words))
+            first = None
         at += len(line) + 1
-    i = 0
-    while i < len(lines):
-        run, hit = "", None
-        for j in range(i, len(lines)):
-            run = f"{run} {lines[j][1]}".strip()
-            if len(run) > longest:
-                break
-            if run in known:
-                hit = (j, known[run])
-        if hit:
-            yield lines[i][0], hit[1]
-            i = hit[0]
-        i += 1
+    return out
 
 
 def match_rules(found: list[tuple[int, int, str]]) -> list[tuple[str, int]]:

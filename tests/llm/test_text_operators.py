@@ -250,6 +250,20 @@ def test_licences(spark, odd):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_every_known_sentence_and_rule_is_found():
+    for k, wordings in licenses.SENTENCES.items():
+        for w in wordings:
+            for text in (w, f"Words before. {w}. Words after.", f"No stop before\n{w}\nno stop after", "# x\n#\n# " + w.replace(" ", "\n# ") + "\n#\n# y", f"1) {w}."):
+                assert [n for _, _, n in licenses.identify_sentences(text)] == [k], text
+    for licence, wanted in licenses.RULES:
+        text = "Head words.\n\n" + " ".join(licenses.SENTENCES[k][0] + "." for k in wanted) + "\nTail"
+        assert licenses.match_rules(licenses.identify_sentences(text)) == [(licence, 13)], text
+    # a run of parts counts as one sentence, and no wording goes on past a full stop or an empty line that it hasn't
+    a = "SPDX-License-Identifier: MIT\nOther words: SPDX-License-Identifier: ISC"
+    assert [(n, a[at : at + 4], k) for n, at, k in licenses.identify_sentences(a)] == [(0, "SPDX", "mit-notice"), (1, "SPDX", "isc-notice")]
+    assert licenses.identify_sentences("See the\nLicense.\nMIT\n") == licenses.identify_sentences("License:\n\nMIT") == []
+
+
 def test_licence_scan_of_documents(spark, docs):
     known = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3."]
     texts = dict(docs.select("doc_id", "text").collect())
