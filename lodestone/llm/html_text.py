@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-# Elements whose content is never text of the page.
-_RAW = "script|style|noscript|template|iframe|svg|object|textarea|select|title|math"
+# Elements whose content is never text of the page.  With '/>', a drawing is empty; the others are where
+# no end of theirs comes before the next of their name, since browsers pass over that '/'.
+_RAW = "(?P<svg>svg)|script|style|noscript|template|iframe|object|textarea|select|title"
+_ALONE = r"/>(?(svg)|(?!(?:(?!<(?P=raw)[\s/>]).)*?</(?P=raw)\s*>))"
 _TOKEN = re.compile(
-    rf"""(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:"[^"]*"|'[^']*'|[^'">])*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>)"""
+    rf"""(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:"[^"]*"|'[^']*'|/(?!>)|[^'">/])*(?:{_ALONE}|/?>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>)"""
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:"[^"]*"|'[^']*'|[^'">])*)>|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Parts of a formula, which stands within its line.
+_FORMULA = frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may hold others and are closed by name; the rest only break blocks.
 _HOLDERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table tbody thead tr td figure fieldset details dialog button menu blockquote center".split())
@@ -158,6 +162,9 @@ def main_text(page: str | None) -> str:
                     hidden = 1
                     cost += _DETOUR
                 open_.append((name, number, not hidden and _content_like(name, attr)))
+        elif name in _FORMULA:
+            if not hidden and name in ("mtr", "mtd", "mspace"):
+                text.append(" ")
         elif not hidden:
             if name not in _INLINE:
                 close_block()

@@ -318,6 +318,23 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+WHOLE_PAGES = [
+    ("<p>a <svg/> b</p><p>c</p>", "a b\nc"),
+    ('<p>a <svg class="x/y" viewBox="0 0 1 1" /> b</p><p>c</p><svg><text>no</text></svg><p>d</p>', "a b\nc\nd"),
+    ("<p>a</p><iframe src=/x/ /><p>b</p><script src='y'/><p>c</p><script>var no;</script><p>d</p>", "a\nb\nc\nd"),
+    ("<p>a</p><script src='y'/>var no;</script><p>b</p>", "a\nb"),
+    ('<p>One <svg-icon name="x"></svg-icon> two</p><p>Three</p>', "One\ntwo\nThree"),
+    ("<title-card><p>One</p></title-card><select-box></select-box><p>Two</p>", "One\nTwo"),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>a <math/> b</p><p>c</p>", "So x=1 holds\na b\nc"),
+    ("<p>Ab</p><p>" + "<math><mrow><mi>x</mi></mrow></math>" * 50 + " end</p>", "Ab\n" + "x" * 50 + " end"),
+]
+
+
+@pytest.mark.parametrize("page, want", WHOLE_PAGES)
+def test_nothing_after_an_empty_element_is_lost(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_simhash_of_one_text():
     def plain(text, width=4):
         words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).split()
