@@ -6,7 +6,10 @@ import hashlib
 import math
 from abc import ABC, abstractmethod
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,12 +187,72 @@ def suggest_links(docs: DataFrame, code: DataFrame, linked: DataFrame | None = N
     return out.limit(limit) if limit else out
 
 
-def semantic_links(docs: DataFrame, code: DataFrame, least: float = 0.7, most_docs: int = 100, most_code: int = 200) -> DataFrame:
-    """Pairs of a document and a code embedding with cosine of ``least`` or more, over the first
-    ``most_docs`` and ``most_code`` by id (the reference's bounds, which make every pair affordable)."""
-    d = docs.orderBy("id").limit(most_docs).select(F.col("id").alias("doc"), F.col("embedding").alias("dv"), F.lit(1).alias("k"))
-    c = code.orderBy("id").limit(most_code).select(F.col("id").alias("code"), F.col("embedding").alias("cv"), F.lit(1).alias("k"))
-    return c.join(F.broadcast(d), "k").select("doc", "code", cosine(F.col("dv"), F.col("cv")).alias("score")).where(F.col("score") >= least)
+#: Vectors of a side that meet in one task.
+BLOCK = 2048
+
+
+def semantic_links(docs: DataFrame, code: DataFrame, least: float = 0.7, most_docs: int | None = None, most_code: int | None = None) -> DataFrame:
+    """Pairs of a document and a code embedding with cosine of ``least`` or more.  Every pair is compared, in
+    blocks of about ``BLOCK`` vectors of either side; ``most_docs`` and ``most_code``, where given, keep the
+    first by id."""
+    docs = docs.orderBy("id").limit(most_docs) if most_docs is not None else docs
+    code = code.orderBy("id").limit(most_code) if most_code is not None else code
+    doc_type, code_type = docs.schema["id"].dataType.simpleString(), code.schema["id"].dataType.simpleString()
+    n_docs, n_code = (math.ceil(rows.count() / BLOCK) or 1 for rows in (docs, code))
+    vector = F.col("embedding").cast("array<double>")
+    vector = F.when(~F.exists(vector, lambda x: x.isNull()), vector)  # with a null inside, as a null vector: 0 with all
+
+    def dealt(rows: DataFrame, doc: Column, code: Column, blocks: int, others: int, names: tuple[str, str]) -> DataFrame:
+        own, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return rows.select(F.lit(names[0] == "a").alias("is_doc"), doc.alias("doc"), code.alias("code"), vector.alias("v"), own.cast("int").alias(names[0]), every.alias(names[1]))
+
+    sides = dealt(docs, F.col("id"), F.lit(None).cast(code_type), n_docs, n_code, ("a", "b"))
+    sides = sides.unionByName(dealt(code, F.lit(None).cast(doc_type), F.col("id"), n_code, n_docs, ("b", "a")))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        d, c = rows.filter(rows["is_doc"]), rows.filter(pc.invert(rows["is_doc"]))
+        i, j, score = _near(d["v"].combine_chunks(), c["v"].combine_chunks(), least)
+        return pa.table([d["doc"].take(pa.array(i)), c["code"].take(pa.array(j)), pa.array(score)], ["doc", "code", "score"])
+
+    return sides.groupBy("a", "b").applyInArrow(compare, f"doc {doc_type}, code {code_type}, score double")
+
+
+def _sum_of_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row in the order of ``functions.vector.dot``, so with its very result."""
+    total = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        total += x[:, k] * y[:, k]
+    return total
+
+
+def _near(docs: pa.Array, code: pa.Array, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``docs``, row of ``code``, cosine as by ``functions.vector.cosine``) of every pair of ``least`` or more.
+    A matrix product screens; what comes within its error of ``least`` is computed."""
+    sizes = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (docs, code)]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for size in np.unique(sizes[0]).tolist():
+        own = np.nonzero(sizes[0] == size)[0]
+        same = np.nonzero(sizes[1] == size)[0] if size >= 0 else np.zeros(0, np.int64)
+        if least <= 0:  # pairs that have no cosine count 0
+            rest = np.setdiff1d(np.arange(len(code)), same)
+            found.append((np.repeat(own, len(rest)), np.tile(rest, len(own)), np.zeros(len(own) * len(rest))))
+        if not len(same):
+            continue
+        with np.errstate(all="ignore"):
+            x, y = (v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size) for v, at in ((docs, own), (code, same)))
+            xx, yy = np.sqrt(_sum_of_products(x, x)), np.sqrt(_sum_of_products(y, y))
+            # very large or small ones aren't screened; as NaN they come through
+            left, right = (v / np.where((n == 0) | (n > 1e-100) & (n < 1e100), np.where(n == 0, 1.0, n), np.nan)[:, None] for v, n in ((x, xx), (y, yy)))
+            for at in range(0, len(own), 256):
+                i, j = np.nonzero(~(left[at : at + 256] @ right.T < least - 1e-9))
+                i += at
+                norms = xx[i] * yy[j]
+                score = np.where(norms <= 0, 0.0, _sum_of_products(x[i], y[j]) / norms)
+                keep = ~(score < least)
+                found.append((own[i[keep]], same[j[keep]], score[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def accept_links(g: Graph, links: DataFrame, least: float = 0.8) -> Graph:

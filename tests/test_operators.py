@@ -179,3 +179,27 @@ def test_stream_of_events(spark, tmp_path):
     seen = []
     feeds.deliver(feeds.subscribe(stream, "b"), lambda df, _: seen.extend(df.collect()), str(tmp_path / "check")).awaitTermination()
     assert len(seen) == 1
+
+
+def test_semantic_links_compare_every_pair(spark, monkeypatch):
+    from lodestone.functions.vector import cosine
+    from lodestone.operators import intelligence
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    docs, code = e.where("label < 5").select("id", "embedding"), e.where("label >= 5").select("id", "embedding")
+    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0] * 64), (-4, [1.0, None]), (-5, [3.0, 4.0]), (-6, [float("nan")] * 64), (None, [4.0, 3.0])], "id long, embedding array<float>")
+    docs, code = docs.unionByName(odd), code.unionByName(odd)
+
+    def brute(least, docs=docs, code=code):
+        both = docs.selectExpr("id doc", "embedding dv").crossJoin(code.selectExpr("id code", "embedding cv"))
+        return sorted(map(repr, both.select("doc", "code", cosine(F.col("dv"), F.col("cv")).alias("score")).where(F.col("score") >= least).collect()))
+
+    def mine(*a, **b):
+        return sorted(map(repr, intelligence.semantic_links(docs, code, *a, **b).collect()))
+
+    assert docs.count() > 200 and mine(0.3) == brute(0.3) and len(mine(0.3)) > 488
+    monkeypatch.setattr(intelligence, "BLOCK", 40)
+    assert mine(0.3) == brute(0.3)
+    assert mine(0.0) == brute(0.0)
+    assert mine(0.3, 100, 200) == brute(0.3, docs.orderBy("id").limit(100), code.orderBy("id").limit(200))
+    assert intelligence.semantic_links(docs.limit(0), code, 0.3).count() == 0
