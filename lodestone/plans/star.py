@@ -93,10 +93,14 @@ EDGES_SQL = " UNION ALL ".join(
 WITH_SQL = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})".replace("/ 3) % 4", "// 3) % 4").replace("% 2) / 2", "% 2) // 2")
 
 
+#: The nodes with whole texts as content; the oracle's have their first 4,000 characters.
+WHOLE_NODES_SQL = NODES_SQL.replace("CAST(substr(text, 1, 4000) AS STRING) AS content", "CAST(text AS STRING) AS content")
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the tables in a folder.  Tables are referred to by subquery, so that nothing is
     registered under a global name."""
-    return Graph(*(over(spark, sf_dir, q) for q in (NODES_SQL, EDGES_SQL)))
+    return Graph(*(over(spark, sf_dir, q) for q in (WHOLE_NODES_SQL, EDGES_SQL)))
 
 
 _STORED: dict[tuple[str, str], str] = {}

@@ -203,3 +203,16 @@ def test_semantic_links_compare_every_pair(spark, monkeypatch):
     assert mine(0.0) == brute(0.0)
     assert mine(0.3, 100, 200) == brute(0.3, docs.orderBy("id").limit(100), code.orderBy("id").limit(200))
     assert intelligence.semantic_links(docs.limit(0), code, 0.3).count() == 0
+
+
+def test_searches_reach_the_end_of_documents(spark):
+    from lodestone.operators import context
+    from lodestone.plans.star import star_graph
+
+    sf = "/root/testdata/sf0.001"
+    g = star_graph(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat(F.lit("doc_"), "doc_id").alias("name"), "text")
+    assert g.of("Document").select("name", F.col("content").alias("text")).exceptAll(docs).isEmpty()
+    r = docs.where(F.length("text") > 4100).orderBy("name").first()
+    for search in (context.knowledge_search, context.global_search):
+        assert r["name"] in [x["name"] for x in search(g, r.text[-60:], 1000).collect()]
