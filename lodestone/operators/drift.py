@@ -74,7 +74,7 @@ def forbidden_dependencies(g: Graph, rules: DataFrame, each: int = 20) -> DataFr
     a = member.select(F.col("id").alias("src"), F.col("name").alias("name"), "file_path", F.col("domain_name").alias("da"))
     b = member.select(F.col("id").alias("dst"), F.col("name").alias("to_name"), F.col("domain_name").alias("db"))
     edges = g.links("CALLS", "IMPORTS", "INHERITS").select("src", "dst").distinct()
-    rows = a.join(F.broadcast(rules.limit(100)), "da").join(edges, "src").join(b, ["dst", "db"])
+    rows = a.join(rules, "da").join(edges, "src").join(b, ["dst", "db"])
     rows = ranked(rows, ["rule", "da", "db"], each, "name", "to_name", "src", "dst")
     text = F.concat(F.lit("'"), "name", F.lit("' in domain '"), "da", F.lit("' depends on '"), "to_name", F.lit("' in domain '"), "db", F.lit("'"))
     return _report(rows, "FORBIDDEN_DEP", F.col("severity"), text, knowledge="rule", kind=F.col("knowledge_type"))
@@ -85,9 +85,9 @@ def layer_breaches(g: Graph, rules: DataFrame, each: int = 30, use_semantic_type
     rules = rules.where("c.type = 'REQUIRED_LAYER' AND size(c.order) >= 2").select("rule", "severity", "knowledge_type", F.col("c.order").alias("layers"))
     label = F.coalesce("semantic_type", "label") if use_semantic_type else F.col("label")
     n = g.nodes.select("id", label.alias("label"), "name", "file_path")
-    place = rules.select("rule", "severity", "knowledge_type", "layers", F.posexplode("layers").alias("at", "layer")).limit(10_000)
-    a = n.join(F.broadcast(place), F.col("label") == F.col("layer")).select(F.col("id").alias("src"), "name", "file_path", "rule", "severity", "knowledge_type", "layers", F.col("at").alias("ia"), F.col("layer").alias("la"))
-    b = n.join(F.broadcast(place.select("rule", "at", "layer")), F.col("label") == F.col("layer")).select(F.col("id").alias("dst"), F.col("name").alias("to_name"), "rule", F.col("at").alias("ib"), F.col("layer").alias("lb"))
+    place = rules.select("rule", "severity", "knowledge_type", "layers", F.posexplode("layers").alias("at", "layer"))
+    a = n.join(place, F.col("label") == F.col("layer")).select(F.col("id").alias("src"), "name", "file_path", "rule", "severity", "knowledge_type", "layers", F.col("at").alias("ia"), F.col("layer").alias("la"))
+    b = n.join(place.select("rule", "at", "layer"), F.col("label") == F.col("layer")).select(F.col("id").alias("dst"), F.col("name").alias("to_name"), "rule", F.col("at").alias("ib"), F.col("layer").alias("lb"))
     rows = g.links("CALLS").select("src", "dst").join(a, "src").join(b, ["dst", "rule"]).where("ia <> ib AND ia + 1 <> ib")
     rows = ranked(rows, ["rule"], each, "name", "to_name", "src", "dst")
     way = F.when(F.col("ib") < F.col("ia"), "backward").otherwise("skips layers")
@@ -99,7 +99,7 @@ def call_excess(g: Graph, rules: DataFrame, each: int = 20) -> DataFrame:
     """Nodes of a label (of a domain, if the rule names one) with more outgoing calls than allowed."""
     rules = rules.where("c.type = 'MAX_OUTGOING_CALLS' AND c.label <> '' AND c.max IS NOT NULL").select("rule", "severity", "knowledge_type", F.col("c.label").alias("label"), F.coalesce("c.domain", F.lit("")).alias("wanted"), F.col("c.max").alias("most"))
     counts = g.links("CALLS").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("cnt"))
-    rows = counts.join(g.nodes.select("id", "label", "name", "file_path"), "id").join(F.broadcast(rules.limit(100)), "label").where("cnt > most")
+    rows = counts.join(g.nodes.select("id", "label", "name", "file_path"), "id").join(rules, "label").where("cnt > most")
     scoped = rows.where("wanted <> ''").join(_in_domain(g).select("id", F.col("domain_name").alias("wanted")), ["id", "wanted"], "left_semi")
     rows = ranked(rows.where("wanted = ''").unionByName(scoped), ["rule"], each, F.desc("cnt"), "name", "id")
     text = F.concat(F.lit("'"), "name", F.lit("' has "), F.col("cnt").cast("string"), F.lit(" outgoing calls (max "), F.col("most").cast("string"), F.lit(")"))

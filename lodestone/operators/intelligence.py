@@ -269,18 +269,11 @@ def token_links(knowledge: DataFrame, code: DataFrame, pattern: str = r"[\s_\-]+
     Substrings of code names of the tokens' lengths (few distinct ones) meet the tokens by equality.
     """
     tokens = knowledge.select(F.col("name").alias("source"), F.explode(F.array_distinct(F.split(F.lower("name"), pattern))).alias("t")).where(F.length("t") >= least)
-    sizes = [r.n for r in tokens.select(F.length("t").alias("n")).distinct().limit(200).collect()]
-    low = F.lower("target")
-    names = code.select(F.col("name").alias("target")).distinct()
-
-    def cuts(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))
-        return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
-
-    windows = [cuts(n) for n in sizes]
-    if not windows:
-        return tokens.select("source", F.col("t").alias("target")).limit(0)
-    grams = names.select("target", F.explode(F.array_distinct(F.concat(*windows))).alias("t"))
+    sizes = tokens.agg(F.collect_set(F.length("t")).alias("sizes"))  # one row, of no more numbers than the longest token has characters
+    names = code.select(F.col("name").alias("target"), F.lower("name").alias("low")).distinct()
+    sized = names.crossJoin(F.broadcast(sizes)).select("target", "low", F.explode(F.filter("sizes", lambda n: n <= F.length("low"))).alias("n"))
+    cuts = F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substring("low", i, F.col("n")))
+    grams = sized.select("target", F.explode(F.array_distinct(cuts)).alias("t"))
     return tokens.join(grams, "t").select("source", "target").distinct()
 
 

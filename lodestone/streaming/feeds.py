@@ -68,8 +68,7 @@ def unacknowledged(messages: DataFrame, acks: DataFrame, agent: str | None = Non
 
 def broadcast_messages(messages: DataFrame, agents: DataFrame) -> DataFrame:
     """One copy for each agent but the sender."""
-    rows = messages.withColumn("__k", F.lit(1)).join(F.broadcast(agents.select(F.col("agent").alias("to_agent")).distinct().limit(10_000).withColumn("__k", F.lit(1))), "__k")
-    return rows.drop("__k").where("from_agent <> to_agent")
+    return messages.crossJoin(agents.select(F.col("agent").alias("to_agent")).distinct()).where("from_agent <> to_agent")
 
 
 def alive(beats: DataFrame, now: str, seconds: int = 90) -> DataFrame:

@@ -216,3 +216,19 @@ def test_searches_reach_the_end_of_documents(spark):
     r = docs.where(F.length("text") > 4100).orderBy("name").first()
     for search in (context.knowledge_search, context.global_search):
         assert r["name"] in [x["name"] for x in search(g, r.text[-60:], 1000).collect()]
+
+
+def test_many_rules_agents_and_token_lengths_lose_nothing(spark, make):
+    g = make([("Domain", "A"), ("Domain", "B"), ("Function", "f"), ("Class", "c")], [(2, 0, "BELONGS_TO"), (3, 1, "BELONGS_TO"), (2, 3, "CALLS"), (2, 2, "CALLS")])
+
+    def rules(j, n):
+        return spark.range(n).select(F.concat(F.lit("r"), "id").alias("rule"), F.lit("warning").alias("severity"), F.lit("Rule").alias("knowledge_type"), F.from_json(F.lit(j), drift.CONSTRAINT).alias("c"))
+
+    assert drift.forbidden_dependencies(g, rules('{"type":"FORBIDDEN_DEP","from":"A","to":"B"}', 130)).count() == 130
+    assert drift.call_excess(g, rules('{"type":"MAX_OUTGOING_CALLS","label":"Function","max":1}', 130)).count() == 130
+    assert drift.layer_breaches(g, rules('{"type":"REQUIRED_LAYER","order":["Class","Domain","Function"]}', 3500)).count() == 3500
+    names = spark.createDataFrame([("x" * n,) for n in range(4, 254)], "name string")
+    assert intelligence.token_links(names, names.where(F.length("name") == 253)).count() == 250
+    assert intelligence.token_links(names.limit(0), names).count() == 0
+    message = spark.createDataFrame([(1, "a5")], "id int, from_agent string")
+    assert feeds.broadcast_messages(message, spark.range(10_050).select(F.concat(F.lit("a"), "id").alias("agent"))).count() == 10_049
