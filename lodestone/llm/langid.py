@@ -33,8 +33,8 @@ _BLOCK = 128
 @dataclass
 class Model:
     labels: list[str]
-    vocabulary: np.ndarray  # hashed n-gram of each feature
-    landmarks: np.ndarray  # landmark x feature, rows of length one
+    vocabulary: np.ndarray  # the landmarks' hashed n-grams
+    landmarks: np.ndarray  # landmark x n-gram, rows of length one
     weights: np.ndarray  # landmark x label
     bias: np.ndarray
 
@@ -89,11 +89,12 @@ def train(
     id_col: str = "doc_id",
     per_label: int = 200,
     landmarks_per_label: int = 32,
-    features: int = 8192,
     ridge: float = 1e-3,
 ) -> Model:
     """Fit on at most ``per_label`` rows of each label.  Executors reduce those texts to sets of
-    hashed n-grams; the driver gets these sets only.  No labelled row gives a model without labels."""
+    hashed n-grams; the driver gets these sets only.  The kernel is over all n-grams: those of no landmark
+    are shared with none, so they count in a text's length alone.  No labelled row gives a model without
+    labels."""
     small_batches(docs.sparkSession)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,23 +109,27 @@ def train(
     labels = sorted(set(names))
     if not labels:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    found = np.zeros(1 << _BITS, np.int64)
-    for s in sets:
-        found[s] += 1
-    vocabulary = np.sort(np.argsort(-found, kind="stable")[: min(features, int((found > 0).sum()))])
+    order = got.column("n").to_numpy()
+    found = np.zeros(1 << _BITS, bool)
+    for i in np.nonzero(order <= landmarks_per_label)[0]:
+        found[sets[i]] = True
+    vocabulary = np.nonzero(found)[0]
     column = np.full(1 << _BITS, -1, np.int64)
     column[vocabulary] = np.arange(len(vocabulary))
-    x = np.zeros((len(sets), len(vocabulary)), np.float32)
-    for i, s in enumerate(sets):
-        c = column[s]
-        x[i, c[c >= 0]] = 1
-    x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1e-9)
-    order = got.column("n").to_numpy()
-    marks = x[order <= landmarks_per_label]
+
+    def rows_of(some: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(some), len(vocabulary)), np.float32)
+        for row, s in zip(x, some, strict=True):
+            c = column[s]
+            row[c[c >= 0]] = 1 / np.sqrt(len(s))
+        return x
+
+    marks = rows_of([s for s, n in zip(sets, order, strict=True) if n <= landmarks_per_label])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    alike = np.concatenate([rows_of(sets[at : at + _BLOCK]) @ marks.T for at in range(0, len(sets), _BLOCK)])
+    phi = alike.astype(np.float64) @ root
     y = np.where(np.array(names)[:, None] == np.array(labels)[None, :], 1.0, -1.0)
     share = np.array([names.count(k) for k in labels]) / len(names)
     w = np.array([1 / (len(labels) * share[labels.index(k)]) for k in names])[:, None]  # each label weighs alike
@@ -136,18 +141,19 @@ def train(
 
 def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     """Text x label decision values; whole texts."""
-    column = np.full(1 << _BITS, len(model.vocabulary), np.int32)
-    column[model.vocabulary] = np.arange(len(model.vocabulary))
+    seen = np.zeros(1 << _BITS, bool)
     out = np.zeros((len(texts), len(model.labels)))
     for at in range(0, len(texts), _BLOCK):
         part = texts[at : at + _BLOCK]
-        has = np.zeros((len(part), len(model.vocabulary) + 1), np.float32)
-        for row, data in zip(has, part, strict=True):
+        has = np.zeros((len(part), len(model.vocabulary)), np.float32)
+        size = np.ones((len(part), 1))
+        for i, data in enumerate(part):
+            seen[:] = False
             for k in range(0, max(1, len(data)), 1 << 20):  # bounded arrays for very long texts, with an overlap
                 for h in _hashed(data[k : k + (1 << 20) + 4]):
-                    row[column[h]] = 1
-        has = has[:, :-1]
-        size = np.sqrt(np.maximum(has.sum(1, keepdims=True), 1.0))
+                    seen[h] = True
+            has[i] = seen[model.vocabulary]
+            size[i] = np.sqrt(max(np.count_nonzero(seen), 1))
         out[at : at + _BLOCK] = ((has @ model.landmarks.T) / size) @ model.weights + model.bias
     return out
 

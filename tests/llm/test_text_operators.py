@@ -223,6 +223,25 @@ def test_cut_off_is_the_kth_key(spark, monkeypatch):
     assert quality.cut_off(df, "key", 5000) == float("-inf") and quality.cut_off(df, "key", 0) == float("inf")
 
 
+def test_rare_languages_of_their_own_scripts_are_told_apart(spark):
+    rng = random.Random(3)
+    words = {k: ["".join(chr(at + rng.randrange(24)) for _ in range(rng.randint(2, 7))) for _ in range(400)] for k, at in {"a": 97, "b": 0x3B1, "c": 0x10D0, "d": 0x561}.items()}
+    words["a"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(6000)]
+    counts = {"a": 200, "b": 12, "c": 3, "d": 3}
+    text = lambda k: " ".join(rng.choices(words[k], k=120))
+    rows = [(k, text(k)) for k, n in counts.items() for _ in range(n)]
+    model = langid.train(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string"))
+    for k in counts:
+        best = langid.scores(model, [langid.fold(text(k).encode()) for _ in range(8)]).argmax(1)
+        assert [model.labels[i] for i in best] == [k] * 8
+    # the kernel of two texts is the share of n-grams in common, with none left out
+    a = langid.presence(langid.fold(text("b").encode()))
+    probe = langid.fold(text("c").encode())
+    one = langid.Model(["x"], a.astype(np.int64), np.full((1, len(a)), len(a) ** -0.5, np.float32), np.ones((1, 1)), np.zeros(1))
+    p = langid.presence(probe)
+    assert langid.scores(one, [probe])[0, 0] == pytest.approx(len(np.intersect1d(a, p)) / np.sqrt(len(a) * len(p)), rel=1e-5)
+
+
 # -- licences, fingerprints, pages, simhash
 
 MIT = """Copyright (c) 2020 A
