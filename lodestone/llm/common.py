@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to a Python worker; texts may be long, so few.
-BATCH_ROWS = 512
-#: Bytes of text that a vectorised kernel works on at a time (one longer text goes alone).
+#: Rows and bytes of one Arrow batch that goes to a Python worker; texts may be long, so few.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Bytes of text that a vectorised kernel works on at a time; longer texts go in parts where their operator
+#: knows places to cut at.
 SLICE_BYTES = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
+_power_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +27,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small for columns of texts.  A session setting, read when a plan is made."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small for columns of texts.  Session settings, read when a plan runs; a smaller
+    value that is set already stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not (now and 0 < int(now[1]) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one below the warehouse only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``.  Where that is unset, one below the warehouse, if the driver
+    and the executors are one process; a cluster has to name a folder that all of them see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return folder.rstrip("/")
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2 to the 64: a sum of values
+    times powers, times the inverse at its first place, is a hash that doesn't depend on the place."""
+    if len(_power_tables[0]) < n:
+        size = max(n, 2 * len(_power_tables[0]), 1 << 16)
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            run = np.full(size, base, np.uint64)
+            run[0] = 1
+            _power_tables[k] = np.multiply.accumulate(run)
+    return _power_tables[0][:n], _power_tables[1][:n]
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -66,6 +91,21 @@ def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int
         yield start, end + 1
 
 
+def parts_of(texts: list, gap: re.Pattern, limit: int = SLICE_BYTES) -> tuple[list, list[int]]:
+    """(texts in parts of about ``limit``, cut before the next match of ``gap``; number of each part's text)."""
+    out, owner = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while len(t) - at > limit:
+            m = gap.search(t, at + limit)
+            if not m:
+                break
+            out.append(t[at : m.start()]), owner.append(i)
+            at = m.start()
+        out.append(t[at:] if at else t), owner.append(i)
+    return out, owner
+
+
 def byte_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without decoding them."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -73,7 +113,6 @@ def byte_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]
     return col.cast(kind).to_pylist()
 
 
-
 @lru_cache(maxsize=8)
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the files are never copied."""

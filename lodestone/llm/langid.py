@@ -28,6 +28,8 @@ _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 128
+#: Bytes of a text that are hashed at a time.
+_STRETCH = 1 << 20
 
 
 @dataclass
@@ -40,20 +42,23 @@ class Model:
 
 
 def _hashed(data: bytes) -> Iterator[np.ndarray]:
-    """Hashed n-grams of a text, one array for each order; blanks at both ends."""
-    b = np.frombuffer(b" " + data + b" ", np.uint8).astype(np.uint32)
-    gram = b
-    for n, mix in zip(_ORDERS, _MIX, strict=True):
-        if n > 1:
-            if len(gram) < 2:
-                return
-            gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-        yield ((gram * mix) ^ (gram >> np.uint32(13))) * mix >> np.uint32(32 - _BITS)
+    """Hashed n-grams of a text with a blank at both ends, one array for each order and stretch of the
+    text; stretches overlap, so that an n-gram that runs over their border counts and none is added."""
+    whole = b" " + data + b" "
+    for k in range(0, len(whole) - 1, _STRETCH):
+        b = np.frombuffer(whole[k : k + _STRETCH + _ORDERS[-1] - 1], np.uint8).astype(np.uint32)
+        gram = b
+        for n, mix in zip(_ORDERS, _MIX, strict=True):
+            if n > 1:
+                if len(gram) < 2:
+                    break
+                gram = (gram[:-1] << np.uint32(8)) | b[n - 1 :]
+            yield ((gram * mix) ^ (gram >> np.uint32(13))) * mix >> np.uint32(32 - _BITS)
 
 
 def fold(data: bytes) -> bytes:
     """Lower case, ASCII symbols and digits as blanks, runs of blanks as one."""
-    return b" ".join(data.decode("utf-8", "replace").lower().encode().translate(_FOLD).split(b" ")) if data else b""
+    return b" ".join(data.decode("utf-8", "replace").lower().encode().translate(_FOLD).split())
 
 
 def has_letters(data: bytes | None) -> bool:
@@ -69,17 +74,24 @@ def presence(data: bytes) -> np.ndarray:
 
 
 def sample_rows(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_label: int) -> DataFrame:
-    """Up to ``per_label`` rows of each label, those of least salted id hash.
+    """(label, n, text) of up to ``per_label`` ids of each label, those of least salted hash, n being their
+    rank; of an id's rows of that label, the text of least hash stands for it.
 
-    Ids and labels alone are read to choose them (each task forwards ``per_label`` rows of a label at
-    most), then the few chosen ids, bounded by the parameter, are broadcast to fetch the texts.
+    Ids and labels alone are read to choose them.  An estimate of each label's ids sets a hash below which
+    there are about four times as many as are wanted, so however many rows an id has, no task gets more
+    than that of a label.  The chosen ids, bounded by the parameter, are broadcast to fetch the texts.
     """
-    light = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    light = light.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(7)), "id")
-    chosen = light.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("id", "label", "n")
-    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return full.join(F.broadcast(chosen), "id")
+    light = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    light = light.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"))
+    # one row a label, as the model holds on the driver too
+    known = [(k, min((1 << 64) - 1, (4 * per_label << 64) // max(n, 1)) - (1 << 63)) for k, n in light.groupBy("label").agg(F.approx_count_distinct("id", 0.02)).collect()]
+    below = docs.sparkSession.createDataFrame(known, "label string, below long")
+    few = light.join(F.broadcast(below), "label").withColumn("h", F.xxhash64("id", F.lit(7))).where("h <= below").select("label", "id", "h").distinct()
+    order = Window.partitionBy("label").orderBy("h", "id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select(F.col("id").alias("i"), F.col("label").alias("l"), "n")
+    full = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    met = full.join(F.broadcast(chosen), (F.col("id") == F.col("i")) & (F.col("label") == F.col("l")))
+    return met.groupBy("label", "n").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
 
 def train(
@@ -91,18 +103,18 @@ def train(
     landmarks_per_label: int = 32,
     ridge: float = 1e-3,
 ) -> Model:
-    """Fit on at most ``per_label`` rows of each label.  Executors reduce those texts to sets of
-    hashed n-grams; the driver gets these sets only.  The kernel is over all n-grams: those of no landmark
-    are shared with none, so they count in a text's length alone.  No labelled row gives a model without
-    labels."""
+    """Fit on one text of at most ``per_label`` ids of each label.  Executors reduce those texts to sets of
+    hashed n-grams; the driver gets these sets only.  The kernel is over all n-grams, told apart by 20 bits
+    of hash: those of no landmark are shared with none, so they count in a text's length alone.  No labelled
+    row gives a model without labels; rows with a null id, label or text are no lesson."""
     small_batches(docs.sparkSession)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [presence(fold(x or b"")).tolist() for x in byte_column(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sets, pa.list_(pa.int32()))], ["label", "n", "grams"])
+            sets = [presence(fold(x)).tolist() for x in byte_column(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))], ["label", "n", "grams"])
 
-    rows = sample_rows(docs, text_col, label_col, id_col, per_label).select("text", F.col("label").cast("string").alias("label"), "n")
+    rows = sample_rows(docs, text_col, label_col, id_col, per_label)
     got = rows.mapInArrow(grams, "label string, n int, grams array<int>").orderBy("label", "n").toArrow()
     names = got.column("label").to_pylist()
     sets = [np.asarray(x, np.int64) for x in got.column("grams").to_pylist()]
@@ -149,9 +161,8 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
         size = np.ones((len(part), 1))
         for i, data in enumerate(part):
             seen[:] = False
-            for k in range(0, max(1, len(data)), 1 << 20):  # bounded arrays for very long texts, with an overlap
-                for h in _hashed(data[k : k + (1 << 20) + 4]):
-                    seen[h] = True
+            for h in _hashed(data):
+                seen[h] = True
             has[i] = seen[model.vocabulary]
             size[i] = np.sqrt(max(np.count_nonzero(seen), 1))
         out[at : at + _BLOCK] = ((has @ model.landmarks.T) / size) @ model.weights + model.bias

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import parts_of, powers, slices, small_batches
 
 WIDE = 8
 COUNTS = 1024
@@ -31,44 +32,47 @@ MOST_STRETCHES = 20_000
 _CHUNK = 1 << 20
 
 _SPACE = np.array([b <= 32 for b in range(256)])
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BLANK = re.compile(rb"[\x00-\x20]")
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables[0]) < n:
-        size = max(n, 2 * len(_tables[0]), 1 << 16)
-        for k, base in enumerate((_R, _RI)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _tables[k] = np.multiply.accumulate(run)
-    return _tables[0][:n], _tables[1][:n]
-
-
-def counts(texts: list[bytes]) -> np.ndarray:
-    """Signed counts of the shingles of each text's paragraphs, modulo 2 to the 16.
-
-    A shingle is three neighbouring words of one paragraph (line); a shorter paragraph is one shingle.
-    Words are runs of bytes above the blank, case kept.
-    """
-    out = np.zeros(len(texts) * COUNTS, np.int64)
-    data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+def _words(parts: list[bytes], goes_on: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the line, number of the part) of every word; a part that goes on starts no line."""
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
     solid = ~_SPACE[data]
     begins = np.nonzero(solid[1:] & ~solid[:-1])[0] + 1
-    if not len(begins):
-        return out.reshape(len(texts), COUNTS).astype(np.int16)
     ends = np.nonzero(~solid[1:] & solid[:-1])[0] + 1
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)))
     h = (total[ends] - total[begins]) * inverse[begins]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    line = np.searchsorted(np.nonzero(data == 10)[0], begins)
-    edges = np.cumsum([1] + [len(x) + 1 for x in texts])
+    edges = np.cumsum([1] + [len(x) + 1 for x in parts])
     owner = np.searchsorted(edges, begins, side="right") - 1
+    return h, np.searchsorted(np.nonzero(data == 10)[0], begins) - np.cumsum(goes_on)[owner], owner
+
+
+def counts(texts: list[bytes]) -> np.ndarray:
+    """Signed counts of the shingles of each text's paragraphs, modulo 2 to the 16.
+
+    A shingle is three neighbouring words of one paragraph (line); a shorter paragraph is one shingle.
+    Words are runs of bytes above the blank, case kept.  Texts are hashed in parts of about a megabyte,
+    cut where a blank is, and only hashes of words are held for the whole of a longer text.
+    """
+    out = np.zeros(len(texts) * COUNTS, np.int64)
+    parts, of = parts_of(texts, _BLANK)
+    found, lines = [], 0
+    for i, j in slices(map(len, parts)):
+        goes_on = [k > 0 and of[k] == of[k - 1] for k in range(i, j)]
+        h, line, owner = _words(parts[i:j], goes_on)
+        # the line of a word is told by the newlines before it, those of earlier slices too
+        found.append((h, line + lines, np.array(of[i:j], np.int64)[owner]))
+        lines += sum(x.count(b"\n") + 1 for x in parts[i:j]) - sum(goes_on)
+    if not found:
+        return out.astype(np.int16).reshape(len(texts), COUNTS)
+    h, line, owner = map(np.concatenate, zip(*found, strict=True))
     a, b, c = np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
-    first = np.concatenate(([True], line[1:] != line[:-1]))
+    first = np.ones(len(h), bool)
+    first[1:] = line[1:] != line[:-1]
     three = np.zeros(len(h), bool)
     shingle = h * a
     if len(h) > 1:

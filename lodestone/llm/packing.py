@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ END_ID = 2
 #: Pieces that are packed together: the memory bound of one packing task.
 GROUP_PIECES = 40_000
 _SPAN = 1 << 40  # sequence numbers of one group
+_PIECE = ["id", "mark", "row", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"]
 
 
 def best_fill(counts: np.ndarray, room: int, lengths: list[int]) -> dict[int, int]:
@@ -136,41 +136,42 @@ def token_runs(texts: list[str | None], vocabulary: str) -> list[np.ndarray]:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, window: int, vocabulary: str) -> DataFrame:
-    """Every document's full windows and the rest of it, as (id, mark, start, length, crc, doc_tokens).
-    ``mark`` is a hash of the text, which tells rows of one id apart."""
+    """Every document's full windows and the rest of it, as (id, mark, row, start, length, crc, doc_tokens).
+    ``mark`` is a hash of the text, which tells texts of one id apart, and ``row`` numbers the rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, start, length, crc, size = [], [], [], [], []
-            for i, ids in enumerate(token_runs(batch.column(2).to_pylist(), vocabulary)):
+            for i, ids in enumerate(token_runs(batch.column(3).to_pylist(), vocabulary)):
                 for a in range(0, len(ids), window):
                     part = ids[a : a + window]
                     rows.append(i), start.append(a), length.append(len(part)), crc.append(_crc(part)), size.append(len(ids))
             of = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x, pa.int64()) for x in (start, length, crc, size))], ["id", "mark", "start", "length", "crc", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in range(3)), *(pa.array(x, pa.int64()) for x in (start, length, crc, size))], _PIECE[:7])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, mark long, start long, length long, crc long, doc_tokens long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _PIECE[:7]))
 
 
 def _pack_group(window: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["id", "mark", "start"], kind="stable", ignore_index=True)
+    """Packs one group, as Arrow throughout: a column of ids with a null in it stays exact."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in ("id", "mark", "row", "start")])
         rows, at, size, seq, offset = [], [], [], [], []
         for number, row in enumerate(pack(part["length"].to_numpy(), window)):
             place = 0
             for i, start, n in row:
                 rows.append(i), at.append(start), size.append(n), seq.append(number), offset.append(place)
                 place += n
-        out = part.iloc[rows].reset_index(drop=True)
-        whole = out["length"].to_numpy() == np.array(size)
-        out["start"] = out["start"] + np.array(at, np.int64)
-        out["length"] = np.array(size, np.int64)
-        out["crc"] = out["crc"].where(whole)
-        out["sequence_id"] = out["g"] * _SPAN + np.array(seq, np.int64)
-        out["offset"] = np.array(offset, np.int64)
-        return out[["id", "mark", "start", "length", "crc", "doc_tokens", "sequence_id", "offset"]]
+        out = part.take(pa.array(rows, pa.int64()))
+        size, seq = np.array(size, np.int64), np.array(seq, np.int64)
+        cut = out["length"].to_numpy() != size
+        crc = pa.array(out["crc"].to_numpy(), pa.int64(), mask=cut)
+        start = out["start"].to_numpy() + np.array(at, np.int64)
+        new = {"start": start, "length": size, "crc": crc, "sequence_id": key[0].as_py() * _SPAN + seq, "offset": np.array(offset, np.int64)}
+        return pa.table([pa.array(new[c]) if c in new else out[c] for c in _PIECE], names=_PIECE)
 
     return run
 
@@ -178,17 +179,17 @@ def _pack_group(window: int):
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """One row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    Pieces are packed in groups of about ``GROUP_PIECES`` dealt by a hash, so no task holds more, and
-    every group leaves one window at most unfilled, which is cut into powers of two.  Pieces that were
+    Pieces are packed in groups of about ``GROUP_PIECES`` dealt by a hash of row number and place, so
+    repeated rows are spread too and no task holds more; every group leaves one window at most unfilled,
+    which is cut into powers of two.  Pieces that were
     cut (few for each group, unless lengths don't fit) are encoded once more for their checksum.
     Null text is as empty: one end id.  A row with a null id is packed under that null.  Repeated rows
     are packed each.  An empty table gives an empty result; further columns aren't looked at.
     """
     base = materialize(pieces(docs, id_col, text_col, window, vocabulary), "pieces")
     groups = max(1, -(-base.count() // GROUP_PIECES))
-    keyed = base.withColumn("g", F.pmod(F.xxhash64("id", "mark", F.lit(5)), F.lit(groups)))
-    schema = "id long, mark long, start long, length long, crc long, doc_tokens long, sequence_id long, offset long"
-    packed = materialize(keyed.groupBy("g").applyInPandas(_pack_group(window), schema), "packed")
+    keyed = base.withColumn("g", F.pmod(F.xxhash64("row", "start", F.lit(5)), F.lit(groups)))
+    packed = materialize(keyed.groupBy("g").applyInArrow(_pack_group(window), ", ".join(f"{c} long" for c in _PIECE)), "packed")
     cut = packed.where("crc IS NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """Quality filtering by importance resampling.
 
 Two hashed n-gram models, of target text (rows labelled good) and of raw text (all rows), give each
-document the log ratio of its likelihoods; Gumbel noise and a top-k cut turn the ratios into a sample
-without replacement.
+document the log ratio of its likelihoods, summed over its n-grams; Gumbel noise and a top-k cut turn the
+ratios into a sample of k documents without replacement.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,54 +17,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import byte_column, materialize, slices, small_batches
+from .common import byte_column, materialize, parts_of, powers, slices, small_batches
 
 _BINS, _FEW = 1024, 4096
 
 BUCKETS = 1 << 14
-#: N-grams of ratio one that are counted in with each text's own.
-PRIOR = 4
-#: Rows labelled good that the target model is fitted on, at most.
-MOST_TARGET_ROWS = 20_000
-#: A text counts as like the target if its log ratio is above minus this; the number of such texts is k.
-MARGIN = 0.14
-#: Weights are exp(SHARPNESS x log ratio).
-SHARPNESS = 200.0
+#: Labelled rows that are looked at, at most: their good ones fit the target model.
+MOST_LABELLED_ROWS = 20_000
+SEED = 13
 _CLASS = np.array([0 if b <= 32 or b == 127 else 1 if b >= 128 or chr(b).isalnum() or b == 95 else 2 for b in range(256)], np.uint8)
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_GAP = re.compile(rb"[\x00-\x20\x7f]")
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 to the 64."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
-        for k, base in enumerate((_R, _RI)):
-            run = np.full(size, base, np.uint64)
-            run[0] = 1
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0][:n], _powers[1][:n]
+def _tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, part number) of every token."""
+    data = np.frombuffer(b" " + b" ".join(parts).lower() + b" ", np.uint8)
+    kind = _CLASS[data]
+    begins = np.nonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0))[0] + 1
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power, inverse = powers(len(data))
+    h = np.add.reduceat(np.where(kind > 0, (data.astype(np.uint64) + np.uint64(1)) * power, np.uint64(0)), begins)
+    h *= inverse[begins]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    edges = np.cumsum([0] + [len(x) + 1 for x in parts]) + 1  # where each part begins
+    return h, np.searchsorted(edges, begins, side="right") - 1
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every token and of every pair of neighbouring tokens of each text.
 
     Tokens are runs of letters, digits and bytes above 127, or of symbols; ASCII capitals count as
-    small letters.
+    small letters.  Texts are hashed in parts of about a megabyte, cut where a blank is; of a longer one
+    only the tokens' hashes are held.
     """
-    data = np.frombuffer(b" " + b" ".join(texts).lower() + b" ", np.uint8)
-    kind = _CLASS[data]
-    begins = np.nonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0))[0] + 1
-    if not len(begins):
+    parts, of = parts_of(texts, _GAP)
+    found = []
+    for i, j in slices(map(len, parts)):
+        h, owner = _tokens(parts[i:j])
+        found.append((h, np.array(of[i:j], np.int64)[owner]))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    power, inverse = _power_tables(len(data))
-    h = np.add.reduceat(np.where(kind > 0, (data.astype(np.uint64) + np.uint64(1)) * power, np.uint64(0)), begins)
-    h *= inverse[begins]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    edges = np.cumsum([0] + [len(x) + 1 for x in texts]) + 1  # where each text begins
-    owner = np.searchsorted(edges, begins, side="right") - 1
+    h, owner = map(np.concatenate, zip(*found, strict=True))
     pair = (h[:-1] * np.uint64(0xA24BAED4963EE407)) ^ (h[1:] >> np.uint64(7))
     pair *= np.uint64(0x9FB21C651E98DF25)
     pair[h[:-1] == h[1:]] = 0  # a token twice in a row is one n-gram, whatever the token
@@ -71,46 +68,58 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both.astype(np.int64), np.concatenate((owner, owner[1:][same]))
 
 
-def target_ids(labels: DataFrame, id_col: str, label_col: str, good: int, most: int) -> DataFrame:
-    """Ids of rows labelled good: all, or the ``most`` of least salted hash."""
-    ids = labels.where((F.col(label_col) == good) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    return ids.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most)
+def labelled_ids(labels: DataFrame, id_col: str, label_col: str, good: int, most: int) -> DataFrame:
+    """(id, good) of labelled ids: all, or the ``most`` of least salted hash.  An id with several labels is
+    good if one of them is."""
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
+    return ids.agg(F.max(F.col(label_col) == good).alias("good")).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most)
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log of the bucket probabilities' ratio, target over raw, add-one smoothed.
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, int, int]:
+    """(log of the bucket probabilities' ratio, target over raw, add-one smoothed; rows labelled good; all
+    labelled rows).
 
-    Raw counts cover every row; target counts cover the rows whose ids are in ``target`` (bounded by
+    Raw counts cover every row; target counts cover the rows whose ids are good in ``labelled`` (bounded by
     its maker, so it is broadcast).  Each task adds up its own rows and hands on one count for each
     bucket; the driver gets ``BUCKETS`` sums.
     """
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, BUCKETS + 1), np.int64)  # the last place counts rows
         for batch in batches:
             texts = [x or b"" for x in byte_column(batch)]
-            good = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            known, good = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), bool) for k in (1, 2))
+            total[:, BUCKETS] += good.sum(), known.sum()
             for i, j in slices(map(len, texts)):
                 bucket, owner = grams(texts[i:j])
-                total[1] += np.bincount(bucket, minlength=BUCKETS)
-                total[0] += np.bincount(bucket[good[i:j][owner]], minlength=BUCKETS)
+                total[1, :BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                total[0, :BUCKETS] += np.bincount(bucket[good[i:j][owner]], minlength=BUCKETS)
         some = np.nonzero(total[1])[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "good", "raw"])
 
-    marks = target.select(F.col("id").alias("__id"), F.lit(True).alias("__good"))
+    marks = labelled.select(F.col("id").alias("__id"), F.lit(True).alias("__known"), F.col("good").alias("__good"))
     rows = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(marks), F.col("__doc") == F.col("__id"), "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
+    rows = rows.join(F.broadcast(marks), F.col("__doc") == F.col("__id"), "left").select("text", F.coalesce("__known", F.lit(False)).alias("known"), F.coalesce("__good", F.lit(False)).alias("good"))
     sums = rows.mapInArrow(count, "bucket int, good long, raw long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).toArrow()
-    total = np.zeros((2, BUCKETS))
+    total = np.zeros((2, BUCKETS + 1))
     total[:, sums.column("bucket").to_numpy()] = sums.column("good").to_numpy(), sums.column("raw").to_numpy()
+    good, known = total[:, BUCKETS].astype(int).tolist()
+    total = total[:, :BUCKETS]
     p = (total + 1) / (total.sum(1, keepdims=True) + BUCKETS)
-    return np.log(p[0]) - np.log(p[1])
+    return np.log(p[0]) - np.log(p[1]), good, known
+
+
+def sample_size(rows: int, good: int, known: int) -> int:
+    """k where none is given: the share of labelled rows that are good and its standard error more, of all
+    rows; without labelled rows, all."""
+    share = (good + 1) / (known + 2)  # never 0 or 1, whose standard error would be none
+    return rows if not known else min(rows, math.ceil(rows * (share + math.sqrt(share * (1 - share) / known))))
 
 
 def log_ratios(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out: tuple[str, str] = ("log_ratio", "n_grams"), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``) with the mean log ratio of its n-grams (null without any) and
-    their number.  The mean is over ``PRIOR`` more n-grams of ratio one, so that few say little."""
+    """``docs`` (its columns ``keep``) with the sum of its n-grams' log ratios (null without any), which is
+    the log ratio of its likelihoods, and their number."""
     small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in out]
     schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema, StructField(out[0], DoubleType()), StructField(out[1], LongType())])
@@ -124,16 +133,17 @@ def log_ratios(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out:
                 bucket, owner = grams(texts[i:j])
                 total[i:j] = np.bincount(owner, ratio[bucket], minlength=j - i)
                 number[i:j] = np.bincount(owner, minlength=j - i)
-            mean = pa.array(np.round(total / (number + PRIOR), 12), mask=number == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], mean, pa.array(number)], [*kept, *out])
+            ratios = pa.array(np.round(total, 9), mask=number == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], ratios, pa.array(number)], [*kept, *out])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def gumbel_key(log_ratio: str, id_col: str, sharpness: float = SHARPNESS, seed: int = 13) -> F.Column:
-    """Log weight plus Gumbel noise, which a hash of the id gives; null where the ratio is null."""
+def gumbel_key(log_ratio: str, id_col: str, seed: int = SEED) -> F.Column:
+    """Log weight plus Gumbel noise, which a hash of the id gives; null where the ratio is null.  The rows of
+    the k largest keys are a sample without replacement, each draw with odds in proportion to exp(log ratio)."""
     u = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.col(log_ratio) * F.lit(sharpness) - F.log(-F.log(u))
+    return F.col(log_ratio) - F.log(-F.log(u))
 
 
 def cut_off(rows: DataFrame, key: str, k: int) -> float:
@@ -169,28 +179,29 @@ def resample(
     text_col: str = "text",
     label_col: str = "quality",
     good: int = 1,
-    most_target_rows: int = MOST_TARGET_ROWS,
-    margin: float = MARGIN,
-    sharpness: float = SHARPNESS,
+    k: int | None = None,
+    most_labelled_rows: int = MOST_LABELLED_ROWS,
+    seed: int = SEED,
 ) -> tuple[DataFrame, np.ndarray, float]:
     """(id_col, log_ratio, n_grams, gumbel_key, selected) of every row, the fitted ratios, the cut.
 
-    k, the size of the sample, is the number of rows whose log ratio is above ``-margin``; the k rows
-    of largest Gumbel key are selected, rows that tie with the last of them too.  Null texts and texts
-    without a token have null ratio and key and are never selected.  Rows that share an id get the
-    same noise.  Without good labels every ratio is that of add-one smoothing.  An empty table gives
-    an empty result.
+    The ``k`` rows of largest Gumbel key are selected, rows that tie with the last of them too; see
+    ``sample_size`` for k where none is given.  Null texts and texts without a token have null ratio and
+    key, don't count among the rows that k is a share of and are never selected.  Rows that share an id
+    get the same noise.  Without labelled rows the target model is that of add-one smoothing.  An empty
+    table gives an empty result.
     """
-    ratio = fit(docs, target_ids(labels, id_col, label_col, good, most_target_rows), id_col, text_col)
+    ratio, good_rows, known = fit(docs, labelled_ids(labels, id_col, label_col, good, most_labelled_rows), id_col, text_col)
     rows = log_ratios(docs, ratio, text_col, keep=[id_col])
-    rows = materialize(rows.withColumn("gumbel_key", gumbel_key("log_ratio", id_col, sharpness)), "ratios")
-    cut = cut_off(rows, "gumbel_key", rows.where(F.col("log_ratio") > -margin).count())
+    rows = materialize(rows.withColumn("gumbel_key", gumbel_key("log_ratio", id_col, seed)), "ratios")
+    k = sample_size(rows.where("log_ratio IS NOT NULL").count(), good_rows, known) if k is None else k
+    cut = cut_off(rows, "gumbel_key", k)
     return rows.withColumn("selected", F.coalesce(F.col("gumbel_key") >= F.lit(cut), F.lit(False))), ratio, cut
 
 
-def select_rows(docs: DataFrame, ratio: np.ndarray, cut: float, id_col: str = "doc_id", text_col: str = "text", sharpness: float = SHARPNESS) -> DataFrame:
+def select_rows(docs: DataFrame, ratio: np.ndarray, cut: float, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that ``resample`` selects, with their own columns alone.  The ratios are
     worked out again rather than joined, so no text is shuffled."""
     names = ("__ratio", "__grams")
-    rows = log_ratios(docs, ratio, text_col, names).where(gumbel_key("__ratio", id_col, sharpness) >= F.lit(cut))
+    rows = log_ratios(docs, ratio, text_col, names).where(gumbel_key("__ratio", id_col, seed) >= F.lit(cut))
     return rows.drop(*names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, materialize, small_batches
+from .common import byte_column, materialize, parts_of, small_batches
 from .components import connected_components
 
 #: Segments of the 64 bits as (lowest bit, width).  Four differing bits over three segments leave
@@ -18,26 +19,36 @@ from .components import connected_components
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 _SEED = 42
+_BLANK = re.compile(rb"[\x09-\x0d ]")
+
+
+def _count(shingles: list[bytes], ones: np.ndarray) -> int:
+    """Add the set bits of the shingles' hashes to ``ones``; how many shingles there are."""
+    hashes = [xxhash.xxh64_intdigest(x, _SEED) for x in shingles]
+    for k in range(0, len(hashes), 1 << 16):
+        block = np.array(hashes[k : k + (1 << 16)], np.uint64)
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return len(hashes)
 
 
 def fingerprint(data: bytes | None, width: int = 4) -> int:
     """Signed 64-bit SimHash of the word shingles of a UTF-8 text.  No words: 0."""
-    words = data.lower().split() if data else []  # bytes: lowers A-Z, splits at x20, x09-x0D
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    line = b" ".join(words)
-    if len(words) <= width:
-        hashes = [digest(line, _SEED)]
-    else:
+    words: list[bytes] = []
+    ones, total = np.zeros(64, np.int64), 0
+    for part in parts_of([data or b""], _BLANK)[0]:
+        words += part.lower().split()  # bytes: lowers A-Z, splits at x20, x09-x0D
+        if len(words) < width:
+            continue
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(line[i:j], _SEED) for i, j in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[k : k + (1 << 16)], np.uint64)
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+        line = b" ".join(words)
+        total += _count([line[i:j] for i, j in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], ones)
+        words = words[len(words) - width + 1 :]  # those that the next part's first shingles begin with
+    if not total and words:
+        total = _count([b" ".join(words)], ones)
+    if not total:
+        return 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:

@@ -16,8 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
-from .wordbpe import SLICE_CHARS, ByteEncoder, byte_encoder
+from .common import parts_of, slices, small_batches
+from .wordbpe import GAP, SLICE_CHARS, ByteEncoder, byte_encoder
 
 #: Pre-tokens of one leaf of the tree.
 LEAF = 64
@@ -125,13 +125,15 @@ def word_counts(words: list[str], encoder: ByteEncoder) -> list[int]:
 
 def pretokens(texts: list[str], encoder: ByteEncoder) -> list[tuple[np.ndarray, np.ndarray]]:
     """(lengths, token counts) of the pre-tokens of each text."""
-    out = []
-    for k, j in slices([len(x) for x in texts], SLICE_CHARS):
-        begins, slot, edges, ends = encoder.lookup(texts[k:j])
+    parts, owner = parts_of(texts, GAP, SLICE_CHARS)
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    for k, j in slices([len(x) for x in parts], SLICE_CHARS):
+        begins, slot, edges, ends = encoder.lookup(parts[k:j])
         cuts = np.searchsorted(begins, edges)
         lengths, counts = ends - begins, encoder.count[slot]
-        out += [(lengths[a:b], counts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return out
+        for i, a, b in zip(owner[k:j], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i].append((lengths[a:b], counts[a:b]))
+    return [x[0] if len(x) == 1 else tuple(map(np.concatenate, zip(*x, strict=True))) for x in out]
 
 
 def revision(text: str) -> list[tuple[int, int, str]]:

@@ -6,25 +6,28 @@ array operations, and repeats are looked up.  The result equals the library's, i
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-from .common import slices, tokenizer_path
+from .common import parts_of, powers, slices, tokenizer_path
 
 #: Strings that the library takes out of the raw text before all else; such texts go to it whole.
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Pre-tokens kept at once by a worker; the store starts anew beyond that.
 _MOST_KNOWN = 1_200_000
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
-_TABLE_BITS = 21
+#: Places of an empty store, as a power of two; it doubles when half are taken.
+_TABLE_BITS = 16
+_SKIP = 16
 #: Below this character, lower case is one character for one.
 _PLAIN = "\u0130"
-#: Characters that are worked on at a time.
+#: Characters that are worked on at a time.  A longer text is cut where white space begins, which no
+#: pre-token of either vocabulary crosses.
 SLICE_CHARS = 1 << 17
+GAP = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n])")
 
 
 @lru_cache(maxsize=1)
@@ -61,31 +64,43 @@ class WordStore:
     a million words take tens of megabytes."""
 
     def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
         self.forget()
 
     def forget(self) -> None:
         self.size = 0
-        self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)  # open addressing; 0 is an empty place
-        self.slots = np.zeros(1 << _TABLE_BITS, np.int32)
+        self._places(_TABLE_BITS)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            self.up, self.down = np.full(size, _R, np.uint64), np.full(size, _RI, np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
-        return self.up[:n], self.down[:n]
+    def _places(self, bits: int) -> None:
+        """An empty table; open addressing, 0 is an empty place."""
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.slots = np.zeros(1 << bits, np.int32)
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        """Where the search for a key begins: its middle bits, as keys come in ascending order."""
+        return ((key >> np.uint64(_SKIP)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def _widen(self) -> None:
+        """Twice the places, all keys dealt anew."""
+        there = np.nonzero(self.keys)[0]
+        key, slot = self.keys[there], self.slots[there]
+        self._places(self.bits + 1)
+        at = self._first(key)
+        left = np.arange(len(key))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            won = free[np.unique(at[free], return_index=True)[1]]  # one key for each free place
+            self.keys[at[won]], self.slots[at[won]] = key[won], slot[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
     def hashes(self, code: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         """Keys of the ``chosen`` of the words that begin at ``bounds`` and fill the text."""
-        power, inverse = self._powers(len(code))
+        power, inverse = powers(len(code))
         value = code.astype(np.uint64)
         value += np.uint64(1)
         value *= power
@@ -97,12 +112,12 @@ class WordStore:
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where unknown."""
-        at = (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        at = self._first(key)
         there = self.keys[at]
         slot = np.where(there == key, self.slots[at], -1)
         open_ = np.nonzero((there != key) & (there != 0))[0]
         while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << _TABLE_BITS) - 1)
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
             there = self.keys[at[open_]]
             hit = there == key[open_]
             slot[open_[hit]] = self.slots[at[open_[hit]]]
@@ -111,6 +126,8 @@ class WordStore:
 
     def add(self, key: int, ids: list[int]) -> None:
         at = self.size
+        if 2 * at >= len(self.keys):
+            self._widen()
         if at == len(self.begin):
             self.begin, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.count))
         while self.used + len(ids) > len(self.pool):
@@ -119,9 +136,9 @@ class WordStore:
         self.begin[at], self.count[at] = self.used, len(ids)
         self.used += len(ids)
         self.size += 1
-        place = key >> (64 - _TABLE_BITS)
+        place = (key >> _SKIP) & ((1 << self.bits) - 1)
         while self.keys[place]:
-            place = (place + 1) & ((1 << _TABLE_BITS) - 1)
+            place = (place + 1) & ((1 << self.bits) - 1)
         self.keys[place], self.slots[place] = key, at
 
     def unknown(self, code: np.ndarray, key: np.ndarray, slot: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, str]]:
@@ -168,11 +185,18 @@ class Encoder(WordStore):
                 t = unicodedata.normalize("NFC", t)
             mine.append(i)
             rest.append(t)
-        for k, j in slices([len(x) for x in rest], SLICE_CHARS):
-            for i, ids in zip(mine[k:j], self._encode(rest[k:j]), strict=True):
-                out[i] = ids
+        for i, ids in zip(mine, self._in_parts(rest), strict=True):
+            out[i] = ids
         return out
 
+    def _in_parts(self, texts: list[str]) -> list[np.ndarray]:
+        parts, owner = parts_of(texts, GAP, SLICE_CHARS)
+        got: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, j in slices([len(x) for x in parts], SLICE_CHARS):
+            for i, ids in zip(owner[k:j], self._encode(parts[k:j]), strict=True):
+                got[i].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in got]
+
     def _codes(self, texts: list[str]) -> np.ndarray:
         """Code points of the texts in lower case, a newline before, between and after them."""
         text = "\n" + "\n".join(texts) + "\n"
@@ -238,10 +262,7 @@ class ByteEncoder(Encoder):
     """
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for k, j in slices([len(x) for x in texts], SLICE_CHARS):
-            out += self._encode(texts[k:j])
-        return out
+        return self._in_parts(texts)
 
     def _codes(self, texts: list[str]) -> np.ndarray:
         text = "\n" + "\n".join(texts) + "\n"

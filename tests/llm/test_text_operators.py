@@ -11,8 +11,9 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lodestone.llm import html_text, langid, licenses, multiset_hash, packing, pieces, quality, simhash, token_counts, wordbpe
+from lodestone.llm import common, html_text, langid, licenses, multiset_hash, packing, pieces, quality, simhash, token_counts, wordbpe
 
 SF = "/root/testdata/sf0.001"
 ODD = [(None, None), (1, ""), (2, " \n\t "), (3, "one"), (3, "one"), (3, "two"), (4, "é à ü " * 4000), (5, "$$$ 123 ###"), (6, "x" * 70_000)]
@@ -171,6 +172,77 @@ def test_packed_documents(spark, docs, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_packed_ids_stay_exact_beside_a_null(spark, monkeypatch):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None]
+    df = spark.createDataFrame([(i, f"word number {k} " * 40) for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = packing.pack_documents(df, window=64).collect()
+    assert {r.doc_id for r in rows} == set(ids) and all(r.ids_crc32 is not None for r in rows)
+    by = {i: sum(r.length for r in rows if r.doc_id == i) for i in ids}
+    assert all(by[r.doc_id] == r.doc_tokens for r in rows)
+
+
+def test_copies_of_one_row_are_dealt_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    df = spark.createDataFrame([(7, "a b c d e")] * 1000, "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(df, window=64).collect()
+    groups = [r.sequence_id // packing._SPAN for r in rows]
+    assert len(set(groups)) == 20 and max(groups.count(g) for g in set(groups)) < 150
+    assert sum(r.length for r in rows) == 6000
+
+
+# -- very long texts and many words
+
+def rare_words(n, seed=0):
+    """Words that hardly repeat, from numbers in letters."""
+    return " ".join("".join(chr(97 + int(d)) for d in str(k)) for k in range(seed + 1_000_000, seed + 1_000_000 + n))
+
+
+def test_a_store_of_words_grows():
+    store = wordbpe.WordStore()
+    key = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 300_000).astype(np.uint64) * np.uint64(2) | np.uint64(1))
+    key[:1000] = np.arange(1, 2001, 2)  # all at the first place
+    key = np.unique(key)  # ascending, as new words come
+    for k in key.tolist():
+        store.add(k, [k & 1023])
+    assert store.find(key).tolist() == list(range(len(key))) and len(store.keys) >= 2 * len(key)
+    assert (store.find(key + np.uint64(1)) == -1).all()
+
+
+def test_long_texts_of_rare_words():
+    text = rare_words(150_000)
+    e, b = wordbpe.encoder(), wordbpe.byte_encoder()
+    b.whole.encode_special_tokens = True
+    assert e.encode([text])[0].tolist() == e.whole.encode(text, add_special_tokens=False).ids
+    want = b.whole.encode(text, add_special_tokens=False).ids
+    assert b.encode([text])[0].tolist() == want
+    lengths, counts = token_counts.pretokens([text], b)[0]
+    assert lengths.sum() == len(text) and counts.sum() == len(want)
+    v = pieces.vocabulary()
+    s = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert v.encode([text])[0].tolist() == s.encode(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1$'é\u0301 \n\t\x1c\x85\u3000"), max_size=200), min_size=1, max_size=3))
+def test_parts_of_texts_change_nothing(texts):
+    """Every kernel that takes long texts in parts, with parts of a few characters."""
+    import unittest.mock as mock
+
+    def small(texts, gap, limit=0):
+        return parts_of(texts, gap, 7)
+
+    data = [t.encode() for t in texts]
+    parts_of = common.parts_of
+    before = [wordbpe.encoder().encode(texts), wordbpe.byte_encoder().encode(texts), multiset_hash.counts(data), quality.grams(data), [simhash.fingerprint(x) for x in data], [langid.presence(x) for x in data]]
+    with mock.patch.object(wordbpe, "parts_of", small), mock.patch.object(multiset_hash, "parts_of", small), mock.patch.object(quality, "parts_of", small), mock.patch.object(simhash, "parts_of", small), mock.patch.object(langid, "_STRETCH", 5):
+        for slice_bytes in (9, 1 << 20):
+            cut = lambda sizes, n=slice_bytes: common.slices(sizes, n)
+            with mock.patch.object(multiset_hash, "slices", cut), mock.patch.object(quality, "slices", cut):
+                after = [wordbpe.encoder().encode(texts), wordbpe.byte_encoder().encode(texts), multiset_hash.counts(data), quality.grams(data), [simhash.fingerprint(x) for x in data], [langid.presence(x) for x in data]]
+            for x, y in zip(before, after, strict=True):
+                assert all(np.array_equal(p, q) for p, q in zip(x, y, strict=True))
+
+
 # -- language, quality
 
 def test_languages_held_out(spark):
@@ -181,6 +253,19 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_runs_of_blanks_are_one():
+    assert langid.fold(b"a  1 2 B\n\tc") == b"a b c" and langid.fold(b"") == b"" == langid.fold(b" 1 ")
+
+
+def test_one_training_text_for_an_id(spark):
+    rows = [(1, "aaa bbb ccc", "x")] * 2000 + [(1, None, "x"), (1, "qq rr", "y"), (1, "zz ww", "x"), (None, "n n", "x")] + [(i, f"abc {i}", "x") for i in range(2, 400)]
+    got = langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 50).collect()
+    assert sorted((r.label, r.n) for r in got) == [("x", n) for n in range(1, 51)] + [("y", 1)]
+    assert [r.text for r in got if r.label == "y"] == ["qq rr"]
+    every = langid.sample_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 5000).collect()
+    assert len(every) == 400
+
+
 def test_languages_of_odd_rows(spark, odd, docs):
     model = langid.train(docs)
     got = langid.predict(odd, model).collect()
@@ -192,16 +277,76 @@ def test_languages_of_odd_rows(spark, odd, docs):
     assert {r.lang_pred for r in blank.collect()} == {"und"} and blank.count() == len(ODD)
 
 
-def test_quality_keeps_good_and_drops_bad(spark):
+def test_quality_of_labels_held_out(spark):
+    """Fitted on half of the labels, judged on the other half."""
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows, ratio, cut = quality.resample(docs, labels)
-    seen = rows.join(labels, "doc_id").collect()
+    rows, ratio, cut = quality.resample(docs, labels.where("doc_id % 2 = 0"))
+    seen = rows.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     good = [r.selected for r in seen if r.quality == 1]
     bad = [r.selected for r in seen if r.quality == 0]
-    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.3
     kept = {r.doc_id for r in quality.select_rows(docs, ratio, cut).collect()}
     assert kept == {r.doc_id for r in rows.where("selected").collect()}
+    few, _, _ = quality.resample(docs, labels, k=100)
+    assert few.where("selected").count() == 100
+
+
+def test_quality_ratios_are_those_of_plain_counting(spark, docs):
+    """Sums of log ratios over hashed tokens and pairs, counted one by one."""
+    def plain(text):
+        tokens, now, kind = [], "", 0
+        for c in text.encode().lower() + b" ":
+            k = int(quality._CLASS[c])
+            if k != kind and now:
+                tokens.append(bytes(now, "latin-1"))
+                now = ""
+            kind = k
+            now += chr(c) if k else ""
+        return [(t,) for t in tokens] + [p if p[0] != p[1] else "twice" for p in zip(tokens, tokens[1:], strict=False)]
+
+    rows = docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect() + [(-1, "Ab ab, $$ x_1 é é"), (-2, "w " * 700_000 + "end"), (-3, ""), (-4, None)]
+    known = {i: i % 3 == 0 for i, _ in rows if i % 2 == 0}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame(list(known.items()), "id long, good boolean")
+    ratio, good, n = quality.fit(df, labelled)
+    assert (good, n) == (sum(known.values()), len(known))
+    grams = {i: plain(t or "") for i, t in rows}
+    names = {}
+    for i, t in rows:  # the bucket of every n-gram, told by the order of the plain walk: tokens, then pairs
+        for gram, bucket in zip(grams[i], quality.grams([(t or "").encode()])[0].tolist(), strict=True):
+            assert names.setdefault(gram, bucket) == bucket
+    assert len(set(names.values())) > 0.95 * quality.BUCKETS * (1 - np.exp(-len(names) / quality.BUCKETS))
+    count = np.zeros((2, quality.BUCKETS))
+    for i, _ in rows:
+        for gram in grams[i]:
+            count[1, names[gram]] += 1
+            count[0, names[gram]] += known.get(i, False)
+    p = (count + 1) / (count.sum(1, keepdims=True) + quality.BUCKETS)
+    for r in quality.log_ratios(df, ratio).collect():
+        want = sum(np.log(p[0, names[g]] / p[1, names[g]]) for g in grams[r.doc_id])
+        assert r.n_grams == len(grams[r.doc_id])
+        assert r.log_ratio is None if not grams[r.doc_id] else r.log_ratio == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_gumbel_top_k_draws_by_weight(spark):
+    """Over seeds, the first draw falls on each row as often as its weight says, and the first two likewise."""
+    weights = [0.4, 0.3, 0.2, 0.1]
+    table = spark.range(8000).withColumn("r", F.element_at(F.array(*[F.lit(float(np.log(w))) for w in weights]), (F.col("id") % 4 + 1).cast("int")))
+    keys = table.select("id", quality.gumbel_key("r", "id").alias("k")).orderBy("id").toPandas().k.to_numpy().reshape(-1, 4).T
+    order = np.argsort(-keys, axis=0)
+    n = keys.shape[1]
+    first = np.bincount(order[0], minlength=4) / n
+    assert np.abs(first - weights).max() < 4 * np.sqrt(0.25 / n)
+    both = np.bincount(order[:2].ravel(), minlength=4) / n
+    want = [w + sum(v * w / (1 - v) for j, v in enumerate(weights) if j != i) for i, w in enumerate(weights)]
+    assert np.abs(both - want).max() < 4 * np.sqrt(0.25 / n)
+
+
+def test_sample_size():
+    assert quality.sample_size(1000, 0, 0) == 1000 and quality.sample_size(0, 5, 9) == 0
+    assert quality.sample_size(10_000, 800, 1000) == pytest.approx(10_000 * (0.8 + (0.16 / 1000) ** 0.5), abs=20)
+    assert quality.sample_size(100, 50, 50) == 100
 
 
 def test_quality_of_odd_rows(spark, odd):
