@@ -1,4 +1,9 @@
-"""Near-duplicate embeddings: sign hashing in several tables, exact cosines, connected components."""
+"""Near-duplicate embeddings: sign hashing in several tables, exact cosines, connected components.
+
+Crowds are met as one: vectors within half the linking angle of a common centre all link with each other,
+so such a ball needs no pairs of its own, and two balls whose centres lie near or far enough link wholly or
+not at all.  Only between balls at the border, and between vectors outside balls, are pairs looked at.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +27,12 @@ BUCKET = 24
 #: Bits of the sketch that candidates are screened by before their cosine is worked out, and the share
 #: of pairs of exactly the least cosine that the screen may lose.
 SKETCH_BITS, SCREEN_MISS = 256, 1e-7
+#: Members from which a bucket counts as crowded, so that its first vector is tried as a centre, and the tables
+#: in which crowds are looked for.
+CROWD, CROWD_TABLES = 64, 8
+#: Angles are told apart to this much, in radians.
+_EPS = 1e-6
+_WORDS = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
 def shape(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -62,15 +73,32 @@ def valid(column: str) -> F.Column:
     return F.coalesce(v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of class representatives with cosine of at least ``cosine``.
+def _same_scale(v: F.Column) -> F.Column:
+    """The vector times a power of two that brings its largest component to between 1 and 2: squares neither
+    vanish nor overflow, and no bit of a cosine changes."""
+    power = F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("int")
+    half = F.floor(power / 2).cast("int")
+    one, two = F.pow(F.lit(2.0), -half), F.pow(F.lit(2.0), half - power)
+    return F.transform(v, lambda x: x * one * two)
+
+
+def cosine_of(a: str, b: str) -> F.Column:
+    """Cosine of two columns of doubles; null where their lengths differ."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    x, y = F.col(a), F.col(b)
+    return F.when(F.size(x) == F.size(y), dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))))
+
+
+def _angle(value: F.Column) -> F.Column:
+    return F.acos(F.least(F.greatest(value, F.lit(-1.0)), F.lit(1.0)))
 
-    ``classes`` has rep, n and v (doubles of length one).  Buckets meet by an equality join that adaptive
-    execution may split; the sketch screens inside the join; cosines are worked out in double precision
-    for distinct candidates only.
-    """
-    bits, tables = shape(classes.count(), cosine, miss)
-    words = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+
+def _apart(l: str, r: str) -> str:
+    return " + ".join(f"bit_count({l}{w} ^ {r}{w})" for w in _WORDS)
+
+
+def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(rep, sketch words, keys) of every class: its bucket in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,69 +113,125 @@ def near_pairs(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -
                     bucket, sketch = _hashes(flat[start[some][:, None] + np.arange(dim)], bits, tables)
                     key = (np.int64(dim) << np.int64(50)) + (np.arange(tables, dtype=np.int64)[None, :] << np.int64(bits)) + bucket
                     keys = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * tables), pa.array(key.ravel()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(sketch[:, k].copy()) for k in range(len(words))), keys], ["rep", *words, "keys"])
-
-    hashed = classes.select("rep", "v").mapInArrow(run, f"rep long, {', '.join(f'{w} long' for w in words)}, keys array<long>")
-    index = hashed.select("rep", *words, F.explode("keys").alias("key"))
-    apart = " + ".join(f"bit_count(l.{w} ^ r.{w})" for w in words)
-    near = f"l.key = r.key AND l.rep < r.rep AND {apart} <= {screen(cosine)}"
-    pairs = index.alias("l").join(index.alias("r"), F.expr(near)).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    both = pairs.join(one, "a").join(two, "b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    value = dot(F.col("va"), F.col("vb")) / (F.sqrt(dot(F.col("va"), F.col("va"))) * F.sqrt(dot(F.col("vb"), F.col("vb"))))
-    return both.where((F.size("va") == F.size("vb")) & (value >= F.lit(cosine))).select("a", "b", "na", "nb")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), *(pa.array(sketch[:, k].copy()) for k in range(len(_WORDS))), keys], ["rep", *_WORDS, "keys"])
+
+    return classes.select("rep", "v").mapInArrow(run, f"rep long, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
+
+
+def balls(classes: DataFrame, bits: int, cosine: float) -> DataFrame:
+    """(rep, ball, angle): classes that lie within half the linking angle of the centre ``ball``, which is the
+    first class of a crowded bucket; of several centres the one of least number.  Any two of a ball link."""
+    index = hashed(classes, bits, CROWD_TABLES).select("rep", *_WORDS, F.explode("keys").alias("key"))
+    heads = index.groupBy("key").agg(F.min("rep").alias("ball"), F.count("*").alias("m")).where(F.col("m") >= CROWD).select("key", "ball")
+    near = index.join(heads, "key").drop("key").distinct()
+    sketch = index.join(heads.select(F.col("ball").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("ball"), *[F.col(w).alias(f"c{w}") for w in _WORDS]).distinct()
+    least = math.cos(math.acos(cosine) / 2)
+    near = near.join(sketch, "ball").where(F.expr(f"{_apart('', 'c')} <= {screen(least)}")).select("rep", "ball")
+    one, two = classes.select("rep", F.col("v").alias("va")), classes.select(F.col("rep").alias("ball"), F.col("v").alias("vb"))
+    angle = near.join(one, "rep").join(two, "ball").select("rep", "ball", _angle(cosine_of("va", "vb")).alias("angle"))
+    inside = angle.where(F.col("angle") <= math.acos(cosine) / 2 - _EPS)
+    return inside.groupBy("rep").agg(F.min("ball").alias("ball"), F.min_by("angle", "ball").alias("angle"))
+
+
+def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
+    """(rep, more) and (a, b): to how many vectors of other classes the members of a class link, and edges
+    between classes that tie together what links tie together.
+
+    ``classes`` has rep, n and v (doubles, see ``_same_scale``).  Buckets meet by an equality join that
+    adaptive execution may split; the sketch screens inside the join; cosines are worked out in double
+    precision for distinct candidates only.
+    """
+    bits, tables = shape(classes.count(), cosine, miss)
+    limit = math.acos(cosine)
+    inside = materialize(balls(classes, bits, cosine), "balls")
+    placed = classes.join(inside, "rep", "left").select("rep", "n", "v", "ball", F.coalesce("ball", "rep").alias("node"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
+    sizes = placed.groupBy("node").agg(F.sum("n").alias("total"), F.max("angle").alias("radius"), F.min("rep").alias("lead"), F.max(F.col("ball").isNotNull()).alias("many"))
+    nodes = materialize(sizes.join(classes.select(F.col("rep").alias("node"), "v"), "node"), "nodes")
+
+    marks = hashed(classes, bits, tables).join(inside.select("rep", "ball"), "rep", "left")
+    alone = marks.where("ball IS NULL").select(F.col("rep").alias("node"), F.lit(0).alias("many"), *_WORDS, F.explode("keys").alias("key"))
+    crowd = marks.where("ball IS NOT NULL").select(F.col("ball").alias("node"), F.explode("keys").alias("key")).distinct()
+    centres = hashed(nodes.where("many").select(F.col("node").alias("rep"), "v"), bits, 1).select(F.col("rep").alias("node"), F.lit(1).alias("many"), *_WORDS)
+    index = alone.unionByName(crowd.join(centres, "node"))
+    # centres of linked vectors lie as much further apart as their balls are wide
+    most = [screen(math.cos(limit * (1 + k / 2))) for k in range(3)]
+    meet = f"l.key = r.key AND l.node < r.node AND {_apart('l.', 'r.')} <= CASE l.many + r.many WHEN 0 THEN {most[0]} WHEN 1 THEN {most[1]} ELSE {most[2]} END"
+    pairs = index.alias("l").join(index.alias("r"), F.expr(meet)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(nodes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in nodes.columns]), side)
+    value = cosine_of("v_a", "v_b")
+    wide = F.col("radius_a") + F.col("radius_b")
+    sure = F.when(~F.col("many_a") & ~F.col("many_b"), F.col("value") >= cosine).otherwise(_angle(F.col("value")) + wide <= limit - _EPS)
+    open_ = (F.col("many_a") | F.col("many_b")) & (_angle(F.col("value")) - wide <= limit + _EPS)
+    pairs = pairs.withColumn("value", value).select("a", "b", "total_a", "total_b", "lead_a", "lead_b", sure.alias("sure"), open_.alias("open")).where("sure OR open")
+    pairs = materialize(pairs, "pairs")
+
+    member = placed.select("node", "rep", "n", "v")
+    border = pairs.where("NOT sure").select("a", "b")
+    for side in "ab":
+        border = border.join(member.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in member.columns]), side)
+    border = materialize(border.where(cosine_of("v_a", "v_b") >= F.lit(cosine)).select("rep_a", "rep_b", "n_a", "n_b"), "border")
+
+    whole = pairs.where("sure")
+    far = whole.select(F.col("a").alias("node"), F.col("total_b").alias("m")).unionByName(whole.select(F.col("b").alias("node"), F.col("total_a").alias("m")))
+    far = far.groupBy("node").agg(F.sum("m").alias("far"))
+    single = border.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("m")).unionByName(border.select(F.col("rep_b").alias("rep"), F.col("n_a").alias("m")))
+    single = single.groupBy("rep").agg(F.sum("m").alias("near"))
+    home = placed.select("rep", "n", "node").join(nodes.select("node", "total"), "node")
+    more = F.col("total") - F.col("n") + F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0))
+    counts = home.join(far, "node", "left").join(single, "rep", "left").select("rep", more.alias("more"))
+    ties = placed.join(nodes.select("node", "lead"), "node").where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    edges = ties.unionByName(whole.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))).unionByName(border.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    return counts, materialize(edges, "edges")
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    Two vectors link if their cosine, in double precision, is ``cosine`` or more.  Equal vectors form a
-    class that is compared once (classes are told apart by 128 bits of hash); a row links with its class
-    fellows and with every member of linked classes.  Null, zero, and non-finite vectors, vectors with a
-    null component, and rows with a null id link with nothing and are their own component.  Vectors of
-    different length never link.  Rows that share an id count as rows for links and as one node for
-    components.  An empty table gives an empty result; other columns aren't looked at.
+    Two vectors link if their cosine, in double precision, is ``cosine`` or more.  Vectors that are equal
+    once divided by their largest component form a class that is compared once (classes are told apart by
+    128 bits of hash); a row links with its class fellows and with every member of linked classes.  Null,
+    zero, and non-finite vectors, vectors with a null component, and rows with a null id link with nothing
+    and are their own component.  Vectors of different length never link.  Rows that share an id count as
+    rows for links and as one node for components.  An empty table gives an empty result; other columns
+    aren't looked at.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).withColumn("ok", valid("v") & F.col("id").isNotNull())
-    keyed = rows.select("id", "ok", F.when(F.col("ok"), F.xxhash64("v", F.lit(1))).alias("k1"), F.when(F.col("ok"), F.xxhash64("v", F.lit(2))).alias("k2"), "v")
+    rows = rows.withColumn("v", F.when(F.col("ok"), _same_scale(F.col("v")))).withColumn("big", F.array_max(F.transform("v", F.abs)))
+    unit = F.transform("v", lambda x: x / F.col("big") + F.lit(0.0))
+    keyed = rows.withColumn("unit", F.when(F.col("ok"), unit))
+    keyed = keyed.select("id", "ok", F.when(F.col("ok"), F.xxhash64("unit", F.lit(1))).alias("k1"), F.when(F.col("ok"), F.xxhash64("unit", F.lit(2))).alias("k2"), "v")
     members = materialize(keyed.select("id", "ok", "k1", "k2"), "members")
-    classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
+    classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("v", F.struct("id", F.xxhash64("v"))).alias("v"))
     classes = materialize(classes, "vectors")
-    several = members.where("ok").groupBy("id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y")
+    several = members.where("ok").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y")
     if not several.isEmpty():
         return _with_shared_ids(members, classes, cosine, miss, id_col)
-    return _assemble(members, classes, near_pairs(classes, cosine, miss), id_col)
-
-
-def _assemble(members: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("rep"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("na").alias("m")))
-    more = ends.groupBy("rep").agg(F.sum("m").alias("more"))
-    comp = connected_components(pairs)
+    more, edges = links(classes, cosine, miss)
+    comp = connected_components(edges)
     label = classes.select("k1", "k2", "rep", "n").join(more, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
     label = label.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    return _result(members, label, id_col)
+
+
+def _result(members: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
     out = members.join(label, ["k1", "k2"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def _with_shared_ids(members: DataFrame, classes: DataFrame, cosine: float, miss: float, id_col: str) -> DataFrame:
-    """As above where some id has several vectors: classes are numbered below zero by hash, and every
-    id of such a kind ties its classes together."""
-    number = -F.abs(F.col("k1")) - 1
-    numbered = materialize(classes.select("k1", "k2", number.alias("rep"), "n", "v", F.col("rep").alias("least")), "numbered")
-    ok = members.where("ok")
-    ties = ok.select(number.alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(near_pairs(numbered, cosine, miss), "pairs")
-    ends = pairs.select(F.col("a").alias("rep"), F.col("nb").alias("m")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("na").alias("m")))
-    more = ends.groupBy("rep").agg(F.sum("m").alias("more"))
-    comp = connected_components(ties.unionByName(pairs.select("a", "b")))
-    label = numbered.join(more, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").withColumnRenamed("component", "c")
-    least = ok.select("id").join(comp, F.col("id") == F.col("node")).groupBy("component").agg(F.min("id").alias("first"))
-    label = label.join(least, F.col("c") == F.col("component")).select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "first")
-    out = members.join(label, ["k1", "k2"], "left")
-    component = F.coalesce("first", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    """As above where some id has several vectors: classes get numbers of their own, and an id ties those
+    of its vectors together."""
+    numbered = classes.select("k1", "k2", F.monotonically_increasing_id().alias("number"), "n", "v", F.col("rep").alias("least"))
+    numbered = materialize(numbered, "numbered")  # numbers are given once
+    held = members.where("ok").join(numbered.select("k1", "k2", "number"), ["k1", "k2"]).select("id", "number").distinct()
+    ties = held.join(held.groupBy("id").agg(F.min("number").alias("lead")), "id").where("lead < number")
+    more, edges = links(numbered.select(F.col("number").alias("rep"), "n", "v"), cosine, miss)
+    comp = connected_components(ties.select(F.col("lead").alias("a"), F.col("number").alias("b")).unionByName(edges))
+    label = numbered.drop("v").join(more.withColumnRenamed("rep", "number"), "number", "left").join(comp, F.col("number") == F.col("node"), "left")
+    label = label.withColumn("c", F.coalesce("component", "number")).drop("component")
+    first = label.groupBy("c").agg(F.min("least").alias("component"))
+    label = label.join(first, "c").select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "component")
+    return _result(members, label, id_col)
