@@ -1,9 +1,9 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is read as a run of words and tags.  Words score above zero and tags below; the weights are log
-odds counted over the labelled pages below, whose content is marked.  One linear scan finds the
-contiguous run of the largest total; whole elements that the same log odds call surroundings (menus,
-adverts, forms, comments ...) count nothing inside it and are left out of the text.
+A page is read as a run of words and tags.  Words score above zero and tags below, with weights that are
+log odds counted over labelled pages; one linear scan finds the contiguous run of the largest total.
+Elements that the same log odds call surroundings (menus, adverts, forms, comments ...) count a detour
+inside the run and are left out of the text.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,91 +21,243 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .labelled_pages import LABELLED
 
-# Elements whose content is never text of the page.  With '/>', a drawing is empty; the others are where
-# no end of theirs comes before the next of their name, since browsers pass over that '/'.
-_RAW = "(?P<svg>svg)|script|style|noscript|template|iframe|object|textarea|select|title"
-_ALONE = r"/>(?(svg)|(?!(?:(?!<(?P=raw)[\s/>]).)*?</(?P=raw)\s*>))"
-_TOKEN = re.compile(
-    rf"""(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])(?:"[^"]*"|'[^']*'|/(?!>)|[^'">/])*(?:{_ALONE}|/?>.*?(?:</(?P=raw)\s*>|\Z))|<[!?][^>]*>)"""
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:"[^"]*"|'[^']*'|[^'">])*)>|(?P<text>[^<]+|<)""",
-    re.S | re.I,
-)
+# Each alternative of an attribute run begins with another character, and none gives back what it took.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
-_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements whose content isn't read as markup: of the first none is text, of the others all is.
+_DROPPED = frozenset(("script", "style", "noscript", "template", "iframe", "svg"))
+_RCDATA = frozenset(("textarea", "title"))
+_INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr option".split())
 #: Parts of a formula, which stands within its line.
 _FORMULA = frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may hold others and are closed by name; the rest only break blocks.
-_HOLDERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table tbody thead tr td figure fieldset details dialog button menu blockquote center".split())
+_HOLDERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table tbody thead tr td figure fieldset details dialog button menu blockquote center select textarea title object".split())
+#: Those that a header or footer within them belongs to.
+_SECTIONS = frozenset(("article", "main", "section"))
 
-#: Labelled pages: what stands between the marks {{ and }} is content, the rest surroundings.
-LABELLED = (
-    '<html><head><meta charset="utf-8"></head><body><header class="site-header masthead" role="banner"><a>Home</a></header><nav class="navbar menu" role="navigation"><ul><li><a>News</a></li><li><a>Sport</a></li></ul></nav>{{<article class="post entry"><h1>A title of some words</h1><p>First words of the text, <b>bold</b> and <a>linked</a>, go on for long.</p><p>More words follow in another paragraph of the text.</p></article>}}<aside class="sidebar widget" role="complementary"><ul><li><a>Older</a></li></ul></aside><footer class="footer" role="contentinfo">All rights reserved</footer></body></html>',
-    '<body><div id="header" class="top topbar"><a>Logo</a></div><div id="nav" class="navigation breadcrumb breadcrumbs"><a>Up</a></div><div class="ad ads advert">Buy this</div>{{<div id="content" class="content main text"><h2>Heading words</h2><p>Text words in a row that tell a story.</p><blockquote>Quoted words</blockquote><ul><li>A point made</li><li>Another one</li></ul><p>Closing words of the story.</p></div>}}<div class="related share social">See also</div><div id="comments" class="comment comments disqus respond reply"><p>I disagree</p><form><input><button>Send</button></form></div><div id="footer">Imprint</div></body>',
-    '<body><div class="cookie consent notice banner popup modal alert">We use cookies</div><div class="newsletter subscribe signup promo sponsor sponsored advertisement advertising">Join</div>{{<main class="body"><section class="article"><h1>Main words</h1><p>Words, words and again words fill this.</p><table><tr><td>cell</td><td>cell</td></tr></table><h3>Part</h3><p>Words at the end of it all.</p></section></main>}}<div class="sidebar menu"><ul><li><a>More</a></li></ul></div><div class="pagination pager toolbar login search"><form><input><button>Go</button></form></div><footer><p>Legal words</p></footer></body>',
-    '<body><nav><a>One</a><a>Two</a></nav>{{<h1>Bare page</h1><p>Its words stand in the body.</p><div><p>And in a box of their own.</p></div><pre>some code</pre><dl><dt>term</dt><dd>meaning of it</dd></dl>}}<aside><p>Did you know</p></aside><div class="comments"><p>Nice</p></div><div class="sponsor ad"><a>Deal</a></div><div class="footer copyright disclaimer">Terms</div></body>',
-    '<body><header><p>Daily paper</p></header><form class="search form"><input></form><div class="ads adsense adbox banner">Sale</div>{{<div class="story"><p>He said that words were enough.</p><p>They were not, as <i>this</i> shows.</p></div>}}<section class="comments"><h2>Reader comments</h2><article class="comment"><p>First</p></article></section><section class="related recommended"><h3>Read next</h3><a>Other</a></section><footer class="site-footer">2020</footer></body>',
-    '<body><div class="topnav navmenu submenu dropdown toc skip"><a>Menu</a></div><div class="adslot advertising promotion sponsored gdpr cookies notification">Offer</div>{{<div class="entry post article content"><div class="body text main story"><p>These are the words that readers came for.</p><p>There are more of them here.</p></div></div>}}<ol class="commentlist replies discussion comments"><li>Well said</li></ol><div class="sharing share follow social trending popular recommended related rail"><a>Next</a></div><div class="searchform search signup login newsletter subscribe"><input></div><div class="copyright legal footer disclaimer">Rights</div></body>',
-)
+#: Sums of log odds at or below the first call an element surroundings, above the second content.
+SURROUNDINGS, CONTENT = -1.1, 0.9
+#: Score of passing over surroundings, and the part of a word's score that a word in a link keeps.
+DETOUR, LINKED = -2.0, -0.3
+#: Times the words outside that make an element a wrapper of the page.
+WRAPS = 3
+#: Added to the counts of features.
+_UNSEEN = 0.1
 
 
-def _features(name: str, attr: str) -> list[str]:
-    """The element's name and the words of its class, id and role."""
-    found = [f"<{name}"]
-    if "=" in attr:
-        for m in _MARK.finditer(attr):
-            found += [w for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w]
-    return found
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of every token: kind '' is text, '<' a begin tag, '/' an end tag, '-' what is
+    dropped whole.
+
+    Time is linear in the page's length.  A tag whose quotes never end ends at the next '>', and so do the
+    tags after it.  Content without markup goes to its end tag, or to the end of the page; with '/>', a
+    drawing is empty, and another is where no end of theirs comes before the next of their name.
+    """
+    at, size, tag = 0, len(page), _TAG
+    ends: dict[tuple[str, str], int] = {}
+
+    def following(mark: str, name: str, start: int) -> int:
+        """Where the next begin or end tag of a name is; each place is looked for once."""
+        if ends.get((mark, name), -1) < start:
+            m = re.compile(rf"<{mark}{name}[\s/>]", re.I).search(page, start)
+            ends[mark, name] = m.start() if m else size
+        return ends[mark, name]
+
+    while at < size:
+        open_ = page.find("<", at)
+        if open_ < 0:
+            yield "", "", page[at:]
+            return
+        if open_ > at:
+            yield "", "", page[at:open_]
+        at = open_
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            end = page.find(">", at)
+            if end >= 0:
+                at = end + 1
+                continue
+        elif after == "/" or after.isalpha():
+            m = tag.match(page, at)
+            if not m and tag is _TAG and _LOOSE_TAG.match(page, at):
+                tag = _LOOSE_TAG
+                m = tag.match(page, at)
+            if m:
+                name, rest, at = m[2].lower(), m[3], m.end()
+                if not m[1] and name in _DROPPED or name in _RCDATA and not m[1]:
+                    if rest.endswith("/") and (name == "svg" or following("/", name, at) >= following("", name, at)):
+                        yield "-", name, rest
+                        continue
+                    end = following("/", name, at)
+                    if name in _RCDATA:
+                        yield "<", name, rest
+                        yield "", "", page[at:end]
+                        yield "/", name, ""
+                    else:
+                        yield "-", name, rest
+                    close = page.find(">", end)
+                    at = size if close < 0 else close + 1
+                    continue
+                yield "/" if m[1] else "<", name, rest
+                continue
+            if page.find(">", at) < 0:  # no tag ends any more
+                yield "", "", page[at:]
+                return
+        yield "", "", "<"
+        at += 1
+
+
+def _marks(rest: str) -> list[str]:
+    """The words of an element's class, id and role."""
+    return [w for m in _MARK.finditer(rest) for w in (m[1] or m[2] or m[3] or "").split()] if "=" in rest else []
+
+
+def _parts(word: str) -> list[str]:
+    return [p.lower() for p in _PART.findall(word)]
 
 
 @lru_cache(maxsize=1)
 def weights() -> tuple[dict[str, float], dict[str, float], float]:
     """(log odds of element features, scores of tags, score of a word), counted over ``LABELLED``.
 
-    Elements: odds of holding content rather than surroundings.  Tags: their log odds shifted to lie
-    below zero.  A word: the log odds that a word outside surroundings is content.
+    Features are names ('<nav'), names within a section ('<header|article'), words of class, id or role
+    ('site-footer') and their parts ('~footer').  An element is content or surroundings if most of its words
+    are by far; others tell nothing.  A feature's log odds say how much commoner it is in content.  Tags: the log odds of
+    their names, shifted to lie below zero.  A word: the log odds that a word of a page is content.
     """
-    inside, outside = Counter(), Counter()
-    words = [0, 0]
+    counts, words = (Counter(), Counter()), [0, 0]  # of surroundings and of content
     for page in LABELLED:
-        before, rest = page.split("{{")
-        content, after = rest.split("}}")
-        for part, into, at in ((before, outside, 1), (content, inside, 0), (after, outside, 1)):
-            for m in _TOKEN.finditer(part):
-                if m["name"] and not m["end"]:
-                    into.update(set(_features(m["name"].lower(), m["attr"])))
-                elif m["text"]:
-                    words[at] += len(m["text"].split())
-    odds = {f: math.log((inside[f] + 0.5) / (outside[f] + 0.5)) for f in inside | outside}
-    tags = {f[1:]: min(-0.05, 0.2 * (v - 2)) / 4 for f, v in odds.items() if f[0] == "<"}
-    return odds, tags, max(1.0, math.log((words[0] + 0.5) / (words[1] + 0.5)))
-
-
-#: Below this sum of log odds, an element is surroundings.  Names common to both sides weigh little.
-_SURROUNDINGS = -0.6
-#: Score of entering surroundings.
-_DETOUR = -2.0
-
-
-def _is_surrounding(name: str, attr: str, within: list[str]) -> bool:
+        content, path = 0, []
+        for kind, name, rest in tokens(page.replace("{{", "\1").replace("}}", "\2")):
+            if not kind:
+                for piece in re.split("([\1\2])", rest):
+                    content = {"\1": 1, "\2": 0}.get(piece, content)
+                    for held in (words, *(own for _, _, own in path)):
+                        held[content] += len(piece.strip("\1\2").split())
+            elif kind == "<":
+                within = next((n for n, _, _ in reversed(path) if n in _SECTIONS), "")
+                marks = _marks(rest)
+                found = {f"<{name}", f"<{name}|{within}", *marks, *(f"~{p}" for w in marks for p in _parts(w))}
+                if name in _HOLDERS:
+                    path.append((name, found, [0, 0]))
+                else:
+                    counts[content].update(found)
+            elif any(n == name for n, _, _ in path):
+                while True:
+                    n, found, own = path.pop()
+                    if 5 * min(own) < max(own):
+                        counts[own[1] > own[0]].update(found)
+                    if n == name:
+                        break
+    total = [sum(v for f, v in c.items() if f[0] == "<" and "|" not in f) for c in counts]
+    odds = {f: math.log((counts[1][f] + _UNSEEN) / (counts[0][f] + _UNSEEN) * total[0] / total[1]) for f in counts[0] | counts[1]}
+    top = max(v for f, v in odds.items() if f[0] == "<" and "|" not in f)
+    tags = {f[1:]: min(-0.05, 0.05 * (v - top)) for f, v in odds.items() if f[0] == "<" and "|" not in f}
+    return odds, tags, max(1.0, math.log(words[1] / words[0]))
+
+
+@lru_cache(maxsize=1 << 16)
+def _mark_odds(word: str) -> float:
+    """Log odds of a word of a class: its own where the labelled pages have it, else those of its last part,
+    which names the thing, else its parts' mean."""
     odds = weights()[0]
-    if name in ("html", "body", "main"):
-        return False
-    if name in ("head", "nav", "aside", "footer", "form", "button", "dialog", "menu"):
-        return True
-    if name == "header":
-        return not any(x in ("article", "main") for x in within)
-    if name in ("ul", "ol", "li", "p", "a", "table", "tr", "td") and "=" not in attr:
-        return False
-    own = [odds.get(f, 0.0) for f in _features(name, attr)[1:]]
-    return bool(own) and sum(own) < _SURROUNDINGS
-
-
-def _content_like(name: str, attr: str) -> bool:
+    parts = [f"~{p}" for p in _parts(word)]
+    for known in (word, *parts[-1:]):
+        if known in odds:
+            return odds[known]
+    return sum(odds.get(p, 0.0) for p in parts) / max(1, len(parts))
+
+
+@lru_cache(maxsize=1 << 16)
+def element_odds(name: str, within: str, rest: str) -> float:
+    """Log odds that an element holds content: its name's, in its section where that is known, and those
+    of the words of its class, id and role."""
     odds = weights()[0]
-    return name in ("article", "main") or sum(odds.get(f, 0.0) for f in _features(name, attr)[1:]) > 0.9
+    return odds.get(f"<{name}|{within}", odds.get(f"<{name}", 0.0)) + sum(map(_mark_odds, dict.fromkeys(_marks(rest))))
+
+
+def best_run(scores: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and last of the run of largest total, from (score before it, own score) of each block; what
+    stands before the first block of a run doesn't count.  Of equal runs, the one that ends first, and of
+    those the shortest."""
+    best, total, first, at, last = -math.inf, -math.inf, 0, 0, -1
+    for k, (before, own) in enumerate(scores):
+        if total + before > 0:
+            total += before + own
+        else:
+            total, first = own, k
+        if total > best:
+            best, at, last = total, first, k
+    return at, last
+
+
+@dataclass(slots=True)
+class _Element:
+    name: str
+    odds: float
+    up: int  # the element around it
+    words: int = 0  # not counting surroundings inside it
+    first: int = 0  # event at which it begins
+    last: int = 0
+    away: bool = False  # surroundings
+
+
+def _elements(page: str) -> tuple[list[tuple[str, str, str, int]], list[_Element]]:
+    """(events, elements): tokens with the element that each lies in, and the elements in order of their
+    beginnings; the first stands for the page."""
+    events, all_, path, sections = [], [_Element("", 0.0, -1)], [0], [""]
+    where: dict[str, list[int]] = {}  # places on the path by name
+    for kind, name, rest in tokens(page):
+        if kind == "<" and name in _HOLDERS and not rest.endswith("/"):
+            all_.append(_Element(name, element_odds(name, sections[-1], rest) if len(rest) < 400 else sum(map(_mark_odds, dict.fromkeys(_marks(rest)))), path[-1], first=len(events)))
+            where.setdefault(name, []).append(len(path))
+            path.append(len(all_) - 1)
+            if name in _SECTIONS:
+                sections.append(name)
+        elif kind == "/" and name in _HOLDERS and where.get(name):
+            place = where[name][-1]
+            for e in path[place:]:
+                all_[e].last = len(events)
+                where[all_[e].name].pop()
+                if all_[e].name in _SECTIONS:
+                    sections.pop()
+            events.append((kind, name, rest, path[place]))
+            del path[place:]
+            continue
+        elif not kind:
+            all_[path[-1]].words += len(rest.split())
+        events.append((kind, name, rest, path[-1]))
+    for e in path:
+        all_[e].last = len(events)
+    return events, all_
+
+
+def _judge(all_: list[_Element]) -> None:
+    """Mark the elements that are surroundings: those whose log odds say so, unless one holds ``WRAPS`` times
+    the words that stand outside all surroundings, and nothing outside it is called content.  Such an
+    element wraps the page, so its marks tell nothing."""
+    for e in reversed(all_):  # inner elements first
+        if e.up >= 0 and e.odds > SURROUNDINGS:
+            all_[e.up].words += e.words
+    content = [e for e in all_ if e.odds > CONTENT and e.words]
+    done, begun = min((e.last for e in content), default=math.inf), max((e.first for e in content), default=-1)
+    kept = all_[0].words  # those outside all surroundings; those of a candidate come on top
+    buried = [False]
+    for e in all_[1:]:  # outer elements first
+        inside = buried[e.up] or all_[e.up].away
+        buried.append(inside)
+        e.away = e.odds <= SURROUNDINGS
+        if e.away and not inside and e.words > WRAPS * kept and done > e.first and begun < e.last:
+            e.away = False
+            kept += e.words
 
 
 def main_text(page: str | None) -> str:
@@ -115,10 +268,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     _, tags, word = weights()
-    blocks: list[tuple[str, float, float, tuple]] = []  # text, score before it, its score, holders around it
-    open_: list[tuple[str, int, bool]] = []  # holders that are open: name, number, whether content-like
-    hidden = 0  # how many of them lie in surroundings
-    number, cost, linked, link, muted = 0, 0.0, 0, False, False
+    events, all_ = _elements(page)
+    _judge(all_)
+    blocks: list[str] = []
+    scores: list[tuple[float, float]] = []
+    begins: dict[int, int] = {}  # by content-like element, its first block
+    spans: list[tuple[int, int]] = []  # first and last block of content-like elements
+    cost, linked, link, muted, until = 0.0, 0, False, False, -1
     text: list[str] = []
 
     def close_block() -> None:
@@ -127,88 +283,61 @@ def main_text(page: str | None) -> str:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
                 n = whole.count(" ") + 1
-                blocks.append((whole, cost, word * (n - 1.3 * min(n, linked)), tuple(open_)))
+                blocks.append(whole)
+                scores.append((cost, word * (n - (1 - LINKED) * min(n, linked))))
                 cost = 0.0
         text.clear()
         linked, muted = 0, False
 
-    for m in _TOKEN.finditer(page):
-        if m["text"]:
-            if not hidden:
-                text.append(m["text"])
-                if link:
-                    linked += len(m["text"].split())
-            continue
-        if m["skip"] is not None:
-            if not hidden and m["raw"]:
-                text.append(" ")
+    for k, (kind, name, rest, e) in enumerate(events):
+        if k < until:
             continue
-        name, attr = m["name"].lower(), m["attr"]
-        if name in _HOLDERS:
-            if not hidden:
-                close_block()
-                cost += tags.get(name, -0.1)
+        if not kind:
+            text.append(rest)
+            linked += len(rest.split()) if link else 0
+        elif kind == "-":
+            text.append(" ")
+        elif name in _HOLDERS:
+            close_block()
             link = False
-            if m["end"]:
-                at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-                if at is not None and (at >= len(open_) - hidden or name in ("body", "html", "article", "main")):
-                    hidden = max(0, hidden - (len(open_) - at))
-                    del open_[at:]
-            elif not attr.endswith("/"):
-                number += 1
-                if hidden:
-                    hidden += 1
-                elif _is_surrounding(name, attr, [x for x, _, _ in open_]):
-                    hidden = 1
-                    cost += _DETOUR
-                open_.append((name, number, not hidden and _content_like(name, attr)))
+            cost += tags.get(name, -0.1)
+            own = all_[e]
+            if kind == "<" and own.first == k and e:
+                if own.away:
+                    until, cost = own.last, cost + DETOUR
+                elif own.odds > CONTENT:
+                    begins[e] = len(blocks)
+            elif kind == "/" and e in begins:
+                spans.append((begins.pop(e), len(blocks) - 1))
         elif name in _FORMULA:
-            if not hidden and name in ("mtr", "mtd", "mspace"):
+            if name in ("mtr", "mtd", "mspace"):
                 text.append(" ")
-        elif not hidden:
+        else:
             if name not in _INLINE:
                 close_block()
-                muted = not m["end"] and "=" in attr and _is_surrounding(name, attr, [])
-            elif name in ("br", "img"):
+                muted = kind == "<" and "=" in rest and sum(map(_mark_odds, dict.fromkeys(_marks(rest)))) <= SURROUNDINGS
+            elif name in ("br", "img", "option"):
                 text.append(" ")
             elif name == "a":
-                link = not m["end"]
+                link = kind == "<"
             cost += tags.get(name, -0.1)
     close_block()
+    spans += [(b, len(blocks) - 1) for b in begins.values()]
     if not blocks:
         return ""
-    best = total = -math.inf
-    first = at = last = 0
-    for k, (_, before, own, _) in enumerate(blocks):
-        if total + before > 0:
-            total += before + own
-        else:
-            total, first = own, k
-        if total > best:
-            best, at, last = total, first, k
-    # if one content-like element holds the run, the run grows to the whole of it
-    common = blocks[at][3]
-    for b in blocks[at : last + 1]:
-        n = 0
-        while n < min(len(common), len(b[3])) and common[n] == b[3][n]:
-            n += 1
-        common = common[:n]
-    while common and not common[-1][2]:
-        common = common[:-1]
-    if common:
-        n = len(common)
-        while at and blocks[at - 1][3][:n] == common:
-            at -= 1
-        while last + 1 < len(blocks) and blocks[last + 1][3][:n] == common:
-            last += 1
-    return "\n".join(b[0] for b in blocks[at : last + 1])
+    at, last = best_run(scores)
+    # the innermost content-like element that holds the run, if there is one, is taken whole
+    whole = min((s for s in spans if s[0] <= at and last <= s[1]), key=lambda s: s[1] - s[0], default=(at, last))
+    return "\n".join(blocks[whole[0] : whole[1] + 1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every row: main text and its number of code points.
 
-    Null html is as empty and gives an empty text.  Whole pages are read, however long; rows are
-    neither dropped nor merged; further columns aren't looked at.
+    Null html is as empty and gives an empty text.  Whole pages are read, however long, in time linear in
+    their length; of runs of equal score ``best_run`` says which one counts.  Repeated rows are read each;
+    rows are neither dropped nor merged; an empty table gives an empty result; further columns aren't
+    looked at.
     """
     small_batches(pages.sparkSession)
 

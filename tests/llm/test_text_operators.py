@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -494,6 +495,51 @@ WHOLE_PAGES = [
 ]
 
 
+STORY = "<h1>A title</h1><p>Words of a story that goes on for a while, and a little longer.</p><p>It has an end.</p>"
+TOLD = "A title\nWords of a story that goes on for a while, and a little longer.\nIt has an end."
+
+
+@pytest.mark.parametrize("wrapper", ["<form id='aspnetForm'>%s</form>", "<div class='has-sidebar'>%s</div>", "<div class='page no-comments'>%s</div>", "<div id='menu-page'>%s</div>", "<main><div class='search-page'>%s</div></main>", "<div class='cookie-ok'><div class='container'><article>%s</article></div></div>", "<div class=comments-off><nav><a>x</a><a>y</a></nav><div class=main>%s</div><footer>z</footer></div>"])
+def test_wrapped_articles_come_back_whole(wrapper):
+    assert html_text.main_text("<html><body>" + wrapper % STORY + "</body></html>") == TOLD
+
+
+@pytest.mark.parametrize("inner, text", [("<div class='popular-science'><p>Light bends.</p></div>", "Light bends."), ("<table class='search-results'><tr><td>3 found</td></tr></table>", "3 found"), ("<object data='x'>No player</object>", "No player"), ("<p>x <math><mi>y</mi></math></p>", "x y"), ("<ul><li><a href='/a'>One link</a></li><li><a href='/b'>Another</a></li></ul>", "One link\nAnother")])
+def test_elements_of_an_article_stay(inner, text):
+    assert html_text.main_text(f"<body><article>{STORY}{inner}<p>After it.</p></article></body>") == f"{TOLD}\n{text}\nAfter it."
+
+
+@pytest.mark.parametrize("part", ["<nav><ul><li><a>Home</a></li></ul></nav>", "<div class='ad'>Buy a boat now</div>", "<div class='cookie-notice'>We use cookies</div>", "<aside class='sidebar'><p>Elsewhere</p></aside>", "<form><input><button>Send it</button></form>", "<section class='comments'><h2>Comments</h2><div class='comment'><p>" + "I say so. " * 40 + "</p></div></section>", "<script>var a = 1;</script>", "<style>p{}</style>", "<footer>All rights</footer>", "<select><option>One</option></select>", "<textarea>Say</textarea>", "<div class='newsletter-signup'><p>Join us</p></div>", "<ol class='comment-list'><li>No</li></ol>", "<div class='article-comments'><p>No, no.</p></div>", "<!-- <p>no</p> -->"])
+def test_surroundings_go_before_after_and_inside(part):
+    for page in (f"<body>{part}<article>{STORY}</article></body>", f"<body><article>{STORY}</article>{part}</body>", f"<body><article>{STORY.replace('</h1>', '</h1>' + part)}</article></body>", f"<body>{part}<div class='content'>{STORY}</div>{part}</body>"):
+        assert html_text.main_text(page) == TOLD, page
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(-6, 0), st.integers(-3, 5)), min_size=1, max_size=12))
+def test_the_best_run_is_the_best(scores):
+    def total(i, j):
+        return scores[i][1] + sum(a + b for a, b in scores[i + 1 : j + 1])
+
+    n = len(scores)
+    want = max(((total(i, j), -j, i) for j in range(n) for i in range(j + 1)))
+    assert html_text.best_run([(float(a), float(b)) for a, b in scores]) == (want[2], -want[1])
+
+
+@pytest.mark.parametrize("page", ['<p>"' + '<a b="' * 60_000, "<a 'x" * 60_000, "<script/>" * 60_000 + "<p>x</p>", "<div>" * 60_000 + "x", "<!--" * 60_000, "<b" * 60_000, "<nav>" * 30_000 + "</nav>" * 30_000, "<a 'x>'" * 60_000, "&" * 200_000, "<div class='ad'>" * 30_000 + "x"])
+def test_hostile_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 12
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "<p>Some words &amp; more</p>" * 50_000 + "</article><footer>no</footer>"
+    df = spark.createDataFrame([(1, "u", long), (2, "u", "<p>x</p>"), (2, "u", "<p>x</p>")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars) for r in html_text.extract(df).collect())
+    assert got == [(1, 50_000 * 18 - 1), (2, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("page, want", WHOLE_PAGES)
 def test_nothing_after_an_empty_element_is_lost(page, want):
     assert html_text.main_text(page) == want
