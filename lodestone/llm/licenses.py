@@ -7,6 +7,7 @@ order, are matched against rules, each an ordered list of identifiers.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,89 +17,175 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-# Known sentences of public licences and licence notices, by identifier.  One identifier
-# may have several wordings.
+# Sentences of public licences and of their usual headers, by identifier.  One identifier may
+# have several wordings; <...> stands for one to twelve words, such as a holder's name.
 SENTENCES = {
-    "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License", "Distributed under the MIT License", "License: MIT", "SPDX-License-Identifier: MIT"],
-    "mit-title": ["The MIT License", "MIT License", "The MIT License (MIT)"],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
-    "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
     "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
-    "apache2-notice": ["Licensed under the Apache License, Version 2.0", "This project is licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")", "Released under the Apache License, Version 2.0", "Licensed under Apache 2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "apache2-compliance": ["you may not use this file except in compliance with the License"],
-    "apache2-obtain": ["You may obtain a copy of the License at"],
-    "apache2-url": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"],
-    "apache2-asis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
-    "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "Licensed under the GPLv3", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "gpl2-notice": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2", "Licensed under the GPLv2", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "gpl-received": ["You should have received a copy of the GNU General Public License along with this program"],
-    "lgpl3-notice": ["Licensed under the GNU Lesser General Public License, version 3", "Licensed under the LGPLv3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "agpl3-notice": ["Licensed under the GNU Affero General Public License, version 3", "Licensed under the AGPLv3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
+    "mit0-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "apache2-compliance": ["you may not use this file except in compliance with the License", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", "you may not use these files except in compliance with the License"],
+    "apache2-obtain": ["You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
+    "apache2-url": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0", "http://www.apache.org/licenses/LICENSE-2.0.txt", "http://www.apache.org/licenses/"],
+    "apache2-asis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, KIND, either express or implied"],
+    "apache2-limits": ["See the License for the specific language governing permissions and limitations under the License"],
+    "apache2-date": ["Version 2.0, January 2004"],
+    "apache2-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "asf-contributed": ["Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements"],
+    "gnu-gpl": ["GNU GENERAL PUBLIC LICENSE"],
+    "gnu-lgpl": ["GNU LESSER GENERAL PUBLIC LICENSE", "GNU LIBRARY GENERAL PUBLIC LICENSE"],
+    "gnu-agpl": ["GNU AFFERO GENERAL PUBLIC LICENSE"],
+    "gnu-date3": ["Version 3, 29 June 2007"],
+    "gnu-date-agpl": ["Version 3, 19 November 2007"],
+    "gnu-date2": ["Version 2, June 1991"],
+    "gnu-date21": ["Version 2.1, February 1999"],
+    "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "gpl-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"],
+    "gpl2-free": ["<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "<...> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "lgpl21-free": ["<...> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl-hope": ["<...> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
+    "gpl-details": ["See the GNU General Public License for more details"],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "gpl-received": ["You should have received a copy of the GNU General Public License along with <...>"],
+    "lgpl-received": ["You should have received a copy of the GNU Lesser General Public License along with <...>"],
+    "agpl-received": ["You should have received a copy of the GNU Affero General Public License along with <...>"],
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd-notice": ["Licensed under the BSD License", "Released under the BSD License", "Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "bsd2-notice": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "isc-notice": ["Licensed under the ISC License", "Released under the ISC License", "SPDX-License-Identifier: ISC"],
+    "bsd-endorse": ["Neither the name of <...> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of <...> may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-advertising": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd-asis": ["THIS SOFTWARE IS PROVIDED BY <...> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd-liability": ["IN NO EVENT SHALL <...> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-asis": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
     "mpl2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "mpl2-notice": ["Licensed under the Mozilla Public License, version 2.0", "Licensed under the MPL 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "epl2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at <...>"],
+    "epl-accompanying": ["THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\")"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "zlib-asis": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-event": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
     "unlicense-free": ["This is free and unencumbered software released into the public domain"],
     "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
-    "cc0-notice": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
-    "ccby4-notice": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "ccbysa4-notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "ccbync4-notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "ccbyncsa4-notice": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0"],
+    "wtfpl-terms": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION"],
+    "cc0-waiver": ["To the extent possible under law, <...> has waived all copyright and related or neighboring rights to this work"],
     "reserved": ["All rights reserved"],
 }
 
 #: Rules (licence, identifiers in order).  A longer rule takes its sentences before a shorter one.
 RULES = [
-    ("MIT", ["mit-title", "mit-grant", "mit-condition", "mit-warranty"]),
+    ("MIT", ["mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-condition"]),
-    ("MIT", ["mit-notice"]),
-    ("MIT", ["mit-title"]),
-    ("Apache-2.0", ["apache2-notice", "apache2-compliance", "apache2-obtain", "apache2-asis"]),
-    ("Apache-2.0", ["apache2-notice"]),
+    ("MIT", ["mit-grant"]),
+    ("MIT-0", ["mit0-grant", "mit-warranty"]),
+    ("Apache-2.0", ["Apache-2.0 notice", "apache2-compliance", "apache2-obtain", "apache2-asis", "apache2-limits"]),
+    ("Apache-2.0", ["apache2-compliance", "apache2-obtain", "apache2-asis", "apache2-limits"]),
+    ("Apache-2.0", ["Apache-2.0 notice", "apache2-compliance", "apache2-obtain", "apache2-asis"]),
+    ("Apache-2.0", ["apache2-compliance", "apache2-obtain", "apache2-asis"]),
+    ("Apache-2.0", ["asf-contributed"]),
+    ("Apache-2.0", ["apache2-date", "apache2-url", "apache2-terms"]),
     ("Apache-2.0", ["apache2-url"]),
+    ("GPL-3.0", ["gpl-free", "gpl-hope", "gpl-details", "gpl-received"]),
     ("GPL-3.0", ["gpl-free", "gpl-hope", "gpl-received"]),
     ("GPL-3.0", ["gpl-free"]),
-    ("GPL-3.0", ["gpl3-notice"]),
+    ("GPL-3.0", ["gnu-gpl", "gnu-date3", "gnu-verbatim"]),
+    ("GPL-2.0", ["gpl2-free", "gpl-hope", "gpl-details", "gpl-received"]),
     ("GPL-2.0", ["gpl2-free", "gpl-hope", "gpl-received"]),
     ("GPL-2.0", ["gpl2-free"]),
-    ("GPL-2.0", ["gpl2-notice"]),
-    ("LGPL-3.0", ["lgpl3-notice"]),
-    ("AGPL-3.0", ["agpl3-notice"]),
+    ("GPL-2.0", ["gnu-gpl", "gnu-date2", "gnu-verbatim"]),
+    ("LGPL-2.1", ["lgpl21-free", "gpl-hope", "lgpl-details", "lgpl-received"]),
+    ("LGPL-2.1", ["lgpl21-free"]),
+    ("LGPL-2.1", ["gnu-lgpl", "gnu-date21", "gnu-verbatim"]),
+    ("LGPL-3.0", ["lgpl3-free", "gpl-hope", "lgpl-details", "lgpl-received"]),
+    ("LGPL-3.0", ["lgpl3-free"]),
+    ("LGPL-3.0", ["gnu-lgpl", "gnu-date3", "gnu-verbatim"]),
+    ("AGPL-3.0", ["agpl3-free", "gpl-hope", "agpl-details", "agpl-received"]),
+    ("AGPL-3.0", ["agpl3-free"]),
+    ("AGPL-3.0", ["gnu-agpl", "gnu-date-agpl", "gnu-verbatim"]),
+    ("BSD-4-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis", "bsd-liability"]),
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liability"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
-    ("BSD-3-Clause", ["bsd-notice"]),
-    ("BSD-2-Clause", ["bsd2-notice"]),
+    ("ISC", ["isc-grant", "isc-asis"]),
     ("ISC", ["isc-grant"]),
-    ("ISC", ["isc-notice"]),
+    ("0BSD", ["0bsd-grant", "isc-asis"]),
+    ("MPL-2.0", ["mpl2-subject", "mpl2-copy"]),
     ("MPL-2.0", ["mpl2-subject"]),
-    ("MPL-2.0", ["mpl2-notice"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("EPL-2.0", ["epl-accompanying"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-asis", "zlib-event", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
     ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
     ("Unlicense", ["unlicense-free"]),
-    ("CC0-1.0", ["cc0-notice"]),
-    ("CC-BY-4.0", ["ccby4-notice"]),
-    ("CC-BY-SA-4.0", ["ccbysa4-notice"]),
-    ("CC-BY-NC-4.0", ["ccbync4-notice"]),
-    ("CC-BY-NC-SA-4.0", ["ccbyncsa4-notice"]),
+    ("WTFPL", ["wtfpl-terms"]),
+    ("CC0-1.0", ["cc0-waiver"]),
 ]
 
+# Names of licences as they stand in notices, as patterns over normalised words; the first that fits counts.
+_L = "licen[sc]e"
+
+
+def _gnu(long: str, short: str, version: str) -> str:
+    return rf"(?:gnu )?(?:{long}(?: public)?(?: {_L})?(?: {short})?|{short}) ?(?:version |v ?)?{version}(?: 0)?(?: only| or later| or any later version)?"
+
+
+def _versioned(name: str, version: str) -> str:
+    number = rf"(?:version |v ?)?{version}(?: 0)?"
+    return rf"(?:{name})(?: {_L})? {number}(?: {_L})?"
+
+
+NAMES = [
+    ("AGPL-3.0", _gnu("affero general", "agpl", "3")),
+    ("LGPL-3.0", _gnu("(?:lesser|library) general", "lgpl", "3")),
+    ("LGPL-2.1", _gnu("(?:lesser|library) general", "lgpl", "2 1")),
+    ("GPL-3.0", _gnu("general", "gpl", "3")),
+    ("GPL-2.0", _gnu("general", "gpl", "2")),
+    ("Apache-2.0", _versioned("apache(?: software)?|asl", "2")),
+    ("BSD-3-Clause", rf"(?:(?:3|three) clause bsd|bsd (?:3|three) clause|(?:new|modified|revised) bsd)(?: {_L})?"),
+    ("BSD-2-Clause", rf"(?:(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd)(?: {_L})?"),
+    ("0BSD", rf"(?:0bsd|zero clause bsd)(?: {_L})?"),
+    ("BSD-3-Clause", rf"bsd(?: style)? {_L}"),
+    ("MIT", rf"mit(?: x11| expat)?(?: style)?(?: open source)? {_L}|expat {_L}|x11 {_L}|mit"),
+    ("ISC", rf"isc(?: {_L})?"),
+    ("MPL-2.0", _versioned(f"mozilla public {_L}|mpl", "2") + r"|mpl2(?: 0)?"),
+    ("EPL-2.0", _versioned(f"eclipse public {_L}|epl", "2")),
+    ("EPL-1.0", _versioned(f"eclipse public {_L}|epl", "1")),
+    ("BSL-1.0", rf"boost software {_L}(?: (?:version )?1 0)?"),
+    ("Zlib", rf"zlib(?: libpng)? {_L}"),
+    ("Unlicense", "unlicense"),
+    ("WTFPL", "wtfpl"),
+    ("Artistic-2.0", _versioned(f"artistic {_L}|artistic", "2")),
+    ("EUPL-1.2", rf"(?:european union public {_L}|eupl)(?: version| v)? ?1 2"),
+    ("OFL-1.1", rf"(?:sil )?open font {_L}(?: (?:version )?1 1)?"),
+    ("PSF-2.0", rf"(?:python software foundation|psf) {_L}"),
+    ("CC0-1.0", r"(?:creative commons zero|cc0)(?: (?:version )?1 0)?(?: universal)?"),
+    ("CC", rf"(?:creative commons|cc) (?P<by>by|attribution)(?P<more>(?: (?:nc|noncommercial|non commercial|sa|sharealike|share alike|nd|noderivatives|no derivatives|noderivs))*)(?: version)? (?P<major>[1-4]) (?P<minor>\d)(?: international| unported| generic)?(?: {_L})?"),
+]
+_VERB = r"(?:licen[sc]ed|released|distributed|redistributed|available|provided|published|offered|covered|shared|governed|used|usable|licensing is)"
+_SCOPE = r"(?:under|by|with)(?: the)?(?: (?:following|terms|conditions|provisions|terms and conditions|term|either|both|a|an|of|the|its|permissive|free|open source)){0,5}"
+
 #: Sentences that may stand between two of a rule's.
 GAP = 4
 
 _WORD = re.compile(r"[a-z0-9]+")
 _END = re.compile(r"(?<=[.!?;:])\s+|\n[ \t]*\n\s*")
-_HINT = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|spdx|obtain[^a-z0-9]+a[^a-z0-9]+copy|anyone[^a-z0-9]+is[^a-z0-9]+free|names[^a-z0-9]+of[^a-z0-9]+its", re.I)
+_HINT = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|spdx|obtain[^a-z0-9]+a[^a-z0-9]+copy|anyone[^a-z0-9]+is[^a-z0-9]+free|advertising|in[^a-z0-9]+no[^a-z0-9]+event|software[^a-z0-9]+is[^a-z0-9]+provided|version[^a-z0-9]+\d|terms|verbatim|mpl|under[^a-z0-9]", re.I)
 _MARK = re.compile(r"(?:\d+|[a-z]) ")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I)
+_SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: Words that a notice may run to; lines are joined to so many.
+_NOTICE_WORDS = 40
+#: Words that the gap in a pattern may take.
+_HOLE = r"\w+(?: \w+){0,11}"
 
 
 def normalise(sentence: str) -> str:
@@ -106,6 +193,35 @@ def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
+def spdx_name(name: str) -> str:
+    """The licence of an SPDX identifier: 'only', 'or later' and '+' don't tell licences apart here."""
+    return re.sub(r"-(?:only|or-later)$|\+$", "", name)
+
+
+@lru_cache(maxsize=1)
+def _grammar() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
+    """(notices, titles, licence by group): a notice is a verb, 'under' and a name, or 'license' and a name at
+    the beginning of a line; a title is a name with 'license' in it that fills a line."""
+    groups, parts = {}, []
+    for k, (licence, pattern) in enumerate(NAMES):
+        groups[f"n{k}"] = licence
+        parts.append(f"(?P<n{k}>{pattern})")
+    any_ = "|".join(parts)
+    domain = r"(?P<pd>(?:released|placed|dedicated)(?: \w+){0,3}? (?:in|into|to)(?: the)? public domain)"
+    notice = re.compile(rf"\b(?:{domain}|{_VERB}(?: \w+){{0,4}}? {_SCOPE} (?:{any_})(?![a-z0-9]))")
+    title = re.compile(rf"(?:the |project |code )?(?:licen[sc]e (?:the |is )?)?(?:{any_})(?: mit| isc)?")
+    return notice, title, groups | {"pd": "public-domain"}
+
+
+def _licence_of(m: re.Match, groups: dict[str, str]) -> str:
+    licence = next(groups[g] for g, v in m.groupdict().items() if v is not None and g in groups)
+    if licence == "CC":
+        more = m["more"]
+        kinds = [k for k, words in (("NC", ("nc", "noncommercial", "non commercial")), ("SA", ("sa", "sharealike", "share alike")), ("ND", ("nd", "noderivatives", "no derivatives", "noderivs"))) if any(re.search(rf"\b{w}\b", more) for w in words)]
+        return "-".join(["CC-BY", *kinds, f"{m['major']}.{m['minor']}"])
+    return licence
+
+
 def _parts(text: str) -> Iterator[tuple[int, int, str | None]]:
     """(begin, end, join) of every part.  ``join`` stands for the stop between a part and the next one in
     a wording that runs over both: nothing for ';' and ':', ' .' for others, None where none may."""
@@ -117,14 +233,41 @@ def _parts(text: str) -> Iterator[tuple[int, int, str | None]]:
 
 
 @lru_cache(maxsize=1)
-def _known() -> tuple[dict[str, str], int]:
-    """Identifiers by wording, as one part and as cut into parts."""
-    table = {}
+def _known() -> tuple[dict[str, str], list[tuple[str, re.Pattern]], int]:
+    """Identifiers by wording, as one part and as cut into parts, in alphabetical order; patterns of those
+    with a gap; the length of the longest."""
+    table, holes = {}, []
     for k, all_ in SENTENCES.items():
         for s in all_:
-            table[normalise(s)] = k
-            table[" ".join(normalise(s[at:end]) + (join or "") for at, end, join in _parts(s))] = k
-    return table, max(map(len, table))
+            for words in (normalise(s.replace("<...>", " zzz ")), " ".join(normalise(s[at:end].replace("<...>", " zzz ")) + (join or "") for at, end, join in _parts(s))):
+                if "zzz" in words:
+                    holes.append((k, re.compile(re.escape(words).replace("zzz", _HOLE))))
+                else:
+                    table[words] = k
+    return dict(sorted(table.items())), holes, max(len(normalise(s)) for all_ in SENTENCES.values() for s in all_) + 160
+
+
+@lru_cache(maxsize=1)
+def _hole_starts() -> re.Pattern:
+    """What a run that fits a pattern with a gap has to hold."""
+    return re.compile("free software|in the hope that|a copy of the gnu|the name of|this software is provided by|in no event shall|to the extent possible under law|this program and the accompanying materials")
+
+
+#: Words that may stand before the first telling words of a pattern with a gap.
+_BEFORE = 16
+
+
+@lru_cache(maxsize=1)
+def _wordings() -> list[str]:
+    return list(_known()[0])
+
+
+def _may_go_on(words: str) -> bool:
+    """Whether a known wording begins with these words, or a pattern with a gap may."""
+    at = bisect_left(_wordings(), words)
+    if at < len(_wordings()) and _wordings()[at].startswith(words):
+        return True
+    return words.count(" ") < _BEFORE or bool(_hole_starts().search(words))
 
 
 def identify_sentences(text: str) -> list[tuple[int, int, str]]:
@@ -133,15 +276,19 @@ def identify_sentences(text: str) -> list[tuple[int, int, str]]:
     Parts end at a stop with white space after it or at an empty line.  A known sentence is a run of whole
     lines of a part, or of several parts where its wording has stops inside; the longest run counts, and as
     one sentence.  So notices that follow an unfinished line are found too.  List marks before a sentence
-    are passed over.
+    are passed over.  Lines that begin no known sentence are searched for notices ('... licensed under the
+    terms of the MIT license ...', identifier 'MIT notice'), titles ('MIT title') and SPDX lines ('MIT spdx').
+    A notice that says 'not' before its verb is none.
     """
-    known, longest = _known()
+    known, holes, longest = _known()
+    notices, titles, groups = _grammar()
     parts = list(_parts(text))
     cut: dict[int, list[tuple[int, str]]] = {}
 
     def lines(p: int) -> list[tuple[int, str]]:
         if p not in cut:
             cut[p] = _lines(text[parts[p][0] : parts[p][1]], parts[p][0])
+            cut.pop(p - 40, None)
         return cut[p]
 
     def run(p: int, i: int) -> tuple[int, int, str] | None:
@@ -150,15 +297,22 @@ def identify_sentences(text: str) -> list[tuple[int, int, str]]:
         most = longest + (mark.end() if mark else 0)
         words, hit, q, j = "", None, p, i
         while True:
-            for n, (_, line) in enumerate(lines(q)[j:], j):
-                words = f"{words} {line}".strip()
+            here = lines(q)
+            for n in range(j, len(here)):
+                words = f"{words} {here[n][1]}".strip()
                 if len(words) > most:
                     return hit
                 name = known.get(words)
-                if not name and mark and n == len(lines(q)) - 1:
-                    name = known.get(words[mark.end() :])
+                end = n == len(here) - 1
+                if not name and end:
+                    bare = words[mark.end() :] if mark else words
+                    name = known.get(bare)
+                    if not name and _hole_starts().search(bare):
+                        name = next((k for k, pattern in holes if pattern.fullmatch(bare)), None)
                 if name:
                     hit = (q, n, name)
+                if not _may_go_on(words[mark.end() :] if mark else words) and not (mark and _may_go_on(words)):
+                    return hit
             join = parts[q][2]
             if join is None:
                 return hit
@@ -166,17 +320,58 @@ def identify_sentences(text: str) -> list[tuple[int, int, str]]:
             if len(words) > most:
                 return hit
 
+    def grammar(p: int, i: int) -> tuple[list[str], int]:
+        """Identifiers of the notices that begin in a line, or of the title that it is, and the last line
+        that they reach into."""
+        here = lines(p)
+        line = here[i][1]
+        if line in ("license", "licence") and i == len(here) - 1 and parts[p][2] == "" and p + 1 < len(parts) and lines(p + 1):
+            line = f"{line} {lines(p + 1)[0][1]}"
+        if "public domain" not in line and "under" not in line and "licen" not in line and "with" not in line and " by" not in line:
+            return [], i
+        whole = titles.fullmatch(line)
+        if whole and "licen" in line:
+            return [f"{_licence_of(whole, groups)} title"], i
+        line = words = here[i][1]
+        ends = [len(line)]
+        while i + len(ends) < len(here) and len(words) - len(line) < 8 * _NOTICE_WORDS:
+            words = f"{words} {here[i + len(ends)][1]}"
+            ends.append(len(words))
+        names, last = [], i
+        for m in notices.finditer(words):
+            if m.start() >= len(line):
+                break
+            last = i + bisect_left(ends, m.end())
+            if not re.search(r"\b(?:not|never|isn t)(?: \w+){0,2} $", words[max(0, m.start() - 60) : m.start()]):
+                names.append(f"{_licence_of(m, groups)} notice")
+        return names, last
+
+    spdx = {}
+    for m in _SPDX.finditer(text):
+        ids = [x for x in _SPDX_ID.findall(m[1].split("*/")[0].split("-->")[0]) if x.upper() not in ("AND", "OR", "WITH")]
+        spdx[m.start()] = ids
     found, p, i, joined = [], 0, 0, 0
+    marks = sorted(spdx)
     while p < len(parts):
         if (i == 0 and not _HINT.search(text, *parts[p][:2])) or i >= len(lines(p)):
             p, i = p + 1, 0
             continue
         hit = run(p, i)
+        at = lines(p)[i][0]
         if hit:
-            found.append((p - joined, lines(p)[i][0], hit[2]))
+            found.append((p - joined, at, hit[2]))
             joined += hit[0] - p
             p, i = hit[:2]
+        else:
+            names, i = grammar(p, i)
+            found += [(p - joined, at, name) for name in names]
         i += 1
+    if marks:
+        number = [at for _, at, _ in found]
+        begins = [b for b, _, _ in parts]
+        found += [(bisect_right(begins, at) - 1, at, f"{spdx_name(x)} spdx") for at in marks for x in spdx[at]]
+        if number:
+            found.sort(key=lambda f: f[1])
     return found
 
 
@@ -195,25 +390,49 @@ def _lines(part: str, at: int) -> list[tuple[int, str]]:
 
 def match_rules(found: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
     """(licence, first code point) of the rules that hold, in text order.  Each sentence serves one rule;
-    longer rules come first, and of one rule the earliest match."""
-    used: set[int] = set()
+    longer rules come first, and of one rule the earliest match.  A rule's next sentence is the nearest
+    unused one of its identifier, with at most ``GAP`` other sentences between.  A sentence whose identifier
+    ends in 'notice', 'title' or 'spdx' is a rule by itself.
+
+    Places of an identifier are found by bisection, so time goes with the number of sentences."""
+    places: dict[str, list[int]] = {}
+    for k, (_, _, name) in enumerate(found):
+        places.setdefault(name, []).append(k)
+    used = [False] * len(found)
+    after = {name: list(range(len(p) + 1)) for name, p in places.items()}  # per identifier, the next unused
+
+    def unused(name: str, j: int) -> int:
+        """The first unused of an identifier's places from its j-th on, halving the way for later searches."""
+        next_ = after[name]
+        while next_[j] != j:
+            next_[j] = next_[next_[j]]
+            j = next_[j]
+        return j
+
     out = []
     for licence, wanted in sorted(RULES, key=lambda r: -len(r[1])):
-        start = 0
-        while start < len(found):
-            if start in used or found[start][2] != wanted[0]:
-                start += 1
-                continue
-            chain, k = [start], start + 1
-            while len(chain) < len(wanted) and k < len(found) and found[k][0] - found[chain[-1]][0] <= GAP + 1:
-                if k not in used and found[k][2] == wanted[len(chain)]:
-                    chain.append(k)
-                k += 1
+        if any(w not in places for w in wanted):
+            continue
+        j = unused(wanted[0], 0)
+        while j < len(places[wanted[0]]):
+            chain = [(wanted[0], j)]
+            last = places[wanted[0]][j]
+            for name in wanted[1:]:
+                n = unused(name, bisect_right(places[name], last))
+                if n >= len(places[name]) or found[places[name][n]][0] - found[last][0] > GAP + 1:
+                    break
+                last = places[name][n]
+                chain.append((name, n))
             if len(chain) == len(wanted):
-                used.update(chain)
-                out.append((found[start][1], licence))
-            start += 1
-    return [(name, at) for at, name in sorted(out)]
+                for name, n in chain:
+                    used[places[name][n]] = True
+                    after[name][n] = n + 1
+                out.append((found[places[wanted[0]][j]][1], licence))
+            j = unused(wanted[0], j + 1)
+    for k, (_, at, name) in enumerate(found):
+        if not used[k] and name.endswith((" notice", " title", " spdx")):
+            out.append((at, name.rsplit(" ", 1)[0]))
+    return [(name, at) for at, name in sorted(out, key=lambda x: x[0])]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
