@@ -129,6 +129,13 @@ class Fingerprint:
     def __init__(self, text: str = ""):
         (self.wide,), (self.count,) = vectors([text.encode()])
 
+    @classmethod
+    def of(cls, lanes: list[int], counts: bytes) -> Fingerprint:
+        """From the columns ``lanes`` and ``counts``."""
+        new = cls()
+        new.wide, new.count = np.array(lanes, np.int64).view(np.uint64), np.frombuffer(counts, "<i2").astype(np.int16)
+        return new
+
     def insert(self, paragraphs: str) -> Fingerprint:
         (w,), (c,) = vectors([paragraphs.encode()])
         self.wide, self.count = self.wide + w, self.count + c
@@ -175,21 +182,22 @@ def _work(rows: list[tuple]) -> list[tuple]:
         (w, c), i = own[k], 3 * k
         new = (w - wide[i + 1] + wide[i + 2], c - count[i + 1] + count[i + 2])
         sha = hashlib.sha256(edited.encode()).hexdigest()
-        out.append((rows[k][0], len(rows[k][1]), sha, digest(w, c), digest(*new), likeness(own[k], new), likeness(own[k], own[k + 1])))
+        lanes = (w.view(np.int64).tolist(), c.astype("<i2").tobytes())
+        out.append((rows[k][0], len(rows[k][1]), sha, digest(w, c), digest(*new), likeness(own[k], new), likeness(own[k], own[k + 1]), *lanes))
     return out
 
 
-_COLUMNS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_COLUMNS = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "lanes", "counts"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (stretch, ahead, id, text) in order; ``ahead`` rows follow their stretch's own rows and only
+def _walk(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """The first ``columns`` of the result.  Rows (stretch, ahead, id, text) in order; ``ahead`` rows follow their stretch's own rows and only
     the first of them is looked at."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        got = _work(rows)
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), _KINDS, strict=True)], _COLUMNS)
+        got = list(zip(*_work(rows), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(got[k], _KINDS[k]) for k in range(columns)], _COLUMNS[:columns])
 
     held: list[tuple] = []
     size, now, over = 0, None, False
@@ -207,10 +215,12 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = held[-1:], len(text)
 
 
-def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every
-    row; see ``edit`` for the edited text.  The next document is that of the next id, after the last
-    the first.
+def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_counts: bool = True) -> DataFrame:
+    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lanes, counts)
+    of every row; see ``edit`` for the edited text.  The next document is that of the next id, after the
+    last the first.  ``lanes`` (eight numbers modulo 2 to the 64) and ``counts`` (2 KB, left out unless
+    ``keep_counts``) are the fingerprint itself, from which ``Fingerprint.of`` goes on; two multisets of
+    paragraphs are equal where the lanes are.
 
     Ids alone are read to cut them into stretches of about ``STRETCH_ROWS`` rows; texts are shuffled
     once, dealt by stretch and sorted, and a stretch's last row finds the first of the next stretch
@@ -245,5 +255,11 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     dealt = both.select("o", "id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("to"))
     dealt = dealt.select("to.stretch", "to.ahead", "o", "id", "text", F.xxhash64("text").alias("mark")).repartition("stretch")
     out = dealt.sortWithinPartitions("stretch", "ahead", "o", "mark").select("stretch", "ahead", "id", "text")
-    done = out.mapInArrow(_walk, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = ["long", "long", "string", "string", "string", "double", "double", "array<long>", "binary"][: 9 if keep_counts else 8]
+    names = _COLUMNS[: len(kinds)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _walk(batches, len(names))
+
+    done = out.mapInArrow(walk, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))
     return done.withColumnRenamed("id", id_col)

@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding with prefixes shared between words.
 
 Text becomes marked words (blanks as U+2581, one before the text).  A worker sorts the distinct words
-that it hasn't met into a trie and walks it depth-first, so the state of a common prefix is worked out
-once.  For a unigram vocabulary the state is Viterbi's: the best score of the prefix and its last piece.
-The public vocabulary here is a BPE, whose encoding is not the segmentation of best total score, so
-Viterbi's maximum gives other ids than the library; for it the state is the last piece of the prefix's
-BPE encoding instead.  That suffices: every run of leading pieces of a BPE encoding is the encoding of
-what it spells, so the last piece is the one ending there that stays apart from the piece before it.
+that it hasn't met into a trie and walks it depth-first: each place of the path has a forward score, the best
+total of pieces that spell the prefix, and the piece it ends in, which all words below share.
+
+For a unigram vocabulary a path's total is the sum of its pieces' scores.  The public vocabulary here is a
+BPE, for which that sum's maximum gives other ids than the library; so a step costs infinitely much where
+the merges would not leave its two pieces side by side.  Every run of leading pieces of a BPE encoding is
+the encoding of what it spells, so exactly one path to each place has a finite total: the library's ids.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, tokenizer_path
+from .common import parts_of, slices, small_batches, tokenizer_path
 from .wordbpe import WordStore
 
 MARK = "▁"
 #: Characters that are worked on at a time, and words kept by a worker before it starts anew.
 SLICE_CHARS, MOST_WORDS = 1 << 17, 1_000_000
+_WORD = re.compile(f"(?<=[^{MARK}])(?={MARK})")
 _LOW = 0x250  # pairs of characters below this are looked up in a table
 
 
@@ -39,6 +42,7 @@ class Vocabulary:
         skip = {*byte_ids, unknown}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in skip and p}
         self.longest = max(map(len, self.ids))
+        self.mark_begins = not any(MARK in p.lstrip(MARK) for p in self.ids)  # then texts may be cut before a mark
         self.chars = {c for p in self.ids for c in p}
         self.apart: dict[int, bool] = {}
         self.words = WordStore()
@@ -101,35 +105,30 @@ class Vocabulary:
         return known
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) of distinct words in sorted order: a walk through their trie, depth-first, with
-        one state for each character of the path."""
+        """(word, ids) of distinct words in sorted order: a walk through their trie, depth-first, with a
+        forward score and a last piece for each place of the path."""
         path = ""
-        last: list[int] = [-1]  # by prefix length, the last piece's id
-        score = [0.0]
-        ids, pieces, longest = self.ids, self.pieces, self.longest
+        last: list[int] = [-1]  # by prefix length
+        forward = [0.0]
+        ids, pieces, scores, longest = self.ids, self.pieces, self.scores, self.longest
         for word in words:
             n = 0
             for a, b in zip(path, word, strict=False):
                 if a != b:
                     break
                 n += 1
-            del last[n + 1 :], score[n + 1 :]
+            del last[n + 1 :], forward[n + 1 :]
             for end in range(n + 1, len(word) + 1):
-                if self.unigram:
-                    best, piece = -math.inf, self.unknown
-                    for start in range(max(0, end - longest), end):
-                        k = ids.get(word[start:end])
-                        if k is not None and score[start] + self.scores[k] > best:
-                            best, piece = score[start] + self.scores[k], k
-                    last.append(piece), score.append(best)
-                    continue
+                best, piece = -math.inf, self.unknown
                 for start in range(max(0, end - longest), end):
                     k = ids.get(word[start:end])
-                    if k is not None and (start == 0 or self._stays_apart(last[start], k)) and (end - start == 1 or start or self._whole(k)):
-                        last.append(k)
-                        break
-                else:  # cannot be: the last character alone always is a piece
-                    raise ValueError(f"no piece ends at {end} of {word!r}")
+                    if k is not None and forward[start] + scores[k] > best and (self.unigram or self._side_by_side(last[start], k)):
+                        best, piece = forward[start] + scores[k], k
+                        if not self.unigram:
+                            break  # no other step to this place has a finite score
+                last.append(piece), forward.append(best)
+            if forward[-1] == -math.inf:  # cannot be: characters of no piece aren't walked
+                raise ValueError(f"no pieces spell {word!r}")
             path = word
             out, end = [], len(word)
             while end:
@@ -137,6 +136,11 @@ class Vocabulary:
                 end -= len(pieces[last[end]])
             yield word, tuple(reversed(out))
 
+    def _side_by_side(self, left: int, right: int) -> bool:
+        """Whether the merges leave two pieces next to each other; at a word's beginning (-1), whether they
+        make the piece at all."""
+        return self._whole(right) if left < 0 else self._stays_apart(left, right)
+
     def _whole(self, k: int) -> bool:
         """Whether a piece is the encoding of its own string, as a first piece must be."""
         key = -1 - k
@@ -172,10 +176,13 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special ids."""
-        out: list[np.ndarray] = []
-        for i, j in slices([len(t) for t in texts], SLICE_CHARS):
-            out += self._encode([MARK + t.replace(" ", MARK) if t else "" for t in texts[i:j]])
-        return out
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        parts, owner = parts_of(marked, _WORD, SLICE_CHARS) if self.mark_begins else (marked, list(range(len(texts))))
+        got: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, j in slices([len(t) for t in parts], SLICE_CHARS):
+            for k, ids in zip(owner[i:j], self._encode(parts[i:j]), strict=True):
+                got[k].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in got]
 
     def _encode(self, marked: list[str]) -> list[np.ndarray]:
         if self.words.size > MOST_WORDS:

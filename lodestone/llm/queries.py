@@ -44,7 +44,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"), keep_counts=False)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

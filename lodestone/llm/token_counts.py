@@ -1,7 +1,7 @@
 """Token counts that are kept up under edits.
 
-A document's pre-tokens stand in a tree of sums (code points, tokens).  An edit finds the pre-tokens it
-touches by descending the tree, cuts and encodes only those and the boundary context around them anew,
+A document's pre-tokens stand in a balanced tree of sums (code points, tokens).  An edit finds the pre-tokens
+it touches by descending the tree, cuts and encodes only those and the boundary context around them anew,
 and updates the sums on the way up.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import parts_of, slices, small_batches
 from .wordbpe import GAP, SLICE_CHARS, ByteEncoder, byte_encoder
 
-#: Pre-tokens of one leaf of the tree.
+#: Pre-tokens of one leaf of the tree, at most.
 LEAF = 64
 #: Code points before an edit that may change how what precedes it is cut.
 CONTEXT = 3
@@ -32,91 +32,125 @@ def _pattern() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
-class CountTree:
-    """The token count of one text, kept up under ``replace``.
+# A tree is None or a tuple: (0, code points, tokens, lengths, counts) for a leaf of pre-tokens, (height, code
+# points, tokens, left, right) above.  Heights of siblings differ by one at most, and trees are never changed, so
+# what an edit doesn't touch is kept as it is.
 
-    Leaves hold up to twice ``LEAF`` pre-tokens as (lengths, counts); level by level above them, each
-    node holds the sums of its two children.
-    """
+
+def _leaf(lengths: list[int], counts: list[int]) -> tuple:
+    return 0, sum(lengths), sum(counts), lengths, counts
+
+
+def _node(left: tuple, right: tuple) -> tuple:
+    return 1 + max(left[0], right[0]), left[1] + right[1], left[2] + right[2], left, right
+
+
+def _join(left: tuple | None, right: tuple | None) -> tuple | None:
+    """One tree of two, in time that goes with the difference of their heights."""
+    if left is None or right is None:
+        return left or right
+    if abs(left[0] - right[0]) <= 1:
+        return _node(left, right)
+    if left[0] > right[0]:
+        a, b = left[3], _join(left[4], right)
+        if b[0] <= a[0] + 1:
+            return _node(a, b)
+        if b[4][0] > b[3][0] or b[3][0] == 0:
+            return _node(_node(a, b[3]), b[4])
+        return _node(_node(a, b[3][3]), _node(b[3][4], b[4]))
+    a, b = _join(left, right[3]), right[4]
+    if a[0] <= b[0] + 1:
+        return _node(a, b)
+    if a[3][0] > a[4][0] or a[4][0] == 0:
+        return _node(a[3], _node(a[4], b))
+    return _node(_node(a[3], a[4][3]), _node(a[4][4], b))
+
+
+def _split(tree: tuple | None, at: int) -> tuple[tuple | None, tuple | None]:
+    """(leaves before the one that holds code point ``at``, that one and those after it); past the end, the
+    last leaf counts as holding it."""
+    if tree is None or not tree[0]:
+        return None, tree
+    if at < tree[3][1]:
+        left, right = _split(tree[3], at)
+        return left, _join(right, tree[4])
+    left, right = _split(tree[4], at - tree[3][1])
+    return _join(tree[3], left), right
+
+
+def _build(lengths: list[int], counts: list[int]) -> tuple | None:
+    """A tree over pre-tokens, in leaves of up to ``LEAF``."""
+    if not lengths:
+        return None
+    if len(lengths) <= LEAF:
+        return _leaf(lengths, counts)
+    half = len(lengths) // 2
+    return _node(_build(lengths[:half], counts[:half]), _build(lengths[half:], counts[half:]))
+
+
+class CountTree:
+    """The token count of one text, kept up under ``replace``: a balanced tree of sums over pre-tokens.  An edit
+    splits off the leaves that it touches and joins new ones in, which takes time that goes with the
+    logarithm of their number, besides that of what is encoded anew and of copying the text."""
 
     def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, encoder: ByteEncoder):
         self.text, self.encoder, self.encoded = text, encoder, 0
-        self.leaves = [(lengths[i : i + LEAF].tolist(), counts[i : i + LEAF].tolist()) for i in range(0, len(lengths), LEAF)]
-        self._grow()
-
-    def _grow(self) -> None:
-        """All levels anew; the number of leaves has changed."""
-        level = [(sum(a), sum(b)) for a, b in self.leaves] or [(0, 0)]
-        self.levels = [level]
-        while len(level) > 1:
-            level = [(level[i][0] + level[i + 1][0], level[i][1] + level[i + 1][1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-            self.levels.append(level)
-
-    def _update(self, leaf: int) -> None:
-        """The sums on the way from one leaf to the root."""
-        self.levels[0][leaf] = (sum(self.leaves[leaf][0]), sum(self.leaves[leaf][1]))
-        for below, level in zip(self.levels, self.levels[1:], strict=False):
-            leaf //= 2
-            i = 2 * leaf
-            level[leaf] = (below[i][0] + below[i + 1][0], below[i][1] + below[i + 1][1]) if i + 1 < len(below) else below[i]
+        self.root = _build(lengths.tolist(), counts.tolist())
 
     @property
     def total(self) -> int:
-        return self.levels[-1][0][1]
-
-    def find(self, at: int) -> tuple[int, int, int]:
-        """(leaf, place in it, first code point) of the pre-token that holds code point ``at``; past the
-        end, of the last."""
-        node, begin = 0, 0
-        for level in self.levels[-2::-1]:
-            node *= 2
-            if at >= begin + level[node][0] and node + 1 < len(level):
-                begin += level[node][0]
-                node += 1
-        lengths = self.leaves[node][0] if self.leaves else []
-        place = 0
-        while place + 1 < len(lengths) and at >= begin + lengths[place]:
-            begin += lengths[place]
-            place += 1
-        return node, place, begin
+        return self.root[2] if self.root else 0
 
     def replace(self, start: int, end: int, new: str) -> int:
         """Put ``new`` in place of the code points from ``start`` to ``end``; the new token count."""
-        old, self.text = self.text, self.text[:start] + new + self.text[end:]
-        if not self.leaves:
-            lengths, counts = pretokens([self.text], self.encoder)[0]
-            self.encoded += len(self.text)
-            self.leaves = [(lengths[i : i + LEAF].tolist(), counts[i : i + LEAF].tolist()) for i in range(0, len(lengths), LEAF)]
-            self._grow()
-            return self.total
-        leaf, place, at = self.find(max(0, start - CONTEXT))
-        last_leaf, last_place, last = self.find(end)
-        shift, stop = len(new) - (end - start), last
-        words, scan = [], _pattern().finditer(self.text, at)
-        position = at
-        for m in scan:  # up to a cut that the old text has too, at or after the edit's end
-            while stop < len(old) and (stop < end or stop + shift < position):
-                stop += self.leaves[last_leaf][0][last_place]
-                last_place += 1
-                if last_place == len(self.leaves[last_leaf][0]) and last_leaf + 1 < len(self.leaves):
-                    last_leaf, last_place = last_leaf + 1, 0
+        size, self.text = len(self.text), self.text[:start] + new + self.text[end:]
+        shift, least = len(new) - (end - start), max(0, start - CONTEXT)
+        before, rest = _split(self.root, least)
+        held: list[tuple[int, int]] = []  # pre-tokens of the leaf at hand, last one first
+
+        def following() -> tuple[int, int]:
+            nonlocal rest
+            if not held:
+                tree = rest
+                while tree[0]:
+                    tree = tree[3]
+                rest = _without_first(rest)
+                held.extend(zip(reversed(tree[3]), reversed(tree[4]), strict=True))
+            return held.pop()
+
+        kept: list[tuple[int, int]] = []
+        at = before[1] if before else 0
+        while held or rest:  # those of the leaf that end before the context, but the last of all
+            piece = following()
+            if at + piece[0] > least or not (held or rest):
+                held.append(piece)
+                break
+            kept.append(piece)
+            at += piece[0]
+        words, position, stop = [], at, at
+        for m in _pattern().finditer(self.text, at):  # up to a cut that the old text has too, at or after the edit's end
+            while stop < size and (stop < end or stop + shift < position):
+                stop += following()[0]
             if position == stop + shift and stop >= end and position >= start + len(new):
                 break
             words.append(m[0])
             position = m.end()
         else:
-            last_leaf, last_place = len(self.leaves) - 1, len(self.leaves[-1][0])
+            held.clear()
+            rest = None
         self.encoded += sum(map(len, words))
-        mine = (self.leaves[leaf][0][:place] + [len(w) for w in words] + self.leaves[last_leaf][0][last_place:], self.leaves[leaf][1][:place] + word_counts(words, self.encoder) + self.leaves[last_leaf][1][last_place:])
-        if leaf == last_leaf and 0 < len(mine[0]) <= 2 * LEAF:
-            self.leaves[leaf] = mine
-            self._update(leaf)
-        else:
-            self.leaves[leaf : last_leaf + 1] = [(mine[0][i : i + LEAF], mine[1][i : i + LEAF]) for i in range(0, len(mine[0]), LEAF)]
-            self._grow()
+        fresh = kept + list(zip(map(len, words), word_counts(words, self.encoder), strict=True))
+        while held or (rest and len(fresh) < LEAF // 2):  # the rest of the leaf, and more where little is left
+            fresh.append(following())
+        self.root = _join(_join(before, _build([n for n, _ in fresh], [c for _, c in fresh])), rest)
         return self.total
 
 
+def _without_first(tree: tuple) -> tuple | None:
+    """The tree without its first leaf."""
+    return _join(_without_first(tree[3]), tree[4]) if tree[0] else None
+
+
 def word_counts(words: list[str], encoder: ByteEncoder) -> list[int]:
     """Tokens of each pre-token, which is encoded by itself."""
     letters, model = encoder.letters, encoder.model

@@ -74,6 +74,43 @@ def test_counts_hold_under_edits(text, edits):
         assert tree.text == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab' \n1"), max_size=200), st.lists(st.tuples(st.integers(0, 200), st.integers(0, 150), st.text(st.sampled_from("ab' \n1"), max_size=80)), max_size=8))
+def test_counts_hold_in_deep_trees(text, edits):
+    """Leaves of two pre-tokens, so that edits split and join trees."""
+    import unittest.mock as mock
+
+    def height(t):
+        if t is None or not t[0]:
+            return 0
+        a, b = height(t[3]), height(t[4])
+        assert abs(a - b) <= 1 and t[0] == 1 + max(a, b) and t[1] == t[3][1] + t[4][1]
+        return 1 + max(a, b)
+
+    e = wordbpe.byte_encoder()
+    e.whole.encode_special_tokens = True
+    with mock.patch.object(token_counts, "LEAF", 2):
+        tree = token_counts.CountTree(text, *token_counts.pretokens([text], e)[0], e)
+        for start, size, new in edits:
+            a = min(start, len(tree.text))
+            b = min(len(tree.text), a + size)
+            assert tree.replace(a, b, new) == len(e.whole.encode(tree.text, add_special_tokens=False).ids)
+            height(tree.root)
+            assert (tree.root[1] if tree.root else 0) == len(tree.text)
+
+
+def test_an_edit_of_a_long_text_touches_little():
+    text = "some words in a row and then " * 20_000
+    e = wordbpe.byte_encoder()
+    tree = token_counts.CountTree(text, *token_counts.pretokens([text], e)[0], e)
+    start = time.process_time()
+    for k in range(300):
+        tree.replace(1000 * k, 1000 * k + k % 7, "words " * (k % 90))
+    assert time.process_time() - start < 5 and tree.encoded < 300 * 700
+    e.whole.encode_special_tokens = True
+    assert tree.total == len(e.whole.encode(tree.text, add_special_tokens=False).ids)
+
+
 def test_token_counts(spark, docs, odd):
     e = wordbpe.byte_encoder()
     e.whole.encode_special_tokens = True
@@ -109,7 +146,7 @@ def test_viterbi_of_a_unigram_vocabulary():
         options = [(words[w[:n]] + best(w[n:])[0], (w[:n], *best(w[n:])[1])) for n in range(1, len(w) + 1) if w[:n] in words]
         return max(options, default=(-1e9, ()))
 
-    for t in ("abab", "a ba", "bbb", "ab ab"):
+    for t in ("abab", "a ba", "bbb", "ab ab", "abba bab aabb ba"):
         marked = "▁" + t.replace(" ", "▁")
         ids = v.encode([t])[0].tolist()
         assert sum(v.scores[i] for i in ids) == pytest.approx(best(marked)[0])
@@ -502,6 +539,9 @@ def test_multiset_hash():
     assert f("a b c\nd e f").digest() == f("d e f\n\na b c").digest() != f("a b c").digest()
     assert f("a b c").insert("x y").delete("a b c").digest() == f("x y").digest()
     assert f("a\na").digest() != f("a").digest()
+    x = f("a b c\nd e f")
+    y = f.of(x.wide.view(np.int64).tolist(), x.count.astype("<i2").tobytes())
+    assert y.insert("g h").delete("a b c").digest() == f("d e f\ng h").digest()
     words = [f"w{i}" for i in range(600)]
     a, b = f(" ".join(words)), f(" ".join(words[:300] + [f"v{i}" for i in range(300)]))
     assert a.likeness(a) == 1 and 0.4 < a.likeness(b) < 0.6 and a.likeness(f(" ".join(f"u{i}" for i in range(600)))) < 0.1
@@ -518,6 +558,7 @@ def test_neighbour_fingerprints(spark, docs, odd, monkeypatch):
         assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (multiset_hash.Fingerprint(x).digest(), multiset_hash.Fingerprint(edited).digest())
         assert r.near_next == pytest.approx(multiset_hash.Fingerprint(x).likeness(multiset_hash.Fingerprint(y)))
+        assert multiset_hash.Fingerprint.of(r.lanes, r.counts).digest() == r.fingerprint
     assert multiset_hash.neighbour_fingerprints(odd).count() == len(ODD)
     assert multiset_hash.neighbour_fingerprints(odd.limit(0)).count() == 0
     one = multiset_hash.neighbour_fingerprints(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")).collect()
