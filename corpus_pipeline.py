@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: language, quality, near-duplicates, packed sequences."""
+"""A training corpus from ``documents``: language, quality, near-duplicates, packed sequences.
+
+Every stage takes any table with the columns of documents: further columns are left out, an empty table
+gives an empty one, and whole texts are read however long they are.  What becomes of nulls, empty texts, ties
+and repeated rows is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +22,10 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: no letters, or no language that stands out."""
+    """Drop documents whose language can't be told: no letters (null and empty texts among them), or no
+    language whose share reaches ``LEAST_SCORE``.  Of tied languages the first by name counts.  Rows of a null
+    or repeated id are judged each by their text, and repeated rows stay.  Where no row has a language to
+    learn from, all stay."""
     docs = docs.select(*COLUMNS)
     model = train(docs.where(~F.coalesce(held_out(), F.lit(True))))
     seen = predict(docs, model, out=("__lang", "__score"))
@@ -27,18 +35,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling selects."""
+    """Keep the documents that importance resampling selects.  Null texts and texts without a token go; rows
+    of a null id take part, with one noise for all of them; rows that tie with the last of the sample stay
+    too, and repeated rows share their key, so they stay or go together."""
     docs = docs.select(*COLUMNS)
     _, ratio, cut = resample(docs, table(spark, sf_dir, "labels"))
     return select_rows(docs, ratio, cut).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates, repeated rows once."""
+    """Keep the document of smallest id of each group of near-duplicates, repeated rows once.  Texts without
+    words are near-duplicates of each other.  Rows of a null id belong to no group and stay.  Of several
+    texts of one id that stays, one is kept."""
     docs = docs.select(*COLUMNS)
     groups = materialize(simhash_dedup(docs).select("doc_id", "component_id"), "groups")
     extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(extra.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)  # ids grow with the input: never broadcast
+    kept = docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)  # their size decides how they are joined
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
@@ -47,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens."""
+    """Pack what is left into sequences of 4096 tokens; null and empty texts make a piece of one end id, and
+    repeated rows and rows of a null id are packed each."""
     return pack_documents(docs)
 
 
