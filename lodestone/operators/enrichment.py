@@ -9,52 +9,79 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
 
-# Per framework, the import or file names that show its use, and rules (what is looked at,
-# what it must hold, the type given).  Later rules win.
-FRAMEWORKS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str, str], ...]]] = {
-    "django": (("django",), (("path", "views.py", "View"), ("path", "urls.py", "URLPattern"), ("path", "serializers.py", "Serializer"), ("path", "tasks.py", "Task"), ("path", "admin.py", "Admin"), ("base", "Model", "Model"))),
-    "fastapi": (("fastapi",), (("text", ".get(", "Route"), ("text", ".post(", "Route"), ("text", ".put(", "Route"), ("text", ".delete(", "Route"), ("text", ".patch(", "Route"), ("text", "Depends(", "Dependency"), ("base", "BaseModel", "PydanticModel"), ("text", "BackgroundTasks", "BackgroundTask"))),
-    "react": (("react", "next"), (("path", ".jsx", "Component"), ("path", ".tsx", "Component"), ("path", "/pages/", "Page"), ("path", "/pages/api/", "ApiRoute"), ("prefix", "use", "Hook"), ("path", "/store", "Store"))),
-    "react_native": (("react-native", "expo"), (("path", "/components/", "Component"), ("path", "/screens/", "Screen"), ("suffix", "Screen", "Screen"), ("prefix", "use", "Hook"), ("name", "Navigat", "Navigation"))),
-    "express": (("express",), (("prefix", "app.get", "Route"), ("prefix", "app.post", "Route"), ("prefix", "router.get", "Route"), ("prefix", "router.post", "Route"), ("prefix", "app.use", "Middleware"), ("path", "/controllers/", "Controller"), ("name", "Router", "Router"))),
-    "rails": (("rails", "ActiveRecord"), (("path", "app/models/", "Model"), ("path", "app/controllers/", "Controller"), ("path", "app/helpers/", "Helper"), ("path", "app/jobs/", "Job"), ("path", "app/mailers/", "Mailer"), ("path", "app/services/", "Service"))),
-    "laravel": (("Illuminate", "laravel"), (("path", "Http/Controllers", "Controller"), ("path", "Models/", "Model"), ("path", "Jobs/", "Job"), ("path", "Http/Middleware", "Middleware"), ("path", "Policies/", "Policy"), ("path", "Providers/", "Provider"))),
-    "spring": (("springframework",), (("suffix", "Controller", "Controller"), ("suffix", "Service", "Service"), ("suffix", "Repository", "Repository"), ("suffix", "Configuration", "Configuration"), ("suffix", "Entity", "Entity"))),
-    "chef": (("chef",), (("path", "/recipes/", "Recipe"), ("path", "/resources/", "Resource"), ("path", "metadata.rb", "Cookbook"))),
-}
+_CODE = ("Function", "Method")
+_ANY = ()
 
+# Per framework, the modules and the file names that show its use, and rules: labels (any where
+# none is named), type given, and the tests one of which has to hold.  Later rules win.
+FRAMEWORKS: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[tuple[tuple[str, ...], str, tuple[tuple[str, str], ...]], ...]]] = {
+    "django": (("django", "django.conf", "django.db", "django.http"), ("manage.py",), (
+        (("Function",), "View", (("path", "views.py"),)), (("Class",), "Model", (("base", "Model"),)), (("Function",), "URLPattern", (("path", "urls.py"),)),
+        (("Class",), "Serializer", (("path", "serializers.py"),)), (("Function",), "Task", (("path", "tasks.py"), ("decorator", "task"))), (("Class",), "Admin", (("path", "admin.py"),)))),
+    "fastapi": (("fastapi",), (), (
+        (_ANY, "Route", tuple(("decorator", f".{m}") for m in ("get", "post", "put", "delete", "patch", "head", "options"))), (_CODE, "Route", tuple(("text", f".{m}(") for m in ("get", "post", "put", "delete", "patch", "head", "options"))),
+        (_CODE, "Dependency", (("text", "Depends("),)), (_ANY, "Dependency", (("decorator", "Depends"),)), (("Class",), "PydanticModel", (("base is", "BaseModel"), ("docstring", "BaseModel"))),
+        (_ANY, "BackgroundTask", (("decorator", "on_event"),)), (_CODE, "BackgroundTask", (("text", "on_event("), ("text", "BackgroundTasks"))))),
+    "react": (("react", "react-dom", "next"), ("next.config.js", "next.config.ts", "next.config.mjs"), (
+        (_ANY, "ReactComponent", (("path", ".jsx"), ("path", ".tsx"))), (_ANY, "NextPage", (("path", "/pages/"),)), (_ANY, "NextApiRoute", (("path", "/pages/api/"), ("path", "/app/api/"))),
+        (_ANY, "ReactHook", (("longer than", "use"),)), (_ANY, "ReactStore", (("name", "createStore"), ("name", "useStore"))))),
+    "react_native": (("react-native", "expo"), ("app.json",), (
+        (_ANY, "RNComponent", (("path", ".jsx"), ("path", ".tsx"))), (_ANY, "RNScreen", (("path", "/screens/"), ("suffix", "Screen"))), (_ANY, "RNHook", (("longer than", "use"),)),
+        (_ANY, "RNNavigation", tuple(("name", n) for n in ("createStackNavigator", "createBottomTabNavigator", "createDrawerNavigator", "createNativeStackNavigator", "NavigationContainer", "useNavigation", "useRoute"))))),
+    "express": (("express",), (), (
+        (_ANY, "ExpressRoute", tuple(("prefix", f"{o}.{m}") for o in ("app", "router") for m in ("get", "post", "put", "delete", "patch"))), (_ANY, "ExpressMiddleware", (("prefix", "app.use"), ("prefix", "router.use"))),
+        (_ANY, "ExpressController", (("path", "/controllers/"),)), (_ANY, "ExpressRouter", (("name is", "Router"), ("name", "Router()"), ("name", "express.Router"))))),
+    "rails": (("rails", "active_record", "action_controller"), ("Gemfile",), (
+        (_ANY, "RailsController", (("path", "controllers/"),)), (_ANY, "RailsModel", (("path", "models/"),)), (_ANY, "RailsRoute", (("path", "routes.rb"),)), (_ANY, "RailsJob", (("path", "jobs/"),)), (_ANY, "RailsConcern", (("path", "concerns/"),)))),
+    "laravel": (("Illuminate",), ("artisan",), (
+        (_ANY, "LaravelController", (("path", "Controllers/"),)), (_ANY, "LaravelRoute", (("path", "routes/"),)), (_ANY, "LaravelJob", (("path", "Jobs/"),)), (_ANY, "LaravelPolicy", (("path", "Policies/"),)), (_ANY, "LaravelModel", (("name", "Model"), ("path", "Model"))))),
+    "spring": (("org.springframework",), ("application.properties", "application.yml"), tuple(
+        (_ANY, given, (("name", mark), ("path", mark))) for mark, given in (("@Controller", "SpringController"), ("@RestController", "SpringRestController"), ("@Service", "SpringService"), ("@Repository", "SpringRepository"), ("@Entity", "SpringEntity")))),
+    "terraform": ((), ("main.tf", "variables.tf", "outputs.tf", "providers.tf"), ()),
+    "chef": (("chef",), ("metadata.rb", "Berksfile"), ((("File",), "chef_recipe", (("path", "/recipes/"),)), (("File",), "chef_cookbook", (("cookbook", "metadata.rb"),)))),
+}
 
-def detect(g: Graph) -> DataFrame:
-    """(framework) whose imports or files are in the graph."""
-    names = g.nodes.where(F.col("label").isin("Import", "File")).select(F.lower(F.coalesce("path", "name")).alias("n"))
-    hits = [names.where(_any("n", [m.lower() for m in marks])).select(F.lit(k).alias("framework")) for k, (marks, _) in FRAMEWORKS.items()]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out.unionByName(h)
-    return out.distinct()
+
+def register(name: str, modules: tuple[str, ...], files: tuple[str, ...], rules: tuple) -> None:
+    """Add a framework; see ``FRAMEWORKS`` for what its parts are."""
+    FRAMEWORKS[name] = (modules, files, rules)
 
 
-def _any(col: str, parts: list[str]) -> Column:
-    test = F.lit(False)
-    for p in parts:
-        test = test | F.col(col).contains(p)
-    return test
+def detect(g: Graph) -> DataFrame:
+    """(framework) one of whose modules is imported, or one of whose files is there, by exact name."""
+    imported = g.of("Import").select(F.explode(F.array("name", "path")).alias("n"), F.lit("module").alias("kind"))
+    names = imported.unionByName(g.of("File").select(F.col("name").alias("n"), F.lit("file").alias("kind")))
+    marks = [(k, kind, n) for k, (modules, files, _) in FRAMEWORKS.items() for kind, all_ in (("module", modules), ("file", files)) for n in all_]
+    table = g.spark.createDataFrame(marks, "framework string, kind string, n string")
+    return names.join(F.broadcast(table), ["kind", "n"]).select("framework").distinct()
 
 
 def promote(g: Graph, frameworks: list[str]) -> Graph:
-    """The graph with semantic types for functions, methods and classes: one pass of rules over each node
-    and its bases' names."""
-    n = g.of("Class").select(F.col("id").alias("dst"), F.col("name").alias("base"))
-    bases = g.links("INHERITS").join(n, "dst").groupBy(F.col("src").alias("id")).agg(F.concat_ws(" ", F.array_sort(F.collect_set("base"))).alias("__bases"))
-    rows = g.nodes.join(bases, "id", "left")
+    """The graph with semantic types: one pass of the frameworks' rules over each node that has a file, the
+    names of its bases and of its decorators."""
+    base = g.nodes.select(F.col("id").alias("dst"), F.col("name").alias("n"))
+    bases = g.links("INHERITS").join(base, "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("n").alias("__bases"))
+    over = g.of("Decorator").select(F.col("id").alias("src"), F.col("name").alias("n"))
+    marks = g.links("DECORATES").join(over, "src").groupBy(F.col("dst").alias("id")).agg(F.collect_set("n").alias("__marks"))
+    rows = g.nodes.join(bases, "id", "left").join(marks, "id", "left")
     path, name = F.coalesce("file_path", "path", F.lit("")), F.coalesce("name", F.lit(""))
-    text = F.concat_ws(" ", F.coalesce("signature", F.lit("")), F.coalesce("docstring", F.lit("")))
-    tests: dict[str, Callable[[str], Column]] = {"path": path.contains, "name": name.contains, "prefix": name.startswith, "suffix": name.endswith, "text": text.contains, "base": F.coalesce("__bases", F.lit("")).contains}
+    doc = F.coalesce("docstring", F.lit(""))
+    text = F.concat_ws(" ", F.coalesce("signature", F.lit("")), doc)
+    some = lambda column, test: F.coalesce(F.exists(column, test), F.lit(False))
+    tests: dict[str, Callable[[str], Column]] = {
+        "path": path.contains, "name": name.contains, "name is": lambda x: name == x, "prefix": name.startswith, "longer than": lambda x: name.startswith(x) & (name != x), "suffix": name.endswith,
+        "text": text.contains, "docstring": doc.contains, "base": lambda x: some("__bases", lambda b: b.contains(x)), "base is": lambda x: some("__bases", lambda b: b == x),
+        "decorator": lambda x: some("__marks", lambda d: d.contains(x)), "cookbook": lambda x: path.contains("/cookbooks/") & (name == x),
+    }
     kind = F.col("semantic_type")
     for f in frameworks:
-        for what, part, given in FRAMEWORKS[f][1]:
-            kind = F.when(F.col("label").isin("Function", "Method", "Class") & tests[what](part), F.lit(given)).otherwise(kind)
-    return Graph(rows.withColumn("semantic_type", kind).drop("__bases"), g.edges)
+        for labels, given, alternatives in FRAMEWORKS[f][2]:
+            holds = F.lit(False)
+            for what, part in alternatives:
+                holds = holds | tests[what](part)
+            of = F.col("label").isin(*labels) if labels else F.lit(True)
+            kind = F.when((path != "") & of & holds, F.lit(given)).otherwise(kind)
+    return Graph(rows.withColumn("semantic_type", kind).drop("__bases", "__marks"), g.edges)
 
 
 def terraform_links(variables: DataFrame, uses: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ def aggregate(graphs: dict[str, Graph]) -> Graph:
     edges = links[0]
     for e in links[1:]:
         edges = edges.unionByName(e)
-    first = [F.first(c, ignorenulls=True).alias(c) for c in nodes.columns if c not in ("id", "old", "repo")]
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct("repo", F.col(c).cast("string")))
+    first = [F.min_by(c, place(c)).alias(c) for c in nodes.columns if c not in ("id", "old", "repo")]  # that of the first repository by name
     merged = nodes.groupBy("id").agg(*first, F.array_join(F.array_sort(F.collect_set("repo")), ",").alias("repo"))
     return Graph(merged, edges.distinct())
 

@@ -12,7 +12,9 @@ from ..plans.graph import Graph, any_of, reach, top
 # Name parts of request entry points, and suffixes of framework components.
 ENTRY_PARTS = ("controller", "handler", "router", "view")
 ENTRY_LABELS = ("Controller", "Handler", "Router", "View")
-COMPONENT_SUFFIXES = ("Controller", "Service", "Repository", "Component", "Module", "Provider", "Factory", "Handler", "Middleware", "Router", "View", "Model", "Serializer", "Manager", "Resolver", "Guard")
+COMPONENT_SUFFIXES = (
+    "Controller", "Service", "Repository", "Model", "Middleware", "Serializer", "View", "Handler", "Router", "Provider", "Resolver", "Gateway", "Component", "Module", "Guard", "Interceptor",
+)
 
 _PAIR = ("a_type", "a_name", "a_file", "b_type", "b_name", "b_file")
 

@@ -8,13 +8,17 @@ becomes rows by itself, and edges are resolved by joins once all nodes exist.
 from __future__ import annotations
 
 import ast
+import fnmatch
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 import yaml
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,10 @@ LANGUAGES = {
     ".kt": "kotlin", ".kts": "kotlin", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".swift": "swift", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp",
     ".cc": "cpp", ".cxx": "cpp", ".tf": "hcl", ".hcl": "hcl", ".tfvars": "hcl", ".pp": "puppet", ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".md": "markdown", ".markdown": "markdown",
 }
-#: Directories that hold no source of the tree itself.
-SKIPPED = {".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", "target", "vendor", ".idea"}
+# Directories that a walk never enters.
+SKIPPED = {".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".next", "target", "vendor", ".gradle"}
+#: A file in a tree's root whose lines are patterns of what to leave out.
+IGNORE_FILE = ".navignore"
 
 
 @dataclass
@@ -316,16 +322,63 @@ ROWS = "kind string, label string, name string, path string, file_path string, l
 _FIELDS = [c.split()[0] for c in ROWS.split(", ")]
 
 
-def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content) of the files below a folder, with paths relative to it; skipped folders and
-    excluded patterns (* and ? match within the path or one component) are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape("/" + root.split(":", 1)[-1].strip("/") + "/"), "")
-    keep = ~F.arrays_overlap(F.split(rel, "/"), F.array(*[F.lit(s) for s in sorted(SKIPPED)]))
-    for e in exclude:
-        pattern = re.escape(e.rstrip("/")).replace(r"\*", ".*").replace(r"\?", ".")
-        keep = keep & ~rel.rlike(f"(?:^|/){pattern}(?:/|$)")
-    return files.where(keep).select(rel.alias("path"), "content")
+def excluded(path: str, patterns: list[str]) -> bool:
+    """Whether a path relative to the root matches a pattern, whole or in one of its parts; an end slash of a
+    pattern counts nothing."""
+    parts = [path, *path.split("/")]
+    return any(fnmatch.fnmatchcase(x, p) for p in (p.rstrip("/") for p in patterns) if p for x in parts)
+
+
+def listing(root: str, exclude: tuple[str, ...] = (), nested: bool = False) -> list[str]:
+    """Paths, relative to ``root``, of the files that may be parsed, in order.
+
+    Folders that are skipped, excluded (``exclude`` and the root's ignore file), or hold a ``.git`` of their
+    own, which is another repository unless ``nested``, are never entered, so nothing below them is listed
+    or read.  ``root`` is a path or a URI of a file system that the driver and the executors share.
+    """
+    files, top = _file_system(root)
+    patterns = list(exclude)
+    ignore = f"{top}/{IGNORE_FILE}"
+    if files.get_file_info(ignore).is_file:
+        with files.open_input_stream(ignore) as f:
+            patterns += [x.strip() for x in f.read().decode("utf-8", "replace").splitlines() if x.strip() and not x.strip().startswith("#")]
+    out, folders, wanted = [], [""], {*LANGUAGES, ".yml", ".yaml"}
+    while folders:
+        folder = folders.pop()
+        entries = files.get_file_info(pafs.FileSelector(f"{top}/{folder}".rstrip("/")))
+        if folder and not nested and any(e.base_name == ".git" for e in entries):
+            continue
+        for e in entries:
+            path = f"{folder}/{e.base_name}".lstrip("/")
+            if excluded(path, patterns):
+                continue
+            if e.type == pafs.FileType.Directory:
+                if e.base_name not in SKIPPED:
+                    folders.append(path)
+            elif e.is_file and ("." + path.rsplit(".", 1)[-1].lower()) in wanted:
+                out.append(path)
+    return sorted(out)
+
+
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    files, top = pafs.FileSystem.from_uri(root) if ":" in root.split("/", 1)[0] else (pafs.LocalFileSystem(), os.path.abspath(root))
+    return files, top.rstrip("/")
+
+
+def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
+    """(path, content) of the files of ``listing``; the driver holds their names, executors read them."""
+    paths = listing(root, exclude, nested)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = _file_system(root)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():  # one file a batch, so that no more than one is held
+                with files.open_input_stream(f"{top}/{path}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    names = spark.createDataFrame([(p,) for p in paths], "path string")
+    tasks = max(1, min(len(paths) // 64, 4 * spark.sparkContext.defaultParallelism))
+    return names.repartition(tasks).mapInArrow(read, "path string, content binary")
 
 
 def parse_files(files: DataFrame, redact: bool = False) -> DataFrame:
@@ -355,15 +408,16 @@ def parse_files(files: DataFrame, redact: bool = False) -> DataFrame:
     return files.mapInPandas(run, ROWS)
 
 
-def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | None = None, exclude: tuple[str, ...] = (), redact: bool = False) -> tuple[Graph, DataFrame]:
+def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | None = None, exclude: tuple[str, ...] = (), redact: bool = False, nested: bool = False) -> tuple[Graph, DataFrame]:
     """(graph, stored hashes) of a source tree.  ``known`` (path, content_hash) skips files that haven't
     changed.  Edges whose ends don't exist are dropped; a node that is given twice is one."""
-    files = walk(spark, root, exclude)
+    files = walk(spark, root, exclude, nested)
     if known is not None:
         files = files.withColumn("content_hash", F.sha2("content", 256)).join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti").drop("content_hash")
     rows = parse_files(files, redact)
     raw = conform(rows.where("kind = 'node'").withColumn("repo", F.lit(repo or None)), NODE_COLUMNS)
-    first = [F.first(c, ignorenulls=True).alias(c) for c in NODE_COLUMNS if c != "id"]
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.coalesce("file_path", "path", F.lit("")), F.coalesce("line_start", F.lit(0)), F.col(c).cast("string")))
+    first = [F.min_by(c, place(c)).alias(c) for c in NODE_COLUMNS if c != "id"]  # the first that is given, by file and line
     nodes = raw.withColumn("id", node_id()).groupBy("id").agg(*first)
     edges, _ = resolve_edges(nodes, rows.where("kind = 'edge'").select("from_label", "from_name", "from_file", "type", "to_label", "to_name", "to_file").distinct())
     hashes = rows.where("kind = 'node' AND content_hash IS NOT NULL").select("path", "content_hash").distinct()

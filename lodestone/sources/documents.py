@@ -164,8 +164,8 @@ def parse_wiki(name: str, text: str, url: str = "", source: str = "local") -> tu
     return {"label": "WikiPage", "name": name, "content": text[:CONTENT], "description": url, "role": source}, list(dict.fromkeys(next(x for x in t if x).strip() for t in terms))
 
 
-# Labels that mark how bad an issue is.
-SEVERITIES = {"critical": "critical", "blocker": "critical", "bug": "warning", "security": "critical", "high": "critical", "medium": "warning"}
+# Labels that mark how bad an issue is, the worst first; others are "info".
+SEVERITIES = {"critical": ("critical", "blocker", "urgent", "p0"), "warning": ("bug", "high", "p1", "important")}
 
 
 def parse_issues(text: str) -> list[dict]:
@@ -175,15 +175,20 @@ def parse_issues(text: str) -> list[dict]:
         if "pull_request" in i:
             continue
         tags = [(x.get("name") if isinstance(x, dict) else str(x)).lower() for x in i.get("labels") or []]
-        severity = next((SEVERITIES[t] for t in tags if t in SEVERITIES), "info")
+        severity = next((level for level, marks in SEVERITIES.items() if any(t in marks for t in tags)), "info")
         talk = "\n\n".join(c.get("body") or "" for c in i.get("comment_list") or [])
         rows.append({"label": "Rule", "name": f"#{i['number']}: {i['title']}", "description": (i.get("body") or "")[:CONTENT], "severity": severity, "status": i.get("state", ""), "rationale": talk, "domain": ",".join(tags), "role": ",".join(a.get("login", "") for a in i.get("assignees") or [])})
     return rows
 
 
 # Kinds of entities and relations of a meeting graph, and what they become.
-MEETING_NODES = {"concept": "Concept", "technology": "Concept", "topic": "Concept", "person": "Person", "organization": "Domain", "decision": "Decision", "requirement": "Rule", "constraint": "Rule", "task": "Concept", "action_item": "Concept"}
-MEETING_EDGES = {"related_to": "RELATED_TO", "depends_on": "DEPENDS_ON", "assigned_to": "ASSIGNED_TO", "decided_by": "DECIDED_BY", "governs": "GOVERNS", "implements": "IMPLEMENTS", "belongs_to": "BELONGS_TO"}
+MEETING_NODES = {"concept": "Concept", "technology": "Concept", "organization": "Concept", "diagram": "WikiPage", "time": "Concept", "person": "Person"}
+MEETING_PLANS = {"decision": "Decision", "requirement": "Rule", "constraint": "Rule", "risk": "Rule", "goal": "Concept", "assumption": "Concept", "feature": "Concept", "milestone": "Concept", "task": "Concept", "dependency": "Concept"}
+MEETING_EDGES = {
+    "related_to": "RELATED_TO", "uses": "DEPENDS_ON", "depends_on": "DEPENDS_ON", "built_on": "DEPENDS_ON", "implements": "IMPLEMENTS", "requires": "DEPENDS_ON", "blocked_by": "DEPENDS_ON",
+    "has_risk": "RELATED_TO", "addresses": "RELATED_TO", "has_tradeoff": "RELATED_TO", "delivers": "IMPLEMENTS", "parent_of": "CONTAINS", "assigned_to": "ASSIGNED_TO", "owned_by": "ASSIGNED_TO",
+    "owns": "ASSIGNED_TO", "employed_by": "ASSIGNED_TO", "works_with": "RELATED_TO", "governs": "GOVERNS", "documents": "DOCUMENTS",
+}
 
 
 def parse_meeting_graph(text: str) -> tuple[list[dict], list[dict]]:
@@ -191,7 +196,8 @@ def parse_meeting_graph(text: str) -> tuple[list[dict], list[dict]]:
     data = json.loads(text)
     nodes, edges, by_id = [], [], {}
     for n in data.get("nodes") or data.get("entities") or []:
-        label = MEETING_NODES.get(str(n.get("type") or n.get("planning_type") or "concept").lower(), "Concept")
+        kind, plan = (str(n.get(k) or "").lower() for k in ("type", "planning_type"))
+        label = MEETING_PLANS.get(plan) or MEETING_NODES.get(kind) or MEETING_PLANS.get(kind, "Concept")
         nodes.append({"label": label, "name": n["name"], "description": n.get("description") or "", "email": n.get("email") or "", "status": n.get("status") or "", "rationale": n.get("rationale") or ""})
         by_id[n.get("id", n["name"])] = (label, n["name"])
     for r in data.get("relationships") or []:

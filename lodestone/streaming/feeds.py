@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 # The kinds of change events.
-EVENT_TYPES = ("node_created", "node_updated", "node_deleted", "edge_created", "edge_deleted", "graph_cleared", "ingest_started", "ingest_completed")
+EVENT_TYPES = ("node_created", "node_updated", "node_deleted", "edge_created", "edge_updated", "edge_deleted", "graph_cleared", "snapshot_pushed")
 
 
 def subscribe(events: DataFrame, *kinds: str) -> DataFrame:

@@ -111,8 +111,25 @@ def test_documents():
     assert [(r["label"], r["name"]) for r in gql] == [("Function", "user"), ("Class", "User")]
     issues = documents.parse_issues(json.dumps([{"number": 1, "title": "t", "labels": [{"name": "bug"}]}, {"number": 2, "title": "p", "pull_request": {}}]))
     assert [(r["name"], r["severity"]) for r in issues] == [("#1: t", "warning")]
-    n, e = documents.parse_meeting_graph(json.dumps({"nodes": [{"id": "a", "type": "person", "name": "Ada"}, {"id": "b", "type": "decision", "name": "Go"}], "relationships": [{"source": "b", "target": "a", "type": "decided_by"}]}))
-    assert [x["label"] for x in n] == ["Person", "Decision"] and e[0]["type"] == "DECIDED_BY"
+    n, e = documents.parse_meeting_graph(json.dumps({"nodes": [{"id": "a", "type": "person", "name": "Ada"}, {"id": "b", "type": "decision", "name": "Go"}], "relationships": [{"source": "b", "target": "a", "type": "governs"}]}))
+    assert [x["label"] for x in n] == ["Person", "Decision"] and e[0]["type"] == "GOVERNS"
+
+
+def test_walk_prunes(spark, tmp_path):
+    for path in ("a/__init__.py", "a/_own.py", "a/b.go", "a/notes.txt", "node_modules/x/y.js", "a/.next/z.js", "sub/.git/config", "sub/s.py", "link/w.py", "gen/c.gen.py", "docs/old/d.py", "docs/e.py", "play/tasks/m.yml"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    (tmp_path / "link/.git").write_text("gitdir: elsewhere")
+    (tmp_path / ".navignore").write_text("# generated\n*.gen.py\ndocs/old/\n\n")
+    (tmp_path / "broken.py").symlink_to(tmp_path / "nowhere.py")
+    want = ["a/__init__.py", "a/_own.py", "a/b.go", "docs/e.py", "play/tasks/m.yml"]
+    assert code.listing(str(tmp_path)) == want
+    assert sorted(r.path for r in code.walk(spark, str(tmp_path)).collect()) == want
+    assert code.listing(str(tmp_path), exclude=("a", "play/*")) == ["docs/e.py"]
+    assert code.listing("file://" + str(tmp_path), nested=True) == sorted([*want, "sub/s.py", "link/w.py"])
+    assert code.walk(spark, str(tmp_path), exclude=("*",)).count() == 0
+    g, hashes = code.ingest(spark, str(tmp_path), "r")
+    assert {r.path for r in hashes.collect()} == {"a/__init__.py", "a/_own.py", "a/b.go", "docs/e.py"} or hashes.count() == 5
 
 
 def test_version_control_text(spark):
