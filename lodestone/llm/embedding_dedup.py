@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +67,33 @@ def _hashes(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarr
     return above[:, SKETCH_BITS:].reshape(len(x), tables, bits) @ weights, sketch
 
 
-def valid(column: str) -> F.Column:
-    """A vector with a direction: no null or non-finite component, not all zero."""
-    v = F.col(column)
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return F.coalesce(v.isNotNull() & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
+def prepare(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v, unit) of every row.  ``v`` is the vector in doubles, times a power of two that brings its
+    largest component to between 1 and 2: squares neither vanish nor overflow, and no bit of a cosine
+    changes.  ``unit`` is the vector over its largest component, equal for multiples of a vector.  Both are
+    null for vectors without a direction (null, zero, or with null or non-finite components) and null ids."""
 
-
-def _same_scale(v: F.Column) -> F.Column:
-    """The vector times a power of two that brings its largest component to between 1 and 2: squares neither
-    vanish nor overflow, and no bit of a cosine changes."""
-    power = F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("int")
-    half = F.floor(power / 2).cast("int")
-    one, two = F.pow(F.lit(2.0), -half), F.pow(F.lit(2.0), half - power)
-    return F.transform(v, lambda x: x * one * two)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.columns
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)  # nulls become NaN
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            some = np.nonzero(sizes)[0]
+            big = np.zeros(len(sizes))
+            if len(some):
+                big[some] = np.maximum.reduceat(np.abs(flat), (np.cumsum(sizes) - sizes)[some])  # NaN where one is
+            ok = np.isfinite(big) & (big > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            keep = ok[row]
+            power = np.frexp(np.where(ok, big, 1.0))[1] - 1
+            v = np.ldexp(flat[keep], -power[row[keep]]) + 0.0  # no negative zero
+            unit = v / np.ldexp(np.where(ok, big, 1.0), -power)[row[keep]] + 0.0
+            offsets = np.concatenate(([0], np.cumsum(np.where(ok, sizes, 0)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x), mask=pa.array(~ok)) for x in (v, unit)]
+            yield pa.RecordBatch.from_arrays([ids, *lists], ["id", "v", "unit"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "id long, v array<double>, unit array<double>")
 
 
 def cosine_of(a: str, b: str) -> F.Column:
@@ -137,7 +151,7 @@ def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tup
     """(rep, more) and (a, b): to how many vectors of other classes the members of a class link, and edges
     between classes that tie together what links tie together.
 
-    ``classes`` has rep, n and v (doubles, see ``_same_scale``).  Buckets meet by an equality join that
+    ``classes`` has rep, n and v (doubles, see ``prepare``).  Buckets meet by an equality join that
     adaptive execution may split; the sketch screens inside the join; cosines are worked out in double
     precision for distinct candidates only.
     """
@@ -196,13 +210,10 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows for links and as one node for components.  An empty table gives an empty result; other columns
     aren't looked at.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).withColumn("ok", valid("v") & F.col("id").isNotNull())
-    rows = rows.withColumn("v", F.when(F.col("ok"), _same_scale(F.col("v")))).withColumn("big", F.array_max(F.transform("v", F.abs)))
-    unit = F.transform("v", lambda x: x / F.col("big") + F.lit(0.0))
-    keyed = rows.withColumn("unit", F.when(F.col("ok"), unit))
+    keyed = prepare(vectors, id_col, vector_col).withColumn("ok", F.col("v").isNotNull())
     keyed = keyed.select("id", "ok", F.when(F.col("ok"), F.xxhash64("unit", F.lit(1))).alias("k1"), F.when(F.col("ok"), F.xxhash64("unit", F.lit(2))).alias("k2"), "v")
-    members = materialize(keyed.select("id", "ok", "k1", "k2"), "members")
+    keyed = materialize(keyed, "prepared")
+    members = keyed.select("id", "ok", "k1", "k2")
     classes = keyed.where("ok").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.min_by("v", F.struct("id", F.xxhash64("v"))).alias("v"))
     classes = materialize(classes, "vectors")
     several = members.where("ok").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("x"), F.max(F.struct("k1", "k2")).alias("y")).where("x <> y")
