@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigram_similarity
 from ..plans.graph import SYMBOLS, Graph
 
 
@@ -44,6 +45,12 @@ def symbol_history(members: DataFrame, name: str | None = None, file_path: str =
     return seen.select("name", "ref", "committed_at", "file_path", "event").unionByName(gone)
 
 
+def _likeness(one: str, other: str) -> float:
+    """The value of ``bigram_similarity_column``."""
+    pairs = [Counter(zip(x, x[1:], strict=False)).keys() for x in (one.lower(), other.lower())]
+    return 1.0 if one.lower() == other.lower() else len(pairs[0] & pairs[1]) / max(1, len(pairs[0] | pairs[1]))
+
+
 def lineage(members: DataFrame, starts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(start_name, start_file, step, ref, name, file_path, event, score) of the given symbols.
 
@@ -82,7 +89,7 @@ def lineage(members: DataFrame, starts: DataFrame, threshold: float = 0.7) -> Da
                 now = same[0]
                 out.append((name, file, step, r, *now, "moved", 1.0))
             else:
-                scored = sorted(((-bigram_similarity(now[0], x[0]), x) for x in here if x[1] == now[1]))
+                scored = sorted(((-_likeness(now[0], x[0]), x) for x in here if x[1] == now[1]))
                 if scored and -scored[0][0] >= threshold:
                     score, now = -scored[0][0], scored[0][1]
                     out.append((name, file, step, r, *now, "renamed", score))
@@ -128,18 +135,26 @@ def file_churn(commits: DataFrame, numstat: DataFrame | None = None) -> DataFram
     return n.join(lines, "file", "left").select("file", "commits", F.coalesce("lines", F.lit(0)).alias("lines_changed")).orderBy(F.desc("commits"), "file")
 
 
+#: Files of a commit that meet those of another group in one key.
+COMMIT_FILES = 256
+
+
 def coupling_pairs(commits: DataFrame, min_changes: int = 3, min_confidence: float = 0.5) -> DataFrame:
     """Files that change together: (file_a, file_b, co_changes, confidence) over distinct files of commits.
 
     Files with fewer than ``min_changes`` commits can't reach the bound and are left out first, so the
-    self-join on the commit sees only what may count; confidence is co-changes over the larger count.
+    self-join on the commit sees only what may count; confidence is co-changes over the larger count.  The
+    files of a commit are dealt into groups of about ``COMMIT_FILES``, and groups meet pair by pair, so no
+    bulk commit is one key of the join.
     """
     c = commits.select("commit", "file").distinct()
     n = c.groupBy("file").agg(F.count("*").alias("n"))
     c = c.join(n.where(F.col("n") >= min_changes), "file")
-    a = c.select("commit", F.col("file").alias("file_a"), F.col("n").alias("na"))
-    b = c.select("commit", F.col("file").alias("file_b"), F.col("n").alias("nb"))
-    co = a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b", "na", "nb").agg(F.count("*").alias("co_changes"))
+    groups = c.groupBy("commit").agg(F.ceil(F.count("*") / COMMIT_FILES).alias("groups"))
+    c = c.join(groups, "commit").withColumn("mine", F.pmod(F.xxhash64("file"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    a = c.select("commit", F.col("mine").alias("x"), F.col("other").alias("y"), F.col("file").alias("file_a"), F.col("n").alias("na"))
+    b = c.select("commit", F.col("other").alias("x"), F.col("mine").alias("y"), F.col("file").alias("file_b"), F.col("n").alias("nb"))
+    co = a.join(b, ["commit", "x", "y"]).where("file_a < file_b").groupBy("file_a", "file_b", "na", "nb").agg(F.count("*").alias("co_changes"))
     confidence = F.col("co_changes") / F.greatest("na", "nb")
     return co.where((F.col("co_changes") >= min_changes) & (confidence >= min_confidence)).select("file_a", "file_b", "co_changes", F.round(confidence, 4).alias("confidence"))
 

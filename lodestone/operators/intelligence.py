@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigram_column, fuzzy_score_column
+from ..functions.text import bigram_column, bigram_similarity_column, fuzzy_score_column
 from ..functions.vector import cosine
 from ..plans.graph import SYMBOLS, Graph, settle
 from .structure import ranked
@@ -155,23 +155,56 @@ def document_terms(content: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(*parts), lambda x: F.trim(x)), lambda x: x != ""))
 
 
+def _by_rarity(names: DataFrame, c: str) -> DataFrame:
+    """(name, grams): the bigrams of each distinct name, the rarest of the table first."""
+    grams = names.select(F.col(c).alias("name")).distinct().select("name", F.explode(bigram_column(F.col("name"))).alias("g"))
+    often = grams.groupBy("g").agg(F.count("*").alias("n"))
+    return grams.join(often, "g").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s")).select("name", F.col("s.g").alias("grams"))
+
+
+def like_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of a name of ``left`` and one of ``right`` (column name) whose lower-case bigram sets
+    can have a Jaccard likeness of ``least``, or one of which may hold the other with a ratio of lengths of
+    ``least``.
+
+    Bigrams are ordered by rarity in both tables together.  Sets that are so alike share one of their
+    first |x| - ceil(least |x|) + 1 bigrams, and have sizes within that ratio; a name that lies in another
+    has its rarest bigram there.  So only rare bigrams are joined on, and no pair is lost.
+    """
+    ranked_ = _by_rarity(left.select("name").unionByName(right.select("name")), "name")
+    rows = ranked_.withColumn("size", F.size("grams")).withColumn("first", F.expr(f"slice(grams, 1, size - cast(ceil({least} * size - 1e-9) AS int) + 1)"))
+    sides = [rows.join(x.select("name").distinct(), "name") for x in (left, right)]
+    cut = lambda x, grams, name: x.select(F.col("name").alias(name), F.col("size").alias(f"s{name}"), F.explode(grams).alias("g"))
+    near = (F.col("sa") >= least * F.col("sb") - 1e-9) & (F.col("sb") >= least * F.col("sa") - 1e-9)
+    alike = cut(sides[0], "first", "a").join(cut(sides[1], "first", "b"), "g").where(near).select("a", "b")
+    rarest = F.slice("grams", 1, 1)
+    within = cut(sides[0], rarest, "a").join(cut(sides[1], "grams", "b"), "g").where((F.length("a") <= F.length("b")) & (F.length("a") >= least * F.length("b") - 1e-9)).select("a", "b")
+    holds = cut(sides[0], "grams", "a").join(cut(sides[1], rarest, "b"), "g").where((F.length("b") <= F.length("a")) & (F.length("b") >= least * F.length("a") - 1e-9)).select("a", "b")
+    return alike.unionByName(within).unionByName(holds).distinct()
+
+
+def similar_names(names: DataFrame, least: float = 0.5) -> DataFrame:
+    """(a, b, score): pairs of distinct names (a < b) whose bigram likeness is ``least`` or more."""
+    n = names.select("name").where("name IS NOT NULL").distinct()
+    equal = n.select(F.col("name").alias("a"), F.lower("name").alias("k")).join(n.select(F.col("name").alias("b"), F.lower("name").alias("k")), "k").select("a", "b")  # for names of one character
+    pairs = like_pairs(n, n, least).unionByName(equal).where("a < b").distinct()
+    return pairs.withColumn("score", bigram_similarity_column(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+
+
 def suggest_links(docs: DataFrame, code: DataFrame, linked: DataFrame | None = None, minimum: float = 0.5, fuzzy: float = 0.55, limit: int | None = None) -> DataFrame:
     """(source, target, confidence, strategy): which code names a document's terms point to.
 
     ``docs`` has name and term, ``code`` name.  Equal names (case ignored) count 0.95; else the fuzzy
-    score, from ``fuzzy`` on, times 0.8.  Pairs to be scored come from equal bigrams: a score of 0.55 needs
-    a common one (names of one character are only ever equal or contained, and are paired by their
-    character), so no pair is lost and no cross product is made.  Pairs in ``linked`` are left out.
+    score, from ``fuzzy`` on, times 0.8.  Pairs to be scored are those of ``like_pairs`` (names of one
+    character are only ever equal or contained, and are paired by their character), so no pair is lost
+    and no cross product is made.  Pairs in ``linked`` are left out.
     """
     d = docs.select(F.col("name").alias("source"), "term").where("term <> ''").distinct()
     c = code.select(F.col("name").alias("target")).where("target <> ''").distinct()
     exact = d.join(c, F.lower("term") == F.lower("target")).select("source", "target", F.lit(0.95).alias("confidence"), F.lit("exact").alias("strategy"))
     terms = d.select("term").distinct()
     letters = lambda x: F.array_distinct(F.split(F.lower(x), ""))
-    short = F.lit(2)
-    t2 = terms.where(F.length("term") >= short).select("term", F.explode(bigram_column(F.col("term"))).alias("g"))
-    c2 = c.where(F.length("target") >= short).select("target", F.explode(bigram_column(F.col("target"))).alias("g"))
-    pairs = t2.join(c2, "g").select("term", "target")
+    pairs = like_pairs(terms.select(F.col("term").alias("name")), c.select(F.col("target").alias("name")), fuzzy).select(F.col("a").alias("term"), F.col("b").alias("target"))
     one_t = terms.where(F.length("term") == 1).select("term", F.lower("term").alias("g")).join(c.select("target", F.explode(letters("target")).alias("g")), "g").select("term", "target")
     one_c = c.where(F.length("target") == 1).select("target", F.lower("target").alias("g")).join(terms.select("term", F.explode(letters("term")).alias("g")), "g").select("term", "target")
     pairs = pairs.unionByName(one_t).unionByName(one_c).distinct()

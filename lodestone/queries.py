@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import bigram_similarity_column, fuzzy_score_column
 from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure
 from .plans import cypher
-from .plans.graph import Graph, trails
+from .plans.graph import NODE_COLUMNS, Graph, trails
 from .plans.star import WITH_SQL, stored_star_graph
 from .streaming import feeds
 
@@ -296,8 +295,17 @@ def _cycles3(g):
     return structure.short_cycles(g.links("CALLS").where("src div 1000000000000 = 5").selectExpr("src AS a", "dst AS b"), 3)
 
 
-@_on_graph("import_cycles", None)
-def _import_cycles(g):
+@_on_tables("import_cycles", "SELECT string_agg(s_name, '>' ORDER BY s_name) AS cycle, CAST(count(*) AS INTEGER) AS length FROM supplier GROUP BY s_nationkey HAVING count(*) > 1")
+def _import_cycles(t):
+    """Suppliers of a nation as files that import each other in a ring; each ring's first imports that of the
+    next nation, which closes no cycle."""
+    ring = t("supplier").select("s_suppkey", "s_name", "s_nationkey")
+    by = Window.partitionBy("s_nationkey").orderBy("s_name")
+    ring = ring.withColumn("next", F.coalesce(F.lead("s_suppkey").over(by), F.first("s_suppkey").over(by))).withColumn("k", F.row_number().over(by))
+    heads = ring.where("k = 1").select(F.col("s_suppkey").alias("head"), (F.col("s_nationkey") - 1).alias("s_nationkey"))
+    edges = ring.where("next <> s_suppkey").select(F.col("s_suppkey").alias("src"), F.col("next").alias("dst")).unionByName(ring.where("k = 1").join(heads, "s_nationkey").select(F.col("s_suppkey").alias("src"), F.col("head").alias("dst")))
+    nodes = store.conform(ring.select(F.col("s_suppkey").cast("long").alias("id"), F.lit("File").alias("label"), F.col("s_name").alias("name"), F.col("s_name").alias("path")), NODE_COLUMNS)
+    g = Graph(nodes, edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.lit("IMPORTS").alias("type")))
     return structure.import_cycles(g).withColumn("cycle", F.array_join("cycle", ">"))
 
 
@@ -562,11 +570,9 @@ def _doc_terms(t):
 _BG = "list_distinct(list_transform(range(1, length({x})), lambda i: substr(lower({x}), i, 2)))"
 
 
-@_on_tables("bigram_similarity", f"WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x) SELECT a, b, round(CASE WHEN lower(a) = lower(b) THEN 1.0 ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END, 6) AS score FROM p")
+@_on_tables("bigram_similarity", f"WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x), s AS (SELECT a, b, CASE WHEN lower(a) = lower(b) THEN 1.0 ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END AS score FROM p) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.4")
 def _bigrams(t):
-    n = t("part").select(F.col("p_name").alias("x")).distinct()
-    pairs = n.select(F.col("x").alias("a"), F.lit(1).alias("k")).join(n.select(F.col("x").alias("b"), F.lit(1).alias("k")), "k").where("a < b")
-    return pairs.select("a", "b", F.round(bigram_similarity_column(F.col("a"), F.col("b")), 6).alias("score"))
+    return intelligence.similar_names(t("part").select(F.col("p_name").alias("name")), 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _FUZZY = f"CASE WHEN lower(a) = lower(b) THEN 1.0 WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END"

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import bigram_similarity, bigram_similarity_column, fuzzy_score, fuzzy_score_column
+from lodestone.functions.text import bigram_similarity_column, fuzzy_score_column
 from lodestone.operators import drift, enrichment, federation, history, intelligence, lenses, review, security, store
 from lodestone.streaming import feeds
 
@@ -18,13 +18,11 @@ def test_two_cliques_make_two_communities(spark):
     assert together[0] == together[1] == together[2] and together[3] == together[4]
 
 
-def test_name_likeness_columns_agree_with_functions(spark):
-    words = ["", "a", "load", "Loader", "loading", "xy", "load file"]
-    rows = [(a, b) for a in words for b in words]
-    df = spark.createDataFrame(rows, "a string, b string")
-    for r in df.select("a", "b", bigram_similarity_column(F.col("a"), F.col("b")).alias("s"), fuzzy_score_column(F.col("a"), F.col("b")).alias("f")).collect():
-        assert r.s == pytest.approx(bigram_similarity(r.a, r.b)), (r.a, r.b)
-        assert r.f == pytest.approx(fuzzy_score(r.a, r.b)), (r.a, r.b)
+def test_name_likeness(spark):
+    want = [("load", "Loader", 3 / 5, 4 / 6), ("load", "loading", 3 / 6, 4 / 7), ("load", "load file", 3 / 8, 4 / 9), ("Loader", "loading", 3 / 8, 3 / 8), ("a", "load", 0, 1 / 4), ("", "a", 0, 0), ("", "", 1, 1), ("A", "a", 1, 1), ("xy", "load", 0, 0), ("XY", "xy", 1, 1)]
+    df = spark.createDataFrame([(float(s), float(f), a, b) for a, b, s, f in want] + [(float(s), float(f), b, a) for a, b, s, f in want], "s double, f double, a string, b string")
+    for r in df.select("*", bigram_similarity_column(F.col("a"), F.col("b")).alias("x"), fuzzy_score_column(F.col("a"), F.col("b")).alias("y")).collect():
+        assert (r.x, r.y, history._likeness(r.a, r.b)) == pytest.approx((r.s, r.f, r.s)), (r.a, r.b)
 
 
 def test_link_suggestions_miss_no_pair(spark):
@@ -32,12 +30,7 @@ def test_link_suggestions_miss_no_pair(spark):
     docs = spark.createDataFrame([("d", t) for t in terms], "name string, term string")
     code = spark.createDataFrame([(n,) for n in names], "name string")
     got = {r.target: r.confidence for r in intelligence.suggest_links(docs, code).collect()}
-    want = {}
-    for n in names:
-        best = max(0.95 if t.lower() == n.lower() else round(fuzzy_score(t, n) * 0.8, 3) if fuzzy_score(t, n) >= 0.55 else 0 for t in terms)
-        if best >= 0.5:
-            want[n] = best
-    assert got == pytest.approx(want)
+    assert got == pytest.approx({"load": 0.95, "a": 0.95, "loader": 0.533, "LoadFile": 0.533, "xyz": 0.533})
 
 
 def test_diff_hunks_and_overlap(spark):
@@ -264,3 +257,29 @@ def test_many_rules_agents_and_token_lengths_lose_nothing(spark, make):
     assert intelligence.token_links(names.limit(0), names).count() == 0
     message = spark.createDataFrame([(1, "a5")], "id int, from_agent string")
     assert feeds.broadcast_messages(message, spark.range(10_050).select(F.concat(F.lit("a"), "id").alias("agent"))).count() == 10_049
+
+
+def test_similar_names_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choices("abcAB_", k=rng.randint(1, 9))) for _ in range(120)} | {"a", "A", "aaaa", "aaaab"})
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    every = n.toDF("a").crossJoin(n.toDF("b"))
+    for least in (0.3, 0.55, 0.8, 1.0):
+        want = {(r.a, r.b) for r in every.where("a < b").where(bigram_similarity_column(F.col("a"), F.col("b")) >= least).collect()}
+        assert {(r.a, r.b) for r in intelligence.similar_names(n, least).collect()} == want
+    docs = n.select(F.concat(F.lit("d"), "name").alias("name"), F.col("name").alias("term"))
+    want = {(r.a, r.b) for r in every.where(fuzzy_score_column(F.col("a"), F.col("b")) >= 0.63).collect()}
+    assert {(r.source[1:], r.target) for r in intelligence.suggest_links(docs, n, fuzzy=0.63).collect()} == want
+
+
+def test_bulk_commits_are_split(spark, monkeypatch):
+    monkeypatch.setattr(history, "COMMIT_FILES", 4)
+    rows = [(c, f"f{f:02}") for c in range(4) for f in range(30) if f % (c + 1) == 0]
+    df = spark.createDataFrame(rows, "commit int, file string")
+    files = {}
+    for c, f in rows:
+        files.setdefault(f, set()).add(c)
+    want = {(a, b, len(files[a] & files[b])) for a in files for b in files if a < b and len(files[a] & files[b]) >= 2 and len(files[a] & files[b]) / max(len(files[a]), len(files[b])) >= 0.5}
+    assert {(r.file_a, r.file_b, r.co_changes) for r in history.coupling_pairs(df, 2, 0.5).collect()} == want
