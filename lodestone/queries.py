@@ -539,7 +539,7 @@ def _topk(t):
     return intelligence.top_k(e, e.where("vec_id = 0").select("embedding"), 10, "vec_id").withColumn("score", F.round("score", 6))
 
 
-@_on_tables("semantic_links", "WITH d AS (SELECT vec_id AS doc, embedding AS dv FROM embeddings WHERE label < 5 ORDER BY vec_id LIMIT 100), c AS (SELECT vec_id AS code, embedding AS cv FROM embeddings WHERE label >= 5 ORDER BY vec_id LIMIT 200) SELECT doc, code, round(list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])), 6) AS score FROM d, c WHERE list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])) >= 0.3")
+@_on_tables("semantic_links", "WITH d AS (SELECT vec_id AS doc, embedding AS dv FROM embeddings WHERE label < 5), c AS (SELECT vec_id AS code, embedding AS cv FROM embeddings WHERE label >= 5) SELECT doc, code, round(list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])), 6) AS score FROM d, c WHERE list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])) >= 0.3")
 def _semantic_links(t):
     e = t("embeddings").withColumnRenamed("vec_id", "id")
     return intelligence.semantic_links(e.where("label < 5"), e.where("label >= 5"), 0.3).withColumn("score", F.round("score", 6))
