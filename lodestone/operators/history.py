@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.graph import SYMBOLS, Graph
+from ..functions.text import bigram_similarity_column
+from ..plans.graph import SYMBOLS, Graph, settle
 
 
 def snapshot(g: Graph, ref: str, commit: str, committed_at: str) -> tuple[DataFrame, DataFrame]:
@@ -45,60 +43,61 @@ def symbol_history(members: DataFrame, name: str | None = None, file_path: str =
     return seen.select("name", "ref", "committed_at", "file_path", "event").unionByName(gone)
 
 
-def _likeness(one: str, other: str) -> float:
-    """The value of ``bigram_similarity_column``."""
-    pairs = [Counter(zip(x, x[1:], strict=False)).keys() for x in (one.lower(), other.lower())]
-    return 1.0 if one.lower() == other.lower() else len(pairs[0] & pairs[1]) / max(1, len(pairs[0] | pairs[1]))
+def succession(members: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(at, name, file_path, to_name, to_file, event, score): what became of each symbol of snapshot ``at``, counted
+    from 1 by time, in the next.  The same name and file (seen), else the same name in its first file (moved),
+    else the most alike name of its file (renamed, likeness of ``threshold`` or more, the first of equals by
+    name), else removed.  Only names that the next snapshot lacks are compared with others."""
+    order = members.select("committed_at", "ref").distinct()
+    order = order.withColumn("at", F.row_number().over(Window.orderBy("committed_at", "ref")))  # a row a snapshot
+    here = settle(members.join(order, ["committed_at", "ref"]).select("at", "ref", "name", "file_path").distinct())
+    newest = here.agg(F.max("at").alias("newest"))
+    after = here.select((F.col("at") - 1).alias("at"), "name", "file_path")
+    key = ["at", "name", "file_path"]
+    old = here.join(F.broadcast(newest), F.col("at") < F.col("newest")).select(key)
+    first = after.groupBy("at", "name").agg(F.min("file_path").alias("first_file"))
+    known = old.join(first, ["at", "name"], "left").join(after.withColumn("still", F.lit(True)), key, "left")
+    stays = F.col("still").isNotNull()
+    same = known.where("first_file IS NOT NULL").select(
+        *key, F.col("name").alias("to_name"), F.when(stays, F.col("file_path")).otherwise(F.col("first_file")).alias("to_file"),
+        F.when(stays, "seen").otherwise("moved").alias("event"), F.lit(1.0).alias("score"),
+    )
+    gone = known.where("first_file IS NULL").select(key)
+    others = after.withColumnRenamed("name", "other")
+    alike = gone.join(others, ["at", "file_path"]).withColumn("score", bigram_similarity_column(F.col("name"), F.col("other"))).where(F.col("score") >= threshold)
+    best = alike.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), "other")).alias("b"))
+    left = gone.join(best, key, "left").select(
+        *key, F.coalesce("b.other", "name").alias("to_name"), F.col("file_path").alias("to_file"),
+        F.when(F.col("b").isNull(), "removed").otherwise("renamed").alias("event"), F.coalesce(-F.col("b.less"), F.lit(0.0)).alias("score"),
+    )
+    return same.unionByName(left)
 
 
 def lineage(members: DataFrame, starts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(start_name, start_file, step, ref, name, file_path, event, score) of the given symbols.
 
-    From snapshot to snapshot a symbol is followed to the same name and file, else to the same name
-    (moved), else to the most alike name of its file (renamed, likeness of ``threshold`` or more), else it
-    is removed and the walk ends.  What follows depends on the step before, so one task walks a symbol;
-    tasks get only the rows that can matter: those of files and names that the symbol's own files and
-    names lead to within one step, found by joins.
+    A symbol begins in the first snapshot that has its name and file, and is followed through ``succession``
+    until it is removed.  Every symbol of a snapshot has one successor, so the walks are lengthened by joins
+    that double what a jump spans: their number grows with the logarithm of the snapshots.
     """
-    order = members.select("ref", "committed_at").distinct()
-    start = starts.select(F.col("name").alias("start_name"), F.col("file_path").alias("start_file")).distinct()
-    by_name = start.join(members, F.col("name") == F.col("start_name")).select("start_name", "start_file", "name", "file_path")
-    files = by_name.select("start_name", "start_file", "file_path").unionByName(start.select("start_name", "start_file", F.col("start_file").alias("file_path"))).distinct()
-    near = files.join(members, "file_path").select("start_name", "start_file", "name").distinct()
-    rows = near.join(members, "name").select("start_name", "start_file", "ref", "committed_at", "name", "file_path").distinct()
-    refs = [r.ref for r in order.orderBy("committed_at", "ref").collect()]  # one row for each snapshot
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        name, file = part.start_name.iloc[0], part.start_file.iloc[0]
-        at = {r: list(zip(p.name_, p.file_path, strict=True)) for r, p in part.rename(columns={"name": "name_"}).groupby("ref")}
-        out, now, step = [], (name, file), 0
-        begun = False
-        for r in refs:
-            here = sorted(at.get(r, []))
-            if not begun:
-                if now not in here:
-                    continue
-                begun = True
-                out.append((name, file, step, r, *now, "first_seen", 1.0))
-                continue
-            step += 1
-            same = [x for x in here if x[0] == now[0]]
-            if now in here:
-                out.append((name, file, step, r, *now, "seen", 1.0))
-            elif same:
-                now = same[0]
-                out.append((name, file, step, r, *now, "moved", 1.0))
-            else:
-                scored = sorted(((-_likeness(now[0], x[0]), x) for x in here if x[1] == now[1]))
-                if scored and -scored[0][0] >= threshold:
-                    score, now = -scored[0][0], scored[0][1]
-                    out.append((name, file, step, r, *now, "renamed", score))
-                else:
-                    out.append((name, file, step, r, *now, "removed", 0.0))
-                    break
-        return pd.DataFrame(out, columns=["start_name", "start_file", "step", "ref", "name", "file_path", "event", "score"])
-
-    return rows.groupBy("start_name", "start_file").applyInPandas(walk, "start_name string, start_file string, step int, ref string, name string, file_path string, event string, score double")
+    order = members.select("committed_at", "ref").distinct().withColumn("at", F.row_number().over(Window.orderBy("committed_at", "ref")))
+    steps = settle(succession(members, threshold))
+    placed = members.join(order, ["committed_at", "ref"]).groupBy("name", "file_path").agg(F.min("at").alias("begin"))
+    start = starts.select("name", "file_path").distinct().join(placed, ["name", "file_path"])
+    walk = settle(start.select(F.col("name").alias("start_name"), F.col("file_path").alias("start_file"), "begin", F.col("begin").alias("at"), "name", "file_path"))
+    jump = steps.where("event <> 'removed'").select("at", "name", "file_path", (F.col("at") + 1).alias("to_at"), "to_name", "to_file")
+    key, own = ["at", "name", "file_path"], ["start_name", "start_file", "begin"]
+    target = [F.col("to_at").alias("at"), F.col("to_name").alias("name"), F.col("to_file").alias("file_path")]
+    snapshots, span = order.count(), 1
+    while span < snapshots:
+        walk = settle(walk.unionByName(walk.join(jump, key).select(*own, *target)))
+        span *= 2
+        if span < snapshots:
+            onward = jump.select(*target, F.col("at").alias("a"), F.col("name").alias("n"), F.col("file_path").alias("f"))
+            jump = settle(onward.join(jump, key).select(F.col("a").alias("at"), F.col("n").alias("name"), F.col("f").alias("file_path"), "to_at", "to_name", "to_file"))
+    first = walk.where("at = begin").select(*own, "at", "name", "file_path", F.lit("first_seen").alias("event"), F.lit(1.0).alias("score"))
+    later = walk.join(steps, key).select(*own, (F.col("at") + 1).alias("at"), F.col("to_name").alias("name"), F.col("to_file").alias("file_path"), "event", "score")
+    return first.unionByName(later).join(order, "at").select("start_name", "start_file", (F.col("at") - F.col("begin")).alias("step"), "ref", "name", "file_path", "event", "score")
 
 
 def diff_snapshots(members: DataFrame, base: str, head: str) -> DataFrame:

@@ -50,7 +50,7 @@ NODES_SQL = " UNION ALL ".join(
         _node("part", id=_id("part", "p_partkey"), label="'Function'", name="p_name", file_path="'part/' || CAST(p_partkey AS STRING)", line_start="p_size", line_end="p_size + CAST(p_partkey % 30 AS INT)", docstring="CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END", description="p_brand", domain="p_brand", signature="p_name || '(' || p_type || ')'"),
         _node("supplier", id=_id("supplier", "s_suppkey"), label="'Person'", name="s_name", email="lower(s_name) || '@example.com'", role="CASE WHEN s_suppkey % 2 = 0 THEN 'maintainer' ELSE 'reviewer' END", team="'team' || CAST(s_nationkey AS STRING)"),
         _node(f"{_BRANDS} b", id=_id("brand", "k"), label="'Domain'", name="brand", description="'Brand domain ' || brand"),
-        _node("documents", id=_id("documents", "doc_id"), label="'Document'", name="'doc_' || CAST(doc_id AS STRING)", path="'docs/' || source || '/' || CAST(doc_id AS STRING) || '.md'", content="substr(text, 1, 4000)", description="lang"),
+        _node("documents", id=_id("documents", "doc_id"), label="'Document'", name="'doc_' || CAST(doc_id AS STRING)", path="'docs/' || source || '/' || CAST(doc_id AS STRING) || '.md'", content="text", description="lang"),
         _node(f"{_SIZES} s", id=_id("rule", "psize"), label="'Rule'", name="'rule_' || CAST(psize AS STRING)", description="'Sizes of ' || CAST(psize AS STRING)", severity="CASE psize % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END", rationale="CASE WHEN psize % 2 = 0 THEN 'Every owner must agree' ELSE NULL END", memory_type="CASE WHEN psize % 5 = 0 THEN 'feedback' ELSE NULL END", domain="CASE WHEN psize % 5 = 0 THEN 'Brand#' || CAST(CAST(psize / 5 AS INT) AS STRING) ELSE NULL END", repo="CASE WHEN psize % 5 = 0 THEN 'ASIA' ELSE NULL END"),
         _node("nation", id=_id("decision", "n_nationkey"), label="'Decision'", name="'decision_' || n_name", description="'Decided in ' || n_name", status="CASE n_nationkey % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'proposed' ELSE 'deprecated' END", rationale="'Because of ' || n_name", date="CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(n_nationkey + 1 AS STRING), 2, '0') END", memory_type="CASE WHEN n_nationkey % 2 = 0 THEN 'project' ELSE NULL END", repo="CASE WHEN n_nationkey % 2 = 0 THEN 'EUROPE' ELSE NULL END"),
         _node(f"{_TYPES} t", id=_id("concept", "k"), label="'Concept'", name="ptype", description="'Parts of type ' || ptype", status="'stable'"),
@@ -93,14 +93,10 @@ EDGES_SQL = " UNION ALL ".join(
 WITH_SQL = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})".replace("/ 3) % 4", "// 3) % 4").replace("% 2) / 2", "% 2) // 2")
 
 
-#: The nodes with whole texts as content; the oracle's have their first 4,000 characters.
-WHOLE_NODES_SQL = NODES_SQL.replace("CAST(substr(text, 1, 4000) AS STRING) AS content", "CAST(text AS STRING) AS content")
-
-
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of the tables in a folder.  Tables are referred to by subquery, so that nothing is
     registered under a global name."""
-    return Graph(*(over(spark, sf_dir, q) for q in (WHOLE_NODES_SQL, EDGES_SQL)))
+    return Graph(*(over(spark, sf_dir, q) for q in (NODES_SQL, EDGES_SQL)))
 
 
 _STORED: dict[tuple[str, str], str] = {}

@@ -105,9 +105,9 @@ def _affected_knowledge(g):
     return impact.affected_knowledge(g, g.of("Function").where("line_start < 10").select("id"))
 
 
-@_on_graph("cross_repo_blast", _reach_sql("label = 'Method' AND id % 40 = 0", impact.BLAST, 2) + ", up AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CONTAINS'), u1 AS (SELECT rc.id, up.src AS rid FROM rc JOIN up ON up.dst = rc.id), u2 AS (SELECT u1.id, up.src AS rid FROM u1 JOIN up ON up.dst = rid), u3 AS (SELECT u2.id, up.src AS rid FROM u2 JOIN up ON up.dst = rid), rp AS (SELECT DISTINCT u.id, n.name AS repo_name FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3) u JOIN nodes n ON n.id = u.rid WHERE n.label = 'Repository') SELECT DISTINCT label AS type, name, file_path, repo_name FROM rc JOIN nodes USING (id) LEFT JOIN rp ON rp.id = rc.id")
+@_on_graph("cross_repo_blast", _reach_sql("label = 'Method' AND file_path = 'orders/1-URGENT'", impact.BLAST, 2) + ", up AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CONTAINS'), u1 AS (SELECT rc.id, up.src AS rid FROM rc JOIN up ON up.dst = rc.id), u2 AS (SELECT u1.id, up.src AS rid FROM u1 JOIN up ON up.dst = rid), u3 AS (SELECT u2.id, up.src AS rid FROM u2 JOIN up ON up.dst = rid), rp AS (SELECT DISTINCT u.id, n.name AS repo_name FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3) u JOIN nodes n ON n.id = u.rid WHERE n.label = 'Repository') SELECT DISTINCT label AS type, name, file_path, repo_name FROM rc JOIN nodes USING (id) LEFT JOIN rp ON rp.id = rc.id")
 def _cross_repo(g):
-    return impact.cross_repo_blast(g, g.of("Method").where("id % 40 = 0").select("id"), 2)
+    return impact.cross_repo_blast(g, g.of("Method").where("file_path = 'orders/1-URGENT'").select("id"), 2)
 
 
 @_on_graph("federated_blast", _reach_sql("label = 'Function' AND name = 'small ring'", impact.BLAST, 2) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level, g.graph FROM rc JOIN nodes USING (id) CROSS JOIN (SELECT 'a' AS graph UNION ALL SELECT 'b') g GROUP BY ALL")
@@ -133,9 +133,9 @@ def _paths(g):
 _BOTH = ", bo AS (SELECT src AS a, dst AS b, src, dst, type FROM edges UNION ALL SELECT dst, src, src, dst, type FROM edges WHERE src <> dst)"
 
 
-@_on_graph("neighbours_1", _BOTH + ", rt AS (SELECT id, label, name FROM nodes WHERE label = 'Function' AND id % 50 = 0) SELECT DISTINCT rt.label AS root_type, rt.name AS root_name, n.label AS neighbor_type, n.name AS neighbor_name, n.file_path AS neighbor_file_path FROM rt LEFT JOIN bo ON bo.a = rt.id LEFT JOIN nodes n ON n.id = bo.b")
+@_on_graph("neighbours_1", _BOTH + ", rt AS (SELECT id, label, name FROM nodes WHERE label = 'Function' AND line_start = 9) SELECT DISTINCT rt.label AS root_type, rt.name AS root_name, n.label AS neighbor_type, n.name AS neighbor_name, n.file_path AS neighbor_file_path FROM rt LEFT JOIN bo ON bo.a = rt.id LEFT JOIN nodes n ON n.id = bo.b")
 def _neighbours1(g):
-    return context.neighbours(g, g.of("Function").where("id % 50 = 0").select("id"), 1)
+    return context.neighbours(g, g.of("Function").where("line_start = 9").select("id"), 1)
 
 
 @_on_graph("neighbours_2", _BOTH + ", rt AS (SELECT id, label, name FROM nodes WHERE file_path = 'part/4'), p AS (SELECT rt.id AS root, x.b AS id FROM rt JOIN bo x ON x.a = rt.id UNION SELECT rt.id, y.b FROM rt JOIN bo x ON x.a = rt.id JOIN bo y ON y.a = x.b AND NOT (x.src = y.src AND x.dst = y.dst AND x.type = y.type)) SELECT DISTINCT rt.label AS root_type, rt.name AS root_name, n.label AS neighbor_type, n.name AS neighbor_name, n.file_path AS neighbor_file_path FROM rt LEFT JOIN p ON p.root = rt.id LEFT JOIN nodes n ON n.id = p.id")
@@ -367,19 +367,40 @@ def _max_calls(g):
     return drift.call_excess(g, _rules(g, '{"type":"MAX_OUTGOING_CALLS","label":"Method","max":1}'))
 
 
-@_on_graph("drift_summary", None)
+_COUNTED = """, un AS (SELECT 'UNDOCUMENTED_DOMAIN_SYMBOL' AS "check", 'warning' AS level, least(50, count(*)) AS n FROM mem WHERE label IN ('Function', 'Class', 'Method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = mem.id AND e.type IN ('DOCUMENTS', 'ANNOTATES', 'GOVERNS'))),
+ ask AS (SELECT name AS rule, domain AS dn FROM nodes WHERE label = 'Rule' AND memory_type = 'feedback' AND (lower(name) LIKE '%owner%' OR lower(rationale) LIKE '%owner%') AND domain <> '' ORDER BY name, id LIMIT 20),
+ mo AS (SELECT 'MISSING_OWNER' AS "check", 'warning' AS level, sum(c) AS n FROM (SELECT least(20, count(*)) AS c FROM mem JOIN ask USING (dn) WHERE label IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM edges e JOIN nodes p ON p.id = e.dst AND p.label = 'Person' WHERE e.src = mem.id AND e.type = 'ASSIGNED_TO') GROUP BY rule, dn) x),
+ fd AS (SELECT 'FORBIDDEN_DEP' AS "check", 'warning' AS level, least(20, count(*)) AS n FROM (SELECT DISTINCT src, dst FROM edges WHERE type IN ('CALLS', 'IMPORTS', 'INHERITS')) e JOIN mem a ON a.id = e.src AND a.dn = 'Brand#3' JOIN mem b ON b.id = e.dst AND b.dn = 'Brand#12'),
+ ly AS (SELECT unnest(['Class', 'Method', 'Domain', 'Function']) AS l, unnest([0, 1, 2, 3]) AS i),
+ rl AS (SELECT 'REQUIRED_LAYER' AS "check", 'violation' AS level, least(30, count(*)) AS n FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst JOIN ly x ON x.l = a.label JOIN ly y ON y.l = b.label WHERE e.type = 'CALLS' AND x.i <> y.i AND x.i + 1 <> y.i),
+ mc AS (SELECT 'MAX_OUTGOING_CALLS' AS "check", 'warning' AS level, least(20, count(*)) AS n FROM (SELECT src AS id, count(*) AS cnt FROM edges WHERE type = 'CALLS' GROUP BY src) c JOIN nodes USING (id) WHERE label = 'Method' AND cnt > 1)
+ SELECT "check", level, CAST(n AS BIGINT) AS n FROM (SELECT * FROM un UNION ALL SELECT * FROM mo UNION ALL SELECT * FROM fd UNION ALL SELECT * FROM rl UNION ALL SELECT * FROM mc) u WHERE n > 0"""
+
+#: Rules that get a constraint for ``drift_summary``, the second of them with the severity of an error.
+_CONSTRAINED = {
+    "rule_3": '{"type":"FORBIDDEN_DEP","from":"Brand#3","to":"Brand#12"}',
+    "rule_6": '{"type":"REQUIRED_LAYER","order":["Class","Method","Domain","Function"]}',
+    "rule_9": '{"type":"MAX_OUTGOING_CALLS","label":"Method","max":1}',
+}
+
+
+@_on_graph("drift_summary", _MEMBER + _COUNTED)
 def _drift_summary(g):
-    return drift.summary(drift.check(g))
+    text, rule = F.lit(None).cast("string"), F.col("label") == "Rule"
+    for name, constraint in _CONSTRAINED.items():
+        text = F.when(rule & (F.col("name") == name), constraint).otherwise(text)
+    severity = F.when(rule & (F.col("name") == "rule_6"), "error").otherwise(F.col("severity"))
+    return drift.summary(drift.check(Graph(g.nodes.withColumns({"constraint_json": text, "severity": severity}), g.edges)))
 
 
 # -- changes
 
-_RANGES = "SELECT 'part/' || (o_orderkey % 100) AS f, o_orderkey % 40 AS first, o_orderkey % 40 + 3 AS last FROM orders WHERE o_orderkey % 50 = 0"
+_RANGES = "SELECT 'part/' || (o_orderkey % 100) AS f, o_orderkey % 40 AS first, o_orderkey % 40 + 3 AS last FROM orders"
 _CHANGED = f", rg AS ({_RANGES}), ch AS (SELECT name, file_path, min(struct_pack(a := line_start, b := label, c := line_end)) AS m FROM nodes s WHERE label IN ('Function', 'Class', 'Method') AND line_start IS NOT NULL AND EXISTS (SELECT 1 FROM rg WHERE f = s.file_path AND first <= CASE WHEN line_end > 0 THEN line_end ELSE line_start END AND last >= line_start) GROUP BY name, file_path)"
 
 
 def _ranges(g: Graph) -> DataFrame:
-    o = g.of("Method").where("(id % 1000000000000) % 50 = 0").select((F.col("id") % 1000000000000).alias("k"))
+    o = g.of("Method").select((F.col("id") % 1000000000000).alias("k"))
     return o.select(F.concat(F.lit("part/"), (F.col("k") % 100).cast("string")).alias("file_path"), (F.col("k") % 40).alias("first"), (F.col("k") % 40 + 3).alias("last"))
 
 
@@ -398,14 +419,37 @@ def _diff_report(g):
     return review.diff_report(g, _ranges(g))
 
 
-@_on_graph("review", None)
+def _changed_ids(most: int) -> str:
+    return f"{_CHANGED}, cs AS (SELECT name, file_path FROM ch ORDER BY name, file_path LIMIT {most}), ci AS (SELECT n.id, cs.name AS symbol, cs.file_path AS sf FROM nodes n JOIN cs USING (name, file_path))"
+
+
+_REVIEW = """, bod AS (SELECT *, coalesce(rationale, description, '') AS body FROM nodes),
+ p1 AS (SELECT DISTINCT symbol, sf, CASE lower(trim(r.severity)) WHEN 'critical' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'suggestion' END AS severity, 'Rule ''' || r.name || ''' governs this symbol' AS title, r.body, r.name AS ref, 'Rule' AS kind, CAST(1.0 AS DOUBLE) AS confidence, 1 AS pass FROM ci JOIN edges e ON e.dst = ci.id AND e.type = 'GOVERNS' JOIN bod r ON r.id = e.src AND r.label = 'Rule'),
+ p2 AS (SELECT DISTINCT symbol, sf, 'suggestion', 'ADR ''' || d.name || ''' applies to this domain', d.body, d.name AS ref, 'Decision', CAST(0.7 AS DOUBLE), 2 FROM ci JOIN edges e ON e.src = ci.id AND e.type = 'BELONGS_TO' JOIN edges x ON x.dst = e.dst AND x.type = 'BELONGS_TO' JOIN bod d ON d.id = x.src AND d.label = 'Decision' AND d.status = 'accepted'),
+ p3 AS (SELECT DISTINCT symbol, sf, 'suggestion', 'No knowledge links found for this symbol', 'Consider a rule, a decision or a page that covers this symbol.', '', '', CAST(0.5 AS DOUBLE), 3 FROM ci WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = ci.id AND e.type IN ('GOVERNS', 'ANNOTATES', 'DOCUMENTS'))),
+ ps AS (SELECT * FROM (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY symbol, sf ORDER BY ref) <= 10) a UNION ALL SELECT * FROM (SELECT * FROM p2 QUALIFY row_number() OVER (PARTITION BY symbol, sf ORDER BY ref) <= 5) b UNION ALL SELECT * FROM p3),
+ p4 AS (SELECT DISTINCT '' AS symbol, f.path AS sf, 'suggestion' AS severity, 'File touches symbol governed by ''' || k.name || '''' AS title, k.body, k.name AS ref, k.label AS kind, CAST(0.6 AS DOUBLE) AS confidence, 4 AS pass FROM nodes f JOIN edges c ON c.src = f.id AND c.type = 'CONTAINS' JOIN edges e ON e.dst = c.dst AND e.type IN ('GOVERNS', 'ANNOTATES') JOIN bod k ON k.id = e.src WHERE f.label = 'File'),
+ al AS (SELECT * FROM (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY symbol, sf ORDER BY pass, ref) <= 5) a UNION ALL SELECT * FROM (SELECT * FROM p4 QUALIFY row_number() OVER (PARTITION BY sf ORDER BY ref) <= 10) b)
+ SELECT symbol, sf AS file_path, severity, title, body, ref AS knowledge_ref, kind AS knowledge_type, confidence FROM (SELECT * FROM al WHERE ref = '' UNION ALL SELECT * FROM (SELECT * FROM al WHERE ref <> '' QUALIFY row_number() OVER (PARTITION BY symbol, ref ORDER BY confidence DESC, pass, sf) = 1) q) z"""
+
+
+@_on_graph("review", _changed_ids(100) + _REVIEW)
 def _review(g):
-    return review.review(g, _changed_symbols(g).select("name", "file_path"), g.of("File").where("id % 2 = 0").select("path"))
+    return review.review(g, _changed_symbols(g).select("name", "file_path"), g.of("File").select("path"))
 
 
-@_on_graph("release_check", None)
+_RELEASE = """, st AS (SELECT DISTINCT dst AS a, src AS b FROM edges WHERE type = 'CALLS'), u1 AS (SELECT DISTINCT ci.id AS root, b AS id FROM ci JOIN st ON a = ci.id), u2 AS (SELECT DISTINCT root, b AS id FROM u1 JOIN st ON a = u1.id),
+ td AS (SELECT DISTINCT root FROM (SELECT * FROM u1 UNION SELECT * FROM u2) u JOIN nodes n ON n.id = u.id WHERE n.file_path = 'orders/1-URGENT')
+ SELECT DISTINCT 'changed_symbol' AS "check", 'info' AS severity, symbol, sf AS file_path, '' AS detail FROM ci
+ UNION ALL SELECT DISTINCT 'missing_test', 'warning', symbol, sf, 'no test reaches it' FROM ci WHERE id NOT IN (SELECT root FROM td)
+ UNION ALL SELECT DISTINCT 'stale_doc', 'warning', symbol, sf, n.name FROM ci JOIN edges e ON e.dst = ci.id AND e.type IN ('GOVERNS', 'ANNOTATES', 'DOCUMENTS') JOIN nodes n ON n.id = e.src
+ UNION ALL SELECT DISTINCT 'owner', 'info', symbol, sf, n.name FROM ci JOIN edges e ON e.src = ci.id AND e.type = 'ASSIGNED_TO' JOIN nodes n ON n.id = e.dst"""
+
+
+@_on_graph("release_check", _changed_ids(50) + _RELEASE)
 def _release(g):
-    return review.release_check(g, _changed_symbols(g).select("name", "file_path"))
+    path = F.when(F.col("file_path") == "orders/1-URGENT", "tests/1-URGENT").otherwise(F.col("file_path"))  # the tests
+    return review.release_check(Graph(g.nodes.withColumn("file_path", path), g.edges), _changed_symbols(g).select("name", "file_path"))
 
 
 _SHOW = "n.label AS type, n.name, coalesce(n.file_path, '') AS file_path"
@@ -447,9 +491,9 @@ def _lens_components(g):
     return lenses.apply(g, "framework_components", use_semantic_type=True)
 
 
-@_on_graph("lens_requests", None)
+@_on_graph("lens_requests", ", st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE type = 'CALLS'), w(root, id, level) AS (SELECT n.id, st.b, 1 FROM nodes n JOIN st ON st.a = n.id WHERE n.label = 'Method' AND n.file_path = 'orders/1-URGENT' UNION SELECT root, st.b, level + 1 FROM w JOIN st ON st.a = w.id WHERE level < 5)" + f" SELECT DISTINCT {_PAIR_SQL} FROM (SELECT DISTINCT root, id FROM w) p JOIN nodes a ON a.id = p.root JOIN nodes b ON b.id = p.id {_PAIR_ORDER} 100")
 def _lens_requests(g):
-    marked = Graph(g.nodes.withColumn("semantic_type", F.when((F.col("label") == "Method") & (F.col("id") % 25 == 0), F.lit("Controller")).otherwise(F.col("semantic_type"))), g.edges)
+    marked = Graph(g.nodes.withColumn("semantic_type", F.when((F.col("label") == "Method") & (F.col("file_path") == "orders/1-URGENT"), F.lit("Controller")).otherwise(F.col("semantic_type"))), g.edges)
     return lenses.apply(marked, "request_path", use_semantic_type=True)
 
 
@@ -480,7 +524,17 @@ def _snapshot_diff(t):
     return history.diff_snapshots(m, low, high)
 
 
-@_on_tables("lineage", None)
+_BG = "list_distinct(list_transform(range(1, length({x})), lambda i: substr(lower({x}), i, 2)))"
+_LINEAGE = f"""WITH RECURSIVE m AS ({_MONTHS}), rk AS (SELECT ref, row_number() OVER (ORDER BY ref) AS pos FROM (SELECT DISTINCT ref FROM m) x), p AS (SELECT DISTINCT pos, ref, name, file_path AS f FROM m JOIN rk USING (ref)),
+ nx AS (SELECT a.pos, a.name, a.f, (SELECT min(b.f) FROM p b WHERE b.pos = a.pos + 1 AND b.name = a.name) AS other, EXISTS (SELECT 1 FROM p b WHERE b.pos = a.pos + 1 AND b.name = a.name AND b.f = a.f) AS stays FROM p a WHERE a.pos < (SELECT max(pos) FROM rk)),
+ lk AS (SELECT a.pos, a.name, a.f, b.name AS tn, CASE WHEN lower(a.name) = lower(b.name) THEN 1.0 ELSE len(list_intersect({_BG.format(x='a.name')}, {_BG.format(x='b.name')})) / len(list_distinct(list_concat({_BG.format(x='a.name')}, {_BG.format(x='b.name')}))) END AS score FROM nx a JOIN p b ON b.pos = a.pos + 1 AND b.f = a.f WHERE a.other IS NULL),
+ bs AS (SELECT * FROM lk WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY pos, name, f ORDER BY score DESC, tn) = 1),
+ t AS (SELECT pos, name, f, name AS tn, CASE WHEN stays THEN f ELSE other END AS tf, CASE WHEN stays THEN 'seen' ELSE 'moved' END AS ev, 1.0 AS sc FROM nx WHERE other IS NOT NULL UNION ALL SELECT nx.pos, nx.name, nx.f, coalesce(bs.tn, nx.name), nx.f, CASE WHEN bs.tn IS NULL THEN 'removed' ELSE 'renamed' END, coalesce(bs.score, 0.0) FROM nx LEFT JOIN bs ON bs.pos = nx.pos AND bs.name = nx.name AND bs.f = nx.f WHERE other IS NULL),
+ w(start_name, start_file, step, pos, name, f, event, score) AS (SELECT name, f, 0, pos, name, f, 'first_seen', CAST(1.0 AS DOUBLE) FROM p WHERE pos = 1 UNION ALL SELECT w.start_name, w.start_file, w.step + 1, w.pos + 1, t.tn, t.tf, t.ev, CAST(t.sc AS DOUBLE) FROM w JOIN t ON t.pos = w.pos AND t.name = w.name AND t.f = w.f WHERE w.event <> 'removed')
+ SELECT start_name, start_file, CAST(step AS INT) AS step, ref, name, f AS file_path, event, score FROM w JOIN rk USING (pos)"""
+
+
+@_on_tables("lineage", _LINEAGE)
 def _lineage(t):
     m = _members(t)
     first = m.agg(F.min("ref")).first()[0]
@@ -567,7 +621,6 @@ def _doc_terms(t):
     return t("documents").select("doc_id", F.explode(intelligence.document_terms(F.col("text"))).alias("term"))
 
 
-_BG = "list_distinct(list_transform(range(1, length({x})), lambda i: substr(lower({x}), i, 2)))"
 
 
 @_on_tables("bigram_similarity", f"WITH n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a JOIN n b ON a.x < b.x), s AS (SELECT a, b, CASE WHEN lower(a) = lower(b) THEN 1.0 ELSE len(list_intersect({_BG.format(x='a')}, {_BG.format(x='b')})) / len(list_distinct(list_concat({_BG.format(x='a')}, {_BG.format(x='b')}))) END AS score FROM p) SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.4")
