@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def test_name_likeness(spark):
     want = [("load", "Loader", 3 / 5, 4 / 6), ("load", "loading", 3 / 6, 4 / 7), ("load", "load file", 3 / 8, 4 / 9), ("Loader", "loading", 3 / 8, 3 / 8), ("a", "load", 0, 1 / 4), ("", "a", 0, 0), ("", "", 1, 1), ("A", "a", 1, 1), ("xy", "load", 0, 0), ("XY", "xy", 1, 1)]
     df = spark.createDataFrame([(float(s), float(f), a, b) for a, b, s, f in want] + [(float(s), float(f), b, a) for a, b, s, f in want], "s double, f double, a string, b string")
     for r in df.select("*", bigram_similarity_column(F.col("a"), F.col("b")).alias("x"), fuzzy_score_column(F.col("a"), F.col("b")).alias("y")).collect():
-        assert (r.x, r.y, history._likeness(r.a, r.b)) == pytest.approx((r.s, r.f, r.s)), (r.a, r.b)
+        assert (r.x, r.y) == pytest.approx((r.s, r.f)), (r.a, r.b)
 
 
 def test_link_suggestions_miss_no_pair(spark):
@@ -113,6 +115,36 @@ def test_history(spark):
     assert diff == [("added", "load"), ("moved", "load"), ("removed", "load")]
 
 
+def test_lineage_against_a_walk(spark):
+    rng = random.Random(5)
+    names = ["load", "loads", "loadx", "reload", "zz", "zzz", "store"]
+    rows = sorted({(f"r{k:02}", f"{k:02}", "Function", n, f) for k in range(11) for n in names for f in "ab" if rng.random() < 0.35})
+    m = spark.createDataFrame(rows, "ref string, committed_at string, label string, name string, file_path string")
+    starts = sorted({(r[3], r[4]) for r in rows})
+    at = {f"r{k:02}": {(r[3], r[4]) for r in rows if r[0] == f"r{k:02}"} for k in range(11)}
+    refs = sorted({r[0] for r in rows})
+    grams = {n: {n[i : i + 2] for i in range(len(n) - 1)} for n in names}
+    want = []
+    for start in starts:
+        first = min(r for r in refs if start in at[r])
+        now, seen = start, [(0, first, *start, "first_seen", 1.0)]
+        for step, r in enumerate(refs[refs.index(first) + 1 :], 1):
+            files = sorted(f for n, f in at[r] if n == now[0])
+            best = sorted((-len(grams[n] & grams[now[0]]) / len(grams[n] | grams[now[0]]), n) for n, f in at[r] if f == now[1])
+            if files:
+                event, score, now = ("seen", 1.0, now) if now in at[r] else ("moved", 1.0, (now[0], files[0]))
+            elif best and -best[0][0] >= 0.5:
+                event, score, now = "renamed", -best[0][0], (best[0][1], now[1])
+            else:
+                event, score = "removed", 0.0
+            seen.append((step, r, *now, event, score))
+            if event == "removed":
+                break
+        want += [(*start, *row) for row in seen]
+    got = sorted(tuple(r) for r in history.lineage(m, spark.createDataFrame([*starts, *starts, ("none", "a")], "name string, file_path string"), 0.5).collect())
+    assert got == sorted(want) and {"moved", "renamed", "removed", "seen"} <= {r[6] for r in got}
+
+
 def test_coupling(spark):
     c = spark.createDataFrame([(k, f) for k in range(4) for f in ("a", "b")] + [(9, "a"), (9, "a")], "commit int, file string")
     assert [tuple(r) for r in history.coupling_pairs(c).collect()] == [("a", "b", 4, 0.8)]
