@@ -19,6 +19,8 @@ from lodestone.llm.simhash import simhash_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Softmax share below which a language counts as unknown.
 LEAST_SCORE = 0.3
+#: Bits that mark dropped ids, dealt to bitmaps of 32768 (4 KiB): at most 2048 of them, 8 MiB, are broadcast.
+MARK_BITS, BITMAP_BITS = 1 << 26, 1 << 15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +45,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return select_rows(docs, ratio, cut).select(*COLUMNS)
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``marked``: true for each row of one of ``ids``, and for few others while the ids are fewer
+    than ``MARK_BITS``.  What is broadcast does not grow with the ids."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    at, inside = F.floor(place / BITMAP_BITS), F.pmod(place, F.lit(BITMAP_BITS))
+    maps = ids.select(at.alias("__at"), inside.alias("__in")).groupBy("__at").agg(F.bitmap_construct_agg("__in").alias("__map"))
+    seen = docs.withColumn("__at", at).join(F.broadcast(maps), "__at", "left")
+    byte = F.conv(F.hex(F.substring("__map", F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.pmod(inside, F.lit(8)).cast("int"))
+    return seen.withColumn("marked", F.coalesce(bit == 1, F.lit(False))).drop("__at", "__map")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near-duplicates, repeated rows once.  Texts without
     words are near-duplicates of each other.  Rows of a null id belong to no group and stay.  Of several
@@ -50,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     groups = materialize(simhash_dedup(docs).select("doc_id", "component_id"), "groups")
     extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)  # their size decides how they are joined
+    seen = _marked(docs, extra)  # only marked rows are shuffled with their texts, at every size
+    marked = seen.where("marked").join(extra.hint("merge"), "doc_id", "left_anti")
+    kept = seen.where("NOT marked").select(*COLUMNS).unionByName(marked.select(*COLUMNS))
     twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
