@@ -190,3 +190,19 @@ def test_pipeline_stages_take_odd_rows(spark):
         corpus_pipeline.language(spark, docs.drop("doc_id"), sf)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_marks_cover_all_dropped_ids(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(i if i % 50 else None, i) for i in range(3000)] + [(7, -1), (-9, -2), (2**62, -3)], "doc_id long, n int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 3000, 7) if i % 50] + [(-9,), (2**62,)], "doc_id long")
+    wanted = {r.doc_id for r in ids.collect()}
+    for bits in (pipeline.MARK_BITS, 1 << 15, 8):  # the last two mark many or all others too
+        monkeypatch.setattr(pipeline, "MARK_BITS", bits)
+        rows = pipeline._marked(docs, ids).collect()
+        assert len(rows) == docs.count()
+        assert wanted <= {r.doc_id for r in rows if r.marked}
+        if bits > 1 << 20:
+            assert len({r.doc_id for r in rows if r.marked} - wanted) < 5
+    assert not any(r.marked for r in pipeline._marked(docs, ids.limit(0)).collect())
