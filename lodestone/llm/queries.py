@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunk_bpe import encode_documents as encode_in_chunks
 from .common import table
 from .embedding_dedup import embedding_dedup
 from .html_text import extract
@@ -59,6 +60,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_in_chunks(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
