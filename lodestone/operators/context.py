@@ -61,14 +61,14 @@ def references_to(g: Graph, roots: DataFrame) -> DataFrame:
     return g.attach(_into(g, roots, "REFERENCES"), *_PLACE).select(F.col("label").alias("type"), "name", "file_path", F.col("line_start").alias("line")).distinct()
 
 
-def ancestors(g: Graph, roots: DataFrame, most: int = 64) -> DataFrame:
-    """Each class above the roots, with its distance.  Inheritance has no cycles, and in a hierarchy with
+def ancestors(g: Graph, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each class above the roots, however far, or up to ``depth``, with its distance.  Inheritance has no cycles, and in a hierarchy with
     one base for each class distinct nodes are the paths; ``trails`` counts paths otherwise."""
-    return g.attach(reach(g, roots, ["INHERITS"], most), "name", "file_path").select("name", "file_path", "level")
+    return g.attach(reach(g, roots, ["INHERITS"], depth), "name", "file_path").select("name", "file_path", "level")
 
 
-def subclasses(g: Graph, roots: DataFrame, most: int = 64) -> DataFrame:
-    found = reach(g, roots, ["INHERITS"], most, "in")
+def subclasses(g: Graph, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    found = reach(g, roots, ["INHERITS"], depth, "in")
     return g.attach(found, "label", "name", "file_path").where("label = 'Class'").select("name", "file_path", "level")
 
 

@@ -1,7 +1,7 @@
 """A reading subset of Cypher as one SQL statement over nodes and edges.
 
 Understood: MATCH and OPTIONAL MATCH with comma-separated paths, labels, property maps, typed and
-alternative edges, directions, bounded lengths; WHERE with Boolean expressions, string operators, label
+alternative edges, directions, lengths with or without bounds; WHERE with Boolean expressions, string operators, label
 tests and (negated) path patterns; RETURN with DISTINCT, aliases, count and collect; ORDER BY, SKIP,
 LIMIT; parameters as $name.  Everything becomes joins that the optimiser arranges.
 """
@@ -18,8 +18,6 @@ from .graph import NODE_COLUMNS, Graph, reach
 _NODE = r"\(\s*(?P<var>\w*)\s*(?P<labels>(?::\s*\w+)*)\s*(?P<map>\{[^}]*\})?\s*\)"
 _EDGE = r"(?P<left><)?-(?:\[\s*(?P<var>\w*)\s*(?::\s*(?P<types>\w+(?:\s*\|\s*:?\s*\w+)*))?\s*(?P<star>\*\s*(?P<low>\d+)?\s*(?P<dots>\.\.)?\s*(?P<high>\d+)?)?\s*\])?-(?P<right>>)?"
 _CLAUSE = re.compile(r"\b(OPTIONAL\s+MATCH|MATCH|WHERE|RETURN|ORDER\s+BY|SKIP|LIMIT)\b(?=(?:[^'\"]|'[^']*'|\"[^\"]*\")*$)", re.I)
-#: Steps of a path without an upper bound.
-MOST_STEPS = 8
 
 
 class _Compiler:
@@ -71,7 +69,7 @@ class _Compiler:
         self.vars[e] = "edge"
         if edge["star"] is not None and not (edge["low"] == edge["high"] == "1"):
             low = int(edge["low"] or 1)
-            high = int(edge["high"] or (low if edge["low"] and not edge["dots"] else MOST_STEPS))
+            high = int(edge["high"]) if edge["high"] else low if edge["low"] and not edge["dots"] else None  # None: however far
             found = reach(self.g, self.g.nodes.select("id"), types, high, way, per_root=True).where(F.col("level") >= low)
             self.frames[f"reach{e}"] = found
             sources.append((f"{{reach{e}}}", e))

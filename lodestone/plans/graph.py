@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path, settle  # noqa: F401  settle is used by the operators
+
 #: Columns of a node table.  ``id`` is unique; absent properties are null, empty ones ''.
 NODE_COLUMNS = {
     "id": "bigint", "label": "string", "name": "string", "path": "string", "file_path": "string", "repo": "string",
@@ -54,19 +55,6 @@ class Graph:
         return ids.join(self.nodes.select(F.col("id").alias(key), *columns), key)
 
 
-def folder(spark: SparkSession) -> str:
-    """Where intermediate tables go: ``spark.checkpoint.dir``, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write once to shared storage and read back: cuts the lineage of loops, outlives executors."""
-    path = f"{folder(df.sparkSession)}/lodestone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hops(edges: DataFrame, direction: str = "out") -> DataFrame:
     """(a, b) steps along ('out'), against ('in') or both ways of edges; a loop is one step."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -78,51 +66,103 @@ def hops(edges: DataFrame, direction: str = "out") -> DataFrame:
     return out.unionByName(back.where("a <> b"))
 
 
-#: Rounds of a loop whose plan may grow before it is settled.
+#: Rounds of a loop that go into one plan; then they are settled, and the loop ends if nothing was new.
 ROUNDS = 4
 
 
-def reach(g: Graph, roots: DataFrame, types: Iterable[str], depth: int, direction: str = "out", per_root: bool = False) -> DataFrame:
-    """(id, level) of nodes at the end of a path of 1..depth steps from ``roots``, with the least level.
+def _both(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+class Parts:
+    """Tables of one schema, settled one after the other and read as one scan."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths, self.schema = spark, label, [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, self.label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def reach(g: Graph, roots: DataFrame, types: Iterable[str], depth: int | None, direction: str = "out", per_root: bool = False) -> DataFrame:
+    """(id, level) of nodes at the end of a path of 1..depth steps from ``roots``, with the least level;
+    without a ``depth``, of all nodes that can be reached.
 
     With ``per_root`` (root, id, level).  A root is in the result only if it lies on a cycle of at most
     ``depth`` steps.  Each round joins the frontier with the edges and leaves out what has been reached,
-    so a round's shuffle is that of its frontier's edges; plans are settled every ``ROUNDS`` rounds.
+    so a round's shuffle is that of its frontier's edges.  Beyond ``ROUNDS`` steps that many go into a plan, and
+    what they find is settled once and not written again.
     """
     step = hops(g.links(*types), direction)
     keys = ["root", "id"] if per_root else ["id"]
     front = roots.select("id").distinct()
     front = front.select(F.col("id").alias("root"), "id") if per_root else front
-    found: DataFrame | None = None
-    for level in range(1, depth + 1):
-        ahead = front.join(step, F.col("id") == F.col("a")).select(*(["root"] if per_root else []), F.col("b").alias("id")).distinct()
-        front = ahead if found is None else ahead.join(found.select(*keys), keys, "left_anti")
-        here = front.withColumn("level", F.lit(level))
-        found = here if found is None else found.unionByName(here)
-        if level % ROUNDS == 0 and level < depth:
-            found = settle(found)
-            front = found.where(F.col("level") == level).drop("level")
-            if front.isEmpty():
-                break
-    if found is None:
-        return front.withColumn("level", F.lit(0)).limit(0)
-    return found
-
-
-def trails(g: Graph, roots: DataFrame, types: Iterable[str], direction: str = "out", most: int = 32) -> DataFrame:
-    """(root, id, length): one row for each path that uses no edge twice, up to ``most`` steps."""
-    step = hops(g.links(*types), direction)
-    front = roots.select(F.col("id").alias("root"), "id", F.array().cast("array<string>").alias("used"))
-    found = None
-    for length in range(1, most + 1):
-        edge = F.concat_ws("-", "a", "b") if direction != "both" else F.concat_ws("-", F.least("a", "b"), F.greatest("a", "b"))
-        walk = front.join(step, F.col("id") == F.col("a")).withColumn("edge", edge).where(~F.array_contains("used", F.col("edge")))
-        front = settle(walk.select("root", F.col("b").alias("id"), F.concat("used", F.array("edge")).alias("used")))
+    ahead = lambda f: f.join(step, F.col("id") == F.col("a")).select(*keys[:-1], F.col("b").alias("id")).distinct()
+    if depth is not None and depth <= ROUNDS:
+        found: list[DataFrame] = []
+        for level in range(1, depth + 1):
+            front = ahead(front)
+            if found:
+                front = front.join(_both([f.select(*keys) for f in found]), keys, "left_anti")
+            found.append(front.withColumn("level", F.lit(level)))
+        return _both(found) if found else front.withColumn("level", F.lit(0)).limit(0)
+    parts = Parts(g.spark, "reach")
+    level = 0
+    while depth is None or level < depth:
+        rounds: list[DataFrame] = []
+        for level in range(level + 1, level + 1 + (ROUNDS if depth is None else min(ROUNDS, depth - level))):
+            front = ahead(front)
+            rounds.append(front.withColumn("level", F.lit(level)))
+        new = _both(rounds).groupBy(*keys).agg(F.min("level").alias("level"))
+        if parts.paths:
+            new = new.join(parts.read().select(*keys), keys, "left_anti")
+        front = parts.add(new).where(F.col("level") == level).select(*keys)
         if front.isEmpty():
             break
-        here = front.select("root", "id", F.lit(length).alias("length"))
-        found = here if found is None else found.unionByName(here)
-    return found if found is not None else front.select("root", "id", F.lit(0).alias("length")).limit(0)
+    return parts.read()
+
+
+def trails(g: Graph, roots: DataFrame, types: Iterable[str], direction: str = "out", most: int | None = None) -> DataFrame:
+    """(root, id, length): one row for each path that uses no edge twice.  Paths end by themselves; if one is
+    longer than ``most`` steps, where that is given, it is an error.
+
+    ``ROUNDS`` steps are one chain of outer joins, settled as a row for each path that ends within them or
+    goes on after them; the paths that it begins with are told apart by their edges.
+    """
+    chosen = g.links(*types).select("src", "dst", F.concat_ws("-", "src", "dst", "type").alias("edge"))
+    ways = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+    step = _both([(chosen if k == 0 else chosen.where("src <> dst")).select(F.col(a).alias("a"), F.col(b).alias("b"), "edge") for k, (a, b) in enumerate(ways)])
+    front = roots.select(F.col("id").alias("root"), F.col("id").alias("at0"), F.array().cast("array<string>").alias("used"))
+    parts = Parts(g.spark, "trails")
+    length = 0
+    while True:
+        rounds = ROUNDS if most is None else min(ROUNDS, most + 1 - length)
+        walk = front
+        for k in range(1, rounds + 1):
+            ahead = step.select(F.col("a").alias(f"at{k - 1}"), F.col("b").alias(f"at{k}"), F.col("edge").alias("edge_"))
+            joined = walk.alias("w").join(ahead.alias("s"), (F.col(f"w.at{k - 1}") == F.col(f"s.at{k - 1}")) & ~F.array_contains("w.used", F.col("s.edge_")), "left")
+            used = F.when(F.col("edge_").isNull(), F.col("used")).otherwise(F.array_append("used", F.col("edge_")))
+            walk = joined.select("root", *[F.col(f"w.at{i}").alias(f"at{i}") for i in range(k)], F.col(f"s.at{k}").alias(f"at{k}"), used.alias("used"))
+        steps = F.array(*[F.struct(F.lit(length + k).alias("length"), F.col(f"at{k}").alias("id")) for k in range(1, rounds + 1)])
+        walk = parts.add(walk.where("at1 IS NOT NULL").select("root", steps.alias("steps"), "used"))
+        length += rounds
+        last = F.element_at("steps", rounds)["id"]
+        front = walk.where(last.isNotNull()).select("root", last.alias("at0"), "used")
+        if front.isEmpty():
+            rows = parts.read().select("root", F.explode("steps").alias("s"), "used").where("s.id IS NOT NULL")
+            return rows.select("root", "s.id", "s.length", F.slice("used", F.lit(1), F.col("s.length")).alias("path")).distinct().drop("path")
+        if most is not None and length > most:
+            raise ValueError(f"there are paths of more than {most} steps")
 
 
 def any_of(column: str | Column, words: Iterable[str]) -> Column:

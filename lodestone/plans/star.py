@@ -7,11 +7,10 @@ documents, part sizes (rules), nations (decisions) and part types (concepts) giv
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
-from .graph import Graph, folder
+from ..shared import fresh_path
+from .graph import Graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents")
 
@@ -109,7 +108,7 @@ def stored_star_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        path = f"{folder(spark)}/lodestone/star-{uuid.uuid4().hex}"
+        path = fresh_path(spark, "star")
         save(star_graph(spark, sf_dir), path)
         _STORED[key] = path
     return load(spark, _STORED[key])

@@ -117,12 +117,12 @@ def _federated(g):
 
 @_on_graph("class_ancestors", f", up(id, level) AS (SELECT e.dst, 1 FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'INHERITS' AND n.{_CLASS} UNION ALL SELECT e.dst, level + 1 FROM up JOIN edges e ON e.src = up.id WHERE e.type = 'INHERITS') SELECT name, file_path, level FROM up JOIN nodes USING (id)")
 def _ancestors(g):
-    return context.ancestors(g, g.root("Customer#000000100"), 24)
+    return context.ancestors(g, g.root("Customer#000000100"))
 
 
 @_on_graph("subclasses", ", up(id, level) AS (SELECT e.src, 1 FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.type = 'INHERITS' AND n.name = 'Customer#000000003' UNION ALL SELECT e.src, level + 1 FROM up JOIN edges e ON e.dst = up.id WHERE e.type = 'INHERITS') SELECT name, file_path, level FROM up JOIN nodes USING (id) WHERE label = 'Class'")
 def _subclasses(g):
-    return context.subclasses(g, g.root("Customer#000000003"), 24)
+    return context.subclasses(g, g.root("Customer#000000003"))
 
 
 @_on_graph("hierarchy_paths", f", up(id, length) AS (SELECT e.dst, 1 FROM edges e JOIN nodes n ON n.id = e.src WHERE e.type = 'INHERITS' AND n.{_CLASS} UNION ALL SELECT e.dst, length + 1 FROM up JOIN edges e ON e.src = up.id WHERE e.type = 'INHERITS') SELECT name, length FROM up JOIN nodes USING (id)")

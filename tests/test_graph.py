@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from lodestone.operators import context, impact, structure
+from lodestone.plans import cypher
 from lodestone.plans.graph import reach, trails
 
 
@@ -93,3 +96,42 @@ def test_tests_map_to_callee_first(make):
     g = make([("Function", "test_load_file", {"file_path": "t"}), ("Function", "load", {"file_path": "p"}), ("Function", "other", {"file_path": "p"}), ("Function", "test_none", {"file_path": "t"}), ("Function", "test_load_x", {"file_path": "t"})], [(0, 2, "CALLS")])
     got = {r.test_name: (r.prod_name, r.source) for r in structure.test_map(g).collect()}
     assert got == {"test_load_file": ("other", "calls"), "test_none": (None, None), "test_load_x": ("load", "heuristic")}
+
+
+def test_long_chains_are_followed_to_their_end(make):
+    n = 101
+    g = make([("Class", f"c{i}") for i in range(n)], [(i, i + 1, "INHERITS") for i in range(n - 1)])
+    want = {(f"c{i}", i) for i in range(1, n)}
+    assert {(r["name"], r.level) for r in context.ancestors(g, g.root("c0")).collect()} == want
+    assert sorted((r.id, r.length) for r in trails(g, g.root("c0"), ["INHERITS"]).collect()) == [(i, i) for i in range(1, n)]
+    assert cypher.run(g, "MATCH (a:Class {name: 'c85'})-[:INHERITS*]->(b) RETURN b.name AS name").count() == 15
+    assert {r.level for r in reach(g, g.root("c0"), ["INHERITS"], 7).collect()} == set(range(1, 8))
+
+
+def test_bounds_of_trails_raise(make):
+    g = make([("Class", n) for n in "abcdefg"], [(i, i + 1, "INHERITS") for i in range(6)])
+    assert trails(g, g.root("a"), ["INHERITS"], most=6).count() == 6
+    for most in (5, 3, 1):
+        with pytest.raises(ValueError, match="more than"):
+            trails(g, g.root("a"), ["INHERITS"], most=most)
+    assert trails(g, g.root("g"), ["INHERITS"]).count() == 0
+
+
+def test_trails_against_a_walk(make):
+    rnd = random.Random(8)
+    for direction in ("out", "in", "both"):
+        edges = list(dict.fromkeys((rnd.randrange(5), rnd.randrange(5), rnd.choice(["CALLS", "IMPORTS"])) for _ in range(7)))
+        g = make([("Function", f"f{i}") for i in range(5)], edges)
+        want = []
+
+        def go(at, used, edges=edges, direction=direction, want=want):
+            for k, (a, b, _) in enumerate(edges):
+                ways = {"out": [(a, b)], "in": [(b, a)], "both": [(a, b)] + [(b, a)] * (a != b)}[direction]
+                for x, y in ways:
+                    if x == at and k not in used:
+                        want.append((y, len(used) + 1))
+                        go(y, used | {k})
+
+        go(0, frozenset())
+        got = trails(g, g.root("f0"), ["CALLS", "IMPORTS"], direction)
+        assert sorted((r.id, r.length) for r in got.collect()) == sorted(want)
