@@ -1,7 +1,6 @@
 """Source code into node and edge rows.
 
-Python is read with its own syntax tree; other languages by patterns over lines with brace, indent or
-``end`` scopes.  ``ingest`` runs the parsers on executors: files are a ``binaryFile`` scan, every file
+Python is read with its own syntax tree; other languages by tokens and scopes.  ``ingest`` runs the parsers on executors: files are a ``binaryFile`` scan, every file
 becomes rows by itself, and edges are resolved by joins once all nodes exist.
 """
 
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ..operators.store import NODE_COLUMNS, conform, node_id, resolve_edges
 from ..plans.graph import Graph
+from ..shared import settle
+from .lexed import GRAMMARS, declarations
 
 # Languages by file extension.
 LANGUAGES = {
@@ -109,105 +110,25 @@ def parse_python(path: str, text: str) -> Parsed:
     return p
 
 
-@dataclass(frozen=True)
-class Rules:
-    """Patterns of one language.  Each has a group ``name``; ``classes`` may have ``bases``."""
-
-    classes: str
-    functions: str
-    imports: str
-    scope: str = "brace"
-    receiver: str = ""
-    calls: str = r"(?<![\w.])(?:[\w$]+(?:\.|::|->))*(?P<name>[A-Za-z_$][\w$]*)\s*\("
-    variables: str = ""
-
-
-_JS_FN = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[\w$]+)\s*\(|^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name2>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)|^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*(?P<name3>(?!if\b|for\b|while\b|switch\b|catch\b|return\b)[\w$]+)\s*\([^)]*\)\s*(?::[^{]+)?\{"
-_JS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|type)\s+(?P<name>[\w$]+)(?:<[^>]*>)?(?:\s+extends\s+(?P<bases>[\w$.]+))?"
-_C_FN = r"^(?!\s*(?:if|for|while|switch|return|else|do|typedef|#))[\w:<>*&~,\s]*?\b(?P<name>~?[A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*|noexcept\s*|override\s*)*\{"
-
-RULES: dict[str, Rules] = {
-    "typescript": Rules(_JS_CLASS, _JS_FN, r"""^\s*import\b.*?['"](?P<name>[^'"]+)['"]|\brequire\(['"](?P<name2>[^'"]+)['"]\)"""),
-    "go": Rules(r"^\s*type\s+(?P<name>\w+)\s+(?:struct|interface)\b", r"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*[\[(]", r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"(?P<name>[^"]+)"\s*$"""),
-    "rust": Rules(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(?P<name>\w+)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(?P<name>\w+)", r"^\s*(?:pub\s+)?use\s+(?P<name>[^;]+);", receiver=r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)"),
-    "java": Rules(r"^\s*(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|sealed\s+)*(?:class|record|interface|enum)\s+(?P<name>\w+)(?:<[^>]*>)?(?:\([^)]*\))?(?:\s+extends\s+(?P<bases>[\w.]+))?", r"^\s+(?:@\w+\s+)*(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+)*(?:<[^>]+>\s+)?(?:[\w<>\[\],.?]+\s+)?(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)\w+)\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?\{", r"^\s*import\s+(?:static\s+)?(?P<name>[\w.*]+);"),
-    "kotlin": Rules(r"^\s*(?:\w+\s+)*(?:class|object|interface)\s+(?P<name>\w+)", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<name>\w+)\s*\(", r"^\s*import\s+(?P<name>[\w.*]+)"),
-    "csharp": Rules(r"^\s*(?:\w+\s+)*(?:class|struct|interface|record|enum)\s+(?P<name>\w+)(?:<[^>]*>)?(?:\s*:\s*(?P<bases>[\w.]+))?", r"^\s+(?:public|private|protected|internal|static|async|virtual|override|\s)*[\w<>\[\],.?]*\s+(?P<name>(?!if\b|for\b|foreach\b|while\b|switch\b|catch\b|using\b|return\b|new\b)\w+)\s*\([^)]*\)\s*(?:\{|=>|$)", r"^\s*using\s+(?P<name>[\w.]+)\s*;"),
-    "php": Rules(r"^\s*(?:abstract\s+|final\s+)*(?:class|interface|trait)\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w\\]+))?", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+|abstract\s+|final\s+)*function\s+&?(?P<name>\w+)\s*\(", r"^\s*use\s+(?P<name>[\w\\]+)"),
-    "ruby": Rules(r"^\s*(?:class|module)\s+(?P<name>[\w:]+)(?:\s*<\s*(?P<bases>[\w:]+))?", r"^\s*def\s+(?:self\.)?(?P<name>[\w?!=]+)", r"""^\s*require(?:_relative)?\s*\(?['"](?P<name>[^'"]+)['"]""", scope="end"),
-    "swift": Rules(r"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol|actor)\s+(?P<name>\w+)(?:<[^>]*>)?(?:\s*:\s*(?P<bases>\w+))?", r"^\s*(?:\w+\s+)*func\s+(?P<name>\w+)", r"^\s*import\s+(?P<name>\w+)"),
-    "c": Rules(r"^\s*(?:typedef\s+)?(?:struct|union|enum)\s+(?P<name>\w+)\s*\{", _C_FN, r"""^\s*#\s*include\s*[<"](?P<name>[^>"]+)[>"]"""),
-    "cpp": Rules(r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?P<name>\w+)(?:\s+final)?(?:\s*:\s*(?:public\s+|private\s+|protected\s+|virtual\s+)*(?P<bases>\w+))?[^;]*$", _C_FN, r"""^\s*#\s*include\s*[<"](?P<name>[^>"]+)[>"]"""),
-    "bash": Rules(r"(?!)(?P<name>x)", r"^\s*(?:function\s+)?(?P<name>[\w:-]+)\s*(?:\(\s*\))\s*\{?|^\s*function\s+(?P<name2>[\w:-]+)", r"^\s*(?:source|\.)\s+(?P<name>\S+)", calls=r"^\s*(?P<name>[A-Za-z_][\w-]*)\b(?!\s*(?:=|\(\)))", variables=r"^(?:export\s+|readonly\s+)?(?P<name>[A-Za-z_]\w*)=(?P<value>.*)$"),
-    "puppet": Rules(r"^\s*(?:class|define|node)\s+['\"]?(?P<name>[\w:.]+)", r"(?!)(?P<name>x)", r"^\s*(?:include|require|contain)\s+(?P<name>[\w:]+)", variables=r"^\s*(?:[\w\[\],:]+\s+)?\$(?P<name>\w+)\s*="),
-}
-RULES["javascript"] = RULES["typescript"]
-
-# Shell words that are no calls of functions.
-SHELL_BUILTINS = frozenset("if then else elif fi for do done while until case esac in echo printf cd exit return local export source set unset shift read test true false break continue eval exec trap wait alias declare readonly function".split())
-
-
-def _name(m: re.Match) -> str:
-    return next((v for k, v in m.groupdict().items() if v and k.startswith("name")), "")
-
-
 def parse_by_rules(path: str, text: str, language: str) -> Parsed:
-    """Classes, functions, methods, imports, calls by a language's patterns.
-
-    A scope lasts until its braces close, or its ``end``.  Functions within a class are methods.
-    """
-    rules, p = RULES[language], _start(path, text, language)
-    open_: list[list] = []  # label, name, depth at which it closes, node
-    depth, entered = 0, False
-    for number, line in enumerate(text.splitlines(), 1):
-        code = re.sub(r"//.*$|^\s*\*.*$" if language not in ("python", "ruby", "bash", "puppet") else r"(?<!\S)#.*$", "", line)
-        for m in re.finditer(rules.imports, code):
-            if _name(m) and not (language == "go" and "/" not in code and "import" not in code and open_):
-                p.node("Import", _name(m).strip(), number)
-                p.edge(p.file, "IMPORTS", ("Import", _name(m).strip()))
-        owner = next((x for x in reversed(open_) if x[0] == "Class"), None)
-        inside = next((x for x in reversed(open_) if x[0] in ("Function", "Method")), None)
-        started = None
-        if rules.receiver and (m := re.match(rules.receiver, code)):
-            started = ["Class", _name(m), depth, None]
-        elif m := re.match(rules.classes, code):
-            p.node("Class", _name(m), number, number)
-            p.edge((owner[0], owner[1]) if owner else p.file, "CONTAINS", ("Class", _name(m)))
-            if m.groupdict().get("bases"):
-                p.edge(("Class", _name(m)), "INHERITS", ("Class", re.split(r"[.:\\]", m["bases"])[-1]), b_file="")
-            started = ["Class", _name(m), depth, p.nodes[-1]]
-        elif (m := re.match(rules.functions, code)) and not (inside and language in ("java", "csharp", "cpp", "c", "typescript", "javascript") and "function" not in code):
-            name, of = _name(m), m.groupdict().get("owner") or (owner[1] if owner else None)
-            label = "Method" if of else "Function"
-            p.node(label, name, number, number, signature=line.strip().rstrip("{").strip())
-            p.edge(("Class", of) if of else p.file, "CONTAINS", (label, name))
-            started = [label, name, depth, p.nodes[-1]]
-        elif inside:
-            for m in re.finditer(rules.calls, code):
-                if m["name"] not in SHELL_BUILTINS and m["name"] not in ("if", "for", "while", "switch", "catch", "return", "match", "fn"):
-                    for to in ("Function", "Method"):
-                        p.edge((inside[0], inside[1]), "CALLS", (to, m["name"]))
-        elif rules.variables and not open_ and (m := re.match(rules.variables, code)):
-            p.node("Variable", m["name"], number, description=(m.groupdict().get("value") or "").strip())
-            p.edge(p.file, "CONTAINS", ("Variable", m["name"]))
-        if started:
-            open_.append(started)
-            entered = False
-        if rules.scope == "brace":
-            depth += code.count("{") - code.count("}")
-            entered = entered or "{" in code
-            if started and "{" not in code and code.rstrip().endswith(";"):
-                open_.pop()
-            while open_ and (entered or depth < open_[-1][2]) and depth <= open_[-1][2] and ("}" in code):
-                done = open_.pop()
-                if done[3] is not None:
-                    done[3]["line_end"] = number
+    """Classes, functions, methods, variables, imports and calls by the language's tokens and scopes."""
+    p = _start(path, text, language)
+    for d in declarations(text, language):
+        owner = ("Class", d.owner) if d.owner else p.file
+        if d.label == "Import":
+            p.node("Import", d.name, d.line, module=d.name)
+            p.edge(p.file, "IMPORTS", ("Import", d.name))
+        elif d.label == "Variable":
+            p.node("Variable", d.name, d.line, description=d.signature)
+            p.edge(owner, "CONTAINS", ("Variable", d.name))
         else:
-            depth += bool(re.match(r"\s*(?:class|module|def|if|unless|while|until|case|begin)\b|.*\bdo\b(?:\s*\|[^|]*\|)?\s*$", code)) - bool(re.match(r"\s*end\b", code))
-            while open_ and depth <= open_[-1][2]:
-                done = open_.pop()
-                if done[3] is not None:
-                    done[3]["line_end"] = number
+            p.node(d.label, d.name, d.line, d.end, d.doc, signature=d.signature)
+            p.edge(owner, "CONTAINS", (d.label, d.name))
+        for base in d.bases:
+            p.edge(("Class", d.name), "INHERITS", ("Class", base), b_file="")
+        for name in d.calls:
+            for to in ("Function", "Method"):
+                p.edge((d.label, d.name), "CALLS", (to, name))
     return p
 
 
@@ -315,7 +236,7 @@ def parse(path: str, text: str) -> Parsed | None:
         return parse_markdown(path, text)
     if language in _PARSERS:
         return _PARSERS[language](path, text)
-    return parse_by_rules(path, text, language) if language in RULES else None
+    return parse_by_rules(path, text, language) if language in GRAMMARS else None
 
 
 ROWS = "kind string, label string, name string, path string, file_path string, line_start int, line_end int, docstring string, description string, content string, signature string, semantic_type string, content_hash string, from_label string, from_name string, from_file string, type string, to_label string, to_name string, to_file string"
@@ -414,7 +335,7 @@ def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | No
     files = walk(spark, root, exclude, nested)
     if known is not None:
         files = files.withColumn("content_hash", F.sha2("content", 256)).join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti").drop("content_hash")
-    rows = parse_files(files, redact)
+    rows = settle(parse_files(files, redact), "parsed")  # nodes, edges and hashes read what was parsed once
     raw = conform(rows.where("kind = 'node'").withColumn("repo", F.lit(repo or None)), NODE_COLUMNS)
     place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.coalesce("file_path", "path", F.lit("")), F.coalesce("line_start", F.lit(0)), F.col(c).cast("string")))
     first = [F.min_by(c, place(c)).alias(c) for c in NODE_COLUMNS if c != "id"]  # the first that is given, by file and line
