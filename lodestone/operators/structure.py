@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph, settle
+from ..plans.strong import strong_components
 
 _STEP = "array<struct<caller:string,callee:string,file_path:string>>"
 
@@ -84,62 +86,45 @@ def short_cycles(edges: DataFrame, length: int) -> DataFrame:
     return pair.join(three, F.expr("y.b = z.a AND z.b = x.a")).select(F.col("x.a").alias("n1"), F.col("x.b").alias("n2"), F.col("y.b").alias("n3"))
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """The edges (a, b) left after nodes without way in or way out are trimmed again and again; cycles
-    lie wholly in it.  Stops when a round trims nothing."""
-    live = settle(edges.where("a <> b").select("a", "b").distinct())
-    n = live.count()
-    for _ in range(rounds):
-        if not n:
-            break
-        kept = live.join(live.select(F.col("b").alias("a")), "a", "left_semi").join(live.select(F.col("a").alias("b")), "b", "left_semi")
-        live = settle(kept.select("a", "b"))
-        m = live.count()
-        if m == n:
-            break
-        n = m
-    return live
+def find_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): one cycle (array of names, least first) for each back edge of a depth-first walk in name
+    order through each strongly connected component from its least name.
 
+    Components are found by joins; a component's walk depends on its order and is one task's work, which
+    gets the edges within the component and nothing else.
+    """
+    live = edges.where("a <> b").select("a", "b").distinct()
+    part = settle(strong_components(live))
+    inside = live.join(part.select(F.col("node").alias("a"), F.col("component").alias("c")), "a").join(part.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("c = cb")
+    return inside.select("c", "a", "b").groupBy("c").applyInArrow(_walk, "cycle array<string>, length int").distinct()
 
-def find_cycles(edges: DataFrame, most_core_edges: int = 200_000) -> DataFrame:
-    """One cycle (array of names, least first) for each back edge of a depth-first walk in name order.
 
-    The walk's result depends on its order, so it is sequential; it runs over the trimmed core alone,
-    whose size is checked against ``most_core_edges``.  A larger core raises an error that names
-    ``short_cycles`` as the way that scales.
-    """
-    core = cyclic_core(edges)
-    n = core.count()
-    if n > most_core_edges:
-        raise ValueError(f"{n} edges lie on or between cycles; use short_cycles for graphs of that kind")
+def _walk(edges: pa.Table) -> pa.Table:
     after: dict[str, list[str]] = {}
-    for a, b in sorted(core.select("a", "b").collect()):
+    for a, b in sorted(zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True)):
         after.setdefault(a, []).append(b)
+    start = min(after)
     found, done = set(), set()
-    for start in sorted(after):
-        if start in done:
-            continue
-        path, place, work = [], {}, [(start, iter(after[start]))]
-        path.append(start)
-        place[start] = 0
-        while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt in place:
-                    loop = path[place[nxt] :]
-                    k = loop.index(min(loop))
-                    found.add(tuple(loop[k:] + loop[:k]))
-                elif nxt not in done:
-                    place[nxt] = len(path)
-                    path.append(nxt)
-                    work.append((nxt, iter(after.get(nxt, ()))))
-                    break
-            else:
-                work.pop()
-                done.add(node)
-                path.pop()
-                del place[node]
-    return core.sparkSession.createDataFrame([(list(c), len(c)) for c in sorted(found)], "cycle array<string>, length int")
+    path, place, work = [start], {start: 0}, [(start, iter(after[start]))]
+    while work:
+        node, rest = work[-1]
+        for nxt in rest:
+            if nxt in place:
+                loop = path[place[nxt] :]
+                k = loop.index(min(loop))
+                found.add(tuple(loop[k:] + loop[:k]))
+            elif nxt not in done:
+                place[nxt] = len(path)
+                path.append(nxt)
+                work.append((nxt, iter(after[nxt])))
+                break
+        else:
+            work.pop()
+            done.add(node)
+            path.pop()
+            del place[node]
+    cycles = [list(c) for c in sorted(found)]
+    return pa.table({"cycle": pa.array(cycles, pa.list_(pa.string())), "length": pa.array([len(c) for c in cycles], pa.int32())})
 
 
 def named_edges(g: Graph, kind: str, labels: tuple[str, ...], key: str = "name") -> DataFrame:
