@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..shared import settle
 
 #: Rows and bytes of one Arrow batch that goes to a Python worker; texts may be long, so few.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
@@ -36,17 +35,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.  Where that is unset, one below the warehouse, if the driver
-    and the executors are one process; a cluster has to name a folder that all of them see."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return folder.rstrip("/")
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number and of its inverse, modulo 2 to the 64: a sum of values
     times powers, times the inverse at its first place, is a hash that doesn't depend on the place."""
@@ -59,23 +47,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_tables[0][:n], _power_tables[1][:n]
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone, and its cluster with it
-        pass
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives a lost
-    executor, and later readers prune columns.  Removed when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``settle`` under the name that the operators here have for it."""
+    return settle(df, label)
 
 
 def slices(sizes: Iterable[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -62,7 +62,6 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h, owner = map(np.concatenate, zip(*found, strict=True))
     pair = (h[:-1] * np.uint64(0xA24BAED4963EE407)) ^ (h[1:] >> np.uint64(7))
     pair *= np.uint64(0x9FB21C651E98DF25)
-    pair[h[:-1] == h[1:]] = 0  # a token twice in a row is one n-gram, whatever the token
     same = owner[1:] == owner[:-1]
     both = np.concatenate((h, pair[same])) >> np.uint64(50)
     return both.astype(np.int64), np.concatenate((owner, owner[1:][same]))
@@ -139,11 +138,13 @@ def log_ratios(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", out:
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def gumbel_key(log_ratio: str, id_col: str, seed: int = SEED) -> F.Column:
-    """Log weight plus Gumbel noise, which a hash of the id gives; null where the ratio is null.  The rows of
-    the k largest keys are a sample without replacement, each draw with odds in proportion to exp(log ratio)."""
+def gumbel_key(log_ratio: str, id_col: str, seed: int = SEED, temperature: float = 1.0) -> F.Column:
+    """Log weight plus ``temperature`` times Gumbel noise, which a hash of the id gives; null where the ratio is
+    null.  The rows of the k largest keys are a sample without replacement, each draw with odds in proportion
+    to exp(log ratio / temperature): ratios of long texts are large, and a larger temperature lets the noise
+    count for them too."""
     u = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.col(log_ratio) - F.log(-F.log(u))
+    return F.col(log_ratio) - F.lit(temperature) * F.log(-F.log(u))
 
 
 def cut_off(rows: DataFrame, key: str, k: int) -> float:
@@ -182,6 +183,7 @@ def resample(
     k: int | None = None,
     most_labelled_rows: int = MOST_LABELLED_ROWS,
     seed: int = SEED,
+    temperature: float = 1.0,
 ) -> tuple[DataFrame, np.ndarray, float]:
     """(id_col, log_ratio, n_grams, gumbel_key, selected) of every row, the fitted ratios, the cut.
 
@@ -193,15 +195,15 @@ def resample(
     """
     ratio, good_rows, known = fit(docs, labelled_ids(labels, id_col, label_col, good, most_labelled_rows), id_col, text_col)
     rows = log_ratios(docs, ratio, text_col, keep=[id_col])
-    rows = materialize(rows.withColumn("gumbel_key", gumbel_key("log_ratio", id_col, seed)), "ratios")
+    rows = materialize(rows.withColumn("gumbel_key", gumbel_key("log_ratio", id_col, seed, temperature)), "ratios")
     k = sample_size(rows.where("log_ratio IS NOT NULL").count(), good_rows, known) if k is None else k
     cut = cut_off(rows, "gumbel_key", k)
     return rows.withColumn("selected", F.coalesce(F.col("gumbel_key") >= F.lit(cut), F.lit(False))), ratio, cut
 
 
-def select_rows(docs: DataFrame, ratio: np.ndarray, cut: float, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def select_rows(docs: DataFrame, ratio: np.ndarray, cut: float, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, temperature: float = 1.0) -> DataFrame:
     """The rows of ``docs`` that ``resample`` selects, with their own columns alone.  The ratios are
     worked out again rather than joined, so no text is shuffled."""
     names = ("__ratio", "__grams")
-    rows = log_ratios(docs, ratio, text_col, names).where(gumbel_key("__ratio", id_col, seed) >= F.lit(cut))
+    rows = log_ratios(docs, ratio, text_col, names).where(gumbel_key("__ratio", id_col, seed, temperature) >= F.lit(cut))
     return rows.drop(*names)

@@ -341,7 +341,7 @@ def test_quality_ratios_are_those_of_plain_counting(spark, docs):
                 now = ""
             kind = k
             now += chr(c) if k else ""
-        return [(t,) for t in tokens] + [p if p[0] != p[1] else "twice" for p in zip(tokens, tokens[1:], strict=False)]
+        return [(t,) for t in tokens] + list(zip(tokens, tokens[1:], strict=False))
 
     rows = docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect() + [(-1, "Ab ab, $$ x_1 é é"), (-2, "w " * 700_000 + "end"), (-3, ""), (-4, None)]
     known = {i: i % 3 == 0 for i, _ in rows if i % 2 == 0}
@@ -657,3 +657,25 @@ def test_simhash_of_one_text():
     for t in ("", " ", "One", "a b C d", "A b c d e", "é Ü ñ a b c", "x y " * 50):
         assert simhash.fingerprint(t.encode()) & (2**64 - 1) == plain(t)
     assert simhash.fingerprint(None) == 0
+
+
+def test_temperature_lets_the_noise_count(spark):
+    """Rows near the cut vary by seed, more of them the larger the temperature; a clear lead stays."""
+    rows = spark.range(400).selectExpr("id", "CASE WHEN id < 40 THEN 200D ELSE id / 40D END AS r")
+
+    def chosen(seed, temperature):
+        got = rows.select("id", quality.gumbel_key("r", "id", seed, temperature).alias("k")).orderBy("k").collect()
+        return {r.id for r in got[-200:]}
+
+    swaps = [len(chosen(1, t) ^ chosen(2, t)) for t in (0.01, 1.0, 8.0)]
+    assert swaps[0] <= 4 < swaps[1] < swaps[2]
+    assert set(range(40)) <= chosen(1, 1.0) & chosen(2, 8.0)
+
+
+def test_short_texts_near_the_cut_vary_by_seed(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [(i, " ".join(words[(i * 7 + j) % 40] for j in range(3))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int")
+    picked = [{r.doc_id for r in quality.resample(docs, labels, k=150, seed=s)[0].where("selected").collect()} for s in (1, 2)]
+    assert all(len(p) == 150 for p in picked) and len(picked[0] ^ picked[1]) > 20
