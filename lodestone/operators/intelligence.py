@@ -94,39 +94,47 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> Dat
     return label
 
 
-def propagate_labels_in_place(nodes: DataFrame, edges: DataFrame, rounds: int = 50, most: int = 2_000_000) -> DataFrame:
-    """As above, but one node after the other in id order, each seeing its predecessors' new labels.
-
-    Sequential by definition, so one task does it; the input's size is checked against ``most`` first.
+def _levels(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, level): a node's level is one more than the largest of its lower-numbered neighbours'.  Nodes of a
+    level have no edge between them, and whoever a node waits for stands on a lower one."""
+    level = settle(nodes.select("id", F.lit(0).alias("level"), F.lit(True).alias("new")))
+    up = near.where("b < a")
+    while True:
+        sent = level.where("new").select(F.col("id").alias("b"), "level").join(up, "b").groupBy("a").agg((F.max("level") + 1).alias("sent"))
+        higher = F.coalesce(F.col("sent") > F.col("level"), F.lit(False))
+        level = settle(level.join(sent.withColumnRenamed("a", "id"), "id", "left").select("id", F.greatest("level", F.coalesce("sent", F.lit(0))).alias("level"), higher.alias("new")))
+        if level.where("new").isEmpty():
+            return level.select("id", "level")
+
+
+def propagate_labels_in_place(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(id, community) as if one node after the other, in id order, took the commonest label among its
+    neighbours, the least of equals, each seeing its predecessors' new labels; until a round moves nothing.
+
+    A node may move as soon as its lower-numbered neighbours have, so a round goes level by level of that
+    order, each level's nodes at once: joins of the level's edges with the labels as they stand.  Parallel
+    edges vote as often as they are; a node without neighbours keeps its id.
     """
-    n = nodes.count() + edges.count()
-    if n > most:
-        raise ValueError(f"{n} nodes and edges; in-place propagation runs in one task, use propagate_labels")
-    rows = nodes.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {int(i): [] for i in part.a[part.b.isna()]}
-        for a, b in part.dropna().itertuples(index=False):
-            if int(a) in near and int(b) in near:
-                near[int(a)].append(int(b))
-                near[int(b)].append(int(a))
-        label = {i: i for i in near}
-        for _ in range(rounds):
-            moved = False
-            for i in sorted(near):
-                if not near[i]:
-                    continue
-                votes: dict[int, int] = {}
-                for j in near[i]:
-                    votes[label[j]] = votes.get(label[j], 0) + 1
-                best = min(votes, key=lambda k: (-votes[k], k))
-                if best != label[i]:
-                    label[i], moved = best, True
-            if not moved:
-                break
-        return pd.DataFrame({"id": list(label), "community": list(label.values())})
-
-    return rows.select("a", "b", F.lit("all").alias("k")).groupBy("k").applyInPandas(lambda p: run(p[["a", "b"]]), "id long, community long")
+    ids = nodes.select("id").distinct()
+    own = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    own = own.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    near = settle(own.select("a", "b").unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("votes")))
+    level = settle(_levels(near, ids))
+    levels = level.agg(F.max("level")).first()[0]
+    placed = settle(near.join(level.withColumnRenamed("id", "a"), "a"))
+    label = ids.select("id", F.col("id").alias("community"))
+    for _ in range(rounds if levels is not None else 0):
+        before = label
+        for k in range(levels + 1):
+            count = placed.where(F.col("level") == k).join(label.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.sum("votes").alias("n"))
+            best = count.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("to")).withColumnRenamed("a", "id")
+            label = label.join(best, "id", "left").select("id", F.coalesce("to", "community").alias("community"))
+            if k % 3 == 2:
+                label = settle(label)
+        label = settle(label)
+        if label.join(before.withColumnRenamed("community", "old"), "id").where("community <> old").isEmpty():
+            break
+    return label
 
 
 def community_stats(labels: DataFrame, edges: DataFrame, min_size: int = 2) -> DataFrame:

@@ -611,6 +611,28 @@ def _labels(g):
     return intelligence.propagate_labels(g.of("Class").select("id"), g.links("INHERITS"), 2)
 
 
+_IN_ORDER = """, v AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes WHERE label = 'File' OR label = 'Person'),
+e AS (SELECT src, dst FROM edges WHERE type = 'IMPORTS' UNION ALL SELECT s.id, f.id FROM nodes s JOIN nodes f ON f.label = 'File' AND s.team = 'team' || CAST(f.id - 2000000000000 AS VARCHAR) WHERE s.label = 'Person'),
+u AS (SELECT x.k AS a, y.k AS b FROM e JOIN v x ON x.id = src JOIN v y ON y.id = dst WHERE src <> dst UNION ALL SELECT y.k, x.k FROM e JOIN v x ON x.id = src JOIN v y ON y.id = dst WHERE src <> dst),
+near AS (SELECT v.k, list(u.b) FILTER (u.b IS NOT NULL) AS js FROM v LEFT JOIN u ON u.a = v.k GROUP BY v.k),
+walk(step, labels) AS (
+  SELECT 0, (SELECT list(id ORDER BY k) FROM v)
+  UNION ALL
+  SELECT step + 1, CASE WHEN js IS NULL THEN labels ELSE list_concat(list_concat(labels[1:k - 1], [list_sort(list_transform(list_distinct(list_transform(js, lambda j: labels[j])), lambda l: {'n': -len(list_filter(js, lambda j: labels[j] = l)), 'l': l}))[1].l]), labels[k + 1:]) END
+  FROM walk JOIN near ON near.k = step % (SELECT count(*) FROM v) + 1
+  WHERE step < 3 * (SELECT count(*) FROM v)
+)
+SELECT v.id, labels[v.k] AS community FROM walk, v WHERE step = 3 * (SELECT count(*) FROM v)"""
+
+
+@_on_graph("label_propagation_in_order", _IN_ORDER)
+def _labels_in_order(g):
+    """Files by what they import and the people of their nations, node after node in three rounds."""
+    files, people = g.of("File").select("id"), g.of("Person").select("id", F.concat(F.lit("2"), F.lpad(F.regexp_extract("team", r"\d+", 0), 12, "0")).cast("bigint").alias("dst"))
+    edges = g.links("IMPORTS").select("src", "dst").unionByName(people.select(F.col("id").alias("src"), "dst").join(files.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    return intelligence.propagate_labels_in_place(files.unionByName(people.select("id")), edges, 3)
+
+
 @_on_graph("community_stats", f", un AS ({_UND}), c0 AS (SELECT id, id AS community FROM nodes WHERE label = 'Class'), {_vote('c0', 'c1')}, {_vote('c1', 'c2')}, sz AS (SELECT community, count(*) AS size FROM c2 GROUP BY 1 HAVING count(*) >= 2), ins AS (SELECT x.community, count(*) AS m FROM edges e JOIN c2 x ON x.id = e.src JOIN c2 y ON y.id = e.dst WHERE e.type = 'INHERITS' AND x.community = y.community GROUP BY 1) SELECT community, size, round(coalesce(m, 0) / (size * (size - 1) / 2), 4) AS density FROM sz LEFT JOIN ins USING (community)")
 def _community_stats(g):
     return intelligence.community_stats(_labels(g), g.links("INHERITS"))

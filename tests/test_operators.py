@@ -20,6 +20,36 @@ def test_two_cliques_make_two_communities(spark):
     assert together[0] == together[1] == together[2] and together[3] == together[4]
 
 
+def one_by_one(ids, edges, rounds):
+    near = {i: [] for i in ids}
+    for a, b in edges:
+        if a != b and a in near and b in near:
+            near[a].append(b)
+            near[b].append(a)
+    label = {i: i for i in ids}
+    for _ in range(rounds):
+        moved = False
+        for i in sorted(ids):
+            votes = [label[j] for j in near[i]]
+            best = min(set(votes), key=lambda v: (-votes.count(v), v)) if votes else label[i]
+            moved |= best != label[i]
+            label[i] = best
+        if not moved:
+            break
+    return label
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_labels_in_order_equal_the_sequential_rule(spark, seed):
+    rnd = random.Random(seed)
+    ids = list(range(40))
+    edges = [(rnd.randrange(44), rnd.randrange(40)) for _ in range(55)] + [(1, 2), (1, 2), (3, 3)]
+    nodes, df = spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "src long, dst long")
+    got = {r.id: r.community for r in intelligence.propagate_labels_in_place(nodes, df, 2).collect()}
+    assert got == one_by_one(ids, edges, 2)
+    assert intelligence.propagate_labels_in_place(nodes.limit(0), df).count() == 0
+
+
 def test_name_likeness(spark):
     want = [("load", "Loader", 3 / 5, 4 / 6), ("load", "loading", 3 / 6, 4 / 7), ("load", "load file", 3 / 8, 4 / 9), ("Loader", "loading", 3 / 8, 3 / 8), ("a", "load", 0, 1 / 4), ("", "a", 0, 0), ("", "", 1, 1), ("A", "a", 1, 1), ("xy", "load", 0, 0), ("XY", "xy", 1, 1)]
     df = spark.createDataFrame([(float(s), float(f), a, b) for a, b, s, f in want] + [(float(s), float(f), b, a) for a, b, s, f in want], "s double, f double, a string, b string")
