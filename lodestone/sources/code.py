@@ -239,7 +239,7 @@ def parse(path: str, text: str) -> Parsed | None:
     return parse_by_rules(path, text, language) if language in GRAMMARS else None
 
 
-ROWS = "kind string, label string, name string, path string, file_path string, line_start int, line_end int, docstring string, description string, content string, signature string, semantic_type string, content_hash string, from_label string, from_name string, from_file string, type string, to_label string, to_name string, to_file string"
+ROWS = "source string, kind string, label string, name string, path string, file_path string, line_start int, line_end int, docstring string, description string, content string, signature string, semantic_type string, content_hash string, from_label string, from_name string, from_file string, type string, to_label string, to_name string, to_file string"
 _FIELDS = [c.split()[0] for c in ROWS.split(", ")]
 
 
@@ -319,8 +319,8 @@ def parse_files(files: DataFrame, redact: bool = False) -> DataFrame:
                 if parsed is None:
                     continue
                 sha = hashlib.sha256(bytes(content)).hexdigest()
-                rows += [{"kind": "node", **n} | ({"content_hash": sha} if n["label"] in ("File", "Document") else {}) for n in parsed.nodes]
-                rows += [{"kind": "edge", **e} for e in parsed.edges]
+                rows += [{"source": path, "kind": "node", **n} | ({"content_hash": sha} if n["label"] in ("File", "Document") else {}) for n in parsed.nodes]
+                rows += [{"source": path, "kind": "edge", **e} for e in parsed.edges]
             out = pd.DataFrame(rows).reindex(columns=_FIELDS) if rows else pd.DataFrame({c: [] for c in _FIELDS})
             for c in ("line_start", "line_end"):
                 out[c] = out[c].astype("Int32")
@@ -329,13 +329,9 @@ def parse_files(files: DataFrame, redact: bool = False) -> DataFrame:
     return files.mapInPandas(run, ROWS)
 
 
-def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | None = None, exclude: tuple[str, ...] = (), redact: bool = False, nested: bool = False) -> tuple[Graph, DataFrame]:
-    """(graph, stored hashes) of a source tree.  ``known`` (path, content_hash) skips files that haven't
-    changed.  Edges whose ends don't exist are dropped; a node that is given twice is one."""
-    files = walk(spark, root, exclude, nested)
-    if known is not None:
-        files = files.withColumn("content_hash", F.sha2("content", 256)).join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti").drop("content_hash")
-    rows = settle(parse_files(files, redact), "parsed")  # nodes, edges and hashes read what was parsed once
+def assemble(rows: DataFrame, repo: str = "") -> tuple[Graph, DataFrame]:
+    """(graph, (path, content_hash)) of parsed rows.  Edges whose ends don't exist are dropped; a node that is
+    given twice is one."""
     raw = conform(rows.where("kind = 'node'").withColumn("repo", F.lit(repo or None)), NODE_COLUMNS)
     place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.coalesce("file_path", "path", F.lit("")), F.coalesce("line_start", F.lit(0)), F.col(c).cast("string")))
     first = [F.min_by(c, place(c)).alias(c) for c in NODE_COLUMNS if c != "id"]  # the first that is given, by file and line
@@ -343,3 +339,12 @@ def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | No
     edges, _ = resolve_edges(nodes, rows.where("kind = 'edge'").select("from_label", "from_name", "from_file", "type", "to_label", "to_name", "to_file").distinct())
     hashes = rows.where("kind = 'node' AND content_hash IS NOT NULL").select("path", "content_hash").distinct()
     return Graph(nodes, edges), hashes
+
+
+def ingest(spark: SparkSession, root: str, repo: str = "", known: DataFrame | None = None, exclude: tuple[str, ...] = (), redact: bool = False, nested: bool = False) -> tuple[Graph, DataFrame]:
+    """(graph, stored hashes) of a source tree; see ``assemble``.  ``known`` (path, content_hash) skips files
+    that haven't changed.  Files are read and parsed once."""
+    files = walk(spark, root, exclude, nested)
+    if known is not None:
+        files = files.withColumn("content_hash", F.sha2("content", 256)).join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti").drop("content_hash")
+    return assemble(settle(parse_files(files, redact), "parsed"), repo)
