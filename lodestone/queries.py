@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure
+from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure, vector_index
 from .plans import cypher
 from .plans.graph import NODE_COLUMNS, Graph, trails
 from .plans.star import WITH_SQL, stored_star_graph
-from .streaming import feeds
+from .shared import fresh_path
+from .streaming import feeds, tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -593,6 +594,15 @@ def _topk(t):
     return intelligence.top_k(e, e.where("vec_id = 0").select("embedding"), 10, "vec_id").withColumn("score", F.round("score", 6))
 
 
+@_on_tables("vector_index_topk", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, vec_id LIMIT 10")
+def _index_topk(t):
+    """The vectors nearest to the first, from a stored index of cells that is read as far as it has to be."""
+    e = t("embeddings")
+    index = vector_index.build(e, fresh_path(e.sparkSession, "vectors"), "vec_id", cell_rows=250)
+    query = e.where("vec_id = 0").select("embedding").first()[0]
+    return index.search(query, 10, exact=True).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @_on_tables("semantic_links", "WITH d AS (SELECT vec_id AS doc, embedding AS dv FROM embeddings WHERE label < 5), c AS (SELECT vec_id AS code, embedding AS cv FROM embeddings WHERE label >= 5) SELECT doc, code, round(list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])), 6) AS score FROM d, c WHERE list_cosine_similarity(CAST(cv AS DOUBLE[]), CAST(dv AS DOUBLE[])) >= 0.3")
 def _semantic_links(t):
     e = t("embeddings").withColumnRenamed("vec_id", "id")
@@ -886,6 +896,22 @@ def _sliding(t):
     return feeds.windowed_counts(t("events"), "2 hours", "1 hour")
 
 
+@_on_tables("task_claims", """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type = 'purchase' AS claim FROM events),
+c AS (SELECT *, count(*) FILTER (claim) OVER w AS k, count(*) FILTER (NOT claim) OVER w AS e FROM a WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+r AS (SELECT *, greatest(0, max(k - e) OVER (PARTITION BY user_id ORDER BY seq)) AS refused FROM c),
+f AS (SELECT *, refused = coalesce(lag(refused) OVER (PARTITION BY user_id ORDER BY seq), 0) AS ok FROM r)
+SELECT CAST(f.user_id AS VARCHAR) AS queue, f.seq, CAST(x.event_id AS VARCHAR) AS task, f.ok AS accepted, f.e - f.k + f.refused AS pending
+FROM f LEFT JOIN c x ON f.ok AND NOT x.claim AND x.user_id = f.user_id AND x.e = f.k - f.refused WHERE f.claim""")
+def _task_claims(t):
+    """Every user's events as a queue: a purchase claims the first event that waits, all others join the line."""
+    e = t("events")
+    e.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    claim = F.col("event_type") == "purchase"
+    actions = e.select(F.col("user_id").cast("string").alias("queue"), seq.alias("seq"), F.when(claim, "claim").otherwise("enqueue").alias("action"), F.when(~claim, F.col("event_id").cast("string")).alias("task"), F.lit(None).cast("string").alias("agent"), F.lit(None).cast("string").alias("detail"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return tasks.task_changes(actions).where("action = 'claim'").select("queue", "seq", "task", "accepted", "pending")
+
+
 @_on_tables("broadcast_messages", "SELECT c.conv_id, c.turn, a.role AS to_agent FROM conversations c JOIN (SELECT DISTINCT role FROM conversations) a ON a.role <> c.role")
 def _broadcast(t):
     c = t("conversations").select("conv_id", "turn", F.col("role").alias("from_agent"))
