@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import shutil
 import sqlite3
 import time
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
+from dataclasses import dataclass
 from pathlib import Path
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..operators.store import NODE_COLUMNS, conform, interchange_ids, load, node_id, resolve_edges, save
 from ..plans.graph import Graph
+from ..shared import settle
 
 #: Name of the interchange form; a file with another name before ``-kg/v1`` is read as well.
 FORMAT = "property-kg/v1"
@@ -55,36 +61,47 @@ def interchange(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def export_kg(g: Graph, path: str) -> dict[str, int]:
-    """Write the interchange form to one file, SQLite by its extension, else JSON.  One file is what the
-    form is for: rows are streamed through the driver in order, never held at once."""
-    nodes, edges = interchange(g)
-    counts = {"nodes": 0, "edges": 0}
+    """Write the interchange form to one file on a shared path, SQLite by its extension, else JSON; (nodes, edges)
+    counts.  Tasks write parts beside the file, and the driver puts the parts together as they are: no row
+    goes through it."""
+    nodes, edges = (settle(x, "interchange") for x in interchange(g))
+    counts = {"nodes": nodes.count(), "edges": edges.count()}
+    edges = edges.withColumn("props", F.lit("{}"))
     if path.endswith((".db", ".sqlite", ".sqlite3")):
         Path(path).unlink(missing_ok=True)
-        db = sqlite3.connect(path)
-        db.executescript("CREATE TABLE nodes(id TEXT PRIMARY KEY, name TEXT, type TEXT, props JSON); CREATE TABLE edges(source TEXT, target TEXT, type TEXT, props JSON); CREATE INDEX edges_source ON edges(source); CREATE INDEX edges_target ON edges(target);")
-        for r in nodes.orderBy("id").toLocalIterator():
-            db.execute("INSERT INTO nodes VALUES (?, ?, ?, ?)", (r.id, r.name, r.type, r.props))
-            counts["nodes"] += 1
-        for r in edges.orderBy("source", "target", "type").toLocalIterator():
-            db.execute("INSERT INTO edges VALUES (?, ?, ?, '{}')", (r.source, r.target, r.type))
-            counts["edges"] += 1
-        db.commit()
-        db.close()
+        g.spark.dataSource.register(SqliteSource)
+        keys = {"nodes": "id TEXT PRIMARY KEY, name TEXT, type TEXT, props JSON", "edges": "source TEXT, target TEXT, type TEXT, props JSON"}
+        for table, rows, order in (("nodes", nodes, ["id"]), ("edges", edges, ["source", "target", "type"])):
+            columns = [c.split()[0] for c in keys[table].split(", ")]
+            rows.select(*columns).orderBy(*order).write.format("sqlite_table").mode("append").option("path", path).option("table", table).option("create", keys[table]).option("columns", ",".join(columns)).save()
+        with closing(sqlite3.connect(path)) as db:
+            db.executescript("CREATE INDEX edges_source ON edges(source); CREATE INDEX edges_target ON edges(target);")
         return counts
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(f'{{"format": {json.dumps(FORMAT)}, "nodes": [')
-        for r in nodes.orderBy("id").toLocalIterator():
-            out.write((", " if counts["nodes"] else "") + json.dumps({"id": r.id, "name": r.name, "type": r.type, "props": json.loads(r.props)}))
-            counts["nodes"] += 1
-        out.write('], "edges": [')
-        for r in edges.orderBy("source", "target", "type").toLocalIterator():
-            out.write((", " if counts["edges"] else "") + json.dumps({"source": r.source, "target": r.target, "type": r.type, "props": {}}))
-            counts["edges"] += 1
-        out.write("]}")
+    one = nodes.orderBy("id").select(F.to_json(F.struct("id", "name", "type", F.parse_json("props").alias("props"))))
+    two = edges.orderBy("source", "target", "type").select(F.to_json(F.struct("source", "target", "type", F.parse_json("props").alias("props"))))
+    with open(path, "wb") as out:
+        out.write(f'{{"format": {json.dumps(FORMAT)}, "nodes": ['.encode())
+        _append(one, f"{path}.nodes", out)
+        out.write(b'], "edges": [')
+        _append(two, f"{path}.edges", out)
+        out.write(b"]}")
     return counts
 
 
+def _append(lines: DataFrame, folder: str, out: BinaryIO) -> None:
+    """Write rows of JSON as parts of a folder, in order, then their bytes one after the other."""
+    lines.write.mode("overwrite").option("lineSep", ",\n").text(Path(folder).absolute().as_uri())
+    size = 0
+    for part in sorted(Path(folder).glob("part-*")):
+        with open(part, "rb") as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+        size += part.stat().st_size
+    if size:  # the last separator
+        out.seek(-2, 2)
+        out.truncate()
+    shutil.rmtree(folder)
+
+
 def import_kg(spark: SparkSession, path: str) -> Graph:
     """Read the interchange form; SQLite is told by its first bytes."""
     with open(path, "rb") as f:
@@ -118,12 +135,12 @@ class _SqliteReader(DataSourceReader):
         self.each = int(options.get("rows", "100000"))
 
     def partitions(self) -> list[InputPartition]:
-        with sqlite3.connect(self.path) as db:
+        with closing(sqlite3.connect(self.path)) as db:
             low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {self.table}").fetchone()
         return [_Rows(a, min(a + self.each - 1, high)) for a in range(low, high + 1, self.each)] or [_Rows(0, -1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with sqlite3.connect(self.path) as db:
+        with closing(sqlite3.connect(self.path)) as db:
             yield from db.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
 
 
@@ -140,6 +157,67 @@ class SqliteSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _SqliteReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _SqliteWriter(dict(self.options), overwrite)
+
+
+@dataclass
+class _Part(WriterCommitMessage):
+    path: str
+    first: int
+
+
+class _SqliteWriter(DataSourceWriter):
+    """Every task fills a file of its own; the commit copies the files' tables into one, in the tasks' order."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.table = options["path"], options["table"]
+        self.columns, self.overwrite = options["columns"].split(","), overwrite
+        self.create = options.get("create") or ", ".join(f"{c} TEXT" for c in self.columns)
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId()
+        part = f"{self.path}.{self.table}-{number:06d}-{uuid.uuid4().hex}.part"
+        with closing(sqlite3.connect(part)) as db:
+            db.execute("PRAGMA journal_mode = OFF")
+            db.execute(f"CREATE TABLE part({', '.join(f'{c} TEXT' for c in self.columns)})")
+            db.executemany(f"INSERT INTO part VALUES ({', '.join('?' * len(self.columns))})", (tuple(None if x is None else str(x) for x in r) for r in iterator))
+            db.commit()
+        return _Part(part, number)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        parts = sorted((m for m in messages if m), key=lambda m: m.first)
+        with closing(sqlite3.connect(self.path)) as db:
+            if self.overwrite:
+                db.execute(f"DROP TABLE IF EXISTS {self.table}")
+            db.execute(f"CREATE TABLE IF NOT EXISTS {self.table}({self.create})")
+            for m in parts:
+                db.execute("ATTACH ? AS one", (m.path,))
+                db.execute(f"INSERT INTO {self.table} ({', '.join(self.columns)}) SELECT * FROM one.part ORDER BY rowid")
+                db.commit()
+                db.execute("DETACH one")
+        for m in parts:
+            Path(m.path).unlink(missing_ok=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for m in messages:
+            if m:
+                Path(m.path).unlink(missing_ok=True)
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
+    """Columns of a table of a SQLite file as text, read in ranges of row ids; columns that it lacks are null."""
+    with closing(sqlite3.connect(f"{Path(path).absolute().as_uri()}?mode=ro", uri=True)) as db:
+        there = {r[1] for r in db.execute(f"PRAGMA table_info({table})")}
+    if not there:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    spark.dataSource.register(SqliteSource)
+    have = [c for c in columns if c in there]
+    rows = spark.read.format("sqlite_table").option("path", path).option("table", table).option("columns", ",".join(have)).load()
+    return rows.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+
 
 class Checkpoints:
     """Named versions of a graph below one folder, with an index."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 import configparser
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph_files import sqlite_table
+
 
 def parse_log(text: str) -> list[tuple[str, str]]:
     """(commit, file) of a log that names files after each 40-digit hash."""
@@ -75,3 +77,27 @@ def exit_code(errors: int, warnings: int) -> int:
 def annotations(findings: list[dict]) -> list[str]:
     """One line for each finding in the form that build logs mark up."""
     return [f"::{'error' if f['severity'] == 'error' else 'warning'} file={f.get('offending_file', '')}::{f['message']}" for f in findings]
+
+
+# What ticket tables call their columns, the likelier name first.
+TICKET_COLUMNS = {
+    "ticket_id": ("tkt_uuid", "uuid", "ticket_id"), "title": ("title", "summary"), "status": ("status", "tkt_status"), "type": ("type", "tkt_type"), "priority": ("priority", "tkt_priority"),
+    "severity": ("severity", "tkt_severity"), "assignee": ("assignee", "assigned_to"), "resolution": ("resolution", "tkt_resolution"), "content": ("comment", "description"), "updated_at": ("tkt_mtime", "mtime"),
+}
+
+
+def fossil_timeline(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, at, user, comment) of a repository file's events; ``kind`` is theirs (ci check-in, w wiki, t ticket).
+    A user or comment that was edited later counts as edited.  Read in ranges of row ids by tasks."""
+    rows = sqlite_table(spark, path, "event", ["type", "mtime", "user", "euser", "comment", "ecomment"])
+    at = F.timestamp_millis(F.round((F.col("mtime").cast("double") - 2440587.5) * 86_400_000).cast("long"))  # Julian days
+    return rows.select(F.col("type").alias("kind"), at.alias("at"), F.coalesce("euser", "user").alias("user"), F.coalesce("ecomment", "comment").alias("comment"))
+
+
+def fossil_tickets(spark: SparkSession, path: str) -> DataFrame:
+    """(TICKET_COLUMNS, name) of a repository file's tickets; '' where a table lacks a column.  A ticket's name is
+    its title, or its id; rows with neither are left out."""
+    rows = sqlite_table(spark, path, "ticket", sorted({c for names in TICKET_COLUMNS.values() for c in names}))
+    first = lambda names: F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in names], F.lit(""))
+    out = rows.select(*[first(names).alias(k) for k, names in TICKET_COLUMNS.items()])
+    return out.withColumn("name", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("ticket_id"))).where("name <> ''")
