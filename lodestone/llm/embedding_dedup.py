@@ -2,7 +2,8 @@
 
 Crowds are met as one: vectors within half the linking angle of a common centre all link with each other,
 so such a ball needs no pairs of its own, and two balls whose centres lie near or far enough link wholly or
-not at all.  Only between balls at the border, and between vectors outside balls, are pairs looked at.
+not at all.  Between balls at the border, members are compared by blocks, which give counts and one pair that
+ties the balls together, and no row for a pair; between vectors outside balls, pairs are looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SKETCH_BITS, SCREEN_MISS = 256, 1e-7
 #: Members from which a bucket counts as crowded, so that its first vector is tried as a centre, and the tables
 #: in which crowds are looked for.
 CROWD, CROWD_TABLES = 64, 8
+#: Members of one ball's slice that a task compares with another's, at most on average, and rows of one product.
+SLICE, PRODUCT = 4096, 512
 #: Angles are told apart to this much, in radians.
 _EPS = 1e-6
 _WORDS = [f"s{k}" for k in range(SKETCH_BITS // 64)]
@@ -147,6 +150,75 @@ def balls(classes: DataFrame, bits: int, cosine: float) -> DataFrame:
     return inside.groupBy("rep").agg(F.min("ball").alias("ball"), F.min_by("angle", "ball").alias("angle"))
 
 
+def _compare(block: pa.Table, cosine: float) -> pa.Table:
+    """(rep, m, other) of a block: to how many vectors of the other side each class links; ``other`` ties
+    together: for the first linked pair of two balls, or of each vector outside them."""
+    left = block.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    rep, n = block.column("rep").to_numpy(), block.column("n").to_numpy()
+    lists = block.column("v").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    start = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    alone = block.column("a")[0].as_py() == block.column("b")[0].as_py()
+    more = np.zeros(len(rep), np.int64)
+    tie, tied = np.zeros(len(rep), np.int64), np.zeros(len(rep), bool)
+    for dim in np.unique(sizes).tolist():  # vectors of different length never link
+        one, two = (np.nonzero((sizes == dim) & side)[0] for side in (left, ~left))
+        if not (len(one) and len(two)):
+            continue
+        x, y = (flat[start[k][:, None] + np.arange(dim)] for k in (one, two))
+        lx, ly = np.sqrt(_in_order(x, x)), np.sqrt(_in_order(y, y))
+        for at in range(0, len(one), PRODUCT):
+            some = slice(at, at + PRODUCT)
+            value = (x[some] @ y.T) / (lx[some][:, None] * ly[None, :])
+            linked = value >= cosine
+            i, j = np.nonzero(np.abs(value - cosine) < 1e-9)  # where the order of a sum might matter
+            linked[i, j] = _in_order(x[some][i], y[j]) / (lx[some][i] * ly[j]) >= cosine
+            more[one[some]] += linked @ n[two]
+            more[two] += n[one[some]] @ linked
+            hit = np.nonzero(linked.any(axis=1))[0]
+            tie[one[some][hit]] = rep[two[linked[hit].argmax(axis=1)]]
+            tied[one[some][hit]] = True
+    if not alone:
+        tied[np.nonzero(tied)[0][1:]] = False
+    keep = more > 0
+    return pa.table({"rep": pa.array(rep[keep]), "m": pa.array(more[keep]), "other": pa.array(tie[keep], mask=~tied[keep])})
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products, component after component, as ``cosine_of`` adds them."""
+    total = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        total = total + x[:, k] * y[:, k]
+    return total
+
+
+def _border(pairs: DataFrame, member: DataFrame, cosine: float) -> DataFrame:
+    """(rep, m, other) for pairs of nodes some of whose members may link.  Two balls are compared slice by slice;
+    the vectors outside balls that lie at the border of one ball are its other side together."""
+    size = materialize(member.groupBy("node").agg(F.count("*").alias("classes")), "sizes")
+    slices = lambda c: F.ceil(F.col(c) / SLICE)
+    both = pairs.where("many_a AND many_b").select("a", "b")
+    for side in "ab":
+        both = both.join(size.select(F.col("node").alias(side), slices("classes").alias(f"s{side}")), side)
+    outside = pairs.where("NOT (many_a AND many_b)").select(F.when(F.col("many_a"), F.col("b")).otherwise(F.col("a")).alias("single"), F.when(F.col("many_a"), F.col("a")).otherwise(F.col("b")).alias("ball"))
+    around = outside.groupBy("ball").agg(F.ceil(F.count("*") / SLICE).alias("sa"))
+    around = around.join(size.select(F.col("node").alias("ball"), slices("classes").alias("sb")), "ball")
+
+    def dealt(rows: DataFrame, left: bool) -> DataFrame:
+        own, other = ("sa", "sb") if left else ("sb", "sa")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        at = ("own", "other") if left else ("other", "own")
+        return rows.select("a", "b", F.col(at[0]).alias("ka"), F.col(at[1]).alias("kb"), F.lit(left).alias("left"), "rep", "n", "v")
+
+    parts = [dealt(both.join(member.withColumnRenamed("node", side), side), side == "a") for side in "ab"]
+    ends = around.select(F.col("ball").alias("a"), F.col("ball").alias("b"), "sa", "sb")
+    parts.append(dealt(outside.select("single", F.col("ball").alias("a")).join(ends, "a").join(member.withColumnRenamed("node", "single"), "single"), True))
+    parts.append(dealt(ends.join(member.withColumnRenamed("node", "b"), "b"), False))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return rows.groupBy("a", "b", "ka", "kb").applyInArrow(lambda t: _compare(t, cosine), "rep long, m long, other long")
+
+
 def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
     """(rep, more) and (a, b): to how many vectors of other classes the members of a class link, and edges
     between classes that tie together what links tie together.
@@ -177,25 +249,20 @@ def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tup
     wide = F.col("radius_a") + F.col("radius_b")
     sure = F.when(~F.col("many_a") & ~F.col("many_b"), F.col("value") >= cosine).otherwise(_angle(F.col("value")) + wide <= limit - _EPS)
     open_ = (F.col("many_a") | F.col("many_b")) & (_angle(F.col("value")) - wide <= limit + _EPS)
-    pairs = pairs.withColumn("value", value).select("a", "b", "total_a", "total_b", "lead_a", "lead_b", sure.alias("sure"), open_.alias("open")).where("sure OR open")
+    pairs = pairs.withColumn("value", value).select("a", "b", "many_a", "many_b", "total_a", "total_b", "lead_a", "lead_b", sure.alias("sure"), open_.alias("open")).where("sure OR open")
     pairs = materialize(pairs, "pairs")
 
-    member = placed.select("node", "rep", "n", "v")
-    border = pairs.where("NOT sure").select("a", "b")
-    for side in "ab":
-        border = border.join(member.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in member.columns]), side)
-    border = materialize(border.where(cosine_of("v_a", "v_b") >= F.lit(cosine)).select("rep_a", "rep_b", "n_a", "n_b"), "border")
+    border = materialize(_border(pairs.where("NOT sure"), placed.select("node", "rep", "n", "v"), cosine), "border")
 
     whole = pairs.where("sure")
     far = whole.select(F.col("a").alias("node"), F.col("total_b").alias("m")).unionByName(whole.select(F.col("b").alias("node"), F.col("total_a").alias("m")))
     far = far.groupBy("node").agg(F.sum("m").alias("far"))
-    single = border.select(F.col("rep_a").alias("rep"), F.col("n_b").alias("m")).unionByName(border.select(F.col("rep_b").alias("rep"), F.col("n_a").alias("m")))
-    single = single.groupBy("rep").agg(F.sum("m").alias("near"))
+    single = border.groupBy("rep").agg(F.sum("m").alias("near"))
     home = placed.select("rep", "n", "node").join(nodes.select("node", "total"), "node")
     more = F.col("total") - F.col("n") + F.coalesce("far", F.lit(0)) + F.coalesce("near", F.lit(0))
     counts = home.join(far, "node", "left").join(single, "rep", "left").select("rep", more.alias("more"))
     ties = placed.join(nodes.select("node", "lead"), "node").where("lead < rep").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    edges = ties.unionByName(whole.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))).unionByName(border.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+    edges = ties.unionByName(whole.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))).unionByName(border.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     return counts, materialize(edges, "edges")
 
 

@@ -134,6 +134,26 @@ def test_crowds_make_few_pairs(spark):
     assert 1999 <= edges.count() < 4000
 
 
+def test_neighbouring_crowds_write_few_rows(spark):
+    """Two crowds whose centres lie just within the linking angle: right counts, edges that grow with the vectors."""
+    rng = np.random.default_rng(9)
+    base = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    wide = 0.02 * rng.standard_normal((3000, 64))
+    x = np.concatenate([base[0] + wide[:1500], np.cos(0.44) * base[0] + np.sin(0.44) * base[1] + wide[1500:], 0.9 * base[0] + 0.3 * rng.standard_normal((60, 64))])
+    ids = rng.permutation(len(x)) - 1000  # some below zero
+    classes = spark.createDataFrame([(int(i), 1, v.tolist()) for i, v in zip(ids, x, strict=True)], "rep long, n long, v array<double>")
+    more, edges = embedding_dedup.links(classes, miss=1e-9)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    want = dict(zip(ids.tolist(), (linked.sum(axis=1) - 1).tolist(), strict=True))
+    assert {r.rep: r.more for r in more.collect()} == want
+    assert 100_000 < linked[:1500, 1500:3000].sum() < 2_200_000 and edges.count() < 12_000
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    i, j = np.nonzero(np.triu(linked, 1))
+    plain = components(ids.tolist(), list(zip(ids[i].tolist(), ids[j].tolist(), strict=True)))
+    assert {k: got.get(k, k) for k in plain} == plain
+
+
 def test_lengths_that_vanish_or_overflow(spark):
     v = [1.0, 2.0, -3.0]
     rows = [(1, [x * 1e-170 for x in v]), (2, [x * 1e300 for x in v]), (3, v), (4, [x * 2.0 for x in v]), (5, [4.9e-324, 0.0, 0.0]), (6, [1.7e308, 0.0, 0.0]), (7, [1.0, 1e-200, 0.0]), (8, [-1.0, 0.0, 0.0])]
