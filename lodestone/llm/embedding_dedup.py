@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -32,6 +32,8 @@ SKETCH_BITS, SCREEN_MISS = 256, 1e-7
 #: Members from which a bucket counts as crowded, so that its first vector is tried as a centre, and the tables
 #: in which crowds are looked for.
 CROWD, CROWD_TABLES = 64, 8
+#: Classes of a crowded bucket whose middle is tried as a centre.
+MIDDLE = 64
 #: Members of one ball's slice that a task compares with another's, at most on average, and rows of one product.
 SLICE, PRODUCT = 4096, 512
 #: Angles are told apart to this much, in radians.
@@ -135,19 +137,32 @@ def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     return classes.select("rep", "v").mapInArrow(run, f"rep long, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
 
 
-def balls(classes: DataFrame, bits: int, cosine: float) -> DataFrame:
-    """(rep, ball, angle): classes that lie within half the linking angle of the centre ``ball``, which is the
-    first class of a crowded bucket; of several centres the one of least number.  Any two of a ball link."""
+def balls(classes: DataFrame, bits: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(rep, ball, angle) and (ball, v): classes that lie within half the linking angle of a centre; of several
+    centres the one of least number.  Any two of a ball link, whatever its centre.  A crowded bucket has its first
+    class for a centre, and the middle of its ``MIDDLE`` classes of least hash, whose ball holds more of a
+    crowd that lies around it; that one has a hash for a number, far below zero.
+    """
     index = hashed(classes, bits, CROWD_TABLES).select("rep", *_WORDS, F.explode("keys").alias("key"))
-    heads = index.groupBy("key").agg(F.min("rep").alias("ball"), F.count("*").alias("m")).where(F.col("m") >= CROWD).select("key", "ball")
-    near = index.join(heads, "key").drop("key").distinct()
-    sketch = index.join(heads.select(F.col("ball").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("ball"), *[F.col(w).alias(f"c{w}") for w in _WORDS]).distinct()
+    crowded = index.groupBy("key").agg(F.min("rep").alias("first"), F.count("*").alias("m")).where(F.col("m") >= CROWD)
+    crowded = materialize(crowded.select("key", "first"), "crowded")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(5)), "rep")
+    some = index.select("key", "rep").join(crowded.select("key"), "key", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= MIDDLE)
+    spread = some.join(classes.select("rep", "v"), "rep").select("key", F.posexplode("v").alias("at", "x"))
+    mean = spread.groupBy("key", "at").agg(F.avg("x").alias("x")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v"))
+    lowest = F.lit(-(1 << 63))
+    middle = mean.withColumn("ball", lowest + F.xxhash64("v").bitwiseAND(F.lit((1 << 61) - 1)))
+    centres = middle.select("key", "ball", "v").unionByName(crowded.join(classes.select(F.col("rep").alias("first"), "v"), "first").select("key", F.col("first").alias("ball"), "v"))
+    centres = materialize(centres, "centres")
+    seen = centres.dropDuplicates(["ball"]).select("ball", "v")
+    near = index.join(centres.select("key", "ball"), "key").drop("key").distinct()
+    sketch = hashed(seen.withColumnRenamed("ball", "rep"), bits, 1).select(F.col("rep").alias("ball"), *[F.col(w).alias(f"c{w}") for w in _WORDS])
     least = math.cos(math.acos(cosine) / 2)
     near = near.join(sketch, "ball").where(F.expr(f"{_apart('', 'c')} <= {screen(least)}")).select("rep", "ball")
-    one, two = classes.select("rep", F.col("v").alias("va")), classes.select(F.col("rep").alias("ball"), F.col("v").alias("vb"))
+    one, two = classes.select("rep", F.col("v").alias("va")), seen.select("ball", F.col("v").alias("vb"))
     angle = near.join(one, "rep").join(two, "ball").select("rep", "ball", _angle(cosine_of("va", "vb")).alias("angle"))
     inside = angle.where(F.col("angle") <= math.acos(cosine) / 2 - _EPS)
-    return inside.groupBy("rep").agg(F.min("ball").alias("ball"), F.min_by("angle", "ball").alias("angle"))
+    return inside.groupBy("rep").agg(F.min("ball").alias("ball"), F.min_by("angle", "ball").alias("angle")), seen
 
 
 def _compare(block: pa.Table, cosine: float) -> pa.Table:
@@ -229,10 +244,12 @@ def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tup
     """
     bits, tables = shape(classes.count(), cosine, miss)
     limit = math.acos(cosine)
-    inside = materialize(balls(classes, bits, cosine), "balls")
+    inside, middles = balls(classes, bits, cosine)
+    inside = materialize(inside, "balls")
     placed = classes.join(inside, "rep", "left").select("rep", "n", "v", "ball", F.coalesce("ball", "rep").alias("node"), F.coalesce("angle", F.lit(0.0)).alias("angle"))
     sizes = placed.groupBy("node").agg(F.sum("n").alias("total"), F.max("angle").alias("radius"), F.min("rep").alias("lead"), F.max(F.col("ball").isNotNull()).alias("many"))
-    nodes = materialize(sizes.join(classes.select(F.col("rep").alias("node"), "v"), "node"), "nodes")
+    places = middles.select(F.col("ball").alias("node"), F.lit(True).alias("many"), "v").unionByName(classes.select(F.col("rep").alias("node"), F.lit(False).alias("many"), "v"))
+    nodes = materialize(sizes.join(places, ["node", "many"]), "nodes")
 
     marks = hashed(classes, bits, tables).join(inside.select("rep", "ball"), "rep", "left")
     alone = marks.where("ball IS NULL").select(F.col("rep").alias("node"), F.lit(0).alias("many"), *_WORDS, F.explode("keys").alias("key"))
