@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from .common import small_batches
 # Sentences of public licences and of their usual headers, by identifier.  One identifier may
 # have several wordings; <...> stands for one to twelve words, such as a holder's name.
 SENTENCES = {
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
+    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"],
     "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
     "mit-warranty": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
     "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
@@ -42,7 +43,7 @@ SENTENCES = {
     "gnu-date21": ["Version 2.1, February 1999"],
     "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
     "gpl-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"],
-    "gpl2-free": ["<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "<...> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "gpl2-free": ["<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "<...> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2", "<...> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License", "<...> is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation"],
     "lgpl21-free": ["<...> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "lgpl3-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "agpl3-free": ["<...> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
@@ -131,7 +132,7 @@ RULES = [
 ]
 
 # Names of licences as they stand in notices, as patterns over normalised words; the first that fits counts.
-_L = "licen[sc]e"
+_L = "licen[sc]es?"
 
 
 def _gnu(long: str, short: str, version: str) -> str:
@@ -182,6 +183,10 @@ _HINT = re.compile(r"licen[sc]e|permission|copyright|redistribut|warrant|free[^a
 _MARK = re.compile(r"(?:\d+|[a-z]) ")
 _SPDX = re.compile(r"spdx-license-identifier:[ \t]*([^\n]*)", re.I)
 _SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: What before a notice says that it doesn't hold, with at most four words between.
+_NOT = re.compile(r"\b(?:not|never|no longer|isn t|aren t|wasn t|weren t|cannot be|unlike|instead of|rather than|neither|without being)(?: \w+){0,4} $")
+#: Words of which the search for wordings within a line makes nothing shorter known.
+_LEAST = 8
 #: Words that a notice may run to; lines are joined to so many.
 _NOTICE_WORDS = 40
 #: Words that the gap in a pattern may take.
@@ -213,6 +218,40 @@ def _grammar() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
     return notice, title, groups | {"pd": "public-domain"}
 
 
+@lru_cache(maxsize=1)
+def _listed() -> re.Pattern:
+    """A further name in the list that a notice's name begins: after 'and' or 'or', or next to it."""
+    any_ = "|".join(f"(?P<n{k}>{pattern})" for k, (_, pattern) in enumerate(NAMES))
+    return re.compile(rf" (?:(?:and or|and|or|as well as|plus)(?: (?:the|a|an|under|both|either|optionally|at your option|terms|conditions|of))*? )?(?:{any_})(?![a-z0-9])")
+
+
+def _names_in(m: re.Match, words: str, groups: dict[str, str]) -> Iterator[tuple[str, int]]:
+    """(licence, end) of a notice's name and of those listed after it."""
+    end = m.end()
+    yield _licence_of(m, groups), end
+    if m.groupdict().get("pd") is None:
+        while further := _listed().match(words, end):
+            end = further.end()
+            yield _licence_of(further, groups), end
+
+
+@lru_cache(maxsize=1)
+def _anywhere() -> ahocorasick.Automaton:
+    """An automaton over words for the wordings of ``_LEAST`` words or more that have no stop or gap inside."""
+    a = ahocorasick.Automaton()
+    for words, name in _known()[0].items():
+        if words.count(" ") >= _LEAST - 1 and "." not in words:
+            a.add_word(f" {words} ", (name, len(words)))
+    a.make_automaton()
+    return a
+
+
+@lru_cache(maxsize=1)
+def _needs_more() -> frozenset[str]:
+    """Sentences that no rule takes alone, so that a notice within them counts by itself."""
+    return frozenset(SENTENCES) - {names[0] for _, names in RULES if len(names) == 1}
+
+
 def _licence_of(m: re.Match, groups: dict[str, str]) -> str:
     licence = next(groups[g] for g, v in m.groupdict().items() if v is not None and g in groups)
     if licence == "CC":
@@ -342,10 +381,33 @@ def identify_sentences(text: str) -> list[tuple[int, int, str]]:
             if m.start() >= len(line):
                 break
             last = i + bisect_left(ends, m.end())
-            if not re.search(r"\b(?:not|never|isn t)(?: \w+){0,2} $", words[max(0, m.start() - 60) : m.start()]):
-                names.append(f"{_licence_of(m, groups)} notice")
+            if not _NOT.search(words[max(0, m.start() - 60) : m.start()]):
+                for licence, end in _names_in(m, words, groups):
+                    names.append(f"{licence} notice")
+                    last = max(last, i + bisect_left(ends, end))
         return names, last
 
+    def inside(p: int, i: int) -> list[str]:
+        """Identifiers of long wordings that begin within a line and needn't fill lines: of those that begin at
+        one word the longest, and none within another."""
+        here = lines(p)
+        words, n = f" {here[i][1]} ", i + 1
+        first = len(words) - 1
+        while n < len(here) and len(words) < first + longest:
+            words, n = f"{words}{here[n][1]} ", n + 1
+        hits = sorted((end - size - 1, -size, name) for end, (name, size) in _anywhere().iter(words) if end - size - 1 < first)
+        names, free = [], 0
+        for start, size, name in hits:
+            if start >= free:
+                before = re.search(r"\b\w+(?: \w+){0,11} $", words[max(0, start - 80) : start + 1])
+                if name in _needs_more():
+                    for m in notices.finditer(words[start : start - size + 1]):
+                        if not (before and _NOT.search(before[0])):
+                            names += [f"{k} notice" for k, _ in _names_in(m, words[start:], groups)]
+                names.append(name)
+                free = start - size
+        return names
+
     spdx = {}
     for m in _SPDX.finditer(text):
         ids = [x for x in _SPDX_ID.findall(m[1].split("*/")[0].split("-->")[0]) if x.upper() not in ("AND", "OR", "WITH")]
@@ -359,12 +421,17 @@ def identify_sentences(text: str) -> list[tuple[int, int, str]]:
         hit = run(p, i)
         at = lines(p)[i][0]
         if hit:
+            if hit[2] in _needs_more():  # a notice may stand within a sentence that is known as a whole
+                whole = " ".join(w for q in range(p, hit[0] + 1) for _, w in lines(q)[i if q == p else 0 : hit[1] + 1 if q == hit[0] else None])
+                found += [(p - joined, at, f"{k} notice") for m in notices.finditer(whole) for k, _ in _names_in(m, whole, groups)]
             found.append((p - joined, at, hit[2]))
             joined += hit[0] - p
             p, i = hit[:2]
         else:
+            within = inside(p, i)
             names, i = grammar(p, i)
-            found += [(p - joined, at, name) for name in names]
+            held = {x for x in within if x.endswith(" notice")}
+            found += [(p - joined, at, name) for name in [*(x for x in names if x not in held), *within]]
         i += 1
     if marks:
         number = [at for _, at, _ in found]

@@ -679,3 +679,31 @@ def test_short_texts_near_the_cut_vary_by_seed(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int")
     picked = [{r.doc_id for r in quality.resample(docs, labels, k=150, seed=s)[0].where("selected").collect()} for s in (1, 2)]
     assert all(len(p) == 150 for p in picked) and len(picked[0] ^ picked[1]) > 20
+
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+
+
+@pytest.mark.parametrize("text, want", [
+    (APACHE, ["Apache-2.0"]), ("Copyright 2020 Someone " + APACHE, ["Apache-2.0"]), (APACHE.split(". You")[0], ["Apache-2.0"]), (APACHE.replace(" ", "\n"), ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2.0 or MIT license", ["Apache-2.0", "MIT"]), ("Dual licensed under MIT and GPLv3", ["MIT", "GPL-3.0"]), ("Licensed under the MIT, Apache 2.0 and BSD licenses", ["MIT", "Apache-2.0", "BSD-3-Clause"]),
+    ("This is no longer licensed under the MIT License", []), ("Unlike code licensed under the MIT license, this is closed", []), ("It is neither released under the MIT license", []),
+    (licenses.SENTENCES["mit-grant"][1], ["MIT"]),  ("words " + licenses.SENTENCES["mit-grant"][0] + " and more words", ["MIT"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.", ["GPL-2.0"]),
+])
+def test_headers_however_they_are_set(text, want):
+    assert held(text) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["some", "other", "words", "license", "the", "under"]), max_size=6), st.sampled_from(sorted(k for k in licenses.SENTENCES if not k.startswith(("gnu-", "reserved")))), st.lists(st.sampled_from(["some", "other", "words", "the"]), max_size=6))
+def test_long_wordings_are_found_anywhere(before, name, after):
+    """Against a plain search of the word sequence, for wordings of one part without gaps."""
+    for w in licenses.SENTENCES[name]:
+        words = licenses.normalise(w)
+        if "<...>" in w or len(words.split()) < licenses._LEAST or len(list(licenses._parts(w))) > 1:
+            continue
+        text = " ".join([*before, w, *after])
+        found = [k for _, _, k in licenses.identify_sentences(text)]
+        longer = {k for k, all_ in licenses.SENTENCES.items() for x in all_ if words in licenses.normalise(x)}
+        assert set(found) & longer, (text, found)
