@@ -36,9 +36,15 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _FORMULA = frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
 #: Elements that may hold others and are closed by name; the rest only break blocks.
 _HOLDERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table tbody thead tr td figure fieldset details dialog button menu blockquote center select textarea title object".split())
+#: Headings belong to what they stand in, whatever their marks; inline elements that may be left out by theirs.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_MARKED = frozenset("span a ins small".split())
 #: Those that a header or footer within them belongs to.
 _SECTIONS = frozenset(("article", "main", "section"))
 
+#: Elements that may be one thing or the other, so that their text tells something.
+_TELLING = frozenset("div section table aside".split())
+
 #: Sums of log odds at or below the first call an element surroundings, above the second content.
 SURROUNDINGS, CONTENT = -1.1, 0.9
 #: Score of passing over surroundings, and the part of a word's score that a word in a link keeps.
@@ -115,6 +121,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         at += 1
 
 
+#: The end of a sentence in a piece of text, and least words of a piece that sentences are looked for in.
+_STOP = re.compile(r"\w[\"')\u201d\u2019]*[.!?\u2026\u3002](?:\s|$)")
+_PIECE = 5
+
+
+def _stops(text: str, words: int) -> int:
+    return len(_STOP.findall(text)) if words >= _PIECE else 0
+
+
+def text_features(words: int, linked: int, stops: int) -> tuple[str, ...]:
+    """What an element's text says of it: the share of its words in links together with how many sentences stand
+    outside links; nothing for an element without words."""
+    if not words:
+        return ()
+    share = "all" if linked >= 0.9 * words else "most" if 2 * linked >= words else "some" if linked else "none"
+    return (f"#{share} in links, {min(stops, 2)} sentences",)
+
+
 def _marks(rest: str) -> list[str]:
     """The words of an element's class, id and role."""
     return [w for m in _MARK.finditer(rest) for w in (m[1] or m[2] or m[3] or "").split()] if "=" in rest else []
@@ -135,26 +159,33 @@ def weights() -> tuple[dict[str, float], dict[str, float], float]:
     """
     counts, words = (Counter(), Counter()), [0, 0]  # of surroundings and of content
     for page in LABELLED:
-        content, path = 0, []
+        content, path, link = 0, [], False
         for kind, name, rest in tokens(page.replace("{{", "\1").replace("}}", "\2")):
+            link = kind == "<" if name == "a" else link
             if not kind:
                 for piece in re.split("([\1\2])", rest):
                     content = {"\1": 1, "\2": 0}.get(piece, content)
-                    for held in (words, *(own for _, _, own in path)):
-                        held[content] += len(piece.strip("\1\2").split())
+                    n = len(piece.strip("\1\2").split())
+                    words[content] += n
+                    for _, _, own, said in path:
+                        own[content] += n
+                        said[0] += n if link else 0
+                        said[1] += 0 if link else _stops(piece, n)
             elif kind == "<":
-                within = next((n for n, _, _ in reversed(path) if n in _SECTIONS), "")
+                within = next((n for n, *_ in reversed(path) if n in _SECTIONS), "")
                 marks = _marks(rest)
                 found = {f"<{name}", f"<{name}|{within}", *marks, *(f"~{p}" for w in marks for p in _parts(w))}
                 if name in _HOLDERS:
-                    path.append((name, found, [0, 0]))
+                    path.append((name, found, [0, 0], [0, 0]))
                 else:
                     counts[content].update(found)
-            elif any(n == name for n, _, _ in path):
+            elif any(n == name for n, *_ in path):
                 while True:
-                    n, found, own = path.pop()
+                    n, found, own, said = path.pop()
                     if 5 * min(own) < max(own):
                         counts[own[1] > own[0]].update(found)
+                        if n in _TELLING:
+                            counts[own[1] > own[0]].update(text_features(sum(own), *said))
                     if n == name:
                         break
     total = [sum(v for f, v in c.items() if f[0] == "<" and "|" not in f) for c in counts]
@@ -205,6 +236,8 @@ class _Element:
     odds: float
     up: int  # the element around it
     words: int = 0  # not counting surroundings inside it
+    linked: int = 0  # words in links, and ends of sentences outside them, of the whole element
+    stops: int = 0
     first: int = 0  # event at which it begins
     last: int = 0
     away: bool = False  # surroundings
@@ -215,7 +248,10 @@ def _elements(page: str) -> tuple[list[tuple[str, str, str, int]], list[_Element
     beginnings; the first stands for the page."""
     events, all_, path, sections = [], [_Element("", 0.0, -1)], [0], [""]
     where: dict[str, list[int]] = {}  # places on the path by name
+    link = False
     for kind, name, rest in tokens(page):
+        if name in _HOLDERS:
+            link = False
         if kind == "<" and name in _HOLDERS and not rest.endswith("/"):
             all_.append(_Element(name, element_odds(name, sections[-1], rest) if len(rest) < 400 else sum(map(_mark_odds, dict.fromkeys(_marks(rest)))), path[-1], first=len(events)))
             where.setdefault(name, []).append(len(path))
@@ -233,10 +269,24 @@ def _elements(page: str) -> tuple[list[tuple[str, str, str, int]], list[_Element
             del path[place:]
             continue
         elif not kind:
-            all_[path[-1]].words += len(rest.split())
+            n = len(rest.split())
+            inner = all_[path[-1]]
+            inner.words += n
+            inner.linked += n if link else 0
+            inner.stops += 0 if link else _stops(rest, n)
+        elif name == "a":
+            link = kind == "<"
         events.append((kind, name, rest, path[-1]))
     for e in path:
         all_[e].last = len(events)
+    odds, total = weights()[0], [e.words for e in all_]
+    for k in range(len(all_) - 1, 0, -1):  # inner elements first
+        e = all_[k]
+        total[e.up] += total[k]
+        all_[e.up].linked += e.linked
+        all_[e.up].stops += e.stops
+        if e.name in _TELLING:
+            e.odds += sum(odds.get(f, 0.0) for f in text_features(total[k], e.linked, e.stops))
     return events, all_
 
 
@@ -267,31 +317,43 @@ def main_text(page: str | None) -> str:
     """
     if not page:
         return ""
-    _, tags, word = weights()
+    odds, tags, word = weights()
     events, all_ = _elements(page)
     _judge(all_)
     blocks: list[str] = []
     scores: list[tuple[float, float]] = []
     begins: dict[int, int] = {}  # by content-like element, its first block
     spans: list[tuple[int, int]] = []  # first and last block of content-like elements
-    cost, linked, link, muted, until = 0.0, 0, False, False, -1
+    cost, linked, link, muted, until = 0.0, 0, False, 0.0, -1
+    hidden, deep = "", 0  # an inline element that is left out, and how many of its name are open
     text: list[str] = []
 
     def close_block() -> None:
         nonlocal cost, linked, muted
-        if text and not muted:
+        if text:
             whole = " ".join(html.unescape("".join(text)).split())
-            if whole:
-                n = whole.count(" ") + 1
+            n = whole.count(" ") + 1
+            told = muted and sum(odds.get(f, 0.0) for f in text_features(n, linked, _stops(whole, n)))
+            if whole and not (muted and muted + told <= SURROUNDINGS):
                 blocks.append(whole)
                 scores.append((cost, word * (n - (1 - LINKED) * min(n, linked))))
                 cost = 0.0
         text.clear()
-        linked, muted = 0, False
+        linked, muted = 0, 0.0
 
     for k, (kind, name, rest, e) in enumerate(events):
         if k < until:
             continue
+        if hidden and (name in _INLINE or not kind):
+            deep += (kind == "<") - (kind == "/") if name == hidden else 0
+            if not deep:
+                hidden = ""
+                text.append(" ")
+            continue
+        hidden, deep = "", 0  # a block ends what an inline element has left open
+        if kind == "<" and name in _MARKED and "=" in rest and any(odds.get(w, 0.0) <= 2 * SURROUNDINGS for w in _marks(rest)):
+            hidden, deep = name, 1
+            continue
         if not kind:
             text.append(rest)
             linked += len(rest.split()) if link else 0
@@ -315,7 +377,7 @@ def main_text(page: str | None) -> str:
         else:
             if name not in _INLINE:
                 close_block()
-                muted = kind == "<" and "=" in rest and sum(map(_mark_odds, dict.fromkeys(_marks(rest)))) <= SURROUNDINGS
+                muted = min(0.0, sum(map(_mark_odds, dict.fromkeys(_marks(rest))))) if kind == "<" and "=" in rest and name not in _HEADINGS else 0.0
             elif name in ("br", "img", "option"):
                 text.append(" ")
             elif name == "a":

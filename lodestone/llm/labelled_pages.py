@@ -73,4 +73,17 @@ WIKI = """<html><head><title>Salt road</title></head><body class="mediawiki"><di
 
 PLAIN = """<html><head><title>Letter</title></head><body>{{<article><h1>To whoever has the boat now</h1><p>You will have seen that she leaks. It is the third plank, and it always was.</p><p>Fill it with tar in April and do not row her in a north wind.</p><header><h2>The oars</h2></header><p>They are not a pair. The <i>longer</i> goes left.</p><div><p>With good wishes for the summer.</p></div></article>}}<nav><a href="/l">More letters</a></nav><footer>Found in a drawer</footer><div class="ad">Boats bought for cash</div></body></html>"""
 
-LABELLED = (BLOG, NEWS, MANUAL, OLD, FORMS, FORUM, MAGAZINE, WIKI, PLAIN)
+KITCHEN = """<!DOCTYPE html><html><head><title>Bread without kneading | Slow Kitchen</title></head><body class="post-template"><div class="container"><div class="top-bar"><a href="/">Slow Kitchen</a><a href="/r">Recipes</a><a href="/j">Join</a></div>
+{{<article class="recipe"><div class="header"><h1 class="header">Bread without kneading</h1><p>Time does the work that hands are usually asked to do, and it costs nothing but a night.</p></div>
+<p>Stir flour, water, salt and a pinch of yeast together until no dry flour is left in the bowl.</p>}}<div class="subscribe newsletter"><h3>Never miss a loaf</h3><p>Get our letter every Friday</p><form><input><button>Subscribe</button></form></div>{{
+<div class="alert note"><p>Mind the pot when it comes out of the oven, for it stays hot longer than you think.</p></div>}}<div class="ads"><span class="ad">Promoted</span><a href="/k">Knives for less</a></div>{{
+<p class="ad-hoc">If you have no pot with a lid, a tin turned over on a tray does nearly as well for a first try.</p><h2 class="header">What can go wrong</h2><ul><li>The dough is flat, since the night was cold.</li><li>The crust is soft, since the lid stayed on.</li></ul>
+<div class="popular"><p>The most popular change is to take a third of rye, which makes the crumb darker and keeps it moist.</p></div>}}<div class="related-posts"><h3>Related posts</h3><ul><li><a href="/1">Rye in a tin</a></li><li><a href="/2">A starter in five days</a></li></ul></div>{{
+<p>Wait an hour before you cut it, which is the hardest part of the whole recipe.</p>}}<div class="you-may-also-like"><h4>You may also like</h4><a href="/3">Soup from crusts</a> <a href="/4">Butter at home</a></div><div class="share-bar"><a href="/f">Share</a><a href="/t">Tweet</a></div>{{</article>}}
+<section class="responses" id="responses"><h2>Responses</h2><div class="response"><b>Ola</b><p>Mine came out like a stone.</p></div><div class="response"><b>Per</b><p>Try it with less water next time.</p></div></section></div><div class="bottom"><a href="/about">About</a><a href="/terms">Terms</a></div></body></html>"""
+
+REPORT = """<html><head><title>Ferry timetable study</title></head><body><table class="layout"><tr><td class="left-col"><a href="/a">Home</a><br><a href="/b">Studies</a><br><a href="/c">Staff</a><br><a href="/d">Contact</a></td><td>{{<h1>Ferry timetable study</h1><p>We counted passengers on four crossings for two weeks in spring, at all hours of the day.</p>
+<p>The result surprised the company more than it surprised the people on the quay, who had long known it.</p><table class="data"><tr><th>Crossing</th><th>Passengers</th></tr><tr><td>North</td><td>1,204</td></tr><tr><td>South</td><td>986</td></tr></table>}}<div class="sponsored-links"><a href="/s1">Cabins by the sea</a> <a href="/s2">Cheap car hire</a></div>{{
+<p>On Sundays the boats are full by nine, and those who come later wait for an hour in the wind.</p><div class="box"><p>A larger boat would help less than a second one, because the quay is where the time goes.</p></div>}}<table><tr><td><a href="/n1">Next study</a></td></tr><tr><td><a href="/n2">Bus lanes</a></td></tr><tr><td><a href="/n3">Night trains</a></td></tr></table></td></tr></table><div class="copyright">Institute of Quays, printed pages may be ordered</div></body></html>"""
+
+LABELLED = (BLOG, NEWS, MANUAL, OLD, FORMS, FORUM, MAGAZINE, WIKI, PLAIN, KITCHEN, REPORT)

@@ -707,3 +707,91 @@ def test_long_wordings_are_found_anywhere(before, name, after):
         found = [k for _, _, k in licenses.identify_sentences(text)]
         longer = {k for k, all_ in licenses.SENTENCES.items() for x in all_ if words in licenses.normalise(x)}
         assert set(found) & longer, (text, found)
+
+
+ARTICLE = "<html><body><nav><a href='/'>Home</a></nav><article><h1>Title of it</h1><p>The first paragraph of the article has quite a few words in it, as they do.</p>%s<p>The last paragraph of the article also has a number of words in it, to end with.</p></article><footer>All rights</footer></body></html>"
+
+
+@pytest.mark.parametrize("inside", [
+    '<div class="related-posts"><h3>Gone</h3><ul><li><a href="/a">Gone too</a></li></ul></div>', '<div class="you-may-also-like"><a href="/a">Gone here</a></div>', '<div class="ads"><p>Gone now</p></div>', '<div class="subscribe"><p>Gone mail</p></div>',
+    '<div class="responses"><p>Gone said that this is wrong</p></div>', '<section class="responses"><div class="response"><p>Gone reader</p></div></section>', "<p>Text <span class=\"ad\">Gone <span>buy</span> Gone</span> of it.</p>", "<p>Open <span class='ad'>Gone for ever</p>",
+    '<table><tr><td><a href="/x">Gone one</a></td></tr><tr><td><a href="/y">Gone two</a></td></tr><tr><td><a href="/z">Gone three</a></td></tr></table>', '<div class="newsletter-signup"><p>Gone sign up</p></div>',
+])
+def test_surroundings_in_an_article_go(inside):
+    text = html_text.main_text(ARTICLE % inside)
+    assert "Gone" not in text and text.startswith("Title of it\nThe first") and text.endswith("to end with.")
+
+
+@pytest.mark.parametrize("inside", [
+    '<h2 class="header">Kept</h2>', '<p class="ad-hoc">Kept text of it</p>', '<div class="header"><h2>Kept</h2><p>Words of the article under a heading of it</p></div>', '<div class="alert"><p>Kept: mind the step when you go down there at night</p></div>',
+    '<div class="popular"><p>Kept as the popular choice among those who were asked about it</p></div>', "<table><tr><td>Kept</td><td>12</td></tr><tr><td>Other</td><td>13</td></tr></table>", "<p>Text <span class='note'>Kept</span> of it.</p>",
+])
+def test_odd_names_in_an_article_stay(inside):
+    assert "Kept" in html_text.main_text(ARTICLE % inside)
+
+
+def test_words_of_labelled_pages_left_out(monkeypatch):
+    """Each labelled page is read with weights counted over the others."""
+    import html
+    import re
+    from collections import Counter
+
+    pages, right, got_all, want_all = list(html_text.LABELLED), 0, 0, 0
+    caches = (html_text.weights, html_text._mark_odds, html_text.element_odds)
+    try:
+        for k, page in enumerate(pages):
+            monkeypatch.setattr(html_text, "LABELLED", tuple(pages[:k] + pages[k + 1 :]))
+            for f in caches:
+                f.cache_clear()
+            content = "".join(re.findall(r"\{\{(.*?)\}\}", page, re.S))
+            want = Counter(html.unescape(re.sub(r"<[^>]+>", " ", content)).split())
+            got = Counter(html_text.main_text(page.replace("{{", "").replace("}}", "")).split())
+            right, got_all, want_all = right + sum((got & want).values()), got_all + sum(got.values()), want_all + sum(want.values())
+    finally:
+        monkeypatch.undo()
+        for f in caches:
+            f.cache_clear()
+    assert right / got_all > 0.9 and right / want_all > 0.94
+
+
+def test_given_pages_equal_a_plain_reading_of_their_article(spark):
+    """All pages of the smallest tables, by the library's own parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.now, self.inside, self.away = [], "", 0, 0
+
+        def end(self):
+            if self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in html_text._INLINE:
+                self.end()
+            elif tag == "br":
+                self.now += " "
+            ad = "ad" in (dict(attrs).get("class") or "").split()
+            self.inside += tag == "article"
+            self.away += 1 if self.away and tag == "div" or ad or tag in ("script", "style", "aside") else 0
+
+        def handle_endtag(self, tag):
+            if tag not in html_text._INLINE:
+                self.end()
+            self.inside -= tag == "article"
+            self.away -= 1 if self.away and tag in ("div", "script", "style", "aside") else 0
+
+        def handle_data(self, data):
+            if self.inside and not self.away:
+                self.now += data
+
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert rows
+    for r in rows:
+        p = Plain()
+        p.feed(r.html or "")
+        p.close()
+        p.end()
+        assert html_text.main_text(r.html) == "\n".join(p.blocks), r.page_id
