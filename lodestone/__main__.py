@@ -1,59 +1,59 @@
-"""Command line over stored graphs: ``python -m lodestone COMMAND GRAPH ...``."""
+"""Command line: ``python -m lodestone GRAPH OPERATION [ARGUMENT ...] [--option value ...]``.
+
+``operations`` in place of an operation lists them; ``ingest ROOT`` makes the graph, ``export FILE`` writes it in
+the interchange form.
+"""
 
 from __future__ import annotations
 
-import argparse
+import inspect
+import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import drift, history, structure
-from .plans import cypher
 from .sources import graph_files
-from .workspace import Workspace
-
-
-def main(argv: list[str] | None = None) -> None:
-    p = argparse.ArgumentParser(prog="lodestone")
-    sub = p.add_subparsers(dest="command", required=True)
-
-    def command(name: str, *arguments: str, **options: object) -> None:
-        c = sub.add_parser(name)
-        c.add_argument("graph")
-        for a in arguments:
-            c.add_argument(a)
-        for k, v in options.items():
-            c.add_argument(f"--{k}", default=v, type=type(v))
-
-    command("ingest", "root", repo="")
-    command("stats")
-    command("search", "query", limit=20, repo="")
-    for name in ("function", "impact"):
-        command(name, "name", file="", depth=2)
-    for name in ("class", "explain", "owners", "pack"):
-        command(name, "name", file="")
-    for name in ("concept", "domain", "decision", "context", "trace", "lens", "query", "sql", "export"):
-        command(name, "name")
-    for name in ("deadcode", "cycles", "testmap", "drift", "snapshots"):
-        command(name)
-    a = p.parse_args(argv)
+from .workspace import Workspace, operations
+
+
+def _value(text: str) -> object:
+    return int(text) if text.lstrip("-").isdigit() else {"true": True, "false": False}.get(text.lower(), text)
+
+
+def _split(words: list[str]) -> tuple[list[object], dict[str, object]]:
+    """Arguments, and options with what follows each."""
+    plain: list[object] = []
+    options: dict[str, object] = {}
+    rest = iter(words)
+    for w in rest:
+        if w.startswith("--"):
+            options[w[2:].replace("-", "_")] = _value(next(rest, ""))
+        else:
+            plain.append(_value(w))
+    return plain, options
+
+
+def main(argv: list[str] | None = None) -> int:
+    words = sys.argv[1:] if argv is None else argv
+    if len(words) < 2:
+        print(__doc__)
+        return 2
+    path, operation, *more = words
+    if operation == "operations":
+        for name, f in sorted(operations().items()):
+            print(f"{name}{inspect.signature(f)}: {(f.__doc__ or '').strip().splitlines()[0] if f.__doc__ else ''}")
+        return 0
+    arguments, options = _split(more)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
-    if a.command == "ingest":
-        Workspace.ingest(spark, a.root, repo=a.repo).save(a.graph)
-        return
-    w = Workspace.open(spark, a.graph)
-    g = w.graph
-    if a.command == "export":
-        graph_files.export_kg(g, a.name)
-        return
-    out = {
-        "stats": w.stats, "search": lambda: w.search(a.query, a.limit, a.repo), "function": lambda: w.function_context(a.name, a.file, a.depth), "impact": lambda: w.impact(a.name, a.file, a.depth),
-        "class": lambda: w.class_context(a.name, a.file), "explain": lambda: w.explain(a.name, a.file), "owners": lambda: w.find_owners(a.name, a.file), "pack": lambda: w.pack(a.name, a.file),
-        "concept": lambda: w.concept(a.name), "domain": lambda: w.domain(a.name), "decision": lambda: w.decision(a.name), "context": lambda: w.file_context(a.name), "trace": lambda: w.trace(a.name),
-        "lens": lambda: w.lens(a.name), "query": lambda: cypher.run(g, a.name), "sql": lambda: w.query(a.name), "deadcode": lambda: structure.dead_functions(g).unionByName(structure.dead_classes(g)),
-        "cycles": lambda: structure.call_cycles(g), "testmap": lambda: structure.test_map(g), "drift": lambda: drift.check(g), "snapshots": lambda: history.list_snapshots(history.snapshot(g, "head", "", "")[1]),
-    }[a.command]()
-    out.show(200, truncate=False)
+    if operation == "ingest":
+        Workspace.ingest(spark, str(arguments[0]), **options).save(path)
+        return 0
+    w = Workspace.open(spark, path)
+    if operation == "export":
+        print(graph_files.export_kg(w.graph, str(arguments[0])))
+        return 0
+    w.run(operation, *arguments, **options).show(200, truncate=False)
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

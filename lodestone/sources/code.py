@@ -250,8 +250,8 @@ def excluded(path: str, patterns: list[str]) -> bool:
     return any(fnmatch.fnmatchcase(x, p) for p in (p.rstrip("/") for p in patterns) if p for x in parts)
 
 
-def listing(root: str, exclude: tuple[str, ...] = (), nested: bool = False) -> list[str]:
-    """Paths, relative to ``root``, of the files that may be parsed, in order.
+def listing(root: str, exclude: tuple[str, ...] = (), nested: bool = False, also: tuple[str, ...] = ()) -> list[str]:
+    """Paths, relative to ``root``, of the files that may be parsed, and of those named in ``also``, in order.
 
     Folders that are skipped, excluded (``exclude`` and the root's ignore file), or hold a ``.git`` of their
     own, which is another repository unless ``nested``, are never entered, so nothing below them is listed
@@ -276,7 +276,7 @@ def listing(root: str, exclude: tuple[str, ...] = (), nested: bool = False) -> l
             if e.type == pafs.FileType.Directory:
                 if e.base_name not in SKIPPED:
                     folders.append(path)
-            elif e.is_file and ("." + path.rsplit(".", 1)[-1].lower()) in wanted:
+            elif e.is_file and (("." + path.rsplit(".", 1)[-1].lower()) in wanted or e.base_name in also):
                 out.append(path)
     return sorted(out)
 
@@ -286,9 +286,9 @@ def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
     return files, top.rstrip("/")
 
 
-def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
+def walk(spark: SparkSession, root: str, exclude: tuple[str, ...] = (), nested: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """(path, content) of the files of ``listing``; the driver holds their names, executors read them."""
-    paths = listing(root, exclude, nested)
+    paths = listing(root, exclude, nested, also)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = _file_system(root)
