@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import Graph
+from ..plans.graph import Graph, reach
 
 _CODE = ("Function", "Method")
 _ANY = ()
@@ -84,6 +86,79 @@ def promote(g: Graph, frameworks: list[str]) -> Graph:
     return Graph(rows.withColumn("semantic_type", kind).drop("__bases", "__marks"), g.edges)
 
 
+def _tidy(path: Column) -> Column:
+    """A path without '.' and '..' parts; '..' beyond the top stays, so it names nothing."""
+
+    @F.pandas_udf("string")
+    def tidy(paths: pd.Series) -> pd.Series:
+        return paths.map(posixpath.normpath, na_action="ignore")
+
+    return tidy(path)
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"(?:^|/)[^/]*$", "")
+
+
+def terraform_edges(g: Graph) -> DataFrame:
+    """(src, dst, type) that the meaning of Terraform files adds.
+
+    A module DEPENDS_ON the files of the folder that its source names, relative to its own file, and where that
+    holds none, or the source isn't a path, on the files below a folder ``modules/<its name>``.  A resource
+    BELONGS_TO the provider that its type begins with, one of its own folder before others.  A variable that
+    several files declare REFERENCES the declaration of the first file, by path.
+    """
+    own = g.nodes.where(F.col("semantic_type").startswith("terraform_")).select("id", "semantic_type", "name", "description", "file_path")
+    files = g.of("File").select(F.col("id").alias("dst"), F.col("path"), _folder(F.col("path")).alias("folder"))
+    modules = own.where("semantic_type = 'terraform_module'")
+    local = modules.where("description LIKE './%' OR description LIKE '../%'")
+    named = local.select(F.col("id").alias("src"), _tidy(F.concat_ws("/", F.when(_folder(F.col("file_path")) == "", F.lit(".")).otherwise(_folder(F.col("file_path"))), "description")).alias("folder"))
+    by_source = named.join(files, "folder").select("src", "dst")
+    # a folder 'modules/<name>' above a file
+    below = files.select("dst", F.regexp_extract("path", r"(?:^|/)modules/([^/]+)/", 1).alias("name")).where("name <> ''")
+    by_name = modules.select(F.col("id").alias("src"), "name").join(by_source.select("src").distinct(), "src", "left_anti").join(below, "name").select("src", "dst")
+    depends = by_source.unionByName(by_name).distinct().withColumn("type", F.lit("DEPENDS_ON"))
+    providers = own.where("semantic_type = 'terraform_provider'").select(F.col("id").alias("dst"), F.col("name").alias("provider"), _folder(F.col("file_path")).alias("there"))
+    resources = own.where("semantic_type IN ('terraform_resource', 'terraform_data')").select(F.col("id").alias("src"), F.element_at(F.split(F.regexp_replace("name", r"^data\.", ""), "_"), 1).alias("provider"), _folder(F.col("file_path")).alias("here"))
+    first = F.min_by("dst", F.struct((F.col("here") != F.col("there")).alias("far"), "there", "dst"))
+    belongs = resources.join(providers, "provider").groupBy("src").agg(first.alias("dst")).withColumn("type", F.lit("BELONGS_TO"))
+    variables = own.where("semantic_type = 'terraform_variable'").select("id", "name", "file_path")
+    home = variables.groupBy("name").agg(F.min_by("id", F.struct("file_path", "id")).alias("dst"), F.count("*").alias("n")).where("n > 1")
+    same = variables.join(home, "name").where("id <> dst").select(F.col("id").alias("src"), "dst", F.lit("REFERENCES").alias("type"))
+    return depends.unionByName(belongs.select("src", "dst", "type")).unionByName(same)
+
+
+def chef_edges(g: Graph) -> DataFrame:
+    """(src, dst, type): a file that includes a recipe DEPENDS_ON the recipe's file.
+
+    'book::name' is the file recipes/name.rb of a cookbook's folder, 'book' its default recipe, and '::name'
+    one of the includer's own cookbook; ``included`` follows such edges to their end.
+    """
+    path = F.coalesce("path", F.lit(""))
+    files = g.of("File").select("id", F.regexp_extract(path, r"(?:^|/)([^/]+)/recipes/[^/]+\.rb$", 1).alias("book"), F.regexp_extract(path, r"/recipes/([^/]+)\.rb$", 1).alias("recipe"), path.alias("path"))
+    own_book = F.regexp_extract("file_path", r"(?:^|/)([^/]+)/(?:recipes|libraries|resources|attributes|providers)/", 1)
+    calls = g.of("Import").where(F.col("signature").startswith("include_recipe")).select("name", "file_path", own_book.alias("mine"))
+    said = F.split("name", "::")
+    book = F.when(F.element_at(said, 1) == "", F.col("mine")).otherwise(F.element_at(said, 1))
+    wanted = calls.select("file_path", book.alias("book"), F.when(F.size(said) > 1, F.element_at(said, 2)).otherwise("default").alias("recipe"))
+    hit = wanted.join(files.where("recipe <> ''").select("book", "recipe", F.col("id").alias("dst")), ["book", "recipe"])
+    from_ = files.select(F.col("path").alias("file_path"), F.col("id").alias("src"))
+    return hit.join(from_, "file_path").where("src <> dst").select("src", "dst", F.lit("DEPENDS_ON").alias("type")).distinct()
+
+
+def with_edges(g: Graph, *edges: DataFrame) -> Graph:
+    """The graph with further edges."""
+    all_ = g.edges.select("src", "dst", "type")
+    for e in edges:
+        all_ = all_.unionByName(e.select("src", "dst", "type"))
+    return Graph(g.nodes, all_.distinct())
+
+
+def included(g: Graph, roots: DataFrame) -> DataFrame:
+    """(id, level) of all that roots depend on, however far: rounds that end when one finds nothing new."""
+    return reach(g, roots, ["DEPENDS_ON"], None)
+
+
 def terraform_links(variables: DataFrame, uses: DataFrame) -> DataFrame:
     """References of one file to variables that another declares: (file_path, name, declared_in)."""
     v = variables.select("name", F.col("file_path").alias("declared_in"))

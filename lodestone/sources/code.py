@@ -116,7 +116,7 @@ def parse_by_rules(path: str, text: str, language: str) -> Parsed:
     for d in declarations(text, language):
         owner = ("Class", d.owner) if d.owner else p.file
         if d.label == "Import":
-            p.node("Import", d.name, d.line, module=d.name)
+            p.node("Import", d.name, d.line, module=d.name, signature=d.signature)
             p.edge(p.file, "IMPORTS", ("Import", d.name))
         elif d.label == "Variable":
             p.node("Variable", d.name, d.line, description=d.signature)
@@ -149,6 +149,8 @@ def parse_hcl(path: str, text: str) -> Parsed:
             p.edge(p.file, "CONTAINS", (label, name))
             now = (label, name)
         elif now:
+            if now[0] == "Module" and (m := re.match(r'\s*source\s*=\s*"([^"]+)"', line)):
+                p.nodes[-1]["description"] = m[1]
             for m in re.finditer(r"\b(var|local|module)\.(\w+)", line):
                 p.edge(now, "REFERENCES", ("Module" if m[1] == "module" else "Variable", m[2]), b_file="")
             for m in re.finditer(r"\b(data\.\w+\.\w+|(?!var\.|local\.|module\.|each\.|count\.|path\.)[a-z]+_\w+\.\w+)", line):

@@ -53,7 +53,7 @@ GRAMMARS: dict[str, Grammar] = {
     "kotlin": Grammar(string=f"{_TRIPLE}|{_DOUBLE}|{_CHAR}", types=_set("class object interface"), functions=_set("fun"), imports=_set("import"), lines=True, nested=True),
     "csharp": Grammar(string=rf'\$?@\$?"(?:""|[^"])*"|{_TRIPLE}|\$?{_DOUBLE}|{_CHAR}', types=_set("class struct interface record enum"), spaces=_set("namespace"), imports=_set("using"), extends=(":",), c_like=True),
     "php": Grammar(comment=rf"{_C_COMMENT}|\#(?!\[)[^\n]*|<\?(?:php)?|\?>", string=f"{_DOUBLE}|{_SINGLE}", word=r"\$?[^\W\d]\w*(?:\\\w+)*|\\\w+(?:\\\w+)*", types=_set("class interface trait enum"), spaces=_set("namespace"), functions=_set("function"), imports=_set("use"), extends=("extends",), heredoc=r"<<<\s*[\"']?(?P<tag>\w+)[\"']?"),
-    "ruby": Grammar(comment=r"\#[^\n]*|^=begin\b.*?^=end\b[^\n]*", string=f"{_DOUBLE}|{_SINGLE}|%[wWiIqQ]?[\\[({{][^\\])}}]*[\\])}}]", word=r"[@$]{0,2}[^\W\d]\w*[?!]?(?!:(?!:))|[^\W\d]\w*:(?!:)", types=_set("class module"), functions=_set("def"), imports=_set("require require_relative"), extends=("<",), lines=True, heredoc=r"<<[~-]?[\"']?(?P<tag>[A-Z_]\w*)[\"']?"),
+    "ruby": Grammar(comment=r"\#[^\n]*|^=begin\b.*?^=end\b[^\n]*", string=f"{_DOUBLE}|{_SINGLE}|%[wWiIqQ]?[\\[({{][^\\])}}]*[\\])}}]", word=r"[@$]{0,2}[^\W\d]\w*[?!]?(?!:(?!:))|[^\W\d]\w*:(?!:)", types=_set("class module"), functions=_set("def"), imports=_set("require require_relative include_recipe"), extends=("<",), lines=True, heredoc=r"<<[~-]?[\"']?(?P<tag>[A-Z_]\w*)[\"']?"),
     "swift": Grammar(string=rf'{_TRIPLE}|\#*{_DOUBLE}\#*', types=_set("class struct enum protocol actor extension"), functions=_set("func init deinit"), imports=_set("import"), extends=(":",), lines=True, nested=True),
     "c": Grammar(comment=rf"{_C_COMMENT}|^[ \t]*\#(?![ \t]*include)(?:\\\n|[^\n])*", types=_set("struct union enum"), c_like=True),
     "cpp": Grammar(comment=rf"{_C_COMMENT}|^[ \t]*\#(?![ \t]*include)(?:\\\n|[^\n])*", string=rf'R"(?P<hash>\w*)\(.*?\)(?P=hash)"|{_DOUBLE}|{_CHAR}', types=_set("class struct union enum"), spaces=_set("namespace extern"), extends=(":",), c_like=True),
@@ -543,7 +543,7 @@ class _Reader:
             names = [re.sub(r"^(?:static|global)\s+|\s+as\s+\w+$", "", raw.split("=")[-1].strip())]
         for name in names:
             if name:
-                self.add("Import", name, i, max(i, end - 1))
+                self.add("Import", name, i, max(i, end - 1), signature=self.signature(i, end))
         return end + 1
 
     def required(self, i: int, end: int) -> None:
