@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import context, drift, enrichment, federation, history, impact, intelligence, lenses, review, security, store, structure, vector_index
+from .operators import context, drift, enrichment, federation, history, impact, intelligence, intervals, lenses, review, security, store, structure, vector_index
 from .plans import cypher
 from .plans.graph import NODE_COLUMNS, Graph, trails
 from .plans.star import WITH_SQL, stored_star_graph
@@ -881,6 +881,17 @@ def _wiki(t):
     return intelligence.wiki_links(p.select(F.col("p_brand").alias("page"), F.upper("p_name").alias("term")), p.where("p_size < 20").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
+@_on_tables("interval_members", f"SELECT ref, committed_at, 'Function' AS label, name, file_path FROM ({_MONTHS}) m")
+def _interval_members(t):
+    """Full copies of the snapshots, read back from the stays that they are kept as."""
+    return intervals.members_at(*intervals.encode(_members(t)))
+
+
+@_on_tables("interval_stays", f"WITH m AS (SELECT DISTINCT ref, committed_at, name, file_path FROM ({_MONTHS}) x), o AS (SELECT ref, row_number() OVER (ORDER BY committed_at, ref) AS at FROM (SELECT DISTINCT ref, committed_at FROM m) d), s AS (SELECT name, file_path, at, at - row_number() OVER (PARTITION BY name, file_path ORDER BY at) AS run FROM m JOIN o USING (ref)) SELECT name, file_path, CAST(min(at) AS INTEGER) AS since, CAST(CASE WHEN max(at) < (SELECT max(at) FROM o) THEN max(at) + 1 END AS INTEGER) AS until FROM s GROUP BY name, file_path, run")
+def _interval_stays(t):
+    return intervals.encode(_members(t))[0].select("name", "file_path", "since", "until")
+
+
 @_on_tables("symbols_at", f"SELECT 'Function' AS label, name, file_path FROM ({_MONTHS}) m WHERE ref = '1996-03'")
 def _symbols_at(t):
     return history.symbols_at(_members(t), "1996-03")
