@@ -887,7 +887,7 @@ def _interval_members(t):
     return intervals.members_at(*intervals.encode(_members(t)))
 
 
-@_on_tables("interval_stays", f"WITH m AS (SELECT DISTINCT ref, committed_at, name, file_path FROM ({_MONTHS}) x), o AS (SELECT ref, row_number() OVER (ORDER BY committed_at, ref) AS at FROM (SELECT DISTINCT ref, committed_at FROM m) d), s AS (SELECT name, file_path, at, at - row_number() OVER (PARTITION BY name, file_path ORDER BY at) AS run FROM m JOIN o USING (ref)) SELECT name, file_path, CAST(min(at) AS INTEGER) AS since, CAST(CASE WHEN max(at) < (SELECT max(at) FROM o) THEN max(at) + 1 END AS INTEGER) AS until FROM s GROUP BY name, file_path, run")
+@_on_tables("interval_stays", f"WITH m AS (SELECT DISTINCT ref, committed_at, name, file_path FROM ({_MONTHS}) x), o AS (SELECT ref, row_number() OVER (ORDER BY committed_at, ref) AS k FROM (SELECT DISTINCT ref, committed_at FROM m) d), s AS (SELECT name, file_path, k, k - row_number() OVER (PARTITION BY name, file_path ORDER BY k) AS run FROM m JOIN o USING (ref)) SELECT name, file_path, CAST(min(k) AS INTEGER) AS since, CAST(CASE WHEN max(k) < (SELECT max(k) FROM o) THEN max(k) + 1 END AS INTEGER) AS until FROM s GROUP BY name, file_path, run")
 def _interval_stays(t):
     return intervals.encode(_members(t))[0].select("name", "file_path", "since", "until")
 
