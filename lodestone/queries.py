@@ -43,6 +43,12 @@ def _on_tables(name: str, sql: str | None):
     return add
 
 
+#: What the oracles follow, written out by hand.
+_BLAST = ["CALLS", "REFERENCES", "INHERITS", "IMPLEMENTS", "ANNOTATES"]
+_KNOWLEDGE_LINKS = ["ANNOTATES", "IMPLEMENTS", "GOVERNS"]
+_KNOWLEDGE = ["Concept", "Rule", "Decision", "WikiPage"]
+
+
 def _in(types) -> str:
     return ", ".join(f"'{t}'" for t in types)
 
@@ -91,27 +97,27 @@ def _function_context(g):
     return context.function_context(g, _file(g, "part/3"), 2)
 
 
-@_on_graph("blast_radius", _reach_sql("label = 'Method' AND file_path = 'orders/2-HIGH'", impact.BLAST, 3) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL")
+@_on_graph("blast_radius", _reach_sql("label = 'Method' AND file_path = 'orders/2-HIGH'", _BLAST, 3) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL")
 def _blast(g):
     return impact.blast_radius(g, g.of("Method").where("file_path = 'orders/2-HIGH'").select("id"), 3)
 
 
-@_on_graph("blast_summary", _reach_sql(_PART, impact.BLAST, 3) + ", rows_ AS (SELECT label, name, file_path, line_start, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL) SELECT count(*) AS affected, array_to_string(list_sort(list(DISTINCT file_path) FILTER (file_path <> '')), ',') AS affected_files, CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS depth_reached, max(level) AS max_level FROM rows_")
+@_on_graph("blast_summary", _reach_sql(_PART, _BLAST, 3) + ", rows_ AS (SELECT label, name, file_path, line_start, min(level) AS level FROM rc JOIN nodes USING (id) GROUP BY ALL) SELECT count(*) AS affected, array_to_string(list_sort(list(DISTINCT file_path) FILTER (file_path <> '')), ',') AS affected_files, CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS depth_reached, max(level) AS max_level FROM rows_")
 def _blast_summary(g):
     return impact.blast_summary(g, _file(g, "part/3"), 3).withColumn("affected_files", F.array_join("affected_files", ","))
 
 
-@_on_graph("affected_knowledge", _reach_sql("label = 'Function' AND line_start < 10", impact.KNOWLEDGE_LINKS, 2) + f"SELECT DISTINCT label AS type, name FROM rc JOIN nodes USING (id) WHERE label IN ({_in(impact.KNOWLEDGE)})")
+@_on_graph("affected_knowledge", _reach_sql("label = 'Function' AND line_start < 10", _KNOWLEDGE_LINKS, 2) + f"SELECT DISTINCT label AS type, name FROM rc JOIN nodes USING (id) WHERE label IN ({_in(_KNOWLEDGE)})")
 def _affected_knowledge(g):
     return impact.affected_knowledge(g, g.of("Function").where("line_start < 10").select("id"))
 
 
-@_on_graph("cross_repo_blast", _reach_sql("label = 'Method' AND file_path = 'orders/1-URGENT'", impact.BLAST, 2) + ", up AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CONTAINS'), u1 AS (SELECT rc.id, up.src AS rid FROM rc JOIN up ON up.dst = rc.id), u2 AS (SELECT u1.id, up.src AS rid FROM u1 JOIN up ON up.dst = rid), u3 AS (SELECT u2.id, up.src AS rid FROM u2 JOIN up ON up.dst = rid), rp AS (SELECT DISTINCT u.id, n.name AS repo_name FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3) u JOIN nodes n ON n.id = u.rid WHERE n.label = 'Repository') SELECT DISTINCT label AS type, name, file_path, repo_name FROM rc JOIN nodes USING (id) LEFT JOIN rp ON rp.id = rc.id")
+@_on_graph("cross_repo_blast", _reach_sql("label = 'Method' AND file_path = 'orders/1-URGENT'", _BLAST, 2) + ", up AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'CONTAINS'), u1 AS (SELECT rc.id, up.src AS rid FROM rc JOIN up ON up.dst = rc.id), u2 AS (SELECT u1.id, up.src AS rid FROM u1 JOIN up ON up.dst = rid), u3 AS (SELECT u2.id, up.src AS rid FROM u2 JOIN up ON up.dst = rid), rp AS (SELECT DISTINCT u.id, n.name AS repo_name FROM (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3) u JOIN nodes n ON n.id = u.rid WHERE n.label = 'Repository') SELECT DISTINCT label AS type, name, file_path, repo_name FROM rc JOIN nodes USING (id) LEFT JOIN rp ON rp.id = rc.id")
 def _cross_repo(g):
     return impact.cross_repo_blast(g, g.of("Method").where("file_path = 'orders/1-URGENT'").select("id"), 2)
 
 
-@_on_graph("federated_blast", _reach_sql("label = 'Function' AND name = 'small ring'", impact.BLAST, 2) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level, g.graph FROM rc JOIN nodes USING (id) CROSS JOIN (SELECT 'a' AS graph UNION ALL SELECT 'b') g GROUP BY ALL")
+@_on_graph("federated_blast", _reach_sql("label = 'Function' AND name = 'small ring'", _BLAST, 2) + "SELECT label AS type, name, file_path, line_start AS line, min(level) AS level, g.graph FROM rc JOIN nodes USING (id) CROSS JOIN (SELECT 'a' AS graph UNION ALL SELECT 'b') g GROUP BY ALL")
 def _federated(g):
     return impact.federated_blast({"a": g, "b": g}, "small ring", depth=2)
 
@@ -415,7 +421,7 @@ def _diff_knowledge(g):
     return review.affected_knowledge(g, _changed_symbols(g))
 
 
-@_on_graph("diff_report", _CHANGED + f", ci AS (SELECT DISTINCT n.id, n.name, n.file_path FROM nodes n JOIN ch USING (name, file_path) WHERE n.label IN ('Function', 'Class', 'Method')), st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE type IN ({_in(impact.BLAST)})), b1 AS (SELECT DISTINCT ci.id AS root, b AS id FROM ci JOIN st ON a = ci.id), b2 AS (SELECT DISTINCT root, b AS id FROM b1 JOIN st ON a = b1.id), bl AS (SELECT root, count(*) AS n FROM (SELECT * FROM b1 UNION SELECT * FROM b2) u GROUP BY root) SELECT ch.name, ch.file_path, m.b AS label, m.a AS line_start, 'changed' AS status, CAST(coalesce((SELECT sum(n) FROM bl JOIN ci ON ci.id = root WHERE ci.name = ch.name AND ci.file_path = ch.file_path), 0) AS BIGINT) AS blast FROM ch")
+@_on_graph("diff_report", _CHANGED + f", ci AS (SELECT DISTINCT n.id, n.name, n.file_path FROM nodes n JOIN ch USING (name, file_path) WHERE n.label IN ('Function', 'Class', 'Method')), st AS (SELECT DISTINCT src AS a, dst AS b FROM edges WHERE type IN ({_in(_BLAST)})), b1 AS (SELECT DISTINCT ci.id AS root, b AS id FROM ci JOIN st ON a = ci.id), b2 AS (SELECT DISTINCT root, b AS id FROM b1 JOIN st ON a = b1.id), bl AS (SELECT root, count(*) AS n FROM (SELECT * FROM b1 UNION SELECT * FROM b2) u GROUP BY root) SELECT ch.name, ch.file_path, m.b AS label, m.a AS line_start, 'changed' AS status, CAST(coalesce((SELECT sum(n) FROM bl JOIN ci ON ci.id = root WHERE ci.name = ch.name AND ci.file_path = ch.file_path), 0) AS BIGINT) AS blast FROM ch")
 def _diff_report(g):
     return review.diff_report(g, _ranges(g))
 
