@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigram_similarity_column
 from ..plans.graph import SYMBOLS, Graph, settle
+from .intelligence import like_pairs
 
 
 def snapshot(g: Graph, ref: str, commit: str, committed_at: str) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +44,13 @@ def symbol_history(members: DataFrame, name: str | None = None, file_path: str =
     return seen.select("name", "ref", "committed_at", "file_path", "event").unionByName(gone)
 
 
+def _may_be_alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, other): pairs of names that may have a likeness of ``least``, met by their rare bigrams."""
+    a, b = (x.where("name IS NOT NULL").distinct() for x in (left, right))
+    equal = a.select("name", F.lower("name").alias("k")).join(b.select(F.col("name").alias("other"), F.lower("name").alias("k")), "k").select("name", "other")
+    return like_pairs(a, b, least).select(F.col("a").alias("name"), F.col("b").alias("other")).unionByName(equal).distinct()
+
+
 def succession(members: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(at, name, file_path, to_name, to_file, event, score): what became of each symbol of snapshot ``at``, counted
     from 1 by time, in the next.  The same name and file (seen), else the same name in its first file (moved),
@@ -63,8 +71,9 @@ def succession(members: DataFrame, threshold: float = 0.7) -> DataFrame:
         F.when(stays, "seen").otherwise("moved").alias("event"), F.lit(1.0).alias("score"),
     )
     gone = known.where("first_file IS NULL").select(key)
+    pairs = settle(_may_be_alike(gone.select("name"), after.select("name"), threshold))
     others = after.withColumnRenamed("name", "other")
-    alike = gone.join(others, ["at", "file_path"]).withColumn("score", bigram_similarity_column(F.col("name"), F.col("other"))).where(F.col("score") >= threshold)
+    alike = gone.join(pairs, "name").join(others, ["at", "file_path", "other"]).withColumn("score", bigram_similarity_column(F.col("name"), F.col("other"))).where(F.col("score") >= threshold)
     best = alike.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("less"), "other")).alias("b"))
     left = gone.join(best, key, "left").select(
         *key, F.coalesce("b.other", "name").alias("to_name"), F.col("file_path").alias("to_file"),

@@ -307,15 +307,22 @@ def token_links(knowledge: DataFrame, code: DataFrame, pattern: str = r"[\s_\-]+
     """(source, target): some token of at least ``least`` characters of a knowledge name lies in a code
     name, case ignored.
 
-    Substrings of code names of the tokens' lengths (few distinct ones) meet the tokens by equality.
+    A token meets the code names that have its rarest run of three characters, by equality, and then lies in
+    them or not; a token with a run that no code name has meets none.  Tokens may be shorter than three
+    characters only where ``least`` says so; those meet names by their own length.
     """
     tokens = knowledge.select(F.col("name").alias("source"), F.explode(F.array_distinct(F.split(F.lower("name"), pattern))).alias("t")).where(F.length("t") >= least)
-    sizes = tokens.agg(F.collect_set(F.length("t")).alias("sizes"))  # one row, of no more numbers than the longest token has characters
-    names = code.select(F.col("name").alias("target"), F.lower("name").alias("low")).distinct()
-    sized = names.crossJoin(F.broadcast(sizes)).select("target", "low", F.explode(F.filter("sizes", lambda n: n <= F.length("low"))).alias("n"))
-    cuts = F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substring("low", i, F.col("n")))
-    grams = sized.select("target", F.explode(F.array_distinct(cuts)).alias("t"))
-    return tokens.join(grams, "t").select("source", "target").distinct()
+    names = code.select(F.col("name").alias("target"), F.lower("name").alias("low")).where("low IS NOT NULL").distinct()
+    width = max(1, min(3, least))
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (width - 1)), lambda i: F.substring(c, i, F.lit(width))))
+    long = lambda df, c: df.where(F.length(c) >= width)
+    held = long(names, "low").select("target", "low", F.explode(runs("low")).alias("g"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    words = long(tokens.select("t").distinct(), "t")
+    met = words.select("t", F.explode(runs("t")).alias("g")).join(often, "g").groupBy("t").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count("*").alias("known"))
+    rarest = met.where(F.col("known") == F.size(runs("t"))).select("t", "g")
+    pairs = rarest.join(held, "g").where(F.col("low").contains(F.col("t"))).select("t", "target")
+    return tokens.join(pairs, "t").select("source", "target").distinct()
 
 
 def wiki_links(terms: DataFrame, nodes: DataFrame) -> DataFrame:

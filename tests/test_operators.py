@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -345,3 +346,13 @@ def test_bulk_commits_are_split(spark, monkeypatch):
         files.setdefault(f, set()).add(c)
     want = {(a, b, len(files[a] & files[b])) for a in files for b in files if a < b and len(files[a] & files[b]) >= 2 and len(files[a] & files[b]) / max(len(files[a]), len(files[b])) >= 0.5}
     assert {(r.file_a, r.file_b, r.co_changes) for r in history.coupling_pairs(df, 2, 0.5).collect()} == want
+
+
+def test_token_links_equal_plain_search(spark):
+    rnd = random.Random(7)
+    know = ["pay ments", "user-login_flow", "ab", "order", "Zürich pay", "xx yy", "", "loginflow"] + ["".join(rnd.choice("abco") for _ in range(6)) for _ in range(20)]
+    code = ["PaymentsView", "login", "LoginFlow", "reorder", "order", "zürich", "a", "", "aborder"] + ["".join(rnd.choice("abco") for _ in range(9)) for _ in range(60)]
+    k, c = (spark.createDataFrame([(n,) for n in x], "name string") for x in (know, code))
+    for least in (2, 4):
+        want = {(n, t) for n in know for w in re.split(r"[\s_\-]+", n.lower()) if len(w) >= least for t in code if w in t.lower()}
+        assert {tuple(r) for r in intelligence.token_links(k, c, least=least).collect()} == want
