@@ -49,6 +49,9 @@ _TELLING = frozenset("div section table aside".split())
 SURROUNDINGS, CONTENT = -1.1, 0.9
 #: Score of passing over surroundings, and the part of a word's score that a word in a link keeps.
 DETOUR, LINKED = -2.0, -0.3
+#: Most that an element's text may speak for it, and log odds of its names at or below which it can't: readers'
+#: comments are sentences too.
+TOLD, CERTAIN = 1.2, -1.8
 #: Times the words outside that make an element a wrapper of the page.
 WRAPS = 3
 #: Added to the counts of features.
@@ -286,7 +289,8 @@ def _elements(page: str) -> tuple[list[tuple[str, str, str, int]], list[_Element
         all_[e.up].linked += e.linked
         all_[e.up].stops += e.stops
         if e.name in _TELLING:
-            e.odds += sum(odds.get(f, 0.0) for f in text_features(total[k], e.linked, e.stops))
+            told = sum(odds.get(f, 0.0) for f in text_features(total[k], e.linked, e.stops))
+            e.odds += min(TOLD if e.odds > CERTAIN else 0.0, told)
     return events, all_
 
 
