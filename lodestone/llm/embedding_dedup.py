@@ -155,7 +155,7 @@ def balls(classes: DataFrame, bits: int, cosine: float) -> tuple[DataFrame, Data
     centres = middle.select("key", "ball", "v").unionByName(crowded.join(classes.select(F.col("rep").alias("first"), "v"), "first").select("key", F.col("first").alias("ball"), "v"))
     centres = materialize(centres, "centres")
     seen = centres.dropDuplicates(["ball"]).select("ball", "v")
-    near = index.join(centres.select("key", "ball"), "key").drop("key").distinct()
+    near = index.join(centres.select("key", "ball").hint("merge"), "key").drop("key").distinct()
     sketch = hashed(seen.withColumnRenamed("ball", "rep"), bits, 1).select(F.col("rep").alias("ball"), *[F.col(w).alias(f"c{w}") for w in _WORDS])
     least = math.cos(math.acos(cosine) / 2)
     near = near.join(sketch, "ball").where(F.expr(f"{_apart('', 'c')} <= {screen(least)}")).select("rep", "ball")
@@ -239,7 +239,8 @@ def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tup
     between classes that tie together what links tie together.
 
     ``classes`` has rep, n and v (doubles, see ``prepare``).  Buckets meet by an equality join that
-    adaptive execution may split; the sketch screens inside the join; cosines are worked out in double
+    adaptive execution may split, and that is never a broadcast: Spark takes the exploded index for as small as
+    the classes; the sketch screens inside the join; cosines are worked out in double
     precision for distinct candidates only.
     """
     bits, tables = shape(classes.count(), cosine, miss)
@@ -255,11 +256,11 @@ def links(classes: DataFrame, cosine: float = COSINE, miss: float = MISS) -> tup
     alone = marks.where("ball IS NULL").select(F.col("rep").alias("node"), F.lit(0).alias("many"), *_WORDS, F.explode("keys").alias("key"))
     crowd = marks.where("ball IS NOT NULL").select(F.col("ball").alias("node"), F.explode("keys").alias("key")).distinct()
     centres = hashed(nodes.where("many").select(F.col("node").alias("rep"), "v"), bits, 1).select(F.col("rep").alias("node"), F.lit(1).alias("many"), *_WORDS)
-    index = alone.unionByName(crowd.join(centres, "node"))
+    index = alone.unionByName(crowd.join(centres.hint("merge"), "node"))
     # centres of linked vectors lie as much further apart as their balls are wide
     most = [screen(math.cos(limit * (1 + k / 2))) for k in range(3)]
     meet = f"l.key = r.key AND l.node < r.node AND {_apart('l.', 'r.')} <= CASE l.many + r.many WHEN 0 THEN {most[0]} WHEN 1 THEN {most[1]} ELSE {most[2]} END"
-    pairs = index.alias("l").join(index.alias("r"), F.expr(meet)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    pairs = index.alias("l").join(index.alias("r").hint("merge"), F.expr(meet)).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(nodes.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in nodes.columns]), side)
     value = cosine_of("v_a", "v_b")

@@ -93,12 +93,14 @@ def links(classes: DataFrame) -> DataFrame:
 
     ``classes`` holds distinct ``fp`` with ``rep``.  Every fingerprint is indexed under 64
     one-wildcard variants of its three segments; fingerprints that meet under a key are compared
-    inside the join, and a pair is emitted under its first shared variant alone, so once.
+    inside the join, and a pair is emitted under its first shared variant alone, so once.  Spark takes
+    an exploded table for as small as it was before, so the join is told to sort and merge: a broadcast
+    would hold all 64 rows of each fingerprint in the driver.
     """
     index = classes.select("fp", "rep", F.explode(_variants()).alias("key"))
     left, right = index.alias("l"), index.alias("r")
     near = F.expr(f"l.key = r.key AND l.fp < r.fp AND bit_count(l.fp ^ r.fp) <= {MAX_BITS} AND shiftright(l.key, 32) = {_first_shared('(l.fp ^ r.fp)')}")
-    return left.join(right, near).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+    return left.join(right.hint("merge"), near).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

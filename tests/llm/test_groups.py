@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import embedding_dedup, simhash
@@ -226,3 +227,18 @@ def test_marks_cover_all_dropped_ids(spark, monkeypatch):
         if bits > 1 << 20:
             assert len({r.doc_id for r in rows if r.marked} - wanted) < 5
     assert not any(r.marked for r in pipeline._marked(docs, ids.limit(0)).collect())
+
+
+def test_exploded_indexes_are_not_broadcast(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = spark.range(200)
+    found = plan(simhash.links(ids.select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep"))))
+    assert "SortMergeJoin" in found and "Broadcast" not in found
+
+    plans = {}
+    settle = embedding_dedup.materialize
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, label: (plans.setdefault(label, plan(df)), settle(df, label))[1])
+    spread = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.cos(F.col("id") * k))
+    embedding_dedup.links(embedding_dedup.materialize(ids.select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"), spread.alias("v")), "classes"))
+    meets = [x for x in plans["pairs"].splitlines() if "bit_count" in x and "Join" in x]
+    assert meets and all("SortMergeJoin" in x for x in meets)
