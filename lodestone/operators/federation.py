@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import Graph
+from ..plans.graph import Graph, settle
 
 #: Labels that are one node in all repositories, by name.
 SHARED = ("Concept", "Person", "Domain", "Rule")
@@ -72,12 +72,13 @@ def partition_files(g: Graph, agents: int) -> DataFrame:
     """(file_path, part): distinct files in order, in contiguous runs of ceil(n / agents).
 
     Ranks come from counts of range partitions, not from one global window: files are sorted across
-    tasks, each task numbers its own, and the tasks' offsets are added.
+    tasks, each task numbers its own, and the tasks' offsets are added.  The numbers are settled first, as
+    the bounds of ranges come from a sample that differs from one run to the next.
     """
     files = g.nodes.where("file_path IS NOT NULL AND file_path <> ''").select("file_path").distinct()
     dealt = files.repartitionByRange("file_path").sortWithinPartitions("file_path")
     numbered = dealt.select("file_path", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    numbered = numbered.withColumn("k", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = settle(numbered.select("file_path", "p", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
     sizes = sorted(numbered.groupBy("p").agg(F.count("*").alias("n")).collect())  # one row for each task
     each = math.ceil(sum(s.n for s in sizes) / max(1, agents)) or 1
     start, starts = 0, []
