@@ -145,6 +145,8 @@ def file_churn(commits: DataFrame, numstat: DataFrame | None = None) -> DataFram
 
 #: Files of a commit that meet those of another group in one key.
 COMMIT_FILES = 256
+#: Pairs of files that one task adds up.
+TASK_PAIRS = 1 << 21
 
 
 def coupling_pairs(commits: DataFrame, min_changes: int = 3, min_confidence: float = 0.5) -> DataFrame:
@@ -153,16 +155,19 @@ def coupling_pairs(commits: DataFrame, min_changes: int = 3, min_confidence: flo
     Files with fewer than ``min_changes`` commits can't reach the bound and are left out first, so the
     self-join on the commit sees only what may count; confidence is co-changes over the larger count.  The
     files of a commit are dealt into groups of about ``COMMIT_FILES``, and groups meet pair by pair, so no
-    bulk commit is one key of the join.
+    bulk commit is one key of the join.  Most pairs occur once, so they are not added up where they are made but
+    after a shuffle, over as many tasks as ``TASK_PAIRS`` asks for.
     """
-    c = commits.select("commit", "file").distinct()
+    c = settle(commits.select("commit", "file").distinct(), "commits")
     n = c.groupBy("file").agg(F.count("*").alias("n"))
     c = c.join(n.where(F.col("n") >= min_changes), "file")
+    made = c.groupBy("commit").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * (m - 1) div 2"))).first()[0]
     groups = c.groupBy("commit").agg(F.ceil(F.count("*") / COMMIT_FILES).alias("groups"))
     c = c.join(groups, "commit").withColumn("mine", F.pmod(F.xxhash64("file"), F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     a = c.select("commit", F.col("mine").alias("x"), F.col("other").alias("y"), F.col("file").alias("file_a"), F.col("n").alias("na"))
     b = c.select("commit", F.col("other").alias("x"), F.col("mine").alias("y"), F.col("file").alias("file_b"), F.col("n").alias("nb"))
-    co = a.join(b, ["commit", "x", "y"]).where("file_a < file_b").groupBy("file_a", "file_b", "na", "nb").agg(F.count("*").alias("co_changes"))
+    met = a.join(b, ["commit", "x", "y"]).where("file_a < file_b").select("file_a", "file_b", "na", "nb")
+    co = met.repartition((made or 0) // TASK_PAIRS + 1, "file_a", "file_b").groupBy("file_a", "file_b", "na", "nb").agg(F.count("*").alias("co_changes"))
     confidence = F.col("co_changes") / F.greatest("na", "nb")
     return co.where((F.col("co_changes") >= min_changes) & (confidence >= min_confidence)).select("file_a", "file_b", "co_changes", F.round(confidence, 4).alias("confidence"))
 
