@@ -53,8 +53,10 @@ def decorators_for(g: Graph, roots: DataFrame) -> DataFrame:
 
 
 def decorated_by(g: Graph, decorator: str) -> DataFrame:
+    """What a decorator marks.  Ids are settled first: where they are few, nodes are not shuffled to meet them."""
     marks = g.root(decorator, labels=["Decorator"]).withColumnRenamed("id", "src")
-    return g.attach(g.links("DECORATES").join(marks, "src").select(F.col("dst").alias("id")), *_PLACE).select(F.col("label").alias("type"), "name", "file_path", F.col("line_start").alias("line"))
+    marked = settle(g.links("DECORATES").join(marks, "src").select(F.col("dst").alias("id")), "marked")
+    return g.attach(marked, *_PLACE).select(F.col("label").alias("type"), "name", "file_path", F.col("line_start").alias("line"))
 
 
 def references_to(g: Graph, roots: DataFrame) -> DataFrame:
