@@ -1,12 +1,15 @@
 """Linking operators and the pipeline against brute force."""
 
+import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm import components as components_
 from lodestone.llm import embedding_dedup, simhash
 from lodestone.llm.components import connected_components
 
@@ -242,3 +245,19 @@ def test_exploded_indexes_are_not_broadcast(spark, monkeypatch):
     embedding_dedup.links(embedding_dedup.materialize(ids.select(F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"), spread.alias("v")), "classes"))
     meets = [x for x in plans["pairs"].splitlines() if "bit_count" in x and "Join" in x]
     assert meets and all("SortMergeJoin" in x for x in meets)
+
+
+def test_near_duplicates_broadcasts_no_exploded_table(spark, monkeypatch):
+    sf, plans = "/root/testdata/sf0.001", []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: re.search(r"\w|$", line).start()
+    for module in (components_, corpus_pipeline, simhash):
+        monkeypatch.setattr(module, "materialize", lambda df, label, settle=module.materialize: (plans.append(plan(df)), settle(df, label))[1])
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    exploded = [p for p in plans if any("Generate explode" in x for x in p)]
+    assert exploded
+    for p in exploded:
+        for k, line in enumerate(p):
+            if "BroadcastExchange" in line:
+                below = itertools.takewhile(lambda x, top=depth(line): depth(x) > top, p[k + 1 :])
+                assert not any("Generate explode" in x for x in below)
