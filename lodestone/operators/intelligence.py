@@ -81,16 +81,16 @@ def top_k(vectors: DataFrame, query: list[float] | DataFrame, k: int = 10, id_co
 def propagate_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(id, community) after ``rounds`` synchronous rounds: every node takes the commonest label among its
     neighbours and itself, the least of equals.  The distributed form; its own label's vote keeps pairs
-    from swapping for ever."""
+    from swapping for ever.  Joins sort and merge: ids packed in a file look small enough to broadcast
+    when they are not."""
     label = nodes.select("id", F.col("id").alias("community"))
     both = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for i in range(rounds):
-        votes = both.join(label.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "community").unionByName(label)
+        label = settle(label, "labels") if i else label  # used twice
+        votes = both.join(label.withColumnRenamed("id", "b").hint("merge"), "b").select(F.col("a").alias("id"), "community").unionByName(label)
         count = votes.groupBy("id", "community").agg(F.count("*").alias("n"))
         label = count.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("id", "m.community")
-        if i % 3 == 2:
-            label = settle(label)
     return label
 
 
@@ -138,11 +138,13 @@ def propagate_labels_in_place(nodes: DataFrame, edges: DataFrame, rounds: int =
 
 
 def community_stats(labels: DataFrame, edges: DataFrame, min_size: int = 2) -> DataFrame:
-    """(community, size, density): density is internal edges, repeats counted, over possible pairs."""
+    """(community, size, density): density is internal edges, repeats counted, over possible pairs.  The labels
+    are used three times, and worked out and settled once."""
+    labels = settle(labels.select("id", "community"), "labels")
     size = labels.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     a = labels.select(F.col("id").alias("src"), "community")
     b = labels.select(F.col("id").alias("dst"), F.col("community").alias("other"))
-    inside = edges.where("src <> dst").join(a, "src").join(b, "dst").where("community = other").groupBy("community").agg(F.count("*").alias("m"))
+    inside = edges.where("src <> dst").join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("community = other").groupBy("community").agg(F.count("*").alias("m"))
     pairs = F.col("size") * (F.col("size") - 1) / 2
     return size.join(inside, "community", "left").select("community", "size", F.round(F.coalesce("m", F.lit(0)) / pairs, 4).alias("density")).orderBy(F.desc("size"), "community")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone import queries
-from lodestone.operators import drift, federation, history, store
+from lodestone.operators import drift, federation, history, intelligence, store
 from lodestone.plans.graph import NODE_COLUMNS, Graph
 from lodestone.plans.star import star_graph, stored_star_graph
 
@@ -53,3 +53,35 @@ def test_pairs_of_files_are_added_up_by_as_many_tasks_as_they_need(spark, monkey
     monkeypatch.setattr(history, "TASK_PAIRS", 10)
     commits = spark.range(300).select((F.col("id") % 100).alias("commit"), (F.col("id") % 3 + F.col("id") % 2 * 3).alias("file"))
     assert "REPARTITION_BY_NUM" in plan(history.coupling_pairs(commits, 1, 0.0))
+
+
+def test_communities_are_counted_from_labels_worked_out_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for x in frames:
+            met.add(len(x))
+            yield x
+
+    labels = spark.range(40).select("id", (F.col("id") % 4).alias("community")).mapInPandas(count, "id long, community long")
+    edges = spark.range(36).select(F.col("id").alias("src"), (F.col("id") + 4).alias("dst"))
+    rows = intelligence.community_stats(labels, edges).collect()
+    assert [(r.community, r["size"], r.density) for r in rows] == [(k, 10, 0.2) for k in range(4)]
+    assert met.value == 40
+
+
+def test_communities_of_customers_store_and_read_no_other_tables(spark, monkeypatch):
+    seen, spread = [], intelligence.propagate_labels
+    monkeypatch.setattr(queries, "stored_star_graph", lambda *_: 1 / 0)
+    monkeypatch.setattr(intelligence, "propagate_labels", lambda nodes, edges, rounds: (seen.extend((nodes, edges)), spread(nodes, edges, rounds))[1])
+    assert queries.queries()["community_stats"](spark, SF).count() > 0
+    read = {f.rsplit("/", 1)[1] for df in seen for f in df.inputFiles()}
+    assert read == {"customer.parquet", "nation.parquet", "region.parquet"}
+
+
+def test_labels_are_not_broadcast(spark):
+    edges = spark.range(36).select(F.col("id").alias("src"), (F.col("id") + 4).alias("dst"))
+    labels = intelligence.propagate_labels(spark.range(40), edges, 1)
+    assert "Broadcast" not in plan(labels)
+    inside = [x for x in plan(intelligence.community_stats(labels, edges)).splitlines() if "Join [" in x and ("src#" in x or "dst#" in x)]
+    assert len(inside) == 2 and all("SortMergeJoin" in x for x in inside)
