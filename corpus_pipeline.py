@@ -67,11 +67,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     seen = _marked(docs, extra)  # only marked rows are shuffled with their texts, at every size
     marked = seen.where("marked").join(extra.hint("merge"), "doc_id", "left_anti")
     kept = seen.where("NOT marked").select(*COLUMNS).unionByName(marked.select(*COLUMNS))
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = materialize(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    seen = _marked(kept, twice)
+    marked = seen.where("marked")
+    once = marked.join(twice.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = marked.join(twice.hint("merge"), "doc_id", "left_anti")
+    return seen.where("NOT marked").unionByName(rest).unionByName(once).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, materialize, parts_of, small_batches
+from .common import byte_column, joinable, materialize, parts_of, small_batches
 from .components import connected_components
 
 #: Segments of the 64 bits as (lowest bit, width).  Four differing bits over three segments leave
@@ -116,11 +116,15 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"))
     # rows that share an id but not a text join their classes too
     shared = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    classes = materialize(classes, "classes")
-    twin = rows.join(shared.select("id"), "id").join(classes, "fp").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    comp = connected_components(links(classes).unionByName(twin))
+    shared, classes = materialize(shared.select("id"), "shared"), materialize(classes, "classes")
+    few, n = shared.count(), classes.count()
+    edges = links(classes)
+    if few:
+        twin = rows.join(joinable(shared, few), "id").join(joinable(classes, n), "fp")
+        edges = edges.unionByName(twin.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    comp = joinable(connected_components(edges), n + few)
     label = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(label, "fp", "left")
+    out = rows.join(joinable(label, n), "fp", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodestone.llm import common, embedding_dedup, simhash
 from lodestone.llm import components as components_
-from lodestone.llm import embedding_dedup, simhash
 from lodestone.llm.components import connected_components
 
 
@@ -261,3 +261,20 @@ def test_near_duplicates_broadcasts_no_exploded_table(spark, monkeypatch):
             if "BroadcastExchange" in line:
                 below = itertools.takewhile(lambda x, top=depth(line): depth(x) > top, p[k + 1 :])
                 assert not any("Generate explode" in x for x in below)
+
+
+def test_near_duplicates_broadcasts_nothing_that_grows(spark, monkeypatch):
+    sf, plans = "/root/testdata/sf0.001", []
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    twice = docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("one more "), "text"))
+    docs = docs.unionByName(twice).unionByName(docs.where("doc_id % 5 = 0"))  # ids of two texts, and repeated rows
+    found = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0, raising=False)
+    for module in (components_, corpus_pipeline, simhash):
+        monkeypatch.setattr(module, "materialize", lambda df, label, settle=module.materialize: (plans.append(plan(df)), settle(df, label))[1])
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert plans and not any("Broadcast" in p for p in plans)
+    joins = [x for x in plan(kept).splitlines() if "BroadcastHashJoin" in x]
+    assert joins and all("__at" in x for x in joins)  # the bitmaps, whose number has a bound
+    assert sorted(r.doc_id for r in kept.collect()) == found == sorted(set(found))
